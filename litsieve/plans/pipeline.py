@@ -1,0 +1,19 @@
+"""Stage composition (A2) and the flagship query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from litsieve.operators import categorize as cz
+from litsieve.operators import dedup_exact as dx
+from litsieve.plans import lexicons as lx
+from litsieve.schema import papers_view
+from litsieve.session import read_table
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper view -> exact de-dup on Title/DOI/Abstract (keep first) -> phrase labels -> counts."""
+    papers = papers_view(read_table(spark, sf_dir, "documents"))
+    unique = dx.exact_dedup(papers, dx.ExactConfig(subset=("Title", "DOI", "Abstract")))
+    labelled = cz.phrase_labels(unique, ("Title", "Abstract"), lx.CORE, lx.ADDITIONAL)
+    return cz.label_counts(labelled)
