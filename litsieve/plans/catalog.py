@@ -281,3 +281,171 @@ def q_export_key(spark, sf_dir):
     labelled = cz.phrase_labels(papers(spark, sf_dir), TEXT_COLS, lx.CORE, lx.ADDITIONAL)
     return labelled.groupBy("primary_category").agg(F.count(F.lit(1)).alias("n_papers")).select(
         "primary_category", export_key(F.col("primary_category")).alias("export_key"), "n_papers")
+
+
+# ---------------------------------------------------------------- near / fuzzy / combined
+
+from litsieve.functions.similarity import MERSENNE, minhash_signature, permutations  # noqa: E402
+from litsieve.functions.text import search_text as _search_text, word_set  # noqa: E402
+from litsieve.operators import dedup_near as dn  # noqa: E402
+from litsieve.plans.sqlgen import char_levenshtein, greedy_kept_sql, match_key_sql, words_sql  # noqa: E402
+
+NEAR_COLS = ("Title", "Abstract")   # whole text: first line + rest
+FUZZY_COLS = ("Title",)
+COMBINED_COLS = ("Title", "DOI")
+
+
+def _near_reps_sql(keep="first", cols=NEAR_COLS) -> str:
+    agg = "min" if keep in ("first", "none") else "max"
+    return (f"SELECT {agg}(paper_id) AS id, any_value(ws) AS ws, count(*) AS group_size FROM "
+            f"(SELECT paper_id, {words_sql(search_sql(cols, lower=False))} AS ws FROM {PAPERS} p) w "
+            f"GROUP BY CASE WHEN len(ws) > 0 THEN array_to_string(list_sort(ws), ' ') "
+            f"ELSE chr(0) || CAST(paper_id AS VARCHAR) END")
+
+
+def _jaccard_pairs_sql(reps: str, t: float) -> str:
+    return (f"SELECT id_a, id_b, i / (na + nb - i) AS jaccard FROM (SELECT a.id AS id_a, b.id AS id_b, "
+            f"len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS na, len(b.ws) AS nb "
+            f"FROM ({reps}) a JOIN ({reps}) b ON a.id < b.id AND len(a.ws) > 0 AND len(b.ws) > 0 "
+            f"AND len(b.ws) >= {t} * len(a.ws) - 1e-9 AND len(a.ws) >= {t} * len(b.ws) - 1e-9) x "
+            f"WHERE i / (na + nb - i) >= {t} - 1e-9")
+
+
+@register("minhash_signature", "SELECT paper_id, array_to_string(list_transform(["
+          + ", ".join(f"[{a}, {b}]" for a, b in permutations(128)) + "], lambda p: list_min(list_transform("
+          "list_transform(" + words_sql('"Title"') + ", lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT), "
+          f"lambda h: (h * p[1] + p[2]) % {MERSENNE}))), ',') AS signature FROM {PAPERS} p")
+def q_minhash_signature(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return p.select("paper_id", F.array_join(minhash_signature(word_set(F.col("Title"))), ",").alias("signature"))
+
+
+@register("near_pairs", _jaccard_pairs_sql(_near_reps_sql(), 0.85))
+def q_near_pairs(spark, sf_dir):
+    return dn.near_pairs(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS, threshold=0.85))
+
+
+def _lsh_sql(reps: str, t: float, bands=16, rows=8) -> str:
+    perms = "[" + ", ".join(f"[{a}, {b}]" for a, b in permutations(bands * rows)) + "]"
+    sig = (f"list_transform({perms}, lambda p: list_min(list_transform(list_transform(ws, lambda w: "
+           f"('0x' || substr(md5(w), 1, 7))::BIGINT), lambda h: (h * p[1] + p[2]) % {MERSENNE})))")
+    banded = (f"SELECT id, ws, band, sig[band * {rows} + 1: band * {rows} + {rows}] AS bucket FROM "
+              f"(SELECT id, ws, {sig} AS sig FROM ({reps}) r WHERE len(ws) > 0) s, range({bands}) b(band)")
+    return (f"SELECT id_a, id_b, i / (na + nb - i) AS jaccard FROM (SELECT DISTINCT a.id AS id_a, b.id AS id_b, "
+            f"len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS na, len(b.ws) AS nb "
+            f"FROM ({banded}) a JOIN ({banded}) b ON a.band = b.band AND a.bucket = b.bucket AND a.id < b.id) x "
+            f"WHERE i / (na + nb - i) >= {t} - 1e-9")
+
+
+@register("near_pairs_lsh", _lsh_sql(_near_reps_sql(), 0.85))
+def q_near_pairs_lsh(spark, sf_dir):
+    return dn.near_pairs(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS, threshold=0.85, method="lsh"))
+
+
+def _near_dedup_sql(keep="first") -> str:
+    reps = _near_reps_sql(keep)
+    return (f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
+            f"({greedy_kept_sql(reps, _jaccard_pairs_sql(reps, 0.85), keep)})")
+
+
+@register("near_dedup", _near_dedup_sql())
+def q_near_dedup(spark, sf_dir):
+    return dn.near_dedup(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS))
+
+
+@register("near_dedup_lsh", _near_dedup_sql())
+def q_near_dedup_lsh(spark, sf_dir):
+    """D12 through LSH candidates; equals the exact result whenever LSH finds every pair."""
+    return dn.near_dedup(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS, method="lsh"))
+
+
+def _fuzzy_reps_sql(keep="first", cols=FUZZY_COLS) -> str:
+    agg = "min" if keep in ("first", "none") else "max"
+    return (f"SELECT {agg}(paper_id) AS id, any_value(k) AS k, count(*) AS group_size FROM "
+            f"(SELECT paper_id, {match_key_sql(search_sql(cols, lower=False))} AS k FROM {PAPERS} p) w "
+            f"GROUP BY CASE WHEN length(k) > 0 THEN k ELSE chr(0) || CAST(paper_id AS VARCHAR) END")
+
+
+def _edit_pairs_sql(reps: str, threshold: float) -> str:
+    t = threshold / 100.0
+    return (f"SELECT id_a, id_b, 100.0 * (1 - d / lmax) AS score FROM (SELECT a.id AS id_a, b.id AS id_b, "
+            f"{char_levenshtein('a.k', 'b.k')} AS d, greatest(length(a.k), length(b.k)) AS lmax "
+            f"FROM ({reps}) a JOIN ({reps}) b ON a.id < b.id AND length(a.k) > 0 AND length(b.k) > 0 "
+            f"AND least(length(a.k), length(b.k)) >= {t} * greatest(length(a.k), length(b.k)) - 1e-9) x "
+            f"WHERE 100.0 * (1 - d / lmax) >= {threshold} - 1e-9")
+
+
+@register("fuzzy_pairs_ratio", _edit_pairs_sql(_fuzzy_reps_sql(), 90))
+def q_fuzzy_pairs(spark, sf_dir):
+    return dn.fuzzy_pairs(papers(spark, sf_dir), dn.FuzzyConfig(columns=FUZZY_COLS, threshold=90))
+
+
+def _fuzzy_dedup_sql(threshold, keep="first") -> str:
+    reps = _fuzzy_reps_sql(keep)
+    return (f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
+            f"({greedy_kept_sql(reps, _edit_pairs_sql(reps, threshold), keep)})")
+
+
+def _fuzzy(threshold, keep="first"):
+    def run(spark, sf_dir):
+        return dn.fuzzy_dedup(papers(spark, sf_dir), dn.FuzzyConfig(columns=FUZZY_COLS, threshold=threshold, keep=keep))
+    return run
+
+
+for _preset, _t in dn.PRESETS.items():
+    register(f"fuzzy_dedup_{_t}", _fuzzy_dedup_sql(_t))(_fuzzy(_t))
+register("fuzzy_keep_last", _fuzzy_dedup_sql(90, "last"))(_fuzzy(90, "last"))
+register("fuzzy_keep_none", _fuzzy_dedup_sql(90, "none"))(_fuzzy(90, "none"))
+
+
+def _combined_sql(keep="first"):
+    agg = "min" if keep in ("first", "none") else "max"
+    ws = words_sql(search_sql(COMBINED_COLS[:1], lower=False))
+    k = match_key_sql(search_sql(COMBINED_COLS, lower=False))
+    reps = (f"SELECT {agg}(paper_id) AS id, any_value(ws) AS ws, any_value(k) AS k, count(*) AS group_size FROM "
+            f"(SELECT paper_id, {ws} AS ws, {k} AS k FROM {PAPERS} p) w "
+            f"GROUP BY CASE WHEN len(ws) > 0 AND length(k) > 0 THEN array_to_string(list_sort(ws), ' ') || chr(1) || k "
+            f"ELSE chr(0) || CAST(paper_id AS VARCHAR) END")
+    live = f"SELECT * FROM ({reps}) r WHERE len(ws) > 0 AND length(k) > 0"
+    cand = _jaccard_pairs_sql(live, 0.85)
+    pairs = (f"SELECT c.id_a, c.id_b, c.jaccard, 100.0 * (1 - {char_levenshtein('a.k', 'b.k')} / "
+             f"greatest(length(a.k), length(b.k))) AS score FROM ({cand}) c JOIN ({live}) a ON a.id = c.id_a "
+             f"JOIN ({live}) b ON b.id = c.id_b")
+    verified = f"SELECT * FROM ({pairs}) v WHERE score >= 90 - 1e-9"
+    return reps, verified
+
+
+@register("combined_pairs", _combined_sql()[1])
+def q_combined_pairs(spark, sf_dir):
+    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS))
+    return verified
+
+
+@register("combined_dedup", f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
+          f"({greedy_kept_sql(_combined_sql()[0], _combined_sql()[1], 'first')})")
+def q_combined_dedup(spark, sf_dir):
+    return dn.combined_dedup(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS))
+
+
+@register("pair_quality", "SELECT count(*) FILTER (WHERE f AND t) AS tp, count(*) FILTER (WHERE f) AS n_found, "
+          "count(*) FILTER (WHERE t) AS n_truth, round(count(*) FILTER (WHERE f AND t) / nullif(count(*) FILTER (WHERE f), 0), 6) AS precision, "
+          "round(count(*) FILTER (WHERE f AND t) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, "
+          "round(2.0 * count(*) FILTER (WHERE f AND t) / nullif(count(*) FILTER (WHERE f) + count(*) FILTER (WHERE t), 0), 6) AS f1 "
+          f"FROM (SELECT coalesce(x.id_a, y.id_a) AS id_a, coalesce(x.id_b, y.id_b) AS id_b, x.id_a IS NOT NULL AS f, "
+          f"y.id_a IS NOT NULL AS t FROM ({_lsh_sql(_near_reps_sql(), 0.85)}) x FULL JOIN "
+          f"({_jaccard_pairs_sql(_near_reps_sql(), 0.85)}) y ON x.id_a = y.id_a AND x.id_b = y.id_b) z")
+def q_pair_quality(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    found = dn.near_pairs(p, dn.NearConfig(text_cols=NEAR_COLS, method="lsh"))
+    truth = dn.near_pairs(p, dn.NearConfig(text_cols=NEAR_COLS))
+    return dn.pair_quality(found, truth)
+
+
+@register("near_audit", "SELECT 2 AS stage, 'Duplicate removal' AS action, 'Near (MinHash 0.85)' AS method, "
+          "count(*) AS original_count, count(*) FILTER (WHERE k) AS remaining_count, "
+          "count(*) FILTER (WHERE NOT k) AS removed_count, "
+          "round(100.0 * count(*) FILTER (WHERE NOT k) / nullif(count(*), 0), 1) AS removed_pct FROM "
+          f"(SELECT paper_id IN (SELECT paper_id FROM ({_near_dedup_sql()}) d) AS k FROM {PAPERS} p) x")
+def q_near_audit(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return dn.dedup_counts(p, dn.near_dedup(p, dn.NearConfig(text_cols=NEAR_COLS)), "Near (MinHash 0.85)")

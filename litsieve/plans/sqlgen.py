@@ -55,3 +55,49 @@ def last_wins_sql(text: str, lex: Lexicon, default: str) -> tuple[str, str]:
 
 
 PAPERS = PAPERS_SQL
+
+
+# The non-ASCII letters of the driver's prose (lower case). DuckDB's levenshtein
+# counts bytes, Spark's counts characters; mapping each letter to one control byte first makes
+# the oracle count characters too.
+NON_ASCII_LETTERS = "ßäçèéêíñóöü"
+
+
+def char_levenshtein(a: str, b: str) -> str:
+    codes = "".join(chr(i + 1) for i in range(len(NON_ASCII_LETTERS)))
+
+    def tr(x):
+        return f"translate({x}, {q(NON_ASCII_LETTERS)}, {q(codes)})"
+    return f"levenshtein({tr(a)}, {tr(b)})"
+
+
+def words_sql(text: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({text}), '\\s+'), lambda x: x <> ''))"
+
+
+def match_key_sql(text: str) -> str:
+    return strip_sql(f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')")
+
+
+def greedy_kept_sql(reps: str, pairs: str, keep: str) -> str:
+    """Ids of ``reps`` (columns id, group_size) kept by the sequential greedy scan over ``pairs``
+    (id_a, id_b), folded with a recursive CTE that carries the list of kept positions."""
+    if keep == "none":
+        return (f"SELECT id FROM ({reps}) r WHERE group_size = 1 AND id NOT IN "
+                f"(SELECT id_a FROM ({pairs}) x UNION SELECT id_b FROM ({pairs}) y)")
+    direction = "" if keep == "first" else " DESC"
+    return f"""
+WITH RECURSIVE pr AS ({pairs}),
+nodes AS (SELECT id_a AS id FROM pr UNION SELECT id_b FROM pr),
+ord AS (SELECT id, row_number() OVER (ORDER BY id{direction}) AS i FROM nodes),
+e AS (SELECT least(oa.i, ob.i) AS si, greatest(oa.i, ob.i) AS di
+      FROM pr JOIN ord oa ON oa.id = pr.id_a JOIN ord ob ON ob.id = pr.id_b),
+walk(i, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.i + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.di = w.i + 1 AND list_contains(w.kept, e.si))
+                       THEN w.kept ELSE list_append(w.kept, w.i + 1) END
+  FROM walk w WHERE w.i < (SELECT count(*) FROM ord)),
+fin AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1),
+removed AS (SELECT o.id FROM ord o, fin WHERE NOT list_contains(fin.kept, o.i))
+SELECT id FROM ({reps}) r WHERE id NOT IN (SELECT id FROM removed)"""
