@@ -4,8 +4,6 @@ Scores are on a 0-100 scale like the reference's matcher. The edit-distance scor
 ``ratio = 100 * (1 - levenshtein / max(len))``; an empty key matches nothing.
 """
 
-from __future__ import annotations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,9 +115,43 @@ def permutations(num_perm: int = 128, seed: int = 1) -> list[tuple[int, int]]:
 def minhash_signature(words: Column, num_perm: int = 128, seed: int = 1) -> Column:
     """Array of ``num_perm`` minima of (h(w) * a + b) mod (2^31 - 1) over the word set.
 
-    28-bit hash times a 31-bit coefficient stays inside a signed long, so no overflow.
+    Word hashes are computed JVM-side (md5); the min over permutations runs in numpy on
+    Arrow batches. 28-bit hash times a 31-bit coefficient stays inside a signed 64-bit integer.
     """
+    return _minhash_udf(num_perm, seed)(F.transform(words, word_hash))
+
+
+def minhash_signature_expr(words: Column, num_perm: int = 128, seed: int = 1) -> Column:
+    """Same signature as pure Spark expressions (slower: higher-order functions are interpreted)."""
     hashes = F.transform(words, word_hash)
     perms = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
                       for a, b in permutations(num_perm, seed)])
     return F.transform(perms, lambda p: F.array_min(F.transform(hashes, lambda h: (h * p["a"] + p["b"]) % MERSENNE)))
+
+
+_UDFS: dict = {}
+
+
+def _minhash_udf(num_perm: int, seed: int):
+    key = (num_perm, seed)
+    if key in _UDFS:
+        return _UDFS[key]
+    import numpy as np
+    import pandas as pd
+
+    coeff = np.array(permutations(num_perm, seed), dtype=np.int64)
+    a, b = coeff[:, 0], coeff[:, 1]
+
+    @F.pandas_udf("array<bigint>")
+    def minhash(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            if h is None or len(h) == 0:
+                out.append(None)
+                continue
+            hv = np.asarray(h, dtype=np.int64)
+            out.append(((hv[:, None] * a[None, :] + b[None, :]) % MERSENNE).min(axis=0))
+        return pd.Series(out)
+
+    _UDFS[key] = minhash
+    return minhash

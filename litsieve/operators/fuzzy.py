@@ -39,11 +39,13 @@ def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col:
     keys = (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"))
             .filter(F.length("key") > 0)
             .withColumn("L", F.length("key")))
-    padded = F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("key"), F.lit(PAD_RIGHT * (q - 1)))
-    grams = keys.select(
+    padded = keys.select("id", "L", F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("key"),
+                                             F.lit(PAD_RIGHT * (q - 1))).alias("p"))
+    # materialise the padded key first so the lambda does not rebuild it per position
+    grams = padded.select(
         "id", "L",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1),
-                              lambda i: F.substring(padded, i, q))).alias("g"))
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - q + 1),
+                              lambda i: F.substring(F.col("p"), i, q))).alias("g"))
     # occurrence numbering turns the q-gram multiset into a set of (gram, occ) items
     counted = grams.groupBy("id", "L", "g").agg(F.count(F.lit(1)).alias("c"))
     items_ = counted.select("id", "L", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
