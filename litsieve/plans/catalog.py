@@ -449,3 +449,197 @@ def q_pair_quality(spark, sf_dir):
 def q_near_audit(spark, sf_dir):
     p = papers(spark, sf_dir)
     return dn.dedup_counts(p, dn.near_dedup(p, dn.NearConfig(text_cols=NEAR_COLS)), "Near (MinHash 0.85)")
+
+
+# ---------------------------------------------------------------- profiling
+
+from litsieve.operators import profile as pf  # noqa: E402
+
+NUM_COLS = ["l_quantity", "l_discount", "l_tax"]
+PROFILE_TEXT_COLS = ["Title", "Abstract", "Year", "DOI", "Source", "lang"]
+
+
+def _union(parts):
+    return " UNION ALL ".join(parts)
+
+
+@register("profile_overview", "SELECT CAST(count(*) AS BIGINT) AS n_rows, 6 AS n_columns, CAST(" + " + ".join(
+    f"count(*) - count({ident(c)})" for c in PROFILE_TEXT_COLS) + " AS BIGINT) AS n_missing_cells, round(100.0 * (" + " + ".join(
+    f"count(*) - count({ident(c)})" for c in PROFILE_TEXT_COLS) + ") / (count(*) * 6), 6) AS missing_cells_pct, "
+    f"CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(ident(c) for c in PROFILE_TEXT_COLS)} FROM {PAPERS} d) x) AS BIGINT) "
+    "AS n_duplicate_rows, round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT "
+    f"{', '.join(ident(c) for c in PROFILE_TEXT_COLS)} FROM {PAPERS} d) x)) / count(*), 6) AS duplicate_rows_pct, "
+    f"0 AS n_numeric, 6 AS n_text, 0 AS n_other FROM {PAPERS} p")
+def q_profile_overview(spark, sf_dir):
+    return pf.overview(papers(spark, sf_dir).select(*PROFILE_TEXT_COLS))
+
+
+def _lineitem(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem")
+
+
+@register("profile_numeric", _union([
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, "
+    f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 5) AS mean, "
+    f"round(stddev_samp({c}), 6) AS std, round(var_samp({c}), 6) AS variance, round(sum({c}), 6) AS sum, "
+    f"count(*) FILTER (WHERE {c} = 0) AS n_zeros, count(*) FILTER (WHERE {c} < 0) AS n_negative, "
+    f"CAST(max({c}) - min({c}) AS DOUBLE) AS range, round(stddev_samp({c}) / nullif(avg({c}), 0), 6) AS cv "
+    f"FROM lineitem" for c in NUM_COLS]))
+def q_profile_numeric(spark, sf_dir):
+    return pf.numeric_summary(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+@register("profile_quantiles", _union([
+    f"SELECT '{c}' AS \"column\", " + ", ".join(
+        f"round(quantile_cont({c}, {p}), 6) AS p{int(p * 100):02d}" for p in pf.QUANTILES)
+    + f", round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr, "
+    f"round((SELECT quantile_cont(abs({c} - m.med), 0.5) FROM lineitem, (SELECT quantile_cont({c}, 0.5) AS med FROM lineitem) m), 6) AS mad "
+    f"FROM lineitem" for c in NUM_COLS]))
+def q_profile_quantiles(spark, sf_dir):
+    return pf.quantile_summary(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+def _events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events")
+
+
+MOMENT_COLS = {"lineitem": NUM_COLS, "events": ["value"]}
+
+
+@register("profile_moments", _union([
+    f"SELECT '{c}' AS \"column\", round(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1)), 6) "
+    f"AS skewness, round(kurtosis_pop({c}), 6) AS kurtosis FROM lineitem" for c in NUM_COLS]))
+def q_profile_moments(spark, sf_dir):
+    return pf.moments(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+def _pairs_of(cols):
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+
+
+@register("corr_pearson", _union([f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+                                  for a, b in _pairs_of(NUM_COLS)]))
+def q_corr_pearson(spark, sf_dir):
+    return pf.pearson_matrix(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+def _avg_rank_sql(c):
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+
+
+@register("corr_spearman", "SELECT * FROM (" + _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(ra, rb), 6) AS corr FROM "
+    f"(SELECT {_avg_rank_sql(a)} AS ra, {_avg_rank_sql(b)} AS rb FROM lineitem) r" for a, b in _pairs_of(NUM_COLS)]) + ") s")
+def q_corr_spearman(spark, sf_dir):
+    return pf.spearman_matrix(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+KENDALL_PAIR = ("l_quantity", "l_discount")
+
+
+@register("corr_kendall", f"""WITH c AS (SELECT {KENDALL_PAIR[0]} AS x, {KENDALL_PAIR[1]} AS y, count(*) AS n FROM lineitem
+  WHERE {KENDALL_PAIR[0]} IS NOT NULL AND {KENDALL_PAIR[1]} IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.n * b.n ELSE 0 END) AS conc,
+             sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.n * b.n ELSE 0 END) AS disc FROM c a, c b),
+t AS (SELECT sum(n) AS nn FROM c),
+tx AS (SELECT sum(m * (m - 1) / 2.0) AS n1 FROM (SELECT sum(n) AS m FROM c GROUP BY x) z),
+ty AS (SELECT sum(m * (m - 1) / 2.0) AS n2 FROM (SELECT sum(n) AS m FROM c GROUP BY y) z)
+SELECT '{KENDALL_PAIR[0]}' AS col_a, '{KENDALL_PAIR[1]}' AS col_b,
+       round((conc - disc) / sqrt((nn * (nn - 1) / 2.0 - n1) * (nn * (nn - 1) / 2.0 - n2)), 6) AS tau_b
+FROM s, t, tx, ty""")
+def q_corr_kendall(spark, sf_dir):
+    tau = pf.kendall_tau_b(_lineitem(spark, sf_dir), *KENDALL_PAIR)
+    return spark.createDataFrame([(KENDALL_PAIR[0], KENDALL_PAIR[1], round(tau, 6))], "col_a string, col_b string, tau_b double")
+
+
+def _bin_sql(c, table, bins=10):
+    return (f"least(floor(({c} - (SELECT min({c}) FROM {table})) * {bins} / "
+            f"((SELECT max({c}) FROM {table}) - (SELECT min({c}) FROM {table}))), {bins - 1})")
+
+
+@register("chi2_cramers_v", _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(nn * s - nn, 6) AS chi2, "
+    f"round(sqrt((nn * s - nn) / (nn * (least(kx, ky) - 1))), 6) AS cramers_v FROM ("
+    f"SELECT sum(n * n / (nx * ny)) AS s, sum(n) AS nn, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky FROM "
+    f"(SELECT x, y, count(*) AS n FROM (SELECT {_bin_sql(a, 'lineitem')} AS x, {_bin_sql(b, 'lineitem')} AS y FROM lineitem) q GROUP BY x, y) c "
+    f"JOIN (SELECT x, sum(n) AS nx FROM (SELECT {_bin_sql(a, 'lineitem')} AS x, count(*) AS n FROM lineitem GROUP BY 1) q GROUP BY x) rx USING (x) "
+    f"JOIN (SELECT y, sum(n) AS ny FROM (SELECT {_bin_sql(b, 'lineitem')} AS y, count(*) AS n FROM lineitem GROUP BY 1) q GROUP BY y) ry USING (y)) z"
+    for a, b in _pairs_of(NUM_COLS)]))
+def q_chi2(spark, sf_dir):
+    return pf.chi2_table(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
+
+
+@register("interaction_grid", _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({_bin_sql(a, 'lineitem')} AS INTEGER) AS bin_a, "
+    f"CAST({_bin_sql(b, 'lineitem')} AS INTEGER) AS bin_b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4"
+    for a, b in _pairs_of(NUM_COLS)]))
+def q_interactions(spark, sf_dir):
+    return pf.interactions(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+@register("histogram", _union([
+    f"SELECT '{c}' AS \"column\", CAST(bin AS INTEGER) AS bin, round(lo + bin * ((hi - lo) / 10), 6) AS lower, "
+    f"round(lo + (bin + 1) * ((hi - lo) / 10), 6) AS upper, count(*) AS n FROM (SELECT {_bin_sql(c, 'lineitem')} AS bin, "
+    f"(SELECT CAST(min({c}) AS DOUBLE) FROM lineitem) AS lo, (SELECT CAST(max({c}) AS DOUBLE) FROM lineitem) AS hi FROM lineitem) h "
+    f"GROUP BY bin, lo, hi" for c in NUM_COLS]))
+def q_histogram(spark, sf_dir):
+    return pf.histogram(_lineitem(spark, sf_dir), NUM_COLS)
+
+
+@register("missing_counts", _union([
+    f"SELECT '{c}' AS \"column\", count(*) - count({ident(c)}) AS n_missing, "
+    f"round(100.0 * (count(*) - count({ident(c)})) / count(*), 6) AS missing_pct FROM {PAPERS} p"
+    for c in ["paper_id"] + PROFILE_TEXT_COLS]))
+def q_missing_counts(spark, sf_dir):
+    return pf.missing_counts(papers(spark, sf_dir))
+
+
+@register("nullity_corr", "SELECT 'Abstract' AS col_a, 'DOI' AS col_b, round(corr(CAST(\"Abstract\" IS NULL AS DOUBLE), "
+          f"CAST(\"DOI\" IS NULL AS DOUBLE)), 6) AS corr FROM {PAPERS} p")
+def q_nullity_corr(spark, sf_dir):
+    return pf.nullity_correlation(papers(spark, sf_dir))
+
+
+@register("nullity_distance", _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) FILTER (WHERE ({ident(a)} IS NULL) <> ({ident(b)} IS NULL)) AS n_disagree "
+    f"FROM {PAPERS} p" for a, b in _pairs_of(["paper_id"] + PROFILE_TEXT_COLS)]))
+def q_nullity_distance(spark, sf_dir):
+    return pf.nullity_distance(papers(spark, sf_dir))
+
+
+def _text_sql(c):
+    v = ident(c)
+    return (f"SELECT '{c}' AS \"column\", CAST(sum(k) AS BIGINT) AS n, min(length(v)) AS len_min, "
+            f"round(sum(k * length(v)) / sum(k), 6) AS len_mean, max(length(v)) AS len_max, count(*) AS n_distinct, "
+            f"count(*) FILTER (WHERE k = 1) AS n_unique, "
+            f"CAST(sum(k * len(list_filter(string_split_regex(v, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS n_words, "
+            f"CAST(sum(k * length(regexp_replace(v, '[^\\p{{L}}]', '', 'g'))) AS BIGINT) AS n_letters, "
+            f"CAST(sum(k * length(regexp_replace(v, '[^\\p{{N}}]', '', 'g'))) AS BIGINT) AS n_digits, "
+            f"CAST(sum(k * length(regexp_replace(v, '[^\\s]', '', 'g'))) AS BIGINT) AS n_spaces, "
+            f"CAST(sum(k * length(regexp_replace(v, '[^\\p{{P}}]', '', 'g'))) AS BIGINT) AS n_punct "
+            f"FROM (SELECT {v} AS v, count(*) AS k FROM {PAPERS} p WHERE {v} IS NOT NULL GROUP BY {v}) g")
+
+
+@register("profile_text", _union([_text_sql(c) for c in PROFILE_TEXT_COLS]))
+def q_profile_text(spark, sf_dir):
+    return pf.text_summary(papers(spark, sf_dir), PROFILE_TEXT_COLS)
+
+
+@register("top_values", f"SELECT \"Title\" AS value, count(*) AS n FROM {PAPERS} p WHERE \"Title\" IS NOT NULL "
+          "GROUP BY \"Title\" ORDER BY n DESC, value LIMIT 10")
+def q_top_values(spark, sf_dir):
+    """E13 top-k report: the ten most frequent titles (the limit is the feature)."""
+    return pf.top_values(papers(spark, sf_dir), "Title", 10)
+
+
+@register("profile_approx_distinct")
+def q_approx_distinct(spark, sf_dir):
+    """HyperLogLog++ estimates (rows-only check; estimates differ from exact counts)."""
+    return pf.approx_distinct(_events(spark, sf_dir))
+
+
+@register("alerts")
+def q_alerts(spark, sf_dir):
+    """Alert rows derived from E2/E4/E5 over lineitem and events."""
+    return pf.alerts(_lineitem(spark, sf_dir), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).unionByName(
+        pf.alerts(_events(spark, sf_dir), ["value", "user_id"]))
