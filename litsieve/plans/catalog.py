@@ -643,3 +643,155 @@ def q_alerts(spark, sf_dir):
     """Alert rows derived from E2/E4/E5 over lineitem and events."""
     return pf.alerts(_lineitem(spark, sf_dir), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).unionByName(
         pf.alerts(_events(spark, sf_dir), ["value", "user_id"]))
+
+
+# ---------------------------------------------------------------- classification (M1-M8)
+
+from litsieve.operators import classify as cl  # noqa: E402
+from litsieve.operators import vectors as vc  # noqa: E402
+from litsieve.functions.similarity import cosine  # noqa: E402
+
+# Candidate labels for the zero-shot word-overlap scorer (function words per language).
+ZERO_SHOT = {"en": "the of and with", "fr": "le la les des et", "de": "der die das und", "es": "el los las que"}
+TOKEN_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+
+
+def _labelled(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+@register("holdout_split", "SELECT doc_id, ('0x' || substr(md5('42' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 "
+          "AS is_test FROM labels")
+def q_holdout(spark, sf_dir):
+    return read_table(spark, sf_dir, "labels").select("doc_id", cl.holdout_flag("doc_id").alias("is_test"))
+
+
+@register("tfidf", f"""WITH d AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL}) AS term FROM d) x GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM d),
+w AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term), n)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def q_tfidf(spark, sf_dir):
+    t = cl.tfidf_long(_labelled(spark, sf_dir), "doc_id", "text")
+    return t.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@register("forest_predict")
+def q_forest_predict(spark, sf_dir):
+    """M3/M4: forest on the training split of labels.quality, predictions for the hold-out rows."""
+    data = _labelled(spark, sf_dir)
+    train, test = cl.holdout_split(data, "doc_id")
+    model = cl.fit_forest(train, ["text"], "quality", num_trees=50)
+    return cl.predict(model, test.select("doc_id", "text", "quality"), ["text"]).select("doc_id", "quality", "prediction")
+
+
+def _zero_shot_sql() -> str:
+    import re
+    structs = []
+    for pos, (label, desc) in enumerate(ZERO_SHOT.items()):
+        dw = sorted(set(t.lower() for t in re.findall(r"\w{2,}", desc)))
+        structs.append(f"{{'score': len(list_intersect(w, [{', '.join(q(x) for x in dw)}])) / {float(len(dw))}, "
+                       f"'neg_pos': {-pos}, 'label': {q(label)}}}")
+    return (f"SELECT paper_id, CASE WHEN b.score > 0 THEN b.label ELSE 'Unknown' END AS prediction FROM "
+            f"(SELECT paper_id, list_max([{', '.join(structs)}]) AS b FROM (SELECT paper_id, "
+            f"list_distinct(regexp_extract_all(lower({search_sql(TEXT_COLS, lower=False)}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w "
+            f"FROM {PAPERS} p) x) y")
+
+
+@register("zero_shot_overlap", _zero_shot_sql())
+def q_zero_shot(spark, sf_dir):
+    return cl.zero_shot_overlap(papers(spark, sf_dir), TEXT_COLS, ZERO_SHOT).select("paper_id", "prediction")
+
+
+@register("classification_metrics", f"""WITH pr AS (SELECT z.prediction AS pred, p.lang AS label FROM ({_zero_shot_sql()}) z
+  JOIN {PAPERS} p USING (paper_id)),
+c AS (SELECT label, pred, count(*) AS n FROM pr GROUP BY label, pred),
+s AS (SELECT label, sum(n) AS support FROM c GROUP BY label),
+pp AS (SELECT pred AS label, sum(n) AS n_pred FROM c GROUP BY pred),
+tp AS (SELECT label, n AS tp FROM c WHERE label = pred),
+m AS (SELECT coalesce(s.label, pp.label) AS label, coalesce(support, 0) AS support, coalesce(n_pred, 0) AS n_pred
+      FROM s FULL JOIN pp ON s.label = pp.label)
+SELECT m.label, CAST(support AS BIGINT) AS support,
+  round(coalesce(coalesce(tp, 0) / nullif(n_pred, 0), 0), 6) AS precision,
+  round(coalesce(coalesce(tp, 0) / nullif(support, 0), 0), 6) AS recall,
+  round(coalesce(2 * (coalesce(tp, 0) / nullif(n_pred, 0)) * (coalesce(tp, 0) / nullif(support, 0)) /
+        nullif(coalesce(tp, 0) / nullif(n_pred, 0) + coalesce(tp, 0) / nullif(support, 0), 0), 0), 6) AS f1
+FROM m LEFT JOIN tp ON tp.label = m.label""")
+def q_classification_metrics(spark, sf_dir):
+    pred = cl.zero_shot_overlap(papers(spark, sf_dir), TEXT_COLS, ZERO_SHOT)
+    per, _ = cl.evaluate(pred, "lang", "prediction")
+    return per
+
+
+@register("classification_accuracy", f"SELECT round(count(*) FILTER (WHERE z.prediction = p.lang) / count(*), 6) AS accuracy, "
+          f"count(*) AS n FROM ({_zero_shot_sql()}) z JOIN {PAPERS} p USING (paper_id)")
+def q_classification_accuracy(spark, sf_dir):
+    pred = cl.zero_shot_overlap(papers(spark, sf_dir), TEXT_COLS, ZERO_SHOT)
+    return cl.evaluate(pred, "lang", "prediction")[1]
+
+
+@register("prediction_counts", f"SELECT prediction AS value, count(*) AS n FROM ({_zero_shot_sql()}) z GROUP BY prediction")
+def q_prediction_counts(spark, sf_dir):
+    pred = cl.zero_shot_overlap(papers(spark, sf_dir), TEXT_COLS, ZERO_SHOT)
+    return sm.value_counts(pred, "prediction")
+
+
+# ---------------------------------------------------------------- vectors (V1-V6)
+
+def _embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+CENTROIDS_SQL = ("SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM "
+                 "(SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) e "
+                 "GROUP BY label, pos) g GROUP BY label")
+COS_SQL = ("list_dot_product(CAST(e.embedding AS DOUBLE[]), c.c) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), "
+           "CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.c, c.c)))")
+
+
+def _seeds(spark, sf_dir):
+    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").collect()  # one row per label
+    return {f"seed {r['label']}": r["centroid"] for r in sorted(cents, key=lambda r: r["label"])}
+
+
+@register("cosine_pairs", f"SELECT e.vec_id, round({COS_SQL}, 6) AS cosine FROM embeddings e JOIN ({CENTROIDS_SQL}) c USING (label)")
+def q_cosine_pairs(spark, sf_dir):
+    """V2: cosine of every vector with its own label's centroid (equi-join on the label)."""
+    emb = _embeddings(spark, sf_dir)
+    cents = vc.centroids(emb, "embedding", "label")
+    return emb.join(cents, "label").select("vec_id", F.round(cosine("embedding", "centroid"), 6).alias("cosine"))
+
+
+@register("seed_assignment", f"SELECT vec_id, arg_max('seed ' || CAST(c.label AS VARCHAR), {COS_SQL}) AS cluster, "
+          f"round(max({COS_SQL}), 6) AS similarity FROM embeddings e, ({CENTROIDS_SQL}) c GROUP BY vec_id")
+def q_seed_assignment(spark, sf_dir):
+    out = vc.assign_to_seeds(_embeddings(spark, sf_dir), "embedding", _seeds(spark, sf_dir))
+    return out.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"))
+
+
+@register("cluster_purity", "SELECT round(sum(m) / sum(t), 6) AS purity, count(*) AS n_clusters FROM (SELECT cluster, "
+          "max(n) AS m, sum(n) AS t FROM (SELECT cluster, label, count(*) AS n FROM (SELECT e.vec_id, e.label, "
+          f"arg_max('seed ' || CAST(c.label AS VARCHAR), {COS_SQL}) AS cluster FROM embeddings e, ({CENTROIDS_SQL}) c "
+          "GROUP BY e.vec_id, e.label) a GROUP BY cluster, label) b GROUP BY cluster) z")
+def q_cluster_purity(spark, sf_dir):
+    out = vc.assign_to_seeds(_embeddings(spark, sf_dir), "embedding", _seeds(spark, sf_dir))
+    return vc.purity(out, "cluster", "label")
+
+
+@register("kmeans_cosine")
+def q_kmeans(spark, sf_dir):
+    return vc.kmeans_cosine(_embeddings(spark, sf_dir), "embedding", k=10).select("vec_id", "label", "cluster")
+
+
+@register("cluster_average_linkage")
+def q_average_linkage(spark, sf_dir):
+    return vc.average_linkage(_embeddings(spark, sf_dir), "embedding", "vec_id", k=10).select(
+        "vec_id", "label", "cluster", "pre_grouped")
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    """V1: default offline encoder (hashed TF-IDF, 256 dims) over every paper's whole text."""
+    p = papers(spark, sf_dir).withColumn("text", _search_text(TEXT_COLS))
+    return vc.embed(p, "text", dim=256).select("paper_id", "embedding")
