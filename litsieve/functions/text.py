@@ -42,9 +42,21 @@ def norm_key(c) -> Column:
     return py_strip(F.lower(col_of(c).cast("string")))
 
 
+_WS = "\t\n\u000b\f\r"
+
+
+def words(c, lower: bool = True) -> Column:
+    """Whitespace-separated words (the \\s class: blank, tab, newline, VT, FF, CR), no empties.
+
+    Whitespace is first mapped to blanks so the split runs on a single literal character,
+    which avoids the regex engine."""
+    x = F.lower(col_of(c)) if lower else col_of(c)
+    return F.filter(F.split(F.translate(x, _WS, " " * len(_WS)), " "), lambda w: w != F.lit(""))
+
+
 def word_set(c) -> Column:
     """P20: distinct lower-cased whitespace words."""
-    return F.array_distinct(F.filter(F.split(F.lower(col_of(c)), r"\s+"), lambda x: x != F.lit("")))
+    return F.array_distinct(words(c))
 
 
 def padded_contains(text, term: str) -> Column:

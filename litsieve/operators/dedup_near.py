@@ -21,6 +21,7 @@ from litsieve.functions.text import match_key, percent, search_text, word_set
 from litsieve.operators.fuzzy import edit_pairs
 from litsieve.operators.setsim import jaccard_pairs, lsh_pairs
 from litsieve.operators.survivors import greedy_removed
+from litsieve.session import cut_lineage
 
 PRESETS = {"conservative": 95, "balanced": 90, "aggressive": 85}
 
@@ -91,7 +92,7 @@ def near_pairs(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
 
 def near_dedup(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     """Keep the earliest row of every near-duplicate run (greedy), drop the rest."""
-    reps = near_items(df, cfg)
+    reps = cut_lineage(near_items(df, cfg))  # feeds the join, the verification and the survivors
     live = reps.filter("matchable")
     pairs = lsh_pairs(live, cfg.threshold, cfg.bands, cfg.rows) if cfg.method == "lsh" \
         else jaccard_pairs(live, cfg.threshold)
@@ -115,7 +116,7 @@ def fuzzy_pairs(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 
 def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """Greedy fuzzy de-duplication with keep first / last / none."""
-    reps = fuzzy_items(df, cfg)
+    reps = cut_lineage(fuzzy_items(df, cfg))
     pairs = edit_pairs(reps.filter("matchable"), cfg.threshold)
     return _survivors(df, reps, pairs, cfg.keep, cfg.id_col)
 
@@ -126,8 +127,8 @@ def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> Dat
     words = word_set(search_text(cfg.columns[:1]))
     key = fuzzy_key(cfg.columns)
     group = F.concat_ws("\u0001", F.array_join(F.array_sort(words), " "), key)
-    reps = _representatives(df, cfg.id_col, group, {"words": words, "key": key}, cfg.keep,
-                            (F.size(words) > 0) & (F.length(key) > 0))
+    reps = cut_lineage(_representatives(df, cfg.id_col, group, {"words": words, "key": key}, cfg.keep,
+                                        (F.size(words) > 0) & (F.length(key) > 0)))
     live = reps.filter("matchable")
     cand = jaccard_pairs(live, cfg.near_threshold)
     ka = live.select(F.col("id").alias("id_a"), F.col("key").alias("ka"))

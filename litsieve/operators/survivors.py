@@ -13,6 +13,7 @@ sequential scan.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +31,21 @@ def orient(edges: DataFrame, keep: str = "first") -> DataFrame:
     raise ValueError("orient needs keep='first' or 'last'")
 
 
-def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_000) -> DataFrame:
+def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_000,
+                   checkpoint_every: int = 4) -> DataFrame:
     """Ids removed by the greedy scan over an undirected edge list (a, b).
 
-    keep='none' removes every row that has any neighbour.
+    keep='none' removes every row that has any neighbour. Round state is persisted (memory and
+    disk) and cut with a reliable checkpoint every ``checkpoint_every`` rounds, so lineage stays
+    short and a lost executor costs at most that many rounds of recomputation.
     """
     if keep == "none":
         return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     e = cut_lineage(orient(edges, keep))
     nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
     state = cut_lineage(nodes.withColumn("st", F.lit(UNDECIDED)))
-    for _ in range(max_rounds):
+    held = []
+    for rnd in range(1, max_rounds + 1):
         src_st = state.select(F.col("id").alias("src"), F.col("st").alias("s_st"))
         dst_st = state.select(F.col("id").alias("dst"), F.col("st").alias("d_st"))
         live = e.join(src_st, "src").join(dst_st, "dst").filter(F.col("d_st") == UNDECIDED)
@@ -53,8 +58,15 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
                        .when(F.coalesce(F.col("has_undecided"), F.lit(0)) == 1, F.lit(UNDECIDED))
                        .otherwise(F.lit(KEPT)).alias("st")))
         # edges still able to matter: both ends undecided at the start of this round
-        e = cut_lineage(live.filter(F.col("s_st") == UNDECIDED).select("src", "dst"))
-        state = cut_lineage(nxt)
+        nxt_e = live.filter(F.col("s_st") == UNDECIDED).select("src", "dst")
+        if rnd % checkpoint_every == 0:
+            e, state = cut_lineage(nxt_e), cut_lineage(nxt)
+            for h in held:
+                h.unpersist()
+            held = []
+        else:
+            e, state = nxt_e.persist(StorageLevel.MEMORY_AND_DISK), nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            held += [e, state]
         if state.filter(F.col("st") == UNDECIDED).isEmpty():
             break
     else:

@@ -795,3 +795,47 @@ def q_embed_text(spark, sf_dir):
     """V1: default offline encoder (hashed TF-IDF, 256 dims) over every paper's whole text."""
     p = papers(spark, sf_dir).withColumn("text", _search_text(TEXT_COLS))
     return vc.embed(p, "text", dim=256).select("paper_id", "embedding")
+
+
+# ---------------------------------------------------------------- pipeline (A1, A2)
+
+from litsieve.plans import pipeline as pl  # noqa: E402
+
+
+def _pipeline_sql() -> str:
+    kept = f"SELECT paper_id FROM ({q_combined_dedup_sql}) d"
+    c1 = f"SELECT * FROM ({_c1_sql()}) c WHERE paper_id IN ({kept})"
+    c4 = f"SELECT * FROM ({_c4_sql()}) c WHERE paper_id IN (SELECT paper_id FROM ({c1}) m WHERE primary_category <> 'Uncategorized')"
+    n_sec = len(lx.SECONDARY.entries)
+    return f"""SELECT 2 AS stage, 'Duplicate removal' AS action, 'Combined (MinHash + Fuzzy)' AS method,
+  (SELECT count(*) FROM documents) AS original_count, (SELECT count(*) FROM ({kept}) k) AS remaining_count,
+  (SELECT count(*) FROM documents) - (SELECT count(*) FROM ({kept}) k) AS removed_count,
+  round(100.0 * ((SELECT count(*) FROM documents) - (SELECT count(*) FROM ({kept}) k)) / (SELECT count(*) FROM documents), 1) AS removed_pct
+UNION ALL BY NAME
+SELECT 3 AS stage, 'Primary categorization' AS action, 'Standalone Exact-Match' AS method,
+  count(*) FILTER (WHERE primary_category <> 'Uncategorized') AS matched_count,
+  count(*) FILTER (WHERE primary_category = 'Uncategorized') AS unmatched_count,
+  count(DISTINCT primary_category) FILTER (WHERE primary_category <> 'Uncategorized') AS categories_created FROM ({c1}) a
+UNION ALL BY NAME
+SELECT 4 AS stage, 'Secondary categorization' AS action, CAST(NULL AS VARCHAR) AS method,
+  count(*) FILTER (WHERE secondary_category IS NOT NULL) AS matched_count,
+  count(*) FILTER (WHERE secondary_category IS NULL) AS unmatched_count, CAST({n_sec} AS BIGINT) AS categories_created FROM ({c4}) b
+UNION ALL BY NAME
+SELECT 5 AS stage, 'Manual analysis' AS action, {q(', '.join(lx.DIMENSION_LEXICONS))} AS dimensions"""
+
+
+q_combined_dedup_sql = ORACLE["combined_dedup"]
+
+
+@register("pipeline_summary", _pipeline_sql())
+def q_pipeline_summary(spark, sf_dir):
+    """A1/A2: the audit table of the default pipeline run (combined de-dup, then C1, C4, C5)."""
+    return pl.run_pipeline(papers(spark, sf_dir)).summary
+
+
+@register("pipeline_default")
+def q_pipeline_default(spark, sf_dir):
+    """A2: the processed papers of the default pipeline, with all stage columns."""
+    res = pl.run_pipeline(papers(spark, sf_dir))
+    return res.processed.select("paper_id", "primary_category", "secondary_category", "secondary_keywords",
+                                *lx.DIMENSION_LEXICONS)

@@ -1,15 +1,104 @@
-"""Stage composition (A2) and the flagship query."""
+"""Stage composition (A1, A2) and the flagship query.
+
+``run_pipeline`` chains the screening stages lazily: de-duplication -> primary categories ->
+secondary categories -> dimension tags. As in the reference, each stage continues with the
+rows the previous stage matched; unlike it (B13), every stage's unmatched rows are kept,
+tagged with the stage number. The audit table is built from per-stage Spark aggregates.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from litsieve.functions.lexicon import Lexicon
 from litsieve.operators import categorize as cz
 from litsieve.operators import dedup_exact as dx
+from litsieve.operators import dedup_near as dn
+from litsieve.operators.summary import pipeline_summary
 from litsieve.plans import lexicons as lx
 from litsieve.schema import papers_view
 from litsieve.session import read_table
 
+DEDUP_METHODS = {
+    "exact": "Strict exact matching",
+    "fuzzy": "Fuzzy matching",
+    "near": "Near (MinHash 0.85)",
+    "combined": "Combined (MinHash + Fuzzy)",
+}
+
+
+@dataclass
+class PipelineConfig:
+    dedup: str = "combined"
+    dedup_columns: tuple[str, ...] = ("Title", "DOI")
+    keep: str = "first"
+    fuzzy_threshold: float = 90
+    text_columns: tuple[str, ...] = ("Title", "Abstract")
+    core: Lexicon = lx.CORE
+    additional: Lexicon = lx.ADDITIONAL
+    secondary: Lexicon = lx.SECONDARY
+    dimensions: dict = field(default_factory=lambda: dict(lx.DIMENSION_LEXICONS))
+
+
+@dataclass
+class PipelineResult:
+    processed: DataFrame
+    unmatched: DataFrame
+    summary: DataFrame
+    stages: dict
+
+
+def _dedup(papers: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    cols = cfg.dedup_columns
+    if cfg.dedup == "exact":
+        return dx.exact_dedup(papers, dx.ExactConfig(subset=cols, keep=cfg.keep))
+    if cfg.dedup == "fuzzy":
+        return dn.fuzzy_dedup(papers, dn.FuzzyConfig(columns=cols, threshold=cfg.fuzzy_threshold, keep=cfg.keep))
+    if cfg.dedup == "near":
+        return dn.near_dedup(papers, dn.NearConfig(text_cols=cols, keep=cfg.keep))
+    if cfg.dedup == "combined":
+        return dn.combined_dedup(papers, dn.CombinedConfig(columns=cols, keep=cfg.keep,
+                                                          fuzzy_threshold=cfg.fuzzy_threshold))
+    raise ValueError(f"unknown de-duplication method {cfg.dedup!r}")
+
+
+def _split_audit(df: DataFrame, matched, stage: int, action: str, method: str | None, categories) -> DataFrame:
+    m = F.coalesce(matched, F.lit(False))
+    return df.agg(F.count_if(m).alias("matched_count"), F.count_if(~m).alias("unmatched_count"),
+                  categories.alias("categories_created")).select(
+        F.lit(stage).alias("stage"), F.lit(action).alias("action"), F.lit(method).cast("string").alias("method"),
+        "matched_count", "unmatched_count", F.col("categories_created").cast("long").alias("categories_created"))
+
+
+def run_pipeline(papers: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> PipelineResult:
+    """A2: all stages in order; each later stage reads the earlier one's matched rows."""
+    unique = _dedup(papers, cfg)
+    audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup])]
+
+    primary = cz.phrase_labels(unique, cfg.text_columns, cfg.core, cfg.additional)
+    p_match, p_un = cz.split_matched(primary, "primary_category")
+    is_cat = F.col("primary_category") != F.lit(cz.UNCATEGORIZED)
+    audits.append(_split_audit(primary, is_cat, 3, "Primary categorization", "Standalone Exact-Match",
+                               F.count_distinct(F.when(is_cat, F.col("primary_category")))))
+
+    text_cols = [f.name for f in papers.schema.fields if f.dataType.simpleString() == "string"]
+    secondary = cz.substring_category(p_match, cfg.secondary, text_cols=text_cols)
+    s_match, s_un = cz.split_matched(secondary, "secondary_category", None)
+    audits.append(_split_audit(secondary, F.col("secondary_category").isNotNull(), 4, "Secondary categorization",
+                               None, F.lit(len(cfg.secondary.entries))))
+
+    final = cz.tag_dimensions(s_match, cfg.dimensions, text_cols=text_cols)
+    audits.append(papers.sparkSession.createDataFrame(
+        [(5, "Manual analysis", ", ".join(cfg.dimensions))], "stage int, action string, dimensions string"))
+
+    unmatched = (p_un.withColumn("unmatched_stage", F.lit(3))
+                 .unionByName(s_un.withColumn("unmatched_stage", F.lit(4)), allowMissingColumns=True))
+    return PipelineResult(processed=final, unmatched=unmatched, summary=pipeline_summary(audits),
+                          stages={"dedup": unique, "primary": primary, "secondary": secondary})
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper view -> exact de-dup on Title/DOI/Abstract (keep first) -> phrase labels -> counts."""
