@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -73,7 +74,10 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined malformed records)."""
     if CORRUPT not in df.columns:
         return df, df.limit(0)
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # Spark refuses queries that read only the corrupt-record column of a raw file, so the
+    # parsed batch is persisted once and both splits are taken from it.
+    parsed = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.filter(F.col(CORRUPT).isNotNull())
 
 
 def read_pubmed(spark: SparkSession, path: str, with_quarantine: bool = False):
