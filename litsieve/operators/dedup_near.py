@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.functions.similarity import bounded_ratio
+from litsieve.functions.similarity import bounded_ratio, token_set_ratio
 from litsieve.functions.text import match_key, percent, search_text, word_set
 from litsieve.operators.fuzzy import edit_pairs
 from litsieve.operators.setsim import jaccard_pairs, lsh_pairs
@@ -52,6 +52,7 @@ class CombinedConfig:
     fuzzy_threshold: float = 90
     keep: str = "first"
     id_col: str = "paper_id"
+    scorer: str = "ratio"  # 'ratio' (edit distance) or 'token_set' (D14)
 
 
 def _representatives(df: DataFrame, id_col: str, group_key: Column, payload: dict[str, Column], keep: str,
@@ -133,8 +134,15 @@ def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> Dat
     cand = jaccard_pairs(live, cfg.near_threshold)
     ka = live.select(F.col("id").alias("id_a"), F.col("key").alias("ka"))
     kb = live.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
+    if cfg.scorer == "ratio":
+        score = bounded_ratio("ka", "kb", cfg.fuzzy_threshold)
+    elif cfg.scorer == "token_set":
+        ts = token_set_ratio("ka", "kb")
+        score = F.when(ts >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9), ts)
+    else:
+        raise ValueError("scorer must be 'ratio' or 'token_set'")
     verified = (cand.join(ka, "id_a").join(kb, "id_b")
-                .select("id_a", "id_b", "jaccard", bounded_ratio("ka", "kb", cfg.fuzzy_threshold).alias("score"))
+                .select("id_a", "id_b", "jaccard", score.alias("score"))
                 .filter(F.col("score").isNotNull()))
     return reps, verified
 

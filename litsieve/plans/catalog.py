@@ -415,6 +415,29 @@ def _combined_sql(keep="first"):
     return reps, verified
 
 
+def _ratio_sql(x: str, y: str) -> str:
+    return (f"CASE WHEN greatest(length({x}), length({y})) = 0 THEN 0.0 ELSE "
+            f"100.0 * (1 - {char_levenshtein(x, y)} / greatest(length({x}), length({y}))) END")
+
+
+def _token_set_pairs_sql() -> str:
+    reps, _ = _combined_sql()
+    live = f"SELECT * FROM ({reps}) r WHERE len(ws) > 0 AND length(k) > 0"
+    cand = _jaccard_pairs_sql(live, 0.85)
+    tw = "list_sort(list_distinct(list_filter(string_split_regex({k}, '\\s+'), lambda x: x <> '')))"
+    parts = (f"SELECT c.id_a, c.id_b, c.jaccard, {tw.format(k='a.k')} AS wa, {tw.format(k='b.k')} AS wb "
+             f"FROM ({cand}) c JOIN ({live}) a ON a.id = c.id_a JOIN ({live}) b ON b.id = c.id_b")
+    sets = ("SELECT id_a, id_b, jaccard, array_to_string(list_sort(list_intersect(wa, wb)), ' ') AS t0, "
+            "len(list_intersect(wa, wb)) AS nc, list_filter(wa, lambda x: NOT list_contains(wb, x)) AS ra, "
+            f"list_filter(wb, lambda x: NOT list_contains(wa, x)) AS rb FROM ({parts}) p")
+    strs = ("SELECT id_a, id_b, jaccard, nc, len(ra) AS na, len(rb) AS nb, t0, "
+            "trim(concat_ws(' ', t0, array_to_string(ra, ' '))) AS t1, "
+            f"trim(concat_ws(' ', t0, array_to_string(rb, ' '))) AS t2 FROM ({sets}) s")
+    score = (f"CASE WHEN nc > 0 AND (na = 0 OR nb = 0) THEN 100.0 ELSE greatest({_ratio_sql('t0', 't1')}, "
+             f"{_ratio_sql('t0', 't2')}, {_ratio_sql('t1', 't2')}) END")
+    return f"SELECT id_a, id_b, jaccard, score FROM (SELECT *, {score} AS score FROM ({strs}) x) y WHERE score >= 90 - 1e-9"
+
+
 @register("combined_pairs", _combined_sql()[1])
 def q_combined_pairs(spark, sf_dir):
     _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS))
@@ -839,3 +862,10 @@ def q_pipeline_default(spark, sf_dir):
     res = pl.run_pipeline(papers(spark, sf_dir))
     return res.processed.select("paper_id", "primary_category", "secondary_category", "secondary_keywords",
                                 *lx.DIMENSION_LEXICONS)
+
+
+@register("combined_pairs_token_set", _token_set_pairs_sql())
+def q_combined_pairs_token_set(spark, sf_dir):
+    """Near-duplicate candidates verified with the token-set scorer instead of the ratio."""
+    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, scorer="token_set"))
+    return verified
