@@ -1,8 +1,9 @@
 """Exact de-duplication.
 
-Keep-first / keep-last are ``min_by`` / ``max_by`` aggregations on the normalised keys, not
-windows: the aggregate is combined map-side, so a key that holds a third of all rows sends one
-row per map task through the shuffle instead of landing whole in one window task.
+Keep-first / keep-last are hash aggregates (min / max id) over a fixed-size digest of the
+normalised keys, followed by a semi join on the unique id; not windows. The aggregate is
+combined map-side, so a key that holds a third of all rows sends one row per map task through
+the shuffle instead of landing whole in one window task, and long text keys are never shuffled.
 """
 
 from __future__ import annotations
@@ -58,59 +59,75 @@ def key_columns(df: DataFrame, cfg: ExactConfig) -> list[Column]:
     return keys
 
 
-def _with_keys(df: DataFrame, cfg: ExactConfig) -> tuple[DataFrame, list[str]]:
-    keys = key_columns(df, cfg)
-    keyed = df.select(*keys, F.struct(*[F.col(c) for c in df.columns]).alias("__row"),
-                      F.struct(*[F.col(c) for c in cfg.order_by], F.col(cfg.id_col)).alias("__ord"))
-    return keyed, [k for k in keyed.columns if k.startswith("__k")]
+def key_digest(df: DataFrame, cfg: ExactConfig) -> Column:
+    """One fixed-size group key: SHA-256 of the JSON array of the normalised key values.
+
+    Grouping and shuffling 32 bytes instead of whole texts; JSON keeps NULL distinct from ''
+    and the separators unambiguous.
+    """
+    keys = [k.cast("string") for k in key_columns(df, cfg)]
+    return F.sha2(F.to_json(F.array(*keys)), 256)
 
 
-def exact_dedup(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
-    """Rows kept under the keep rule, original columns only."""
+def _by_id_only(cfg: ExactConfig) -> bool:
+    return tuple(cfg.order_by) == (cfg.id_col,)
+
+
+def kept_ids(df: DataFrame, cfg: ExactConfig) -> DataFrame:
+    """Ids of the rows the keep rule retains (one hash aggregate over (digest, id))."""
     _check(cfg)
-    keyed, names = _with_keys(df, cfg)
-    grouped = keyed.groupBy(*names)
-    if cfg.keep == "first":
-        kept = grouped.agg(F.min_by("__row", "__ord").alias("__row"))
-    elif cfg.keep == "last":
-        kept = grouped.agg(F.max_by("__row", "__ord").alias("__row"))
+    keyed = df.select(key_digest(df, cfg).alias("__h"), F.col(cfg.id_col),
+                      F.struct(*[F.col(c) for c in cfg.order_by], F.col(cfg.id_col)).alias("__ord"))
+    grouped = keyed.groupBy("__h")
+    if cfg.keep == "none":
+        return grouped.agg(F.count(F.lit(1)).alias("__n"), F.min(cfg.id_col).alias(cfg.id_col)) \
+            .filter("__n = 1").select(cfg.id_col)
+    if _by_id_only(cfg):  # plain min/max of a long: hash aggregate, combined map-side
+        agg = F.min(cfg.id_col) if cfg.keep == "first" else F.max(cfg.id_col)
     else:
-        kept = grouped.agg(F.count(F.lit(1)).alias("__n"), F.any_value("__row").alias("__row")).filter("__n = 1")
-    return kept.select("__row.*")
+        pick = F.min_by if cfg.keep == "first" else F.max_by
+        agg = pick(F.col(cfg.id_col), F.col("__ord"))
+    return grouped.agg(agg.alias(cfg.id_col))
+
+
+def exact_dedup(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
+    """Rows kept under the keep rule, original columns only.
+
+    Plan: hash aggregate of (key digest, id) -> kept ids -> semi join on the unique id. A key
+    holding a third of all rows collapses map-side; the join key (id) is uniform.
+    """
+    return df.join(kept_ids(df, cfg).hint("shuffle_hash"), cfg.id_col, "left_semi")
 
 
 def duplicate_rows(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
     """The rows the keep rule removes (anti join on the unique id, no key skew)."""
-    kept_ids = exact_dedup(df, cfg).select(cfg.id_col)
-    return df.join(kept_ids, cfg.id_col, "left_anti")
+    return df.join(kept_ids(df, cfg).hint("shuffle_hash"), cfg.id_col, "left_anti")
 
 
 def duplicate_flags(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
     """Every row with ``dup_group`` (smallest id of its key), ``group_size`` and ``is_duplicate``.
 
-    The per-key aggregate is combined map-side; the join back on the keys is left to AQE's
-    skew-join splitting when one key dominates.
+    Per-key facts come from one aggregate over (digest, id); they are attached to the narrow
+    (id, digest) table, where a hot digest only moves 40-byte rows (and AQE splits the skewed
+    partition), and then joined to the full rows on the uniform id.
     """
     _check(cfg)
-    keys = key_columns(df, cfg)
-    keyed = df.select("*", *keys)
-    names = [k for k in keyed.columns if k.startswith("__k")]
     order = F.struct(*[F.col(c) for c in cfg.order_by], F.col(cfg.id_col))
-    per_key = keyed.groupBy(*names).agg(
+    ids = df.select(F.col(cfg.id_col), key_digest(df, cfg).alias("__h"), order.alias("__ord"))
+    per_key = ids.groupBy("__h").agg(
         F.min(cfg.id_col).alias("dup_group"),
         F.count(F.lit(1)).alias("group_size"),
-        F.min_by(F.col(cfg.id_col), order).alias("__first"),
-        F.max_by(F.col(cfg.id_col), order).alias("__last"),
+        (F.min(cfg.id_col) if _by_id_only(cfg) else F.min_by(F.col(cfg.id_col), F.col("__ord"))).alias("__first"),
+        (F.max(cfg.id_col) if _by_id_only(cfg) else F.max_by(F.col(cfg.id_col), F.col("__ord"))).alias("__last"),
     )
-    cond = [keyed[n].eqNullSafe(per_key[n]) for n in names]
-    joined = keyed.join(per_key, cond, "inner")
     if cfg.keep == "first":
         dup = F.col(cfg.id_col) != F.col("__first")
     elif cfg.keep == "last":
         dup = F.col(cfg.id_col) != F.col("__last")
     else:
         dup = F.col("group_size") > 1
-    return joined.select(*[keyed[c] for c in df.columns], "dup_group", "group_size", dup.alias("is_duplicate"))
+    facts = ids.join(per_key, "__h").select(cfg.id_col, "dup_group", "group_size", dup.alias("is_duplicate"))
+    return df.join(facts, cfg.id_col)
 
 
 def dedup_audit(flags: DataFrame, method: str) -> DataFrame:

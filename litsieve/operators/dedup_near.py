@@ -59,14 +59,17 @@ def _representatives(df: DataFrame, id_col: str, group_key: Column, payload: dic
                      matchable: Column) -> DataFrame:
     """One row per identical group: rep id (first in scan order), group size, payload.
 
+    Groups are formed on a SHA-256 digest of the group key (hash aggregate, combined map-side);
+    the payload is then computed only for the representative rows, joined on the unique id.
     Rows that cannot match anything (``matchable`` false) stay singletons.
     """
     rep_id = F.min(id_col) if keep in ("first", "none") else F.max(id_col)
     key = F.when(matchable, group_key).otherwise(F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-    cols = [F.col(id_col), key.alias("__gk"), matchable.alias("__m")] + [c.alias(n) for n, c in payload.items()]
-    return (df.select(*cols).groupBy("__gk")
-            .agg(rep_id.alias("id"), F.count(F.lit(1)).alias("group_size"), F.first("__m").alias("matchable"),
-                 *[F.first(n).alias(n) for n in payload]))
+    groups = (df.select(F.col(id_col), F.sha2(key, 256).alias("__gk")).groupBy("__gk")
+              .agg(rep_id.alias(id_col), F.count(F.lit(1)).alias("group_size")))
+    reps = df.join(groups.select(id_col, "group_size").hint("shuffle_hash"), id_col)
+    return reps.select(F.col(id_col).alias("id"), "group_size", matchable.alias("matchable"),
+                       *[c.alias(n) for n, c in payload.items()])
 
 
 def _survivors(df: DataFrame, reps: DataFrame, edges: DataFrame, keep: str, id_col: str) -> DataFrame:
