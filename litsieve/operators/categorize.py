@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.constants import DEFAULT_MIN_SCORE, LABEL_SEPARATOR, PAIR_SEPARATOR, UNCATEGORIZED, UNKNOWN
 from litsieve.functions.columns import string_columns
 from litsieve.functions.lexicon import Lexicon
 from litsieve.functions.text import alternation, padded_contains, search_text
 
-UNCATEGORIZED = "Uncategorized"
 MAX_LITERAL_TERMS = 512
 
 
@@ -47,7 +47,7 @@ def phrase_labels(df: DataFrame, text_cols, core: Lexicon, additional: Lexicon |
     tmp = "__search"
     with_text = df.withColumn(tmp, search_text(text_cols, lower=True))
     hits = F.array_sort(_phrase_hits(tmp, lex))
-    label = F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.lit(UNCATEGORIZED))
+    label = F.when(F.size(hits) > 0, F.array_join(hits, LABEL_SEPARATOR)).otherwise(F.lit(UNCATEGORIZED))
     return with_text.withColumn(out_col, label).drop(tmp)
 
 
@@ -68,7 +68,7 @@ def phrase_labels_join(df: DataFrame, text_cols, lexicon: Lexicon, out_col: str
     ).select(id_col, F.explode("__g").alias("phrase")).distinct()
     small = F.broadcast(lex_df) if len(rows) <= 100_000 else lex_df
     hits = grams.join(small, "phrase").groupBy(id_col).agg(
-        F.array_join(F.array_sort(F.collect_set("category")), ", ").alias(out_col))
+        F.array_join(F.array_sort(F.collect_set("category")), LABEL_SEPARATOR).alias(out_col))
     return df.join(hits, id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(UNCATEGORIZED)))
 
 
@@ -84,7 +84,7 @@ def _variant_hits(padded_text: str, variants) -> Column:
     return F.array_compact(F.array(*[F.when(padded_contains(padded_text, v.lower()), F.lit(v)) for v in variants]))
 
 
-def scored_keywords(df: DataFrame, text_cols, lexicon: Lexicon, min_score: float = 0.5,
+def scored_keywords(df: DataFrame, text_cols, lexicon: Lexicon, min_score: float = DEFAULT_MIN_SCORE,
                     strategy: str = "best", out_col: str = "primary_category") -> DataFrame:
     """Score of a category = share of its variants found as whole phrases.
 
@@ -128,9 +128,9 @@ def paired_labels(df: DataFrame, text_cols, core: Lexicon, additional: Lexicon,
     out = df.withColumn(tmp, search_text(text_cols, lower=True))
     core_hits = _phrase_hits(tmp, core)
     add_hits = _phrase_hits(tmp, additional)
-    pairs = F.flatten(F.transform(core_hits, lambda c: F.transform(add_hits, lambda a: F.concat(c, F.lit(" + "), a))))
-    label = (F.when(F.size(pairs) > 0, F.array_join(F.array_sort(pairs), ", "))
-             .when(F.size(core_hits) > 0, F.array_join(F.array_sort(core_hits), ", "))
+    pairs = F.flatten(F.transform(core_hits, lambda c: F.transform(add_hits, lambda a: F.concat(c, F.lit(PAIR_SEPARATOR), a))))
+    label = (F.when(F.size(pairs) > 0, F.array_join(F.array_sort(pairs), LABEL_SEPARATOR))
+             .when(F.size(core_hits) > 0, F.array_join(F.array_sort(core_hits), LABEL_SEPARATOR))
              .otherwise(F.lit(UNCATEGORIZED)))
     return out.withColumn(out_col, label).drop(tmp)
 
@@ -171,7 +171,7 @@ def tag_dimensions(df: DataFrame, dimensions: dict[str, Lexicon], text_cols=None
     tmp = "__search"
     out = df.withColumn(tmp, search_text(cols, lower=True))
     for dim, lex in dimensions.items():
-        expr = F.lit("Unknown")
+        expr = F.lit(UNKNOWN)
         for cat, vs in lex.entries:
             terms = [v.lower() for v in vs if v]
             if not terms:
@@ -195,7 +195,7 @@ def split_matched(df: DataFrame, category_col: str, unmatched_value: str | None
 
 def label_counts(df: DataFrame, label_col: str = "primary_category") -> DataFrame:
     """Papers per single category of a ', '-joined multi-label column."""
-    return (df.select(F.explode(F.split(F.col(label_col), ", ")).alias("category"))
+    return (df.select(F.explode(F.split(F.col(label_col), LABEL_SEPARATOR)).alias("category"))
             .groupBy("category").agg(F.count(F.lit(1)).alias("n_papers")))
 
 

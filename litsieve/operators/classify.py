@@ -15,20 +15,21 @@ from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, Normalizer,
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.constants import DEFAULT_TEST_PCT, DEFAULT_TREES, RANDOM_SEED, TEST_PCT_RANGE, TREES_RANGE, UNKNOWN
 from litsieve.functions.text import search_text
 
 # Words of at least two word characters, lower-cased: maximal runs of letters/digits/underscore.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def holdout_flag(id_col, test_pct: int = 20, seed: int = 42):
+def holdout_flag(id_col, test_pct: int = DEFAULT_TEST_PCT, seed: int = RANDOM_SEED):
     """M1: deterministic hash split; True = test row. Independent of partitioning."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 8), 16, 10)
     return F.pmod(h.cast("bigint"), F.lit(100)) < F.lit(test_pct)
 
 
-def holdout_split(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    if not 10 <= test_pct <= 40:
+def holdout_split(df: DataFrame, id_col: str, test_pct: int = DEFAULT_TEST_PCT, seed: int = RANDOM_SEED) -> tuple[DataFrame, DataFrame]:
+    if not TEST_PCT_RANGE[0] <= test_pct <= TEST_PCT_RANGE[1]:
         raise ValueError("test share must be 10-40 %")
     flag = holdout_flag(id_col, test_pct, seed)
     return df.filter(~flag), df.filter(flag)
@@ -55,14 +56,14 @@ def tfidf_long(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.join(norms, "id").select(F.col("id").alias(id_col), "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def forest_pipeline(labels: list[str], text_col: str = "ml_text", num_trees: int = 100, seed: int = 42,
+def forest_pipeline(labels: list[str], text_col: str = "ml_text", num_trees: int = DEFAULT_TREES, seed: int = RANDOM_SEED,
                     vocab_size: int = 1 << 18, min_df: float = 1.0) -> Pipeline:
     """M3: tokenizer -> counts -> idf -> L2 -> random forest -> label strings.
 
     Labels are indexed before fitting, so the fitted model scores unlabelled rows and carries
     its own index -> label mapping (saved with it).
     """
-    if not 50 <= num_trees <= 500:
+    if not TREES_RANGE[0] <= num_trees <= TREES_RANGE[1]:
         raise ValueError("number of trees must be 50-500")
     tok = RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
     cv = CountVectorizer(inputCol="__tokens", outputCol="__tf", vocabSize=vocab_size, minDF=min_df)
@@ -121,7 +122,7 @@ def zero_shot_overlap(df: DataFrame, text_cols, candidates: dict[str, str], out_
         cands.append(F.struct((hits / F.lit(float(len(dw)))).alias("score"), F.lit(-pos).alias("neg_pos"),
                               F.lit(label).alias("label")))
     best = F.array_max(F.array(*cands))  # struct order: score, then earlier position
-    return tmp.select(*df.columns, F.when(best["score"] > 0, best["label"]).otherwise(F.lit("Unknown")).alias(out_col))
+    return tmp.select(*df.columns, F.when(best["score"] > 0, best["label"]).otherwise(F.lit(UNKNOWN)).alias(out_col))
 
 
 def evaluate(pred: DataFrame, label_col: str, pred_col: str) -> tuple[DataFrame, DataFrame]:

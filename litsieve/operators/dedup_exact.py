@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from litsieve.constants import KEEP_OPTIONS
 from litsieve.functions.text import norm_key, percent
 
-KEEP_OPTIONS = ("first", "last", "none")
 MISSING_OPTIONS = ("empty", "equal", "distinct")
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.constants import COMBINED_FUZZY_THRESHOLD, FUZZY_PRESETS, NEAR_THRESHOLD
 from litsieve.functions.similarity import bounded_ratio, token_set_ratio
 from litsieve.functions.text import match_key, percent, search_text, word_set
 from litsieve.operators.fuzzy import edit_pairs
@@ -23,13 +24,13 @@ from litsieve.operators.setsim import jaccard_pairs, lsh_pairs
 from litsieve.operators.survivors import greedy_removed
 from litsieve.session import cut_lineage
 
-PRESETS = {"conservative": 95, "balanced": 90, "aggressive": 85}
+PRESETS = FUZZY_PRESETS
 
 
 @dataclass(frozen=True)
 class NearConfig:
     text_cols: tuple[str, ...] = ("Title", "Abstract")
-    threshold: float = 0.85
+    threshold: float = NEAR_THRESHOLD
     method: str = "exact"  # 'exact' prefix-filter join or 'lsh'
     bands: int = 16
     rows: int = 8
@@ -48,8 +49,8 @@ class FuzzyConfig:
 @dataclass(frozen=True)
 class CombinedConfig:
     columns: tuple[str, ...] = ("Title", "DOI", "Abstract")
-    near_threshold: float = 0.85
-    fuzzy_threshold: float = 90
+    near_threshold: float = NEAR_THRESHOLD
+    fuzzy_threshold: float = COMBINED_FUZZY_THRESHOLD
     keep: str = "first"
     id_col: str = "paper_id"
     scorer: str = "ratio"  # 'ratio' (edit distance) or 'token_set' (D14)

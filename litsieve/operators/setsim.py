@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsieve.constants import NUM_PERM
 from litsieve.functions.similarity import EPS, jaccard, minhash_signature
 
 
@@ -78,7 +79,7 @@ def lsh_pairs(items: DataFrame, threshold: float, bands: int = 16, rows: int = 8
     return verify_jaccard(cand, sets, threshold)
 
 
-def signature_table(items: DataFrame, num_perm: int = 128, id_col: str = "id", words_col: str = "words",
+def signature_table(items: DataFrame, num_perm: int = NUM_PERM, id_col: str = "id", words_col: str = "words",
                     seed: int = 1) -> DataFrame:
     """(id, sig) with ``num_perm`` MinHash values per set (empty set -> NULL minima)."""
     return items.select(F.col(id_col).alias("id"), minhash_signature(F.col(words_col), num_perm, seed).alias("sig"))

@@ -41,6 +41,6 @@ def audit_row(spark, stage: int, action: str, **values) -> DataFrame:
     return spark.createDataFrame([tuple(row.get(c) for c in AUDIT_COLUMNS)], schema)
 
 
-def pipeline_summary(records: list[DataFrame]) -> DataFrame:
+def audit_table(records: list[DataFrame]) -> DataFrame:
     """A1: union of per-stage audit frames; missing keys become NULL columns."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records)

@@ -820,12 +820,12 @@ def q_embed_text(spark, sf_dir):
     return vc.embed(p, "text", dim=256).select("paper_id", "embedding")
 
 
-# ---------------------------------------------------------------- pipeline (A1, A2)
+# ---------------------------------------------------------------- screening run (A1, A2)
 
-from litsieve.plans import pipeline as pl  # noqa: E402
+from litsieve.plans import screening as pl  # noqa: E402
 
 
-def _pipeline_sql() -> str:
+def _screening_sql() -> str:
     kept = f"SELECT paper_id FROM ({q_combined_dedup_sql}) d"
     c1 = f"SELECT * FROM ({_c1_sql()}) c WHERE paper_id IN ({kept})"
     c4 = f"SELECT * FROM ({_c4_sql()}) c WHERE paper_id IN (SELECT paper_id FROM ({c1}) m WHERE primary_category <> 'Uncategorized')"
@@ -850,16 +850,16 @@ SELECT 5 AS stage, 'Manual analysis' AS action, {q(', '.join(lx.DIMENSION_LEXICO
 q_combined_dedup_sql = ORACLE["combined_dedup"]
 
 
-@register("pipeline_summary", _pipeline_sql())
-def q_pipeline_summary(spark, sf_dir):
-    """A1/A2: the audit table of the default pipeline run (combined de-dup, then C1, C4, C5)."""
-    return pl.run_pipeline(papers(spark, sf_dir)).summary
+@register("screening_summary", _screening_sql())
+def q_screening_summary(spark, sf_dir):
+    """A1/A2: the audit table of the default screening run (combined de-dup, then C1, C4, C5)."""
+    return pl.run_screening(papers(spark, sf_dir)).summary
 
 
-@register("pipeline_default")
-def q_pipeline_default(spark, sf_dir):
-    """A2: the processed papers of the default pipeline, with all stage columns."""
-    res = pl.run_pipeline(papers(spark, sf_dir))
+@register("screening_default")
+def q_screening_default(spark, sf_dir):
+    """A2: the processed papers of the default screening run, with all stage columns."""
+    res = pl.run_screening(papers(spark, sf_dir))
     return res.processed.select("paper_id", "primary_category", "secondary_category", "secondary_keywords",
                                 *lx.DIMENSION_LEXICONS)
 

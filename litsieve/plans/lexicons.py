@@ -1,4 +1,4 @@
-"""Lexicons used by the registered queries and the default pipeline.
+"""Lexicons used by the registered queries and the default screening run.
 
 Fixed values: invented terms chosen to hit the driver's synthetic prose in all four languages,
 plus one category that never hits (``none: alcohol``).

@@ -1,6 +1,6 @@
 """Stage composition (A1, A2) and the flagship query.
 
-``run_pipeline`` chains the screening stages lazily: de-duplication -> primary categories ->
+``run_screening`` chains the screening stages lazily: de-duplication -> primary categories ->
 secondary categories -> dimension tags. As in the reference, each stage continues with the
 rows the previous stage matched; unlike it (B13), every stage's unmatched rows are kept,
 tagged with the stage number. The audit table is built from per-stage Spark aggregates.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from litsieve.functions.lexicon import Lexicon
 from litsieve.operators import categorize as cz
 from litsieve.operators import dedup_exact as dx
 from litsieve.operators import dedup_near as dn
-from litsieve.operators.summary import pipeline_summary
+from litsieve.operators.summary import audit_table
 from litsieve.plans import lexicons as lx
 from litsieve.schema import papers_view
 from litsieve.session import read_table
@@ -31,7 +32,7 @@ DEDUP_METHODS = {
 
 
 @dataclass
-class PipelineConfig:
+class ScreeningConfig:
     dedup: str = "combined"
     dedup_columns: tuple[str, ...] = ("Title", "DOI")
     keep: str = "first"
@@ -44,14 +45,14 @@ class PipelineConfig:
 
 
 @dataclass
-class PipelineResult:
+class ScreeningResult:
     processed: DataFrame
     unmatched: DataFrame
     summary: DataFrame
     stages: dict
 
 
-def _dedup(papers: DataFrame, cfg: PipelineConfig) -> DataFrame:
+def _dedup(papers: DataFrame, cfg: ScreeningConfig) -> DataFrame:
     cols = cfg.dedup_columns
     if cfg.dedup == "exact":
         return dx.exact_dedup(papers, dx.ExactConfig(subset=cols, keep=cfg.keep))
@@ -73,9 +74,10 @@ def _split_audit(df: DataFrame, matched, stage: int, action: str, method: str |
         "matched_count", "unmatched_count", F.col("categories_created").cast("long").alias("categories_created"))
 
 
-def run_pipeline(papers: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> PipelineResult:
+def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -> ScreeningResult:
     """A2: all stages in order; each later stage reads the earlier one's matched rows."""
-    unique = _dedup(papers, cfg)
+    # the de-duplicated table feeds every later stage and the audit: keep it (memory + disk)
+    unique = _dedup(papers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup])]
 
     primary = cz.phrase_labels(unique, cfg.text_columns, cfg.core, cfg.additional)
@@ -96,7 +98,7 @@ def run_pipeline(papers: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> P
 
     unmatched = (p_un.withColumn("unmatched_stage", F.lit(3))
                  .unionByName(s_un.withColumn("unmatched_stage", F.lit(4)), allowMissingColumns=True))
-    return PipelineResult(processed=final, unmatched=unmatched, summary=pipeline_summary(audits),
+    return ScreeningResult(processed=final, unmatched=unmatched, summary=audit_table(audits),
                           stages={"dedup": unique, "primary": primary, "secondary": secondary})
 
 

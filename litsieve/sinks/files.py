@@ -11,14 +11,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.constants import NAME_MAX_LENGTH, UNCATEGORIZED, UNSAFE_NAME_CHARS
 from litsieve.functions.columns import export_columns, present_columns
 
-_UNSAFE = r"[\\/*?:\[\]]"
 
 
 def export_key(c: Column) -> Column:
     """K4: partition-safe name: ``\\ / * ? : [ ]`` -> '_', cut to 31 characters."""
-    return F.substring(F.regexp_replace(c, _UNSAFE, "_"), 1, 31)
+    return F.substring(F.regexp_replace(c, UNSAFE_NAME_CHARS, "_"), 1, NAME_MAX_LENGTH)
 
 
 def write_csv(df: DataFrame, path: str, columns=None, single_file: bool = False, mode: str = "overwrite") -> str:
@@ -59,7 +59,7 @@ def export_result(root: str, processed: DataFrame, unmatched: DataFrame | None,
 
 
 def write_by_category(df: DataFrame, path: str, category_col: str = "primary_category",
-                      uncategorized: str = "Uncategorized", fmt: str = "parquet") -> DataFrame:
+                      uncategorized: str = UNCATEGORIZED, fmt: str = "parquet") -> DataFrame:
     """K3: one output partition per category (multi-labels stay one key), plus the count table.
 
     Returns the summary counts (G1) and raises if two categories share a sanitised key.

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from litsieve.constants import ARXIV_DATE_FORMAT, DEFAULT_MAX_RESULTS, MAX_RESULTS_RANGE, PREVIEW_ROWS
 from litsieve.functions.text import py_strip
 from litsieve.schema import PAPER_COLUMNS
 
@@ -105,7 +106,7 @@ def read_arxiv(spark: SparkSession, path: str, with_quarantine: bool = False):
     raw = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(ATOM_SCHEMA).load(path))
     good, bad = split_corrupt(raw)
-    ts = F.try_to_timestamp(py_strip(F.col("published")), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    ts = F.try_to_timestamp(py_strip(F.col("published")), F.lit(ARXIV_DATE_FORMAT))
     papers = good.select(
         _clean(F.col("title")).alias("Title"),
         _clean(F.col("summary")).alias("Abstract"),
@@ -155,9 +156,9 @@ def read_papers_csv(spark: SparkSession, path: str) -> DataFrame:
     return _with_ids(raw.select(*[F.col(c).cast("string") for c in PAPER_COLUMNS]))
 
 
-def cap_rows(df: DataFrame, max_results: int = 100, order_by: str = "paper_id") -> DataFrame:
+def cap_rows(df: DataFrame, max_results: int = DEFAULT_MAX_RESULTS, order_by: str = "paper_id") -> DataFrame:
     """The first ``max_results`` rows (1-1000) in a stable order."""
-    if not 1 <= max_results <= 1000:
+    if not MAX_RESULTS_RANGE[0] <= max_results <= MAX_RESULTS_RANGE[1]:
         raise ValueError("max_results must be 1-1000")
     return df.orderBy(order_by).limit(max_results)
 
@@ -168,6 +169,6 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return _with_ids(merged)
 
 
-def preview(df: DataFrame, n: int = 5, order_by: str = "paper_id") -> DataFrame:
+def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str = "paper_id") -> DataFrame:
     """First rows in id order."""
     return df.orderBy(order_by).limit(n)
