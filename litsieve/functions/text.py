@@ -70,6 +70,11 @@ def comma_terms(c, lower: bool = True) -> Column:
     return F.filter(parts, lambda y: y != F.lit(""))
 
 
+def has_text(c) -> Column:
+    """P10: true when the text has something besides whitespace (use as an explicit filter)."""
+    return F.coalesce(F.length(py_strip(col_of(c))) > 0, F.lit(False))
+
+
 def percent(removed, original) -> Column:
     """Share removed in percent, one decimal; NULL when nothing was there."""
     return F.round(F.lit(100.0) * col_of(removed) / F.nullif(col_of(original), F.lit(0)), 1)

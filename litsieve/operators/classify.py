@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.constants import DEFAULT_TEST_PCT, DEFAULT_TREES, RANDOM_SEED, TEST_PCT_RANGE, TREES_RANGE, UNKNOWN
-from litsieve.functions.text import search_text
+from litsieve.functions.text import has_text, search_text
 
 # Words of at least two word characters, lower-cased: maximal runs of letters/digits/underscore.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -75,8 +75,11 @@ def forest_pipeline(labels: list[str], text_col: str = "ml_text", num_trees: int
     return Pipeline(stages=[tok, cv, idf, norm, rf, back])
 
 
-def fit_forest(train: DataFrame, text_cols, label_col: str, **kw) -> PipelineModel:
+def fit_forest(train: DataFrame, text_cols, label_col: str, drop_empty: bool = False, **kw) -> PipelineModel:
+    """Fit on the search text of ``text_cols``; ``drop_empty`` removes rows without text (P10)."""
     data = train.select(search_text(text_cols).alias("ml_text"), F.col(label_col).cast("string").alias("label"))
+    if drop_empty:
+        data = data.filter(has_text("ml_text"))
     indexer = StringIndexer(inputCol="label", outputCol="__label", handleInvalid="skip").fit(data)
     return forest_pipeline(list(indexer.labelsArray[0]), **kw).fit(indexer.transform(data))
 

@@ -48,9 +48,13 @@ def overview(df: DataFrame) -> DataFrame:
     n_num = sum(isinstance(t, NumericType) for t in types)
     n_text = sum(isinstance(t, StringType) for t in types)
     nulls = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("long") for c in df.columns])
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    # rows are grouped on a SHA-256 digest of their JSON form (NULL fields are omitted by name,
+    # so NULL and '' stay distinct): 32-byte keys in the shuffle instead of whole rows
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
+    groups = (df.select(digest.alias("__h"), nulls.alias("__nulls")).groupBy("__h")
+              .agg(F.count(F.lit(1)).alias("__n"), F.max("__nulls").alias("__nulls")))
     tot = groups.agg(F.sum("__n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"),
-                     F.sum(F.col("__n") * nulls).alias("n_missing_cells"))
+                     F.sum(F.col("__n") * F.col("__nulls")).alias("n_missing_cells"))
     return tot.select(
         F.col("n_rows").cast("long").alias("n_rows"), F.lit(n_cols).alias("n_columns"),
         F.col("n_missing_cells").cast("long").alias("n_missing_cells"),
@@ -317,17 +321,16 @@ def phik_from_chi2(chi2: float, n: float, kx: int, ky: int) -> float:
     approximated on the same bin grid. Scalar work on an already aggregated number."""
     import numpy as np
 
+    g = np.linspace(-3, 3, 61)
+    X, Y = np.meshgrid(g, g, indexing="ij")
+    ix = np.clip(np.searchsorted(np.linspace(-3, 3, kx + 1), g) - 1, 0, kx - 1)
+    iy = np.clip(np.searchsorted(np.linspace(-3, 3, ky + 1), g) - 1, 0, ky - 1)
+    IX, IY = np.meshgrid(ix, iy, indexing="ij")
+
     def chi2_of(rho):
-        g = np.linspace(-3, 3, 61)
-        xs = np.linspace(-3, 3, kx + 1)
-        ys = np.linspace(-3, 3, ky + 1)
-        X, Y = np.meshgrid(g, g, indexing="ij")
         dens = np.exp(-(X ** 2 - 2 * rho * X * Y + Y ** 2) / (2 * (1 - rho ** 2)))
         p = np.zeros((kx, ky))
-        ix = np.clip(np.searchsorted(xs, g) - 1, 0, kx - 1)
-        iy = np.clip(np.searchsorted(ys, g) - 1, 0, ky - 1)
-        for i in range(len(g)):
-            np.add.at(p[ix[i]], iy, dens[i])
+        np.add.at(p, (IX, IY), dens)
         p /= p.sum()
         ex = np.outer(p.sum(1), p.sum(0))
         mask = ex > 0
@@ -448,19 +451,27 @@ def text_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     parts = []
     for c in cols:
-        per_value = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        v, k = F.col("v"), F.col("k")
+        x = F.col(c)
+        # per-value statistics are computed map-side, values are grouped on their digest
+        per_row = df.filter(x.isNotNull()).select(
+            F.sha2(x, 256).alias("__h"), F.length(x).alias("len"),
+            F.size(F.filter(F.split(x, r"\s+"), lambda w: w != F.lit(""))).alias("words"),
+            F.regexp_count(x, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(x, F.lit(r"\p{N}")).alias("digits"),
+            F.regexp_count(x, F.lit(r"\s")).alias("spaces"), F.regexp_count(x, F.lit(r"\p{P}")).alias("punct"))
+        stats = ["len", "words", "letters", "digits", "spaces", "punct"]
+        per_value = per_row.groupBy("__h").agg(F.count(F.lit(1)).alias("k"), *[F.max(s_).alias(s_) for s_ in stats])
+        k = F.col("k")
         parts.append(per_value.agg(
             F.sum(k).cast("long").alias("n"),
-            F.min(F.length(v)).alias("len_min"),
-            F.round(F.sum(k * F.length(v)) / F.sum(k), 6).alias("len_mean"),
-            F.max(F.length(v)).alias("len_max"),
+            F.min("len").alias("len_min"),
+            F.round(F.sum(k * F.col("len")) / F.sum(k), 6).alias("len_mean"),
+            F.max("len").alias("len_max"),
             F.count(F.lit(1)).alias("n_distinct"), F.count_if(k == 1).alias("n_unique"),
-            F.sum(k * F.size(F.filter(F.split(v, r"\s+"), lambda w: w != F.lit("")))).cast("long").alias("n_words"),
-            F.sum(k * F.regexp_count(v, F.lit(r"\p{L}"))).cast("long").alias("n_letters"),
-            F.sum(k * F.regexp_count(v, F.lit(r"\p{N}"))).cast("long").alias("n_digits"),
-            F.sum(k * F.regexp_count(v, F.lit(r"\s"))).cast("long").alias("n_spaces"),
-            F.sum(k * F.regexp_count(v, F.lit(r"\p{P}"))).cast("long").alias("n_punct"),
+            F.sum(k * F.col("words")).cast("long").alias("n_words"),
+            F.sum(k * F.col("letters")).cast("long").alias("n_letters"),
+            F.sum(k * F.col("digits")).cast("long").alias("n_digits"),
+            F.sum(k * F.col("spaces")).cast("long").alias("n_spaces"),
+            F.sum(k * F.col("punct")).cast("long").alias("n_punct"),
         ).select(F.lit(c).alias("column"), "*"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -592,6 +592,16 @@ def q_chi2(spark, sf_dir):
     return pf.chi2_table(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
 
 
+@register("phik")
+def q_phik(spark, sf_dir):
+    """phi_k per column pair from the binned chi-square (the inversion runs on one number per pair)."""
+    li = _lineitem(spark, sf_dir)
+    chi = pf.chi2_table(li, _pairs_of(NUM_COLS)).collect()  # one row per column pair
+    n = li.count()
+    out = [(r["col_a"], r["col_b"], round(pf.phik_from_chi2(r["chi2"], n, 10, 10), 4)) for r in chi]
+    return spark.createDataFrame(out, "col_a string, col_b string, phik double")
+
+
 @register("interaction_grid", _union([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({_bin_sql(a, 'lineitem')} AS INTEGER) AS bin_a, "
     f"CAST({_bin_sql(b, 'lineitem')} AS INTEGER) AS bin_b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4"

@@ -20,7 +20,7 @@ from litsieve.operators import dedup_exact as dx
 from litsieve.operators import dedup_near as dn
 from litsieve.operators.summary import audit_table
 from litsieve.plans import lexicons as lx
-from litsieve.schema import papers_view
+from litsieve.schema import papers_view, validate_columns
 from litsieve.session import read_table
 
 DEDUP_METHODS = {
@@ -76,6 +76,7 @@ def _split_audit(df: DataFrame, matched, stage: int, action: str, method: str |
 
 def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -> ScreeningResult:
     """A2: all stages in order; each later stage reads the earlier one's matched rows."""
+    validate_columns(papers, ["paper_id", *cfg.dedup_columns, *cfg.text_columns])  # B19: check inputs up front
     # the de-duplicated table feeds every later stage and the audit: keep it (memory + disk)
     unique = _dedup(papers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup])]

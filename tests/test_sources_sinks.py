@@ -94,3 +94,12 @@ def test_stage_checkpoint_and_model_path(spark):
         raise AssertionError("expected rejection")
     except ValueError:
         pass
+
+
+def test_whole_source_failure_gives_empty_table(spark):
+    import tempfile
+    d = tempfile.mkdtemp(prefix="litsieve-bad-")
+    with open(os.path.join(d, "bad.json"), "w") as fh:
+        fh.write('{"message": {"items": [ {"title": ["x"] ')
+    good, bad = src.read_crossref(spark, os.path.join(d, "bad.json"), with_quarantine=True)
+    assert good.count() == 0 and bad.count() == 1
