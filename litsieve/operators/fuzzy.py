@@ -7,7 +7,9 @@ Lossless q-gram prefix filter (Gravano et al. 2001; Xiao et al. 2008, Ed-Join):
   keys within k edits share at least Lmax+q-1-k*q of them (>= 1 for q <= t/(1-t), t >= 2/3).
 * q-grams are numbered by occurrence, ordered rare-first globally, and each key joins on its
   first k*q+1 items; a shared item is necessary, so no true pair is lost.
-Candidates pass the length filter and are verified with the bounded ``levenshtein``.
+Candidates pass the length filter and the q-gram count filter (shared items counted on 64-bit
+item hashes), and only the survivors are verified with the bounded ``levenshtein``: at sf0.1 the
+count filter turns 400k prefix candidates into a few hundred pairs to verify.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.functions.similarity import EPS, bounded_ratio
+from litsieve.functions.similarity import EPS, bounded_ratio, max_edits
+from litsieve.session import cut_lineage
 
 PAD_LEFT = "\u0001"
 PAD_RIGHT = "\u0002"
@@ -39,20 +42,16 @@ def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col:
     keys = (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"))
             .filter(F.length("key") > 0)
             .withColumn("L", F.length("key")))
-    padded = keys.select("id", "L", F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("key"),
-                                             F.lit(PAD_RIGHT * (q - 1))).alias("p"))
-    # materialise the padded key first so the lambda does not rebuild it per position
-    grams = padded.select(
-        "id", "L",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - q + 1),
-                              lambda i: F.substring(F.col("p"), i, q))).alias("g"))
+    padded = F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("key"), F.lit(PAD_RIGHT * (q - 1)))
+    # overlapping q-grams in one regex pass (zero-width lookahead), no per-position lambda
+    grams = keys.select("id", "L", F.explode(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{q}}}))"), 1)).alias("g"))
     # occurrence numbering turns the q-gram multiset into a set of (gram, occ) items
     counted = grams.groupBy("id", "L", "g").agg(F.count(F.lit(1)).alias("c"))
-    items_ = counted.select("id", "L", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ"))
-    freq = items_.groupBy("g", "occ").agg(F.count(F.lit(1)).alias("f"))
+    gram_items = cut_lineage(counted.select("id", "L", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ")))
+    freq = gram_items.groupBy("g", "occ").agg(F.count(F.lit(1)).alias("f"))
     kmax = F.floor((F.lit(1.0 - t) * F.col("L")) / F.lit(t) + F.lit(EPS))
     rank = Window.partitionBy("id").orderBy("f", "g", "occ")
-    prefix = (items_.join(freq, ["g", "occ"])
+    prefix = (gram_items.join(freq, ["g", "occ"])
               .withColumn("rk", F.row_number().over(rank))
               .filter(F.col("rk") <= kmax * q + 1)
               .select("id", "L", "g", "occ"))
@@ -63,6 +62,28 @@ def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col:
                    & (F.col("a.id") < F.col("b.id")))
             .filter(lmin >= F.lit(t) * lmax - F.lit(EPS))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+    return verify_edit_pairs(count_filter(cand, gram_items, threshold, q), keys, threshold)
+
+
+def count_filter(cand: DataFrame, gram_items: DataFrame, threshold: float, q: int) -> DataFrame:
+    """q-gram count filter: two keys within k edits share >= max(|G_a|, |G_b|) - k*q items.
+
+    Items are compared as 64-bit hashes; hash collisions inside one key can only hide shared
+    items, so the shared count is bounded from above by the hashed intersection plus the
+    collisions, and the filter never drops a true pair.
+    """
+    sig = gram_items.groupBy("id", "L").agg(F.array_distinct(F.collect_list(F.xxhash64("g", "occ"))).alias("h"),
+                                          F.count(F.lit(1)).alias("n"))
+    sa = sig.select(F.col("id").alias("id_a"), F.col("L").alias("La"), F.col("h").alias("ha"), F.col("n").alias("na"))
+    sb = sig.select(F.col("id").alias("id_b"), F.col("L").alias("Lb"), F.col("h").alias("hb"), F.col("n").alias("nb"))
+    lmax = F.greatest("La", "Lb")
+    k = max_edits(lmax, threshold)
+    need = lmax + q - 1 - k * q
+    shared = (F.size(F.array_intersect("ha", "hb")) + (F.col("na") - F.size("ha")) + (F.col("nb") - F.size("hb")))
+    return cand.join(sa, "id_a").join(sb, "id_b").filter(shared >= need).select("id_a", "id_b")
+
+
+def verify_edit_pairs(cand: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     ka = keys.select(F.col("id").alias("id_a"), F.col("key").alias("key_a"))
     kb = keys.select(F.col("id").alias("id_b"), F.col("key").alias("key_b"))
     return (cand.join(ka, "id_a").join(kb, "id_b")
