@@ -7,7 +7,7 @@ Lossless q-gram prefix filter (Gravano et al. 2001; Xiao et al. 2008, Ed-Join):
   keys within k edits share at least Lmax+q-1-k*q of them (>= 1 for q <= t/(1-t), t >= 2/3).
 * q-grams are numbered by occurrence, ordered rare-first globally, and each key joins on its
   first k*q+1 items; a shared item is necessary, so no true pair is lost.
-Candidates pass the length filter and the q-gram count filter (shared items counted on 64-bit
+Candidates pass the length filter and the q-gram count filter (shared items counted on 32-bit
 item hashes), and only the survivors are verified with the bounded ``levenshtein``: at sf0.1 the
 count filter turns 400k prefix candidates into a few hundred pairs to verify.
 """
@@ -68,11 +68,11 @@ def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col:
 def count_filter(cand: DataFrame, gram_items: DataFrame, threshold: float, q: int) -> DataFrame:
     """q-gram count filter: two keys within k edits share >= max(|G_a|, |G_b|) - k*q items.
 
-    Items are compared as 64-bit hashes; hash collisions inside one key can only hide shared
+    Items are compared as 32-bit hashes; hash collisions inside one key can only hide shared
     items, so the shared count is bounded from above by the hashed intersection plus the
     collisions, and the filter never drops a true pair.
     """
-    sig = gram_items.groupBy("id", "L").agg(F.array_distinct(F.collect_list(F.xxhash64("g", "occ"))).alias("h"),
+    sig = gram_items.groupBy("id", "L").agg(F.array_distinct(F.collect_list(F.hash("g", "occ"))).alias("h"),
                                           F.count(F.lit(1)).alias("n"))
     sa = sig.select(F.col("id").alias("id_a"), F.col("L").alias("La"), F.col("h").alias("ha"), F.col("n").alias("na"))
     sb = sig.select(F.col("id").alias("id_b"), F.col("L").alias("Lb"), F.col("h").alias("hb"), F.col("n").alias("nb"))
