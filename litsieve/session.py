@@ -14,12 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
+    # AQE sizes shuffle partitions from the data: start wide, coalesce toward ~128 MB partitions
+    # (keeping parallelism first, so CPU-heavy verification stages stay spread over all cores)
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # split a partition that is 5x the median and above 256 MB (a hot join key) into pieces
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Starting shuffle width on a cluster: AQE coalesces it down for small stages, so it only has to
+# be large enough that a 100 TB stage still yields partitions of a few hundred MB.
+CLUSTER_SHUFFLE_PARTITIONS = 20_000
+
 
 def build_session(master: str | None = None, app: str = "litsieve", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -28,8 +39,8 @@ def build_session(master: str | None = None, app: str = "litsieve", shuffle_part
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    local = (master or "").startswith("local")
+    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (8 if local else CLUSTER_SHUFFLE_PARTITIONS))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
