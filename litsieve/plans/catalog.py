@@ -671,11 +671,30 @@ def q_approx_distinct(spark, sf_dir):
     return pf.approx_distinct(_events(spark, sf_dir))
 
 
-@register("alerts")
+def _alerts_sql(table: str, cols: list[str]) -> str:
+    per = []
+    for c in cols:
+        stats = (f"SELECT count({c}) AS n, count(*) - count({c}) AS nm, count(DISTINCT {c}) AS nd, "
+                 f"count(*) FILTER (WHERE {c} = 0) AS nz, "
+                 f"round(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1)), 6) AS sk FROM {table}")
+        per.append(f"SELECT '{c}' AS \"column\", unnest([CASE WHEN nd <= 1 THEN 'CONSTANT' END, "
+                   f"CASE WHEN 100.0 * nm / (n + nm) > 20.0 THEN 'HIGH_MISSING' END, "
+                   f"CASE WHEN nd > 0.5 * (n + nm) THEN 'HIGH_CARDINALITY' END, "
+                   f"CASE WHEN nz > 0.1 * (n + nm) THEN 'ZEROS' END, "
+                   f"CASE WHEN abs(sk) > 20.0 THEN 'SKEWED' END]) AS alert FROM ({stats}) s")
+    corr = [f"SELECT '{a} ~ {b}' AS \"column\", 'HIGH_CORRELATION' AS alert FROM {table} HAVING abs(round(corr({a}, {b}), 6)) > 0.9"
+            for a, b in _pairs_of(cols)]
+    return "SELECT * FROM (" + _union(per) + ") x WHERE alert IS NOT NULL UNION ALL " + _union(corr)
+
+
+ALERT_COLS = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "events": ["value", "user_id"]}
+
+
+@register("alerts", _alerts_sql("lineitem", ALERT_COLS["lineitem"]) + " UNION ALL " + _alerts_sql("events", ALERT_COLS["events"]))
 def q_alerts(spark, sf_dir):
     """Alert rows derived from E2/E4/E5 over lineitem and events."""
-    return pf.alerts(_lineitem(spark, sf_dir), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).unionByName(
-        pf.alerts(_events(spark, sf_dir), ["value", "user_id"]))
+    return pf.alerts(_lineitem(spark, sf_dir), ALERT_COLS["lineitem"]).unionByName(
+        pf.alerts(_events(spark, sf_dir), ALERT_COLS["events"]))
 
 
 # ---------------------------------------------------------------- classification (M1-M8)
@@ -866,7 +885,15 @@ def q_screening_summary(spark, sf_dir):
     return pl.run_screening(papers(spark, sf_dir)).summary
 
 
-@register("screening_default")
+def _screening_default_sql() -> str:
+    kept = f"SELECT paper_id FROM ({ORACLE['combined_dedup']}) d"
+    return (f"SELECT c1.paper_id, c1.primary_category, c4.secondary_category, c4.secondary_keywords, "
+            + ", ".join(f"c5.{ident(d)}" for d in lx.DIMENSION_LEXICONS)
+            + f" FROM ({_c1_sql()}) c1 JOIN ({_c4_sql()}) c4 USING (paper_id) JOIN ({_c5_sql()}) c5 USING (paper_id) "
+            f"WHERE c1.paper_id IN ({kept}) AND c1.primary_category <> 'Uncategorized' AND c4.secondary_category IS NOT NULL")
+
+
+@register("screening_default", _screening_default_sql())
 def q_screening_default(spark, sf_dir):
     """A2: the processed papers of the default screening run, with all stage columns."""
     res = pl.run_screening(papers(spark, sf_dir))
