@@ -84,9 +84,22 @@ def _variant_hits(padded_text: str, variants) -> Column:
     return F.array_compact(F.array(*[F.when(padded_contains(padded_text, v.lower()), F.lit(v)) for v in variants]))
 
 
+def _variant_score(padded_text: str, words: Column, v: str, fuzzy: bool) -> Column:
+    """1 for a whole-phrase hit; with ``fuzzy`` a miss scores the best word-level similarity
+    1 - levenshtein / max length over the text's words (single-word variants only)."""
+    hit = F.when(padded_contains(padded_text, v.lower()), F.lit(1.0))
+    if not fuzzy or " " in v.strip():
+        return F.coalesce(hit, F.lit(0.0))
+    lv = F.lit(v.lower())
+    sims = F.transform(words, lambda w: F.lit(1.0) - F.levenshtein(w, lv) / F.greatest(F.length(w), F.length(lv)))
+    return F.coalesce(hit, F.array_max(sims), F.lit(0.0))
+
+
 def scored_keywords(df: DataFrame, text_cols, lexicon: Lexicon, min_score: float = DEFAULT_MIN_SCORE,
-                    strategy: str = "best", out_col: str = "primary_category") -> DataFrame:
-    """Score of a category = share of its variants found as whole phrases.
+                    strategy: str = "best", out_col: str = "primary_category", fuzzy: bool = False) -> DataFrame:
+    """Score of a category = mean over its variants of the variant score (whole-phrase hit
+    = 1, else 0; with ``fuzzy=True`` a miss scores the best word-level edit similarity), i.e.
+    the share of variants found when not fuzzy.
 
     strategy 'best': highest score, earliest category on ties; 'first': first category in
     lexicon order whose score reaches ``min_score``. Below ``min_score`` -> 'Uncategorized',
@@ -97,11 +110,20 @@ def scored_keywords(df: DataFrame, text_cols, lexicon: Lexicon, min_score: float
     tmp = "__search"
     out = df.withColumn(tmp, search_text(text_cols, lower=True))
     cands = []
+    if fuzzy:
+        out = out.withColumn("__words", F.array_distinct(F.filter(F.split(F.col(tmp), " "), lambda w: w != F.lit(""))))
     for pos, (cat, vs) in enumerate(lexicon.entries):
         if not vs:
             continue
         hits = _variant_hits(tmp, vs)
-        score = F.size(hits).cast("double") / F.lit(float(len(vs)))
+        if fuzzy:
+            total = None
+            for v in vs:
+                sv = _variant_score(tmp, F.col("__words"), v, True)
+                total = sv if total is None else total + sv
+            score = total / F.lit(float(len(vs)))
+        else:
+            score = F.size(hits).cast("double") / F.lit(float(len(vs)))
         cands.append(F.struct(score.alias("score"), F.lit(-pos).alias("neg_pos"), F.lit(cat).alias("category"),
                               hits.alias("hits")))
     arr = F.filter(F.array(*cands), lambda s: s["score"] >= F.lit(min_score))

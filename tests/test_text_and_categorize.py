@@ -113,3 +113,20 @@ def test_split_matched_complement(spark):
     m2, u2 = cz.split_matched(df, "c", None)
     assert rows(u2, "id") == [(2,)]
     assert F is not None
+
+
+def test_scored_keywords_fuzzy_word_level(spark):
+    df = spark.createDataFrame([(1, "the catt sat"), (2, "nothing here")], "paper_id long, t string")
+    lex = Lexicon.from_text("a: cat, sat\n")
+    got = {r["paper_id"]: (r["primary_category"], r["match_score"]) for r in
+           cz.scored_keywords(df, ["t"], lex, 0.5, "best", fuzzy=True).collect()}
+    assert got[1] == ("a", round((0.75 + 1.0) / 2, 6))
+    assert got[2][0] == "Uncategorized"
+
+
+def test_large_lexicon_switches_to_join(spark):
+    big = Lexicon.from_dict({f"c{i}": [f"w{i}", f"x{i} y{i}"] for i in range(400)})
+    df = spark.createDataFrame([(1, "a w7 b", None), (2, "x3 y3", "w399"), (3, "none", None)],
+                               "paper_id long, Title string, Abstract string")
+    got = dict(rows(cz.phrase_labels(df, ["Title", "Abstract"], big), "paper_id", "primary_category"))
+    assert got == {1: "c7", 2: "c3, c399", 3: "Uncategorized"}
