@@ -7,8 +7,8 @@ edges 1-2 and 2-3, rows 1 and 3 survive.
 Parallel form: orient every edge from the earlier to the later row. Per round, an undecided
 row with an in-edge from a kept row is removed; an undecided row whose remaining in-edges all
 come from removed rows is kept. Each round is a join and an aggregate over the (shrinking)
-undecided edges; state is cut with a reliable checkpoint every round. The fixpoint equals the
-sequential scan.
+undecided edges; state is persisted per round and cut with a reliable checkpoint every few
+rounds. The fixpoint equals the sequential scan.
 """
 
 from __future__ import annotations
@@ -35,20 +35,26 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
                    checkpoint_every: int = 4) -> DataFrame:
     """Ids removed by the greedy scan over an undirected edge list (a, b).
 
-    keep='none' removes every row that has any neighbour. Round state is persisted (memory and
-    disk) and cut with a reliable checkpoint every ``checkpoint_every`` rounds, so lineage stays
-    short and a lost executor costs at most that many rounds of recomputation.
+    keep='none' removes every row that has any neighbour. Per round: one join of the live
+    edges with the source state, one aggregate by target, one join back into the state. Round
+    state is persisted (memory and disk) and cut with a reliable checkpoint every
+    ``checkpoint_every`` rounds, so lineage stays short and a lost executor costs at most that
+    many rounds of recomputation.
     """
     if keep == "none":
         return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     e = cut_lineage(orient(edges, keep))
+    # round 0 is free: a row without an earlier neighbour is kept, every other row is undecided
+    targets = e.select(F.col("dst").alias("id")).distinct().withColumn("__t", F.lit(True))
     nodes = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-    state = cut_lineage(nodes.withColumn("st", F.lit(UNDECIDED)))
+    state = cut_lineage(nodes.join(targets, "id", "left")
+                        .select("id", F.when(F.col("__t"), F.lit(UNDECIDED)).otherwise(F.lit(KEPT)).alias("st")))
     held = []
     for rnd in range(1, max_rounds + 1):
-        src_st = state.select(F.col("id").alias("src"), F.col("st").alias("s_st"))
-        dst_st = state.select(F.col("id").alias("dst"), F.col("st").alias("d_st"))
-        live = e.join(src_st, "src").join(dst_st, "dst").filter(F.col("d_st") == UNDECIDED)
+        # edges whose source is kept remove their target; edges from undecided sources stay live;
+        # edges from removed sources no longer matter
+        live = e.join(state.select(F.col("id").alias("src"), F.col("st").alias("s_st")), "src") \
+            .filter(F.col("s_st") != REMOVED)
         per_dst = live.groupBy("dst").agg(
             F.max((F.col("s_st") == KEPT).cast("int")).alias("hit_kept"),
             F.max((F.col("s_st") == UNDECIDED).cast("int")).alias("has_undecided"))
@@ -57,10 +63,12 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
                        .when(F.coalesce(F.col("hit_kept"), F.lit(0)) == 1, F.lit(REMOVED))
                        .when(F.coalesce(F.col("has_undecided"), F.lit(0)) == 1, F.lit(UNDECIDED))
                        .otherwise(F.lit(KEPT)).alias("st")))
-        # edges still able to matter: both ends undecided at the start of this round
         nxt_e = live.filter(F.col("s_st") == UNDECIDED).select("src", "dst")
         if rnd % checkpoint_every == 0:
-            e, state = cut_lineage(nxt_e), cut_lineage(nxt)
+            # drop edges into rows decided meanwhile, then cut the lineage
+            nxt = cut_lineage(nxt)
+            und = nxt.filter(F.col("st") == UNDECIDED).select(F.col("id").alias("dst"))
+            e, state = cut_lineage(nxt_e.join(und, "dst", "left_semi")), nxt
             for h in held:
                 h.unpersist()
             held = []
