@@ -803,7 +803,9 @@ COS_SQL = ("list_dot_product(CAST(e.embedding AS DOUBLE[]), c.c) / (sqrt(list_do
 
 
 def _seeds(spark, sf_dir):
-    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").collect()  # one row per label
+    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").limit(vc.MAX_SEEDS + 1).collect()
+    if len(cents) > vc.MAX_SEEDS:  # one seed per label: the label count must stay small
+        raise ValueError("too many labels to use their centroids as seeds")
     return {f"seed {r['label']}": r["centroid"] for r in sorted(cents, key=lambda r: r["label"])}
 
 
