@@ -13,9 +13,15 @@ def value_counts(df: DataFrame, col: str, out: str = "value") -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(out)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Number of distinct non-NULL values and their sorted list (list is bounded by the caller's
-    category count; use ``value_counts`` for unbounded columns)."""
+def distinct_values(df: DataFrame, col: str, max_list: int = 10_000) -> DataFrame:
+    """Number of distinct non-NULL values and their sorted list.
+
+    The list is one value, so its size is checked first: above ``max_list`` distinct values use
+    ``value_counts`` (a distributed table) instead.
+    """
+    n = df.agg(F.count_distinct(col)).first()[0]
+    if n > max_list:
+        raise ValueError(f"{n} distinct values in {col!r}; use value_counts for a column this wide")
     return df.agg(F.count_distinct(col).alias("n_distinct"),
                   F.array_join(F.array_sort(F.collect_set(col)), ", ").alias("values"))
 
