@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from litsieve.constants import COMBINED_FUZZY_THRESHOLD, FUZZY_PRESETS, NEAR_THRESHOLD
 from litsieve.functions.similarity import bounded_ratio, token_set_ratio
 from litsieve.functions.text import match_key, percent, search_text, word_set
-from litsieve.operators.fuzzy import edit_pairs
-from litsieve.operators.setsim import jaccard_pairs, lsh_pairs
-from litsieve.operators.survivors import greedy_removed
+from litsieve.operators.fuzzy import edit_candidates, edit_pairs, edit_prefix, edit_verify
+from litsieve.operators.setsim import (jaccard_candidates, jaccard_pairs, jaccard_prefix, jaccard_sets, lsh_banded,
+                                       lsh_candidates, lsh_pairs, verify_jaccard)
+from litsieve.operators.survivors import greedy_removed, seeded_removed
 from litsieve.session import cut_lineage
 
 PRESETS = FUZZY_PRESETS
@@ -75,12 +76,27 @@ def _representatives(df: DataFrame, id_col: str, group_key: Column, payload: dic
 
 def _survivors(df: DataFrame, reps: DataFrame, edges: DataFrame, keep: str, id_col: str) -> DataFrame:
     removed = greedy_removed(edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), keep)
+    return _keep_reps(df, reps, removed, keep, id_col)
+
+
+def _keep_reps(df: DataFrame, reps: DataFrame, removed: DataFrame, keep: str, id_col: str) -> DataFrame:
     kept = reps.join(removed, "id", "left_anti")
     if keep == "none":
         kept = kept.filter(F.col("group_size") == 1)
     return df.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
+def _seeded(df: DataFrame, reps: DataFrame, keep: str, id_col: str, build) -> DataFrame:
+    """Greedy de-dup through ``seeded_removed``; keep='last' scans negated ids (same order
+    reversed). ``build(live)`` returns (prefix, key columns, candidates, verify) for the live
+    representatives (columns id + payload)."""
+    sign = 1 if keep == "first" else -1
+    live = reps.filter("matchable").withColumn("id", F.col("id") * F.lit(sign))
+    prefix, key_cols, candidates, verify = build(live)
+    removed = seeded_removed(prefix, key_cols, candidates, verify)
+    return _keep_reps(df, reps, removed.select((F.col("id") * F.lit(sign)).alias("id")), keep, id_col)
+
+
 def near_items(df: DataFrame, cfg: NearConfig) -> DataFrame:
     words = word_set(search_text(cfg.text_cols))
     sorted_key = F.array_join(F.array_sort(words), " ")
@@ -98,10 +114,22 @@ def near_pairs(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
 def near_dedup(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     """Keep the earliest row of every near-duplicate run (greedy), drop the rest."""
     reps = cut_lineage(near_items(df, cfg))  # feeds the join, the verification and the survivors
-    live = reps.filter("matchable")
-    pairs = lsh_pairs(live, cfg.threshold, cfg.bands, cfg.rows) if cfg.method == "lsh" \
-        else jaccard_pairs(live, cfg.threshold)
-    return _survivors(df, reps, pairs, cfg.keep, cfg.id_col)
+    if cfg.keep == "none":
+        live = reps.filter("matchable")
+        pairs = lsh_pairs(live, cfg.threshold, cfg.bands, cfg.rows) if cfg.method == "lsh" \
+            else jaccard_pairs(live, cfg.threshold)
+        return _survivors(df, reps, pairs, cfg.keep, cfg.id_col)
+    t = cfg.threshold
+
+    def build(live):
+        sets = jaccard_sets(live)
+        verify = (lambda c: verify_jaccard(c, sets, t))
+        if cfg.method == "lsh":
+            banded = cut_lineage(lsh_banded(sets, cfg.bands, cfg.rows))
+            return banded, ["band", "bucket"], lsh_candidates, verify
+        prefix = cut_lineage(jaccard_prefix(sets, t))
+        return prefix, ["w"], (lambda pa, pb: jaccard_candidates(pa, pb, t)), verify
+    return _seeded(df, reps, cfg.keep, cfg.id_col, build)
 
 
 def fuzzy_key(cols) -> Column:
@@ -122,20 +150,29 @@ def fuzzy_pairs(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """Greedy fuzzy de-duplication with keep first / last / none."""
     reps = cut_lineage(fuzzy_items(df, cfg))
-    pairs = edit_pairs(reps.filter("matchable"), cfg.threshold)
-    return _survivors(df, reps, pairs, cfg.keep, cfg.id_col)
+    if cfg.keep == "none":
+        return _survivors(df, reps, edit_pairs(reps.filter("matchable"), cfg.threshold), cfg.keep, cfg.id_col)
+    t = cfg.threshold
 
+    def build(live):
+        keys, gram_items, prefix = edit_prefix(live, t)
+        prefix = cut_lineage(prefix)
+        return (prefix, ["g", "occ"], (lambda pa, pb: edit_candidates(pa, pb, t)),
+                (lambda c: edit_verify(c, keys, gram_items, t)))
+    return _seeded(df, reps, cfg.keep, cfg.id_col, build)
 
-def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> DataFrame:
-    """D19 edges: near-duplicate candidates on the first column, verified by the fuzzy ratio
-    on all selected columns (intent of the reference: MinHash finds, fuzzy verifies)."""
+
+def _combined_reps(df: DataFrame, cfg: CombinedConfig) -> DataFrame:
     words = word_set(search_text(cfg.columns[:1]))
     key = fuzzy_key(cfg.columns)
     group = F.concat_ws("\u0001", F.array_join(F.array_sort(words), " "), key)
-    reps = cut_lineage(_representatives(df, cfg.id_col, group, {"words": words, "key": key}, cfg.keep,
+    return cut_lineage(_representatives(df, cfg.id_col, group, {"words": words, "key": key}, cfg.keep,
                                         (F.size(words) > 0) & (F.length(key) > 0)))
-    live = reps.filter("matchable")
-    cand = jaccard_pairs(live, cfg.near_threshold)
+
+
+def _combined_verify(cand: DataFrame, live: DataFrame, cfg: CombinedConfig) -> DataFrame:
+    sets = jaccard_sets(live)
+    near = verify_jaccard(cand, sets, cfg.near_threshold)
     ka = live.select(F.col("id").alias("id_a"), F.col("key").alias("ka"))
     kb = live.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
     if cfg.scorer == "ratio":
@@ -145,15 +182,34 @@ def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> Dat
         score = F.when(ts >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9), ts)
     else:
         raise ValueError("scorer must be 'ratio' or 'token_set'")
-    verified = (cand.join(ka, "id_a").join(kb, "id_b")
-                .select("id_a", "id_b", "jaccard", score.alias("score"))
-                .filter(F.col("score").isNotNull()))
-    return reps, verified
+    return (near.join(ka, "id_a").join(kb, "id_b")
+            .select("id_a", "id_b", "jaccard", score.alias("score"))
+            .filter(F.col("score").isNotNull()))
+
+
+def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()):
+    """D19 edges: near-duplicate candidates on the first column, verified by the fuzzy ratio
+    on all selected columns (intent of the reference: MinHash finds, fuzzy verifies)."""
+    reps = _combined_reps(df, cfg)
+    live = reps.filter("matchable")
+    sets = jaccard_sets(live)
+    prefix = jaccard_prefix(sets, cfg.near_threshold)
+    cand = jaccard_candidates(prefix, prefix, cfg.near_threshold)
+    return reps, _combined_verify(cand, live, cfg)
 
 
 def combined_dedup(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> DataFrame:
-    reps, verified = combined_pairs(df, cfg)
-    return _survivors(df, reps, verified, cfg.keep, cfg.id_col)
+    if cfg.keep == "none":
+        reps, verified = combined_pairs(df, cfg)
+        return _survivors(df, reps, verified, cfg.keep, cfg.id_col)
+    reps = _combined_reps(df, cfg)
+    t = cfg.near_threshold
+
+    def build(live):
+        prefix = cut_lineage(jaccard_prefix(jaccard_sets(live), t))
+        return (prefix, ["w"], (lambda pa, pb: jaccard_candidates(pa, pb, t)),
+                (lambda c: _combined_verify(c, live, cfg)))
+    return _seeded(df, reps, cfg.keep, cfg.id_col, build)
 
 
 def pair_quality(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def gram_size(threshold: float) -> int:
     return max(2, min(4, int(math.floor(t / (1.0 - t) + EPS))))
 
 
-def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key") -> DataFrame:
-    """All pairs (id_a < id_b) of non-empty keys with ratio >= threshold (0-100), with the score."""
+def edit_prefix(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key"):
+    """(keys, gram_items, prefix): keys (id, key, L); occurrence-numbered q-gram items
+    (id, L, g, occ); and each key's first k*q+1 items in rare-first global order."""
     q = gram_size(threshold)
     t = threshold / 100.0
     keys = (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"))
@@ -55,14 +56,30 @@ def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col:
               .withColumn("rk", F.row_number().over(rank))
               .filter(F.col("rk") <= kmax * q + 1)
               .select("id", "L", "g", "occ"))
-    a, b = prefix.alias("a"), prefix.alias("b")
+    return keys, gram_items, prefix
+
+
+def edit_candidates(pa: DataFrame, pb: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (id_a < id_b) sharing a prefix item and passing the length filter."""
+    t = threshold / 100.0
+    a, b = pa.alias("a"), pb.alias("b")
     lmax = F.greatest(F.col("a.L"), F.col("b.L"))
     lmin = F.least(F.col("a.L"), F.col("b.L"))
-    cand = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.occ") == F.col("b.occ"))
+    return (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.occ") == F.col("b.occ"))
                    & (F.col("a.id") < F.col("b.id")))
             .filter(lmin >= F.lit(t) * lmax - F.lit(EPS))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
-    return verify_edit_pairs(count_filter(cand, gram_items, threshold, q), keys, threshold)
+
+
+def edit_verify(cand: DataFrame, keys: DataFrame, gram_items: DataFrame, threshold: float) -> DataFrame:
+    """Count filter, then the bounded edit-distance ratio: (id_a, id_b, score)."""
+    return verify_edit_pairs(count_filter(cand, gram_items, threshold, gram_size(threshold)), keys, threshold)
+
+
+def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key") -> DataFrame:
+    """All pairs (id_a < id_b) of non-empty keys with ratio >= threshold (0-100), with the score."""
+    keys, gram_items, prefix = edit_prefix(items, threshold, id_col, key_col)
+    return edit_verify(edit_candidates(prefix, prefix, threshold), keys, gram_items, threshold)
 
 
 def count_filter(cand: DataFrame, gram_items: DataFrame, threshold: float, q: int) -> DataFrame:

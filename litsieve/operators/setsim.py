@@ -27,6 +27,30 @@ def _prefix_len(n, threshold: float):
     return n - F.ceil(F.lit(threshold) * n - F.lit(EPS)) + F.lit(1)
 
 
+def jaccard_prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, w): the first n - ceil(t*n) + 1 words of every set in rare-first global order."""
+    tokens = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    freq = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    rank = Window.partitionBy("id").orderBy("f", "w")
+    return (tokens.join(freq, "w")
+            .withColumn("rk", F.row_number().over(rank))
+            .filter(F.col("rk") <= _prefix_len(F.col("n"), threshold))
+            .select("id", "n", "w"))
+
+
+def jaccard_candidates(pa: DataFrame, pb: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (id_a < id_b) sharing a prefix word and passing the length filter."""
+    a, b = pa.alias("a"), pb.alias("b")
+    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
+                   & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - F.lit(EPS))
+                   & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - F.lit(EPS)))
+            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+
+
+def jaccard_sets(items: DataFrame, id_col: str = "id", words_col: str = "words") -> DataFrame:
+    return items.select(F.col(id_col).alias("id"), F.col(words_col).alias("words")).filter(F.size("words") > 0)
+
+
 def jaccard_pairs(items: DataFrame, threshold: float, id_col: str = "id", words_col: str = "words") -> DataFrame:
     """All pairs (id_a < id_b) whose distinct-word sets have Jaccard >= threshold.
 
@@ -34,20 +58,9 @@ def jaccard_pairs(items: DataFrame, threshold: float, id_col: str = "id", words_
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sets = items.select(F.col(id_col).alias("id"), F.col(words_col).alias("words")).filter(F.size("words") > 0)
-    tokens = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    freq = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    rank = Window.partitionBy("id").orderBy("f", "w")
-    prefix = (tokens.join(freq, "w")
-              .withColumn("rk", F.row_number().over(rank))
-              .filter(F.col("rk") <= _prefix_len(F.col("n"), threshold))
-              .select("id", "n", "w"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
-                   & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - F.lit(EPS))
-                   & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - F.lit(EPS)))
-            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
-    return verify_jaccard(cand, sets, threshold)
+    sets = jaccard_sets(items, id_col, words_col)
+    prefix = jaccard_prefix(sets, threshold)
+    return verify_jaccard(jaccard_candidates(prefix, prefix, threshold), sets, threshold)
 
 
 def verify_jaccard(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -58,22 +71,32 @@ def verify_jaccard(cand: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             .filter(F.col("jaccard") >= F.lit(threshold) - F.lit(EPS)))
 
 
-def lsh_pairs(items: DataFrame, threshold: float, bands: int = 16, rows: int = 8, id_col: str = "id",
-              words_col: str = "words", seed: int = 1, verify: bool = True) -> DataFrame:
-    """MinHash LSH candidates (bands x rows = permutations), verified by exact Jaccard.
-
-    16 x 8 is the default: at Jaccard 0.85 it finds a pair with probability 1-(1-.85^8)^16 > 0.99.
-    """
-    sets = items.select(F.col(id_col).alias("id"), F.col(words_col).alias("words")).filter(F.size("words") > 0)
+def lsh_banded(sets: DataFrame, bands: int = 16, rows: int = 8, seed: int = 1) -> DataFrame:
+    """(id, band, bucket): one bucket hash per band of the MinHash signature."""
     sig = sets.select("id", minhash_signature(F.col("words"), bands * rows, seed).alias("sig"))
-    banded = sig.select(
+    return sig.select(
         "id",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                                  lambda i: F.xxhash64(F.slice(F.col("sig"), i * rows + 1, rows)))).alias("band", "bucket"))
-    a, b = banded.alias("a"), banded.alias("b")
-    cand = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket"))
+
+
+def lsh_candidates(pa: DataFrame, pb: DataFrame) -> DataFrame:
+    """Distinct (id_a < id_b) sharing a (band, bucket)."""
+    a, b = pa.alias("a"), pb.alias("b")
+    return (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket"))
                    & (F.col("a.id") < F.col("b.id")))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+
+
+def lsh_pairs(items: DataFrame, threshold: float, bands: int = 16, rows: int = 8, id_col: str = "id",
+              words_col: str = "words", seed: int = 1, verify: bool = True) -> DataFrame:
+    """MinHash LSH candidates (bands x rows = permutations), verified by exact Jaccard.
+
+    16 x 8 is the default: at Jaccard 0.85 it finds a pair with probability 1-(1-.85^8)^16 > 0.99.
+    """
+    sets = jaccard_sets(items, id_col, words_col)
+    banded = lsh_banded(sets, bands, rows, seed)
+    cand = lsh_candidates(banded, banded)
     if not verify:
         return cand
     return verify_jaccard(cand, sets, threshold)

@@ -80,3 +80,31 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
     else:
         raise RuntimeError("greedy survivors did not converge")
     return state.filter(F.col("st") == REMOVED).select("id")
+
+
+def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify) -> DataFrame:
+    """Greedy removals (scan by ascending id) without pairing rows that are certainly removed.
+
+    * A row none of whose prefix keys is shared with an earlier row has no earlier similar row
+      (similar rows always share a prefix key): it is certainly kept (K0). Per prefix key only
+      its smallest id can be in K0, so this step is one aggregate and one join, no pairs.
+    * Rows similar to an earlier K0 row are certainly removed (R0): pairs K0 x list members,
+      at most one K0 row per prefix key, so linear in the posting lists.
+    * Only the remaining rows are paired with each other and resolved by ``greedy_removed``;
+      they have no similar K0 row, and R0 rows absorb nothing, so their subgraph decides them.
+
+    A dense cluster of near copies whose first row is in K0 is thus resolved with one pair per
+    member instead of all pairs inside the cluster.
+
+    prefix: (id, key columns..., filter columns); candidates(pa, pb) -> (id_a < id_b) sharing a
+    key; verify(cand) -> verified (id_a, id_b, ...).
+    """
+    mins = prefix.groupBy(*key_cols).agg(F.min("id").alias("__m"))
+    has_earlier = prefix.join(mins, key_cols).filter(F.col("__m") < F.col("id")).select("id").distinct()
+    ids = prefix.select("id").distinct()
+    k0 = cut_lineage(ids.join(has_earlier, "id", "left_anti"))
+    r0 = cut_lineage(verify(candidates(prefix.join(k0, "id", "left_semi"), prefix))
+                     .select(F.col("id_b").alias("id")).distinct())
+    rest = prefix.join(k0, "id", "left_anti").join(r0, "id", "left_anti")
+    edges = verify(candidates(rest, rest)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return r0.union(greedy_removed(edges, "first")).distinct()

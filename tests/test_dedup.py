@@ -181,3 +181,33 @@ def test_fuzzy_dedup_partition_independent(spark):
         out = rows(dn.fuzzy_dedup(p.repartition(n), dn.FuzzyConfig(columns=("Title",), threshold=90)), "paper_id")
         base = base or out
         assert out == base
+
+
+def test_seeded_near_dedup_equals_brute_force(spark):
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(25)]
+    texts = {}
+    base = rnd.sample(vocab, 12)
+    for i in range(60):  # a dense near-copy cluster plus noise, in shuffled id order
+        if rnd.random() < 0.6:
+            words = set(base)
+            if rnd.random() < 0.7:
+                words.discard(rnd.choice(base))
+            if rnd.random() < 0.5:
+                words.add(rnd.choice(vocab))
+        else:
+            words = set(rnd.sample(vocab, rnd.randint(1, 10)))
+        texts[i] = " ".join(sorted(words))
+    df = spark.createDataFrame(list(texts.items()), "paper_id long, Title string")
+    for t in (0.6, 0.8):
+        for keep in ("first", "last"):
+            sets = {i: set(v.split()) for i, v in texts.items()}
+            ids = sorted(sets)
+            edges = {(a, b) for a, b in itertools.combinations(ids, 2)
+                     if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t - 1e-9}
+            order = ids if keep == "first" else ids[::-1]
+            # identical texts collapse to their first (or last) row, which the greedy also does
+            want = set(ids) - _greedy(len(ids), edges, order)
+            got = {r[0] for r in dn.near_dedup(df, dn.NearConfig(text_cols=("Title",), threshold=t, keep=keep))
+                   .select("paper_id").collect()}
+            assert got == want, (t, keep)
