@@ -82,9 +82,15 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
     return state.filter(F.col("st") == REMOVED).select("id")
 
 
-def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify) -> DataFrame:
+HOT_LIST = 1000
+
+
+def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify, hot_list: int = HOT_LIST) -> DataFrame:
     """Greedy removals (scan by ascending id) without pairing rows that are certainly removed.
 
+    When no prefix key is shared by more than ``hot_list`` rows, every posting list is small
+    and the plain candidate join runs. Otherwise:
+
     * A row none of whose prefix keys is shared with an earlier row has no earlier similar row
       (similar rows always share a prefix key): it is certainly kept (K0). Per prefix key only
       its smallest id can be in K0, so this step is one aggregate and one join, no pairs.
@@ -99,12 +105,20 @@ def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify) -
     prefix: (id, key columns..., filter columns); candidates(pa, pb) -> (id_a < id_b) sharing a
     key; verify(cand) -> verified (id_a, id_b, ...).
     """
-    mins = prefix.groupBy(*key_cols).agg(F.min("id").alias("__m"))
-    has_earlier = prefix.join(mins, key_cols).filter(F.col("__m") < F.col("id")).select("id").distinct()
+    lists = prefix.groupBy(*key_cols).agg(F.min("id").alias("__m"), F.count(F.lit(1)).alias("__n"))
+    lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
+    longest = lists.agg(F.max("__n")).first()[0] or 0
+    if longest <= hot_list:
+        edges = verify(candidates(prefix, prefix)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        removed = greedy_removed(edges, "first")
+        lists.unpersist()
+        return removed
+    has_earlier = prefix.join(lists.select(*key_cols, "__m"), key_cols).filter(F.col("__m") < F.col("id")) \
+        .select("id").distinct()
     ids = prefix.select("id").distinct()
-    k0 = cut_lineage(ids.join(has_earlier, "id", "left_anti"))
-    r0 = cut_lineage(verify(candidates(prefix.join(k0, "id", "left_semi"), prefix))
-                     .select(F.col("id_b").alias("id")).distinct())
+    k0 = ids.join(has_earlier, "id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+    r0 = (verify(candidates(prefix.join(k0, "id", "left_semi"), prefix))
+          .select(F.col("id_b").alias("id")).distinct().persist(StorageLevel.MEMORY_AND_DISK))
     rest = prefix.join(k0, "id", "left_anti").join(r0, "id", "left_anti")
     edges = verify(candidates(rest, rest)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return r0.union(greedy_removed(edges, "first")).distinct()

@@ -211,3 +211,29 @@ def test_seeded_near_dedup_equals_brute_force(spark):
             got = {r[0] for r in dn.near_dedup(df, dn.NearConfig(text_cols=("Title",), threshold=t, keep=keep))
                    .select("paper_id").collect()}
             assert got == want, (t, keep)
+
+
+def test_seeded_path_on_hot_lists_equals_plain(spark):
+    from litsieve.operators import survivors as sv
+    from litsieve.operators.setsim import jaccard_candidates, jaccard_prefix, jaccard_sets, verify_jaccard
+    rnd = random.Random(5)
+    vocab = [f"v{i}" for i in range(20)]
+    base = rnd.sample(vocab, 10)
+    rows_ = []
+    for i in range(80):
+        words = set(base) if rnd.random() < 0.7 else set(rnd.sample(vocab, rnd.randint(2, 10)))
+        if rnd.random() < 0.5:
+            words.discard(rnd.choice(sorted(words)))
+        rows_.append((i, sorted(words)))
+    items = spark.createDataFrame(rows_, "id long, words array<string>")
+    sets = jaccard_sets(items)
+    prefix = jaccard_prefix(sets, 0.7)
+
+    def cands(pa, pb):
+        return jaccard_candidates(pa, pb, 0.7)
+
+    def verify(c):
+        return verify_jaccard(c, sets, 0.7)
+    plain = {r[0] for r in sv.seeded_removed(prefix, ["w"], cands, verify, hot_list=10 ** 9).collect()}
+    seeded = {r[0] for r in sv.seeded_removed(prefix, ["w"], cands, verify, hot_list=2).collect()}
+    assert plain == seeded and plain
