@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +126,9 @@ def near_dedup(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
         sets = jaccard_sets(live)
         verify = (lambda c: verify_jaccard(c, sets, t))
         if cfg.method == "lsh":
-            banded = cut_lineage(lsh_banded(sets, cfg.bands, cfg.rows))
+            banded = lsh_banded(sets, cfg.bands, cfg.rows).persist(StorageLevel.MEMORY_AND_DISK)
             return banded, ["band", "bucket"], lsh_candidates, verify
-        prefix = cut_lineage(jaccard_prefix(sets, t))
+        prefix = jaccard_prefix(sets, t).persist(StorageLevel.MEMORY_AND_DISK)
         return prefix, ["w"], (lambda pa, pb: jaccard_candidates(pa, pb, t)), verify
     return _seeded(df, reps, cfg.keep, cfg.id_col, build)
 
@@ -156,7 +157,7 @@ def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 
     def build(live):
         keys, gram_items, prefix = edit_prefix(live, t)
-        prefix = cut_lineage(prefix)
+        prefix = prefix.persist(StorageLevel.MEMORY_AND_DISK)
         return (prefix, ["g", "occ"], (lambda pa, pb: edit_candidates(pa, pb, t)),
                 (lambda c: edit_verify(c, keys, gram_items, t)))
     return _seeded(df, reps, cfg.keep, cfg.id_col, build)
@@ -206,7 +207,7 @@ def combined_dedup(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> Dat
     t = cfg.near_threshold
 
     def build(live):
-        prefix = cut_lineage(jaccard_prefix(jaccard_sets(live), t))
+        prefix = jaccard_prefix(jaccard_sets(live), t).persist(StorageLevel.MEMORY_AND_DISK)
         return (prefix, ["w"], (lambda pa, pb: jaccard_candidates(pa, pb, t)),
                 (lambda c: _combined_verify(c, live, cfg)))
     return _seeded(df, reps, cfg.keep, cfg.id_col, build)
