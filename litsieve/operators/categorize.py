@@ -65,7 +65,9 @@ def phrase_labels_join(df: DataFrame, text_cols, lexicon: Lexicon, out_col: str
     words = df.select(id_col, F.split(search_text(text_cols, lower=True), " ").alias("__w"))
     grams = words.select(
         id_col, F.explode(F.array(*[_ngrams(F.col("__w"), n) for n in lengths])).alias("__g"),
-    ).select(id_col, F.explode("__g").alias("phrase")).distinct()
+    ).select(id_col, F.explode("__g").alias("phrase"))
+    # the lexicon frame's size is known here; up to 100k phrases it is broadcast and the n-grams
+    # are matched map-side, so only the hits are shuffled (grouped per paper)
     small = F.broadcast(lex_df) if len(rows) <= 100_000 else lex_df
     hits = grams.join(small, "phrase").groupBy(id_col).agg(
         F.array_join(F.array_sort(F.collect_set("category")), LABEL_SEPARATOR).alias(out_col))
