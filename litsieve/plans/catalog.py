@@ -908,3 +908,22 @@ def q_combined_pairs_token_set(spark, sf_dir):
     """Near-duplicate candidates verified with the token-set scorer instead of the ratio."""
     _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, scorer="token_set"))
     return verified
+
+
+# ---------------------------------------------------------------- sinks and sources round trip
+
+@register("csv_roundtrip", f"SELECT * FROM {PAPERS} p")
+def q_csv_roundtrip(spark, sf_dir):
+    """K1 + S1: the whole paper table written as CSV into the shared checkpoint folder and read
+    back (header, quoted newlines and commas, outer blanks kept, NULL vs '' kept)."""
+    import os
+    import uuid
+
+    from litsieve.session import ensure_checkpoint_dir
+    from litsieve.sinks.files import write_csv
+    from litsieve.sources.landed import read_csv_table
+    p = papers(spark, sf_dir)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"csv-roundtrip-{uuid.uuid4().hex}")
+    write_csv(p, path, columns=p.columns)
+    back = read_csv_table(spark, path, infer=False)
+    return back.select(F.col("paper_id").cast("bigint").alias("paper_id"), *[F.col(c) for c in p.columns[1:]])

@@ -27,7 +27,11 @@ def write_csv(df: DataFrame, path: str, columns=None, single_file: bool = False,
     out = df.select(*cols)
     if single_file:
         out = out.coalesce(1)
-    (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False).csv(path))
+    # keep outer blanks (the CSV writer trims them by default) and write '' as a quoted empty field,
+    # so NULL and '' stay distinct after a round trip
+    (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", '""').csv(path))
     return path
 
 
