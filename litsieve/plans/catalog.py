@@ -927,3 +927,35 @@ def q_csv_roundtrip(spark, sf_dir):
     write_csv(p, path, columns=p.columns)
     back = read_csv_table(spark, path, infer=False)
     return back.select(F.col("paper_id").cast("bigint").alias("paper_id"), *[F.col(c) for c in p.columns[1:]])
+
+
+def _shared_folder(spark, prefix: str) -> str:
+    import os
+    import uuid
+
+    from litsieve.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{prefix}-{uuid.uuid4().hex}")
+
+
+@register("stage_roundtrip", ORACLE["exact_first"])
+def q_stage_roundtrip(spark, sf_dir):
+    """K5 + S2: stage-2 output saved as a Parquet stage checkpoint and read back."""
+    from litsieve.sinks.files import save_stage
+    out = save_stage(_shared_folder(spark, "stages"), 2, dx.exact_dedup(papers(spark, sf_dir), dx.ExactConfig()))
+    return spark.read.parquet(out["processed"])
+
+
+@register("category_partitions", "SELECT paper_id, primary_category, substr(regexp_replace(primary_category, "
+          "'[\\\\/*?:\\[\\]]', '_', 'g'), 1, 31) AS category_key FROM (" + _c1_sql() + ") c")
+def q_category_partitions(spark, sf_dir):
+    """K3: one output partition per category, read back with its partition key."""
+    import os
+
+    from litsieve.sinks.files import write_by_category
+    labelled = cz.phrase_labels(papers(spark, sf_dir), TEXT_COLS, lx.CORE, lx.ADDITIONAL).select(
+        "paper_id", "primary_category")
+    root = _shared_folder(spark, "by-category")
+    write_by_category(labelled, os.path.join(root, "papers"))
+    # explicit schema: the partition key stays text (no type inference on key values)
+    return spark.read.schema("paper_id bigint, primary_category string, category_key string").parquet(
+        os.path.join(root, "papers"))
