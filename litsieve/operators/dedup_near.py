@@ -58,21 +58,27 @@ class CombinedConfig:
     scorer: str = "ratio"  # 'ratio' (edit distance) or 'token_set' (D14)
 
 
-def _representatives(df: DataFrame, id_col: str, group_key: Column, payload: dict[str, Column], keep: str,
-                     matchable: Column) -> DataFrame:
+def _representatives(df: DataFrame, id_col: str, payload: dict[str, Column], group_key, matchable, keep: str) -> DataFrame:
     """One row per identical group: rep id (first in scan order), group size, payload.
 
-    Groups are formed on a SHA-256 digest of the group key (hash aggregate, combined map-side);
-    the payload is then computed only for the representative rows, joined on the unique id.
-    Rows that cannot match anything (``matchable`` false) stay singletons.
+    The payload (word set, cleaned key) is computed once per row and kept (memory + disk) for
+    the two branches that read it; groups are formed on a SHA-256 digest of ``group_key()`` (a
+    hash aggregate, combined map-side) and joined back on the unique id. ``group_key`` and
+    ``matchable`` build expressions over the payload columns. Rows that cannot match anything
+    stay singletons. The result is cut with a reliable checkpoint: the joins, the verification
+    and the survivor rounds all read it.
     """
-    rep_id = F.min(id_col) if keep in ("first", "none") else F.max(id_col)
-    key = F.when(matchable, group_key).otherwise(F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-    groups = (df.select(F.col(id_col), F.sha2(key, 256).alias("__gk")).groupBy("__gk")
-              .agg(rep_id.alias(id_col), F.count(F.lit(1)).alias("group_size")))
-    reps = df.join(groups.select(id_col, "group_size").hint("shuffle_hash"), id_col)
-    return reps.select(F.col(id_col).alias("id"), "group_size", matchable.alias("matchable"),
-                       *[c.alias(n) for n, c in payload.items()])
+    base = df.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in payload.items()]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    rep_id = F.min("id") if keep in ("first", "none") else F.max("id")
+    m = matchable()
+    key = F.when(m, group_key()).otherwise(F.concat(F.lit("\u0000"), F.col("id").cast("string")))
+    groups = (base.select("id", F.sha2(key, 256).alias("__gk")).groupBy("__gk")
+              .agg(rep_id.alias("id"), F.count(F.lit(1)).alias("group_size")))
+    reps = base.join(groups.select("id", "group_size").hint("shuffle_hash"), "id")
+    out = cut_lineage(reps.select("id", "group_size", m.alias("matchable"), *payload))
+    base.unpersist()
+    return out
 
 
 def _survivors(df: DataFrame, reps: DataFrame, edges: DataFrame, keep: str, id_col: str) -> DataFrame:
@@ -99,9 +105,9 @@ def _seeded(df: DataFrame, reps: DataFrame, keep: str, id_col: str, build) -> Da
 
 
 def near_items(df: DataFrame, cfg: NearConfig) -> DataFrame:
-    words = word_set(search_text(cfg.text_cols))
-    sorted_key = F.array_join(F.array_sort(words), " ")
-    return _representatives(df, cfg.id_col, sorted_key, {"words": words}, cfg.keep, F.size(words) > 0)
+    return _representatives(df, cfg.id_col, {"words": word_set(search_text(cfg.text_cols))},
+                            lambda: F.array_join(F.array_sort(F.col("words")), " "),
+                            lambda: F.size(F.col("words")) > 0, cfg.keep)
 
 
 def near_pairs(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
@@ -114,7 +120,7 @@ def near_pairs(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
 
 def near_dedup(df: DataFrame, cfg: NearConfig = NearConfig()) -> DataFrame:
     """Keep the earliest row of every near-duplicate run (greedy), drop the rest."""
-    reps = cut_lineage(near_items(df, cfg))  # feeds the join, the verification and the survivors
+    reps = near_items(df, cfg)  # checkpointed: feeds the join, the verification and the survivors
     if cfg.keep == "none":
         live = reps.filter("matchable")
         pairs = lsh_pairs(live, cfg.threshold, cfg.bands, cfg.rows) if cfg.method == "lsh" \
@@ -139,8 +145,8 @@ def fuzzy_key(cols) -> Column:
 
 
 def fuzzy_items(df: DataFrame, cfg: FuzzyConfig) -> DataFrame:
-    key = fuzzy_key(cfg.columns)
-    return _representatives(df, cfg.id_col, key, {"key": key}, cfg.keep, F.length(key) > 0)
+    return _representatives(df, cfg.id_col, {"key": fuzzy_key(cfg.columns)}, lambda: F.col("key"),
+                            lambda: F.length(F.col("key")) > 0, cfg.keep)
 
 
 def fuzzy_pairs(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
@@ -150,7 +156,7 @@ def fuzzy_pairs(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 
 def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """Greedy fuzzy de-duplication with keep first / last / none."""
-    reps = cut_lineage(fuzzy_items(df, cfg))
+    reps = fuzzy_items(df, cfg)
     if cfg.keep == "none":
         return _survivors(df, reps, edit_pairs(reps.filter("matchable"), cfg.threshold), cfg.keep, cfg.id_col)
     t = cfg.threshold
@@ -164,11 +170,10 @@ def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 
 
 def _combined_reps(df: DataFrame, cfg: CombinedConfig) -> DataFrame:
-    words = word_set(search_text(cfg.columns[:1]))
-    key = fuzzy_key(cfg.columns)
-    group = F.concat_ws("\u0001", F.array_join(F.array_sort(words), " "), key)
-    return cut_lineage(_representatives(df, cfg.id_col, group, {"words": words, "key": key}, cfg.keep,
-                                        (F.size(words) > 0) & (F.length(key) > 0)))
+    return _representatives(
+        df, cfg.id_col, {"words": word_set(search_text(cfg.columns[:1])), "key": fuzzy_key(cfg.columns)},
+        lambda: F.concat_ws("\u0001", F.array_join(F.array_sort(F.col("words")), " "), F.col("key")),
+        lambda: (F.size(F.col("words")) > 0) & (F.length(F.col("key")) > 0), cfg.keep)
 
 
 def _combined_verify(cand: DataFrame, live: DataFrame, cfg: CombinedConfig) -> DataFrame:
