@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from litsieve.functions.similarity import EPS, bounded_ratio, max_edits
 from litsieve.session import cut_lineage
 
+BROADCAST_SIGNATURE_BYTES = 64 << 20
+
 PAD_LEFT = "\u0001"
 PAD_RIGHT = "\u0002"
 
@@ -93,6 +95,10 @@ def count_filter(cand: DataFrame, gram_items: DataFrame, threshold: float, q: in
                                           F.count(F.lit(1)).alias("n"))
     sa = sig.select(F.col("id").alias("id_a"), F.col("L").alias("La"), F.col("h").alias("ha"), F.col("n").alias("na"))
     sb = sig.select(F.col("id").alias("id_b"), F.col("L").alias("Lb"), F.col("h").alias("hb"), F.col("n").alias("nb"))
+    # the signature table holds one 4-byte hash per item: when the item count proves it small,
+    # broadcast it so the candidate pairs are filtered map-side; otherwise shuffle joins on the id
+    if gram_items.count() * 4 <= BROADCAST_SIGNATURE_BYTES:
+        sa, sb = F.broadcast(sa), F.broadcast(sb)
     lmax = F.greatest("La", "Lb")
     k = max_edits(lmax, threshold)
     need = lmax + q - 1 - k * q
