@@ -85,7 +85,7 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
 HOT_LIST = 1000
 
 
-def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify, hot_list: int = HOT_LIST) -> DataFrame:
+def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify, hot_list: int | None = None) -> DataFrame:
     """Greedy removals (scan by ascending id) without pairing rows that are certainly removed.
 
     When no prefix key is shared by more than ``hot_list`` rows, every posting list is small
@@ -105,6 +105,7 @@ def seeded_removed(prefix: DataFrame, key_cols: list[str], candidates, verify, h
     prefix: (id, key columns..., filter columns); candidates(pa, pb) -> (id_a < id_b) sharing a
     key; verify(cand) -> verified (id_a, id_b, ...).
     """
+    hot_list = HOT_LIST if hot_list is None else hot_list
     lists = prefix.groupBy(*key_cols).agg(F.min("id").alias("__m"), F.count(F.lit(1)).alias("__n"))
     lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
     longest = lists.agg(F.max("__n")).first()[0] or 0

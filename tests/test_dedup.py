@@ -237,3 +237,23 @@ def test_seeded_path_on_hot_lists_equals_plain(spark):
     plain = {r[0] for r in sv.seeded_removed(prefix, ["w"], cands, verify, hot_list=10 ** 9).collect()}
     seeded = {r[0] for r in sv.seeded_removed(prefix, ["w"], cands, verify, hot_list=2).collect()}
     assert plain == seeded and plain
+
+
+def test_seeded_path_through_dedup_entry_points(spark, monkeypatch):
+    """Force the seeded path (every posting list counts as hot) for near, fuzzy and combined
+    de-dup with keep first and last, and compare with the plain path."""
+    from litsieve.operators import survivors as sv
+    from litsieve.plans.catalog import papers
+    p = papers(spark, "/root/testdata/sf0.001")
+    cases = [
+        lambda keep: dn.near_dedup(p, dn.NearConfig(text_cols=("Title", "Abstract"), threshold=0.6, keep=keep)),
+        lambda keep: dn.fuzzy_dedup(p, dn.FuzzyConfig(columns=("Title",), threshold=85, keep=keep)),
+        lambda keep: dn.combined_dedup(p, dn.CombinedConfig(columns=("Title", "DOI"), keep=keep)),
+    ]
+    for run in cases:
+        for keep in ("first", "last"):
+            monkeypatch.setattr(sv, "HOT_LIST", 10 ** 9)
+            plain = rows(run(keep), "paper_id")
+            monkeypatch.setattr(sv, "HOT_LIST", 1)
+            seeded = rows(run(keep), "paper_id")
+            assert plain == seeded, keep
