@@ -959,3 +959,26 @@ def q_category_partitions(spark, sf_dir):
     # explicit schema: the partition key stays text (no type inference on key values)
     return spark.read.schema("paper_id bigint, primary_category string, category_key string").parquet(
         os.path.join(root, "papers"))
+
+
+
+@register("crossref_roundtrip", "SELECT " + strip_sql('"Title"') + " AS \"Title\", coalesce(" + strip_sql('"Abstract"')
+          + ", '') AS \"Abstract\", \"Year\", coalesce(\"DOI\", '') AS \"DOI\", 'Crossref' AS \"Source\" "
+          f"FROM {PAPERS} p")
+def q_crossref_roundtrip(spark, sf_dir):
+    """S5 (+ S7 source tag): the paper table landed as Crossref response pages of at most 100
+    works (JSON Lines, one page per line), then read with the Crossref mapping."""
+    import os
+
+    from litsieve.sources.landed import read_crossref
+    p = papers(spark, sf_dir)
+    item = F.struct(F.array(F.col("Title")).alias("title"), F.col("Abstract").alias("abstract"),
+                    F.struct(F.array(F.array(F.col("Year").cast("int"))).alias("date-parts")).alias("created"),
+                    F.col("DOI").alias("DOI"))
+    # pages of <= 100 items, like the API's result cap: every group is bounded
+    pages = (p.groupBy(F.floor(F.col("paper_id") / 100).alias("page"))
+             .agg(F.collect_list(item).alias("items"))
+             .select(F.struct(F.col("items")).alias("message")))
+    path = os.path.join(_shared_folder(spark, "crossref"), "landed")
+    pages.write.json(path)
+    return read_crossref(spark, path, multi_line=False).select("Title", "Abstract", "Year", "DOI", "Source")

@@ -118,10 +118,13 @@ def read_arxiv(spark: SparkSession, path: str, with_quarantine: bool = False):
     return (papers, bad) if with_quarantine else papers
 
 
-def read_crossref(spark: SparkSession, path: str, with_quarantine: bool = False):
+def read_crossref(spark: SparkSession, path: str, with_quarantine: bool = False, multi_line: bool = True):
     """Crossref works JSON -> papers. title[0]; abstract else abstracts[0].text; year from
-    published date-parts, else created (B14); DOI; Source 'Crossref'."""
-    raw = (spark.read.schema(CROSSREF_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+    published date-parts, else created (B14); DOI; Source 'Crossref'.
+
+    ``multi_line`` reads one (pretty-printed) response per file; set it to False for JSON Lines
+    (one response per line), which splits across tasks."""
+    raw = (spark.read.schema(CROSSREF_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     good, bad = split_corrupt(raw)
     items = good.select(F.explode("message.items").alias("it"))
