@@ -982,3 +982,27 @@ def q_crossref_roundtrip(spark, sf_dir):
     path = os.path.join(_shared_folder(spark, "crossref"), "landed")
     pages.write.json(path)
     return read_crossref(spark, path, multi_line=False).select("Title", "Abstract", "Year", "DOI", "Source")
+
+
+
+@register("pubmed_roundtrip", "SELECT " + strip_sql("regexp_replace(\"Title\", '<[^>]+>', '', 'g')") + " AS \"Title\", "
+          "coalesce(" + strip_sql('"Abstract"') + ", '') AS \"Abstract\", \"Year\", coalesce(\"DOI\", '') AS \"DOI\", "
+          f"'PubMed' AS \"Source\" FROM {PAPERS} p")
+def q_pubmed_roundtrip(spark, sf_dir):
+    """S3: the paper table landed as PubMed EFetch XML with the XML writer, then read with the
+    PubMed mapping (tags stripped from titles, first abstract part, PubDate year, DOI id)."""
+    import os
+
+    from litsieve.sources.landed import read_pubmed
+    p = papers(spark, sf_dir)
+    article = F.struct(
+        F.col("Title").alias("ArticleTitle"),
+        F.struct(F.when(F.col("Abstract").isNotNull(), F.array(F.col("Abstract")))
+                 .otherwise(F.array().cast("array<string>")).alias("AbstractText")).alias("Abstract"),
+        F.struct(F.struct(F.struct(F.col("Year").alias("Year")).alias("PubDate")).alias("JournalIssue")).alias("Journal"))
+    ids = F.when(F.col("DOI").isNotNull(), F.array(F.struct(F.col("DOI").alias("_VALUE"), F.lit("doi").alias("_IdType"))))
+    landed = p.select(F.struct(article.alias("Article")).alias("MedlineCitation"),
+                      F.struct(F.struct(ids.alias("ArticleId")).alias("ArticleIdList")).alias("PubmedData"))
+    path = os.path.join(_shared_folder(spark, "pubmed"), "landed")
+    landed.write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
+    return read_pubmed(spark, path).select("Title", "Abstract", "Year", "DOI", "Source")
