@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm import langid, mixing, packing, sharding, simhash, topk
+from litsieve.llm import extract, langid, lblm, mixing, packing, rarefeatures, sharding, simhash, topk, warc
 from litsieve.session import read_table
 
 
@@ -15,6 +15,11 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(read_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,6 +29,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixture(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
@@ -37,13 +50,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rarefeatures.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op3_simhash, op4_best_fit_packing, op7_mixing, op8_sharding,
-                                   op9_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_maxscore_topk, op2_warc_index_merge, op3_simhash, op4_best_fit_packing, op5_page_differencing, op6_log_bilinear,
+    op7_mixing, op8_sharding, op9_language_id, op10_improbable_features, pipeline)}
 
 ORACLE = {
     "op1_maxscore_topk": """
@@ -54,4 +72,9 @@ ORACLE = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op2_warc_index_merge": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM f""",
 }
