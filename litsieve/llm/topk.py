@@ -6,7 +6,7 @@ components above the shard's smallest (for a negative query component: below the
 contributions are non-negative and a term's score bound is |q| times its range. Terms are ordered by bound;
 the trailing ones whose bounds cannot lift a candidate past the query's threshold are non-essential.
 Essential postings are traversed for all candidates of a run at once; the others are probed only for
-candidates that are still competitive, in two steps. Everything is integer arithmetic held in doubles
+candidates that are still competitive, in two steps, or in one matrix product where they are many. Everything is integer arithmetic held in doubles
 while sums stay below 2^53 (else in 64-bit integers), so scores are exact.
 """
 
@@ -21,6 +21,7 @@ K = 20
 SHARD_ROWS = 4_096       # candidates of a cell
 BLOCK_ROWS = 4_096       # queries of a cell
 RUN_ROWS, RUN_QUERIES = 1_024, 512
+PROBE_SHARE = 64         # above one in so many still competitive, probing is one matrix product
 SCALE = 64
 
 
@@ -70,24 +71,29 @@ def maxscore(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, queries:
             if r == 0 and part.shape[1] > k:          # a first threshold from this run alone
                 seen = np.where(own[:, None] == some[None, :], -np.inf, part)
                 threshold = np.partition(seen, -k, axis=1)[:, -k] - 0.5
-            qi, di = np.nonzero((part + spare[:, None] > threshold[:, None]) & (own[:, None] != some[None, :]))
+            other = own[:, None] != some[None, :]
+            live = (part + spare[:, None] > threshold[:, None]) & other
+            many = np.count_nonzero(live) * PROBE_SHARE > live.size and skip.any()
+            if many:                                  # probed as one matrix product
+                part += (q * ~essential) @ post.T + np.where(~essential & (q < 0), bound, 0).sum(axis=1)[:, None]
+                live = (part > threshold[:, None]) & other
+            qi, di = np.nonzero(live)
             score = part[qi, di]
             for step in (0, 1):                       # probe the stronger half of the rest, then the others
-                if not skip.any() or not len(qi):
+                if many or not skip.any() or not len(qi):
                     break
                 half = skip // 2
                 rank = np.empty_like(order)
                 np.put_along_axis(rank, order, np.arange(q.shape[1])[None, :], axis=1)
                 now = (rank < skip[:, None]) & ((rank >= half[:, None]) if step == 0 else (rank < half[:, None]))
                 weight = np.where(now, q, 0)
-                fixed = np.where(now & (q < 0), bound, 0).sum(axis=1)
-                score = score + fixed[qi]
+                score = score + np.where(now & (q < 0), bound, 0).sum(axis=1)[qi]
                 for at in range(0, len(qi), 1 << 15):
                     part_q, part_d = qi[at:at + (1 << 15)], di[at:at + (1 << 15)]
                     score[at:at + (1 << 15)] += np.einsum("ij,ij->i", weight[part_q], post[part_d])
                 left = np.where(half > 0, np.take_along_axis(reach, np.maximum(half - 1, 0)[:, None], axis=1)[:, 0], 0) if step == 0 else np.zeros(len(q))
-                live = score + left[qi] > threshold[qi]
-                qi, di, score = qi[live], di[live], score[live]
+                keep = score + left[qi] > threshold[qi]
+                qi, di, score = qi[keep], di[keep], score[keep]
             best_q, best_i, best_s = (np.concatenate(x) for x in ((best_q, qi), (best_i, some[di]), (best_s, score)))
             by = np.lexsort((best_i, -best_s, best_q))
             best_q, best_i, best_s = best_q[by], best_i[by], best_s[by]

@@ -19,8 +19,10 @@ def brute(rows, queries, k):
     return out
 
 
+@pytest.mark.parametrize("share", [0.5, 64, 10**9])
 @pytest.mark.parametrize("k", [1, 5, 20])
-def test_maxscore_cell_matches_brute_force(k, monkeypatch):
+def test_maxscore_cell_matches_brute_force(k, share, monkeypatch):
+    monkeypatch.setattr(topk, "PROBE_SHARE", share)
     monkeypatch.setattr(topk, "RUN_ROWS", 64)
     monkeypatch.setattr(topk, "RUN_QUERIES", 7)
     rng = np.random.default_rng(k)
