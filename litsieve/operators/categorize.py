@@ -1,9 +1,9 @@
 """Keyword and phrase categorisation.
 
 Lexicons are small user input, so each is compiled into literal column expressions: one
-projection, no shuffle and no join. For a lexicon above ``MAX_LITERAL_TERMS`` terms the
-whole-phrase tagger switches to an equi-join of word n-grams against the exploded lexicon
-(``phrase_labels_join``), still without a cross join.
+projection, no shuffle and no join, whatever the number of terms. ``phrase_labels_join`` is a
+separate operator for lexicons that come as large tables: an equi-join of word n-grams against
+the exploded lexicon, still without a cross join.
 """
 
 from __future__ import annotations
@@ -16,14 +16,12 @@ from litsieve.functions.columns import string_columns
 from litsieve.functions.lexicon import Lexicon
 from litsieve.functions.text import alternation, padded_contains, search_text
 
-MAX_LITERAL_TERMS = 512
-
 
 def _any(conds: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conds:
-        out = out | c
-    return out
+    """OR of the conditions as a balanced tree, so its depth stays small for any number of them."""
+    while len(conds) > 1:
+        conds = [conds[i] | conds[i + 1] if i + 1 < len(conds) else conds[i] for i in range(0, len(conds), 2)]
+    return conds[0] if conds else F.lit(False)
 
 
 def _phrase_hits(padded_text: str, lexicon: Lexicon) -> Column:
@@ -42,8 +40,6 @@ def phrase_labels(df: DataFrame, text_cols, core: Lexicon, additional: Lexicon |
     Blank-delimited only: punctuation is not removed and newlines are not blanks.
     """
     lex = core.merged(additional) if additional else core
-    if lex.term_count() > MAX_LITERAL_TERMS:
-        return phrase_labels_join(df, text_cols, lex, out_col)
     tmp = "__search"
     with_text = df.withColumn(tmp, search_text(text_cols, lower=True))
     hits = F.array_sort(_phrase_hits(tmp, lex))
@@ -53,7 +49,7 @@ def phrase_labels(df: DataFrame, text_cols, core: Lexicon, additional: Lexicon |
 
 def phrase_labels_join(df: DataFrame, text_cols, lexicon: Lexicon, out_col: str = "primary_category",
                        id_col: str = "paper_id") -> DataFrame:
-    """C1 for large lexicons: blank-split n-grams of the text joined to the exploded lexicon.
+    """C1 over large lexicons, as an operator of its own: blank-split n-grams of the text joined to the exploded lexicon.
 
     The lexicon side is built on the driver from a lexicon we hold in memory, so its size is
     known before it is broadcast; the text side is never replicated.

@@ -96,12 +96,12 @@ def exact_dedup(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
     Plan: hash aggregate of (key digest, id) -> kept ids -> semi join on the unique id. A key
     holding a third of all rows collapses map-side; the join key (id) is uniform.
     """
-    return df.join(kept_ids(df, cfg).hint("shuffle_hash"), cfg.id_col, "left_semi")
+    return df.join(kept_ids(df, cfg), cfg.id_col, "left_semi")
 
 
 def duplicate_rows(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:
     """The rows the keep rule removes (anti join on the unique id, no key skew)."""
-    return df.join(kept_ids(df, cfg).hint("shuffle_hash"), cfg.id_col, "left_anti")
+    return df.join(kept_ids(df, cfg), cfg.id_col, "left_anti")
 
 
 def duplicate_flags(df: DataFrame, cfg: ExactConfig = ExactConfig()) -> DataFrame:

@@ -75,7 +75,7 @@ def _representatives(df: DataFrame, id_col: str, payload: dict[str, Column], gro
     key = F.when(m, group_key()).otherwise(F.concat(F.lit("\u0000"), F.col("id").cast("string")))
     groups = (base.select("id", F.sha2(key, 256).alias("__gk")).groupBy("__gk")
               .agg(rep_id.alias("id"), F.count(F.lit(1)).alias("group_size")))
-    reps = base.join(groups.select("id", "group_size").hint("shuffle_hash"), "id")
+    reps = base.join(groups.select("id", "group_size"), "id")
     out = cut_lineage(reps.select("id", "group_size", m.alias("matchable"), *payload))
     base.unpersist()
     return out

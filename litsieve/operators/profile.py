@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -50,7 +50,9 @@ def overview(df: DataFrame) -> DataFrame:
     nulls = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("long") for c in df.columns])
     # rows are grouped on a SHA-256 digest of their JSON form (NULL fields are omitted by name,
     # so NULL and '' stay distinct): 32-byte keys in the shuffle instead of whole rows
-    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
+    # atomic values are cast to text first: JSON prints timestamps in milliseconds only
+    atomic = {f.name: not isinstance(f.dataType, (ArrayType, BinaryType, MapType, StructType)) for f in df.schema.fields}
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if atomic[c] else F.col(c) for c in df.columns])), 256)
     groups = (df.select(digest.alias("__h"), nulls.alias("__nulls")).groupBy("__h")
               .agg(F.count(F.lit(1)).alias("__n"), F.max("__nulls").alias("__nulls")))
     tot = groups.agg(F.sum("__n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"),
@@ -128,7 +130,10 @@ def order_statistics(df: DataFrame, col: str | Column, ranks: list[int], buckets
         parts = []
         for idx, (lo, hi) in enumerate(intervals):
             width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            if width and math.isfinite(width):
+                b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            else:  # infinite ends, or values too close to divide: part the ends from the rest
+                b = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, 2).otherwise(1)
             parts.append(vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
                          .select(F.lit(idx).alias("iv"), b.alias("b"), "v"))
         hist = (reduce(DataFrame.unionByName, parts).groupBy("iv", "b")
@@ -150,6 +155,8 @@ def order_statistics(df: DataFrame, col: str | Column, ranks: list[int], buckets
                             fetch.append(r)
                         break
                     acc += cell["n"]
+                else:
+                    raise ValueError(f"rank {r} is beyond the {acc} values of the column")
         for r in fetch:
             lo, hi, below = state[r]
             got = [row["v"] for row in vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
@@ -161,7 +168,7 @@ def order_statistics(df: DataFrame, col: str | Column, ranks: list[int], buckets
 def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float]) -> dict[float, float]:
     """Linear-interpolated quantiles (the usual 'type 7' / quantile_cont definition)."""
     v = (F.col(col) if isinstance(col, str) else col)
-    n = df.select(v.alias("v")).filter(F.col("v").isNotNull()).count()
+    n = df.select(v.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).count()
     if n == 0:
         return {p: None for p in probs}
     need = {}

@@ -13,6 +13,8 @@ rounds. The fixpoint equals the sequential scan.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,7 @@ def orient(edges: DataFrame, keep: str = "first") -> DataFrame:
     raise ValueError("orient needs keep='first' or 'last'")
 
 
-def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_000,
-                   checkpoint_every: int = 4) -> DataFrame:
+def greedy_removed(edges: DataFrame, keep: str = "first", checkpoint_every: int = 4) -> DataFrame:
     """Ids removed by the greedy scan over an undirected edge list (a, b).
 
     keep='none' removes every row that has any neighbour. Per round: one join of the live
@@ -50,7 +51,7 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
     state = cut_lineage(nodes.join(targets, "id", "left")
                         .select("id", F.when(F.col("__t"), F.lit(UNDECIDED)).otherwise(F.lit(KEPT)).alias("st")))
     held = []
-    for rnd in range(1, max_rounds + 1):
+    for rnd in count(1):  # every round decides the smallest undecided row, so the rounds end
         # edges whose source is kept remove their target; edges from undecided sources stay live;
         # edges from removed sources no longer matter
         live = e.join(state.select(F.col("id").alias("src"), F.col("st").alias("s_st")), "src") \
@@ -77,8 +78,6 @@ def greedy_removed(edges: DataFrame, keep: str = "first", max_rounds: int = 10_0
             held += [e, state]
         if state.filter(F.col("st") == UNDECIDED).isEmpty():
             break
-    else:
-        raise RuntimeError("greedy survivors did not converge")
     return state.filter(F.col("st") == REMOVED).select("id")
 
 

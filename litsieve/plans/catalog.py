@@ -985,7 +985,7 @@ def q_crossref_roundtrip(spark, sf_dir):
 
 
 
-@register("pubmed_roundtrip", "SELECT " + strip_sql("regexp_replace(\"Title\", '<[^>]+>', '', 'g')") + " AS \"Title\", "
+@register("pubmed_roundtrip", "SELECT " + strip_sql('"Title"') + " AS \"Title\", "
           "coalesce(" + strip_sql('"Abstract"') + ", '') AS \"Abstract\", \"Year\", coalesce(\"DOI\", '') AS \"DOI\", "
           f"'PubMed' AS \"Source\" FROM {PAPERS} p")
 def q_pubmed_roundtrip(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.constants import NAME_MAX_LENGTH, UNCATEGORIZED, UNSAFE_NAME_CHARS
@@ -66,13 +66,14 @@ def write_by_category(df: DataFrame, path: str, category_col: str = "primary_cat
                       uncategorized: str = UNCATEGORIZED, fmt: str = "parquet") -> DataFrame:
     """K3: one output partition per category (multi-labels stay one key), plus the count table.
 
-    Returns the summary counts (G1) and raises if two categories share a sanitised key.
+    Returns the summary counts (G1). Categories whose sanitised keys coincide get a digest suffix each.
     """
-    keyed = df.withColumn("category_key", export_key(F.coalesce(F.col(category_col), F.lit(uncategorized))))
-    clashes = (keyed.groupBy("category_key").agg(F.count_distinct(category_col).alias("n"))
-               .filter("n > 1").limit(1).collect())
-    if clashes:
-        raise ValueError(f"two categories map to the partition key {clashes[0]['category_key']!r}")
+    name = F.coalesce(F.col(category_col), F.lit(uncategorized))
+    names = (df.select(name.alias("__name")).distinct().withColumn("__key", export_key(F.col("__name")))
+             .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__key"))))
+    names = names.select("__name", F.when(F.col("__n") > 1, F.concat("__key", F.lit("_"), F.substring(F.md5("__name"), 1, 8)))
+                         .otherwise(F.col("__key")).alias("category_key"))
+    keyed = df.withColumn("__name", name).join(names, "__name").drop("__name")
     # No repartition by the key: a category holding a third of the rows would land in one task.
     # Each task writes its own file per category; maxRecordsPerFile bounds file size.
     (keyed.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000)

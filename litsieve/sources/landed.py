@@ -58,8 +58,12 @@ CROSSREF_SCHEMA = StructType([
 ])
 
 
+#: The inline markup elements of bibliographic titles; any other "<...>" is text.
+INLINE_TAGS = "(?i)</?(?:i|b|u|em|strong|sub|sup|sc|tt|small|italic|bold|underline)(?:\\s[^<>]*)?/?>"
+
+
 def _strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", "")
+    return F.regexp_replace(c, INLINE_TAGS, "")
 
 
 def _clean(c: Column) -> Column:
@@ -71,10 +75,12 @@ def _with_ids(df: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("paper_id"), *PAPER_COLUMNS)
 
 
-def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined malformed records)."""
+def split_corrupt(df: DataFrame, with_quarantine: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(good rows, quarantined malformed records); without quarantine nothing is persisted."""
     if CORRUPT not in df.columns:
         return df, df.limit(0)
+    if not with_quarantine:
+        return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), None
     # Spark refuses queries that read only the corrupt-record column of a raw file, so the
     # parsed batch is persisted once and both splits are taken from it.
     parsed = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -86,7 +92,7 @@ def read_pubmed(spark: SparkSession, path: str, with_quarantine: bool = False):
     only, PubDate/Year (absent -> ''), first ArticleId with IdType 'doi'; Source 'PubMed'."""
     raw = (spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(PUBMED_SCHEMA).load(path))
-    good, bad = split_corrupt(raw)
+    good, bad = split_corrupt(raw, with_quarantine)
     art = F.col("MedlineCitation.Article")
     dois = F.filter(F.col("PubmedData.ArticleIdList.ArticleId"), lambda x: x["_IdType"] == F.lit("doi"))
     papers = good.select(
@@ -105,7 +111,7 @@ def read_arxiv(spark: SparkSession, path: str, with_quarantine: bool = False):
     date -> ''); the DOI is read from ``arxiv:doi`` where Atom puts it (B14)."""
     raw = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(ATOM_SCHEMA).load(path))
-    good, bad = split_corrupt(raw)
+    good, bad = split_corrupt(raw, with_quarantine)
     ts = F.try_to_timestamp(py_strip(F.col("published")), F.lit(ARXIV_DATE_FORMAT))
     papers = good.select(
         _clean(F.col("title")).alias("Title"),
@@ -126,7 +132,7 @@ def read_crossref(spark: SparkSession, path: str, with_quarantine: bool = False,
     (one response per line), which splits across tasks."""
     raw = (spark.read.schema(CROSSREF_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    good, bad = split_corrupt(raw)
+    good, bad = split_corrupt(raw, with_quarantine)
     items = good.select(F.explode("message.items").alias("it"))
     it = F.col("it")
 
