@@ -272,6 +272,22 @@ class Scorer:
                     names=["doc_id", "n_tokens", "known", "counted", "log", "words", "times"])
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end and the most frequent words of at most KNOWN_BYTES: as many whole frequency steps as KNOWN_WORDS
+    holds. Only the steps' sizes (64 an octave) and the words taken come to the driver."""
+    step = F.floor(F.log2("n") * 64).cast("int")
+    short = counts.where(F.octet_length("word") <= KNOWN_BYTES)
+    least, total = None, 0
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > KNOWN_WORDS:
+            break
+        least = r["step"]
+    chosen = (F.col("word") == F.lit(END)) if least is None else (step >= least) | (F.col("word") == F.lit(END))
+    got = [(bytes(r["word"]), r["n"]) for r in short.where(chosen).collect()] or [(END, 0)]
+    return sorted(got, key=lambda x: (-x[1], x[0]))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per
     input row, whole texts, learning from the documents that are not held out.
@@ -284,8 +300,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = docs.where(~held_out(F.col("doc_id"))).select("text")
     counts = cut_lineage(training.mapInArrow(_count_tokens, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    known = counts.where(F.octet_length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
-    known = [(bytes(r["word"]), r["n"]) for r in known] or [(END, 0)]
+    known = most_frequent(counts)
     lookup = Lookup(known)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(lookup)                      # at most KNOWN_WORDS * KNOWN_BYTES
