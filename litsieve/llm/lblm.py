@@ -115,7 +115,7 @@ def _stream(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarra
     return tokens, size, np.cumsum(size) - size
 
 
-def _portions(batch: pa.RecordBatch, column: int, chars: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def _portions(batch: pa.RecordBatch, column: int, chars: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     first, some, n = 0, [], 0
     for k, text in enumerate(batch.column(column).to_pylist()):
         some.append(text)
@@ -141,7 +141,7 @@ def _triples(batches: Iterator[pa.RecordBatch], lookup: Lookup) -> Iterator[pa.R
             one, two = _context(c, starts)
             held.append((two * lookup.size + one) * lookup.size + c)
             n += len(c)
-            if n > 4_000_000:
+            if n > 2_000_000:
                 yield rows()
                 held, n = [], 0
     if held:
