@@ -278,19 +278,20 @@ class Predictor:
         return next(self._together([text]))
 
 
-def identify(docs: DataFrame, net, langs) -> DataFrame:
-    """docs with lang_pred and score added to every row, from the column text alone."""
+def identify(docs: DataFrame, net, langs, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its score added to every row under ``names``, from the column text alone.
+    Columns of docs that have these names give way."""
     model = Predictor(net, langs)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     docs = docs.select(*kept)
-    schema = T.StructType(docs.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(docs.schema.fields + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(model.batch(batch.column(at).to_pylist()))
             extra = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + extra, names=kept + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + extra, names=[*kept, *names])
 
     return docs.mapInArrow(label, schema)
 

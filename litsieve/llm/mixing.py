@@ -61,8 +61,9 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 def _tree(frames: Iterator[pd.DataFrame], shards: int, seed: int) -> Iterator[pd.DataFrame]:
     """One row a source (never one a document) -> the place in its order at which each shard's blocks end."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    if len(rows):
+    held = [f for f in frames if len(f)]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
         rows = rows.sort_values("_rank", kind="stable", ignore_index=True)
         draws = rows["draws"].to_numpy(np.int64)
         block = max(1, -(-int(draws.sum()) // MAX_BLOCKS))
@@ -128,18 +129,18 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Dat
     return out.select("doc_id", "key", "size", "source", "source_size", "target", F.size("shards").alias("copies"), "shards")
 
 
-def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED, shard_col: str = "shard") -> DataFrame:
     """The mixture itself: docs' rows, each as often as it is drawn, with its shard, shuffled within the shard.
 
-    Rows equal in doc_id and text share their draws. A column of docs named shard gives way."""
-    docs = docs.drop("shard")
+    Rows equal in doc_id and text share their draws. A column of docs named ``shard_col`` gives way."""
+    docs = docs.drop(shard_col)
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull()}
     plan = mixture(docs, shards, seed).withColumnRenamed("key", "_key").withColumns(keys)
     plan = plan.groupBy("_id", "_null", "_key").agg(F.flatten(F.collect_list("shards")).alias("_shards")).where(F.size("_shards") > 0)
-    rows = docs.withColumns(keys | {"_key": F.xxhash64(F.col("text").cast("string"))})
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *[c.alias(n) for n, c in keys.items()],
+                       F.xxhash64(F.col("text").cast("string")).alias("_key"))
     joined = rows.join(plan, ["_id", "_null", "_key"])
     joined = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_null", "_key").orderBy(F.lit(1)))).where("_row = 1")
-    drawn = joined.select(*docs.columns, F.posexplode("_shards").alias("_draw", "_shard"), "_key")
-    return (drawn.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "doc_id", "_key", "_draw"))
-            .repartition("_shard").sortWithinPartitions("_shard", "_turn").withColumnRenamed("_shard", "shard")
-            .select(*docs.columns, "shard"))
+    drawn = joined.select("_doc", F.posexplode("_shards").alias("_draw", "_shard"), "_id", "_key")
+    return (drawn.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_id", "_key", "_draw"))
+            .repartition("_shard").sortWithinPartitions("_shard", "_turn").select("_doc.*", F.col("_shard").alias(shard_col)))

@@ -223,7 +223,8 @@ def deduplicate(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     other = stays.where("doc_id is null").groupBy("fp").agg(F.min("key").alias("_key"))
     stays = known.select("_id", F.lit(False).alias("_null"), "_key").unionByName(
         other.select(F.lit(0).cast("long").alias("_id"), F.lit(True).alias("_null"), "_key"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull(), "_key": key})
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+                        F.col("doc_id").isNull().alias("_null"), key.alias("_key"))
     one = Window.partitionBy("_id", "_null", "_key").orderBy(F.lit(1))
     return (keyed.join(stays, ["_id", "_null", "_key"]).withColumn("_row", F.row_number().over(one))
-            .where("_row = 1").select(*docs.columns))
+            .where("_row = 1").select("_doc.*"))
