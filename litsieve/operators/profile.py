@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
+from litsieve.operators.association import GRID_BINS, binned, grid_cells, number, ranges, with_running_sum
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
@@ -220,24 +222,15 @@ def pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def average_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, col: str) -> DataFrame:
     """(value, avg_rank) with ties averaged, computed over distinct values with counts.
 
     Distinct values are range-partitioned and ranked inside each partition; partition offsets
     (one number per partition) come from a small aggregate, so no single task sees them all.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dv = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-          .repartitionByRange(parts, "value").withColumn("pid", F.spark_partition_id()))
-    within = Window.partitionBy("pid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dv.groupBy("pid").agg(F.sum("cnt").alias("tot"))
-    offsets = totals.select("pid", F.coalesce(F.sum("tot").over(
-        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    # offsets has one row per partition: a proven size bound, so it is broadcast
-    return (dv.withColumn("before", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-            .join(F.broadcast(offsets), "pid")
-            .select("value", (F.col("offset") + F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank")))
+    dv = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    return (with_running_sum(dv, ["value"], "cnt", "before")
+            .select("value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank")))
 
 
 def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -255,142 +248,28 @@ def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def binned(c: Column, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin 0..bins-1 of [lo, hi] (the maximum falls in the last bin)."""
-    if hi == lo:
-        return F.lit(0)
-    return F.least(F.floor((c - F.lit(lo)) * F.lit(bins) / F.lit(hi - lo)), F.lit(bins - 1)).cast("int")
-
-
-def contingency(df: DataFrame, a: str, b: str, bins: int | None = None) -> DataFrame:
-    """(x, y, n) cell counts, optionally on equal-width bins of each column."""
-    x, y = F.col(a), F.col(b)
-    if bins:
-        mm = df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
-        x, y = binned(x, mm[0], mm[1], bins), binned(y, mm[2], mm[3], bins)
-    return (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-            .groupBy(x.alias("x"), y.alias("y")).agg(F.count(F.lit(1)).alias("n")))
-
-
-def kendall_tau_b(df: DataFrame, a: str, b: str, max_cells: int = 250_000) -> float:
-    """Kendall tau-b from the contingency table (values binned to 500 per axis when the
-    table would exceed ``max_cells``). The table is a bounded summary, evaluated in numpy."""
-    import numpy as np
-    nd = df.agg(F.count_distinct(a), F.count_distinct(b)).first()
-    bins = None if nd[0] * nd[1] <= max_cells else 500
-    cells = contingency(df, a, b, bins).collect()
-    xs = sorted({r["x"] for r in cells})
-    ys = sorted({r["y"] for r in cells})
-    xi = {v: i for i, v in enumerate(xs)}
-    yi = {v: i for i, v in enumerate(ys)}
-    m = np.zeros((len(xs), len(ys)))
-    for r in cells:
-        m[xi[r["x"]], yi[r["y"]]] = r["n"]
-    n = m.sum()
-    # dominance sums: cells strictly greater in both / greater in x and smaller in y
-    cs = np.cumsum(np.cumsum(m[::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
-    gt_both = np.zeros_like(m)
-    gt_both[:-1, :-1] = cs[1:, 1:]
-    cs2 = np.cumsum(np.cumsum(m[::-1, :], axis=0), axis=1)[::-1, :]
-    gt_x_lt_y = np.zeros_like(m)
-    gt_x_lt_y[:-1, 1:] = cs2[1:, :-1]
-    conc = float((m * gt_both).sum())
-    disc = float((m * gt_x_lt_y).sum())
-    n0 = n * (n - 1) / 2
-    n1 = float((m.sum(axis=1) * (m.sum(axis=1) - 1) / 2).sum())
-    n2 = float((m.sum(axis=0) * (m.sum(axis=0) - 1) / 2).sum())
-    den = math.sqrt((n0 - n1) * (n0 - n2))
-    return (conc - disc) / den if den else float("nan")
-
-
-def chi2_table(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) -> DataFrame:
-    """Chi-square and Cramér's V of equal-width binned column pairs (phi_k's input).
-
-    chi2 = sum over observed cells of O^2 / E - N with E = n_x * n_y / N, so only the observed
-    cells are needed (equi-joins with the margins, no full grid).
-    """
-    outs = []
-    for a, b in pairs:
-        cells = contingency(df, a, b, bins)
-        rx = cells.groupBy("x").agg(F.sum("n").alias("nx"))
-        ry = cells.groupBy("y").agg(F.sum("n").alias("ny"))
-        full = cells.join(rx, "x").join(ry, "y")
-        chi = full.agg(F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))).alias("s"),
-                       F.sum("n").alias("N"), F.count_distinct("x").alias("kx"), F.count_distinct("y").alias("ky"))
-        chi2 = F.col("N") * F.col("s") - F.col("N")
-        outs.append(chi.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(chi2, 6).alias("chi2"),
-                               F.round(F.sqrt(chi2 / (F.col("N") * (F.least("kx", "ky") - 1))), 6).alias("cramers_v")))
-    return reduce(DataFrame.unionByName, outs)
-
-
-def phik_from_chi2(chi2: float, n: float, kx: int, ky: int) -> float:
-    """phi_k (Baak et al. 2019) by inverting chi2 of a bivariate normal with correlation rho,
-    approximated on the same bin grid. Scalar work on an already aggregated number."""
-    import numpy as np
-
-    g = np.linspace(-3, 3, 61)
-    X, Y = np.meshgrid(g, g, indexing="ij")
-    ix = np.clip(np.searchsorted(np.linspace(-3, 3, kx + 1), g) - 1, 0, kx - 1)
-    iy = np.clip(np.searchsorted(np.linspace(-3, 3, ky + 1), g) - 1, 0, ky - 1)
-    IX, IY = np.meshgrid(ix, iy, indexing="ij")
-
-    def chi2_of(rho):
-        dens = np.exp(-(X ** 2 - 2 * rho * X * Y + Y ** 2) / (2 * (1 - rho ** 2)))
-        p = np.zeros((kx, ky))
-        np.add.at(p, (IX, IY), dens)
-        p /= p.sum()
-        ex = np.outer(p.sum(1), p.sum(0))
-        mask = ex > 0
-        return n * float(((p[mask] - ex[mask]) ** 2 / ex[mask]).sum())
-
-    lo, hi = 0.0, 0.999
-    if chi2 <= chi2_of(0.0):
-        return 0.0
-    for _ in range(40):
-        mid = (lo + hi) / 2
-        if chi2_of(mid) < chi2:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
 # ---------------------------------------------------------------- E9, E14 histograms
 
-def _ranges(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    r = df.agg(*[x for c in cols for x in (F.min(c).cast("double"), F.max(c).cast("double"))]).first()
-    return {c: (r[2 * i], r[2 * i + 1]) for i, c in enumerate(cols)}
-
-
-def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """Equal-width histogram per numeric column: (column, bin, lower, upper, n)."""
+def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = GRID_BINS) -> DataFrame:
+    """Equal-width histogram per numeric column: (column, bin, lower, upper, n), one scan."""
     cols = cols or numeric_columns(df)
-    rng = _ranges(df, cols)
-    parts = []
-    for c in cols:
+    rng = ranges(df, cols)
+    entries = []
+    for c in rng:
         lo, hi = rng[c]
-        if lo is None:
-            continue
-        w = (hi - lo) / bins if hi != lo else 0.0
-        parts.append(df.filter(F.col(c).isNotNull()).select(F.lit(c).alias("column"),
-                                                           binned(F.col(c), lo, hi, bins).alias("bin"))
-                     .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
-                     .select("column", "bin", F.round(F.lit(lo) + F.col("bin") * F.lit(w), 6).alias("lower"),
-                             F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(w), 6).alias("upper"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+        entries.append(F.struct(F.lit(c).alias("column"), binned(number(c), lo, hi, bins).alias("bin"), F.lit(lo).alias("lo"),
+                                F.lit((hi - lo) / bins).alias("w")))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column string, bin int, lower double, upper double, n long")
+    counts = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*").filter(F.col("bin").isNotNull())
+              .groupBy("column", "bin", "lo", "w").agg(F.count(F.lit(1)).alias("n")))
+    return counts.select("column", "bin", F.round(F.col("lo") + F.col("bin") * F.col("w"), 6).alias("lower"),
+                         F.round(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 6).alias("upper"), "n")
 
 
-def interactions(df: DataFrame, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
+def interactions(df: DataFrame, cols: list[str] | None = None, bins: int = GRID_BINS) -> DataFrame:
     """2-D bin counts per numeric column pair."""
-    cols = cols or numeric_columns(df)
-    rng = _ranges(df, cols)
-    parts = []
-    for a, b in _pairs(cols):
-        parts.append(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-                     .select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             binned(F.col(a), *rng[a], bins).alias("bin_a"), binned(F.col(b), *rng[b], bins).alias("bin_b"))
-                     .groupBy("col_a", "col_b", "bin_a", "bin_b").agg(F.count(F.lit(1)).alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+    return grid_cells(df, _pairs(cols or numeric_columns(df)), bins)
 
 
 # ---------------------------------------------------------------- E10-E12 missing values

@@ -476,9 +476,14 @@ def q_near_audit(spark, sf_dir):
 
 # ---------------------------------------------------------------- profiling
 
+from litsieve.operators import association as ac  # noqa: E402
 from litsieve.operators import profile as pf  # noqa: E402
 
-NUM_COLS = ["l_quantity", "l_discount", "l_tax"]
+# every numeric column, read as double; sums and variances of the wide-ranged ones differ between two
+# engines in the digits that are compared, so E2 is compared on the narrow columns
+SUM_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+NUM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_SQL = "(SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM_COLS) + " FROM lineitem)"
 PROFILE_TEXT_COLS = ["Title", "Abstract", "Year", "DOI", "Source", "lang"]
 
 
@@ -498,7 +503,7 @@ def q_profile_overview(spark, sf_dir):
 
 
 def _lineitem(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem")
+    return read_table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in NUM_COLS])
 
 
 @register("profile_numeric", _union([
@@ -507,17 +512,17 @@ def _lineitem(spark, sf_dir):
     f"round(stddev_samp({c}), 6) AS std, round(var_samp({c}), 6) AS variance, round(sum({c}), 6) AS sum, "
     f"count(*) FILTER (WHERE {c} = 0) AS n_zeros, count(*) FILTER (WHERE {c} < 0) AS n_negative, "
     f"CAST(max({c}) - min({c}) AS DOUBLE) AS range, round(stddev_samp({c}) / nullif(avg({c}), 0), 6) AS cv "
-    f"FROM lineitem" for c in NUM_COLS]))
+    f"FROM {LINEITEM_SQL} li" for c in SUM_COLS]))
 def q_profile_numeric(spark, sf_dir):
-    return pf.numeric_summary(_lineitem(spark, sf_dir), NUM_COLS)
+    return pf.numeric_summary(_lineitem(spark, sf_dir), SUM_COLS)
 
 
 @register("profile_quantiles", _union([
     f"SELECT '{c}' AS \"column\", " + ", ".join(
         f"round(quantile_cont({c}, {p}), 6) AS p{int(p * 100):02d}" for p in pf.QUANTILES)
     + f", round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr, "
-    f"round((SELECT quantile_cont(abs({c} - m.med), 0.5) FROM lineitem, (SELECT quantile_cont({c}, 0.5) AS med FROM lineitem) m), 6) AS mad "
-    f"FROM lineitem" for c in NUM_COLS]))
+    f"round((SELECT quantile_cont(abs({c} - m.med), 0.5) FROM {LINEITEM_SQL} li, (SELECT quantile_cont({c}, 0.5) AS med FROM {LINEITEM_SQL} li) m), 6) AS mad "
+    f"FROM {LINEITEM_SQL} li" for c in NUM_COLS]))
 def q_profile_quantiles(spark, sf_dir):
     return pf.quantile_summary(_lineitem(spark, sf_dir), NUM_COLS)
 
@@ -526,12 +531,9 @@ def _events(spark, sf_dir):
     return read_table(spark, sf_dir, "events")
 
 
-MOMENT_COLS = {"lineitem": NUM_COLS, "events": ["value"]}
-
-
 @register("profile_moments", _union([
     f"SELECT '{c}' AS \"column\", round(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1)), 6) "
-    f"AS skewness, round(kurtosis_pop({c}), 6) AS kurtosis FROM lineitem" for c in NUM_COLS]))
+    f"AS skewness, round(kurtosis_pop({c}), 6) AS kurtosis FROM {LINEITEM_SQL} li" for c in NUM_COLS]))
 def q_profile_moments(spark, sf_dir):
     return pf.moments(_lineitem(spark, sf_dir), NUM_COLS)
 
@@ -540,7 +542,7 @@ def _pairs_of(cols):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
-@register("corr_pearson", _union([f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+@register("corr_pearson", _union([f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM {LINEITEM_SQL} li"
                                   for a, b in _pairs_of(NUM_COLS)]))
 def q_corr_pearson(spark, sf_dir):
     return pf.pearson_matrix(_lineitem(spark, sf_dir), NUM_COLS)
@@ -552,27 +554,30 @@ def _avg_rank_sql(c):
 
 @register("corr_spearman", "SELECT * FROM (" + _union([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(ra, rb), 6) AS corr FROM "
-    f"(SELECT {_avg_rank_sql(a)} AS ra, {_avg_rank_sql(b)} AS rb FROM lineitem) r" for a, b in _pairs_of(NUM_COLS)]) + ") s")
+    f"(SELECT {_avg_rank_sql(a)} AS ra, {_avg_rank_sql(b)} AS rb FROM {LINEITEM_SQL} li) r" for a, b in _pairs_of(NUM_COLS)]) + ") s")
 def q_corr_spearman(spark, sf_dir):
     return pf.spearman_matrix(_lineitem(spark, sf_dir), NUM_COLS)
 
 
-KENDALL_PAIR = ("l_quantity", "l_discount")
+def _kendall_sql(a, b):
+    """Signed pairs level by level: at each bit of y's rank, rows that agree on the higher bits and
+    differ in this one are ordered by it; a window over earlier x counts them."""
+    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(s / nullif(sqrt((n0 - n1) * (n0 - n2)), 0), 6) AS tau_b FROM
+(WITH c AS (SELECT dense_rank() OVER (ORDER BY x) AS x, dense_rank() OVER (ORDER BY y) AS y, n FROM
+   (SELECT {a} AS x, {b} AS y, count(*) AS n FROM {LINEITEM_SQL} li WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) g),
+ lev AS (SELECT x, n, l, y >> (l + 1) AS hi, (y >> l) & 1 AS bit FROM c, (SELECT unnest(range(31)) AS l) r
+         WHERE (SELECT max(y) FROM c) >> l > 0),
+ w AS (SELECT n, bit, sum(n * bit) OVER e AS ones, sum(n * (1 - bit)) OVER e AS zeros FROM lev
+       WINDOW e AS (PARTITION BY l, hi ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT (SELECT CAST(sum(CASE WHEN bit = 1 THEN n * coalesce(zeros, 0) ELSE -n * coalesce(ones, 0) END) AS DOUBLE) FROM w) AS s,
+   (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM c) AS n0,
+   (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY x) z) AS n1,
+   (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY y) z) AS n2) k"""
 
 
-@register("corr_kendall", f"""WITH c AS (SELECT {KENDALL_PAIR[0]} AS x, {KENDALL_PAIR[1]} AS y, count(*) AS n FROM lineitem
-  WHERE {KENDALL_PAIR[0]} IS NOT NULL AND {KENDALL_PAIR[1]} IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.n * b.n ELSE 0 END) AS conc,
-             sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.n * b.n ELSE 0 END) AS disc FROM c a, c b),
-t AS (SELECT sum(n) AS nn FROM c),
-tx AS (SELECT sum(m * (m - 1) / 2.0) AS n1 FROM (SELECT sum(n) AS m FROM c GROUP BY x) z),
-ty AS (SELECT sum(m * (m - 1) / 2.0) AS n2 FROM (SELECT sum(n) AS m FROM c GROUP BY y) z)
-SELECT '{KENDALL_PAIR[0]}' AS col_a, '{KENDALL_PAIR[1]}' AS col_b,
-       round((conc - disc) / sqrt((nn * (nn - 1) / 2.0 - n1) * (nn * (nn - 1) / 2.0 - n2)), 6) AS tau_b
-FROM s, t, tx, ty""")
+@register("corr_kendall", _union([f"SELECT * FROM ({_kendall_sql(a, b)}) k{i}" for i, (a, b) in enumerate(_pairs_of(NUM_COLS))]))
 def q_corr_kendall(spark, sf_dir):
-    tau = pf.kendall_tau_b(_lineitem(spark, sf_dir), *KENDALL_PAIR)
-    return spark.createDataFrame([(KENDALL_PAIR[0], KENDALL_PAIR[1], round(tau, 6))], "col_a string, col_b string, tau_b double")
+    return ac.kendall_matrix(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
 
 
 def _bin_sql(c, table, bins=10):
@@ -584,27 +589,23 @@ def _bin_sql(c, table, bins=10):
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(nn * s - nn, 6) AS chi2, "
     f"round(sqrt((nn * s - nn) / (nn * (least(kx, ky) - 1))), 6) AS cramers_v FROM ("
     f"SELECT sum(n * n / (nx * ny)) AS s, sum(n) AS nn, count(DISTINCT x) AS kx, count(DISTINCT y) AS ky FROM "
-    f"(SELECT x, y, count(*) AS n FROM (SELECT {_bin_sql(a, 'lineitem')} AS x, {_bin_sql(b, 'lineitem')} AS y FROM lineitem) q GROUP BY x, y) c "
-    f"JOIN (SELECT x, sum(n) AS nx FROM (SELECT {_bin_sql(a, 'lineitem')} AS x, count(*) AS n FROM lineitem GROUP BY 1) q GROUP BY x) rx USING (x) "
-    f"JOIN (SELECT y, sum(n) AS ny FROM (SELECT {_bin_sql(b, 'lineitem')} AS y, count(*) AS n FROM lineitem GROUP BY 1) q GROUP BY y) ry USING (y)) z"
+    f"(SELECT x, y, count(*) AS n FROM (SELECT {_bin_sql(a, LINEITEM_SQL + ' li')} AS x, {_bin_sql(b, LINEITEM_SQL + ' li')} AS y FROM {LINEITEM_SQL} li) q GROUP BY x, y) c "
+    f"JOIN (SELECT x, sum(n) AS nx FROM (SELECT {_bin_sql(a, LINEITEM_SQL + ' li')} AS x, count(*) AS n FROM {LINEITEM_SQL} li GROUP BY 1) q GROUP BY x) rx USING (x) "
+    f"JOIN (SELECT y, sum(n) AS ny FROM (SELECT {_bin_sql(b, LINEITEM_SQL + ' li')} AS y, count(*) AS n FROM {LINEITEM_SQL} li GROUP BY 1) q GROUP BY y) ry USING (y)) z"
     for a, b in _pairs_of(NUM_COLS)]))
 def q_chi2(spark, sf_dir):
-    return pf.chi2_table(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
+    return ac.chi2_table(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
 
 
 @register("phik")
 def q_phik(spark, sf_dir):
-    """phi_k per column pair from the binned chi-square (the inversion runs on one number per pair)."""
-    li = _lineitem(spark, sf_dir)
-    chi = pf.chi2_table(li, _pairs_of(NUM_COLS)).collect()  # one row per column pair
-    n = li.count()
-    out = [(r["col_a"], r["col_b"], round(pf.phik_from_chi2(r["chi2"], n, 10, 10), 4)) for r in chi]
-    return spark.createDataFrame(out, "col_a string, col_b string, phik double")
+    """phi_k of every numeric column pair."""
+    return ac.phik_matrix(_lineitem(spark, sf_dir), _pairs_of(NUM_COLS))
 
 
 @register("interaction_grid", _union([
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({_bin_sql(a, 'lineitem')} AS INTEGER) AS bin_a, "
-    f"CAST({_bin_sql(b, 'lineitem')} AS INTEGER) AS bin_b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({_bin_sql(a, LINEITEM_SQL + ' li')} AS INTEGER) AS bin_a, "
+    f"CAST({_bin_sql(b, LINEITEM_SQL + ' li')} AS INTEGER) AS bin_b, count(*) AS n FROM {LINEITEM_SQL} li GROUP BY 1, 2, 3, 4"
     for a, b in _pairs_of(NUM_COLS)]))
 def q_interactions(spark, sf_dir):
     return pf.interactions(_lineitem(spark, sf_dir), NUM_COLS)
@@ -612,8 +613,8 @@ def q_interactions(spark, sf_dir):
 
 @register("histogram", _union([
     f"SELECT '{c}' AS \"column\", CAST(bin AS INTEGER) AS bin, round(lo + bin * ((hi - lo) / 10), 6) AS lower, "
-    f"round(lo + (bin + 1) * ((hi - lo) / 10), 6) AS upper, count(*) AS n FROM (SELECT {_bin_sql(c, 'lineitem')} AS bin, "
-    f"(SELECT CAST(min({c}) AS DOUBLE) FROM lineitem) AS lo, (SELECT CAST(max({c}) AS DOUBLE) FROM lineitem) AS hi FROM lineitem) h "
+    f"round(lo + (bin + 1) * ((hi - lo) / 10), 6) AS upper, count(*) AS n FROM (SELECT {_bin_sql(c, LINEITEM_SQL + ' li')} AS bin, "
+    f"(SELECT CAST(min({c}) AS DOUBLE) FROM {LINEITEM_SQL} li) AS lo, (SELECT CAST(max({c}) AS DOUBLE) FROM {LINEITEM_SQL} li) AS hi FROM {LINEITEM_SQL} li) h "
     f"GROUP BY bin, lo, hi" for c in NUM_COLS]))
 def q_histogram(spark, sf_dir):
     return pf.histogram(_lineitem(spark, sf_dir), NUM_COLS)

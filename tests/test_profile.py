@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from litsieve.operators import association as ac
 from litsieve.operators import profile as pf
 
 
@@ -28,26 +29,50 @@ def test_order_statistics_small_fetch_limit(spark):
     assert [got[r] for r in ranks] == [want[r] for r in ranks]
 
 
+def _tau_b(x, y):
+    dx, dy = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+    return (dx * dy).sum() / np.sqrt((dx != 0).sum() * float((dy != 0).sum()))
+
+
 def test_kendall_matches_brute_force(spark):
-    rnd = random.Random(2)
-    data = [(rnd.randint(0, 5), rnd.randint(0, 3)) for _ in range(150)]
-    df = spark.createDataFrame(data, "x int, y int")
-    conc = disc = tx = ty = 0
-    for i in range(len(data)):
-        for j in range(i + 1, len(data)):
-            dx, dy = data[i][0] - data[j][0], data[i][1] - data[j][1]
-            if dx and dy:
-                conc += (dx * dy) > 0
-                disc += (dx * dy) < 0
-            elif dx == 0 and dy != 0:
-                tx += 1
-            elif dy == 0 and dx != 0:
-                ty += 1
-    n0 = len(data) * (len(data) - 1) / 2
-    ties_x = sum(c * (c - 1) / 2 for c in np.unique([d[0] for d in data], return_counts=True)[1])
-    ties_y = sum(c * (c - 1) / 2 for c in np.unique([d[1] for d in data], return_counts=True)[1])
-    want = (conc - disc) / np.sqrt((n0 - ties_x) * (n0 - ties_y))
-    assert abs(pf.kendall_tau_b(df, "x", "y") - want) < 1e-12
+    rnd = np.random.default_rng(2)
+    x = np.exp(rnd.normal(size=1500))
+    data = np.column_stack([x, x * np.exp(rnd.normal(size=1500)), rnd.integers(0, 6, 1500), np.full(1500, 3.0)])
+    data[:500, 1] = 1.0  # a value held by a third of the rows
+    df = spark.createDataFrame(data.tolist(), "a double, b double, c double, k double")
+    df = df.union(spark.createDataFrame([(None, 1.0, 2.0, 3.0), (float("nan"), 1.0, 2.0, 3.0)], df.schema))
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("a", "k")]
+    full = np.vstack([data, [[np.nan, 1, 2, 3]] * 2])
+    col = {c: i for i, c in enumerate("abck")}
+    for block_cells in (100, ac.BLOCK_CELLS):  # many blocks and one block give the same exact value
+        got = {(r["col_a"], r["col_b"]): r["tau_b"] for r in ac.kendall_matrix(df, pairs, block_cells).collect()}
+        assert got.pop(("a", "k")) is None
+        for p, tau in got.items():
+            v = full[:, [col[p[0]], col[p[1]]]]
+            v = v[~np.isnan(v).any(axis=1)]
+            assert abs(tau - _tau_b(v[:, 0], v[:, 1])) < 1e-6, p
+    assert [r["tau_b"] for r in ac.kendall_matrix(df.limit(0), pairs[:1]).collect()] == [None]
+
+
+def test_phik_of_known_tables():
+    edges = np.linspace(-2, 2, 9)
+    e = np.r_[-np.inf, edges, np.inf]
+    for rho in (0.3, 0.6, 0.9):
+        table = ac._normal_cells(e, e, rho) * 1e9  # noise is negligible beside a billion rows
+        assert abs(ac.phik(table) - rho) < 0.001
+    assert ac.phik(np.eye(5) * 100) == 1.0
+    assert ac.phik(np.full((10, 10), 60)) == 0.0
+    noise = np.random.default_rng(3).multinomial(600, np.full(100, 0.01)).reshape(10, 10)
+    assert ac.phik(noise) < 0.25  # a table of independent columns stays near zero
+    assert np.isnan(ac.phik(np.array([[5, 7]])))
+
+
+def test_grids_ignore_null_and_nan(spark):
+    df = spark.createDataFrame([(1.0, 2), (float("nan"), 3), (None, 4), (2.0, None), (3.0, 9)], "x double, y int")
+    assert sum(r["n"] for r in ac.grid_cells(df, [("x", "y")]).collect()) == 2
+    h = pf.histogram(df).groupBy("column").sum("n").collect()
+    assert {r[0]: r[1] for r in h} == {"x": 3, "y": 4}
+    assert pf.histogram(df.limit(0)).count() == 0
 
 
 def test_spearman_with_ties(spark):
