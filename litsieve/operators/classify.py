@@ -12,7 +12,7 @@ import re
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.constants import DEFAULT_TEST_PCT, DEFAULT_TREES, RANDOM_SEED, TEST_PCT_RANGE, TREES_RANGE, UNKNOWN
@@ -99,11 +99,11 @@ def save_model(model: PipelineModel, root: str, dimension: str) -> str:
 
 def load_model(root: str, dimension: str) -> PipelineModel:
     """K6/M5: load by dimension; a missing model raises a clear error."""
-    import os
-
     from litsieve.sinks.files import model_path
     path = model_path(root, dimension)
-    if path.startswith("/") and not os.path.exists(path):
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # resolved on the file system that Spark itself uses
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         raise FileNotFoundError(f"no trained model for dimension {dimension!r} under {root}")
     return PipelineModel.load(path)
 

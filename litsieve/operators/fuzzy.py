@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.functions.similarity import EPS, bounded_ratio, max_edits
+from litsieve.operators.setsim import banded_sides
 from litsieve.session import cut_lineage
 
 BROADCAST_SIGNATURE_BYTES = 64 << 20
@@ -39,7 +40,7 @@ def gram_size(threshold: float) -> int:
 
 def edit_prefix(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key"):
     """(keys, gram_items, prefix): keys (id, key, L); occurrence-numbered q-gram items
-    (id, L, g, occ); and each key's first k*q+1 items in rare-first global order."""
+    (id, L, g, occ); and, with its rank rk, each key's first k*q+1 items in rare-first global order."""
     q = gram_size(threshold)
     t = threshold / 100.0
     keys = (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"))
@@ -57,19 +58,26 @@ def edit_prefix(items: DataFrame, threshold: float, id_col: str = "id", key_col:
     prefix = (gram_items.join(freq, ["g", "occ"])
               .withColumn("rk", F.row_number().over(rank))
               .filter(F.col("rk") <= kmax * q + 1)
-              .select("id", "L", "g", "occ"))
+              .select("id", "L", "g", "occ", "rk"))
     return keys, gram_items, prefix
 
 
 def edit_candidates(pa: DataFrame, pb: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id_a < id_b) sharing a prefix item and passing the length filter."""
+    """Distinct (id_a < id_b) sharing a prefix item, of lengths and positions that allow the threshold.
+
+    For the first item common to a true pair, the items after it bound the number shared; a pair
+    is kept if any shared item passes, so no true pair is lost.
+    """
     t = threshold / 100.0
-    a, b = pa.alias("a"), pb.alias("b")
+    q = gram_size(threshold)
+    a, b = banded_sides(pa, pb, "L", t)
     lmax = F.greatest(F.col("a.L"), F.col("b.L"))
     lmin = F.least(F.col("a.L"), F.col("b.L"))
+    shared = F.lit(q) + F.least(F.col("a.L") - F.col("a.rk"), F.col("b.L") - F.col("b.rk"))
+    need = lmax + q - 1 - max_edits(lmax, threshold) * q
     return (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.occ") == F.col("b.occ"))
-                   & (F.col("a.id") < F.col("b.id")))
-            .filter(lmin >= F.lit(t) * lmax - F.lit(EPS))
+                   & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))
+                   & (lmin >= F.lit(t) * lmax - F.lit(EPS)) & (shared >= need))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
 
 

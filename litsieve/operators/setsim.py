@@ -16,32 +16,55 @@ shuffle join with skew splitting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.constants import NUM_PERM
 from litsieve.functions.similarity import EPS, jaccard, minhash_signature
 
 
+def size_band(n: Column, ratio: float) -> Column:
+    """Logarithmic size band: sizes within ``ratio`` of each other differ by at most one band."""
+    width = max(-math.log(ratio) * 1.000001, 0.001)
+    return F.floor(F.log(n) / F.lit(width))
+
+
+def banded_sides(pa: DataFrame, pb: DataFrame, n: str, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a similarity self join with a ``band`` join key: ``pa`` in its band and the two next
+    to it, ``pb`` in its own, so rows of unlike sizes never meet in a posting list."""
+    near = F.array(*[size_band(F.col(n), ratio) + d for d in (-1, 0, 1)])
+    return (pa.withColumn("band", F.explode(near)).alias("a"),
+            pb.withColumn("band", size_band(F.col(n), ratio)).alias("b"))
+
+
 def _prefix_len(n, threshold: float):
     return n - F.ceil(F.lit(threshold) * n - F.lit(EPS)) + F.lit(1)
 
 
 def jaccard_prefix(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, w): the first n - ceil(t*n) + 1 words of every set in rare-first global order."""
+    """(id, n, w, rk): the first n - ceil(t*n) + 1 words of every set in rare-first global order."""
     tokens = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
     freq = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     rank = Window.partitionBy("id").orderBy("f", "w")
     return (tokens.join(freq, "w")
             .withColumn("rk", F.row_number().over(rank))
             .filter(F.col("rk") <= _prefix_len(F.col("n"), threshold))
-            .select("id", "n", "w"))
+            .select("id", "n", "w", "rk"))
 
 
 def jaccard_candidates(pa: DataFrame, pb: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id_a < id_b) sharing a prefix word and passing the length filter."""
-    a, b = pa.alias("a"), pb.alias("b")
-    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
+    """Distinct (id_a < id_b) sharing a prefix word, of sizes and positions that allow the threshold.
+
+    For the first common word of a true pair, the words after it bound the overlap; a pair is
+    kept if any shared word passes, so no true pair is lost.
+    """
+    a, b = banded_sides(pa, pb, "n", threshold)
+    overlap = F.lit(1) + F.least(F.col("a.n") - F.col("a.rk"), F.col("b.n") - F.col("b.rk"))
+    need = F.lit(threshold / (1.0 + threshold)) * (F.col("a.n") + F.col("b.n")) - F.lit(EPS)
+    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.band") == F.col("b.band"))
+                   & (F.col("a.id") < F.col("b.id")) & (overlap >= need)
                    & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - F.lit(EPS))
                    & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - F.lit(EPS)))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())

@@ -719,24 +719,24 @@ def q_holdout(spark, sf_dir):
     return read_table(spark, sf_dir, "labels").select("doc_id", cl.holdout_flag("doc_id").alias("is_test"))
 
 
-@register("tfidf", f"""WITH d AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id)),
+@register("tfidf", f"""WITH d AS (SELECT doc_id, text FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKEN_SQL}) AS term FROM d) x GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM d),
 w AS (SELECT doc_id, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term), n)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def q_tfidf(spark, sf_dir):
-    t = cl.tfidf_long(_labelled(spark, sf_dir), "doc_id", "text")
+    t = cl.tfidf_long(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return t.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @register("forest_predict")
 def q_forest_predict(spark, sf_dir):
-    """M3/M4: forest on the training split of labels.quality, predictions for the hold-out rows."""
-    data = _labelled(spark, sf_dir)
-    train, test = cl.holdout_split(data, "doc_id")
+    """M3/M4: forest on the training split of labels.quality, predictions for every document."""
+    train, _ = cl.holdout_split(_labelled(spark, sf_dir), "doc_id")
     model = cl.fit_forest(train, ["text"], "quality", num_trees=50)
-    return cl.predict(model, test.select("doc_id", "text", "quality"), ["text"]).select("doc_id", "quality", "prediction")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cl.predict(model, docs, ["text"]).select("doc_id", "prediction")
 
 
 def _zero_shot_sql() -> str:
