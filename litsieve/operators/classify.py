@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import (ElementwiseProduct, HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer,
+                                StringIndexer)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,32 +59,36 @@ def tfidf_long(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.join(norms, "id").select(F.col("id").alias(id_col), "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def forest_pipeline(labels: list[str], text_col: str = "ml_text", num_trees: int = DEFAULT_TREES, seed: int = RANDOM_SEED,
-                    vocab_size: int = 1 << 18, min_df: float = 1.0) -> Pipeline:
-    """M3: tokenizer -> counts -> idf -> L2 -> random forest -> label strings.
+def smooth_idf(counted: DataFrame, tf_col: str, out_col: str) -> ElementwiseProduct:
+    """Stage that multiplies term counts by ln((1+n)/(1+df)) + 1; terms in no row of ``counted`` weigh 0."""
+    model = IDF(inputCol=tf_col, outputCol=out_col).fit(counted)
+    weights = np.where(np.array(model.docFreq) > 0, model.idf.toArray() + 1.0, 0.0)
+    return ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=tf_col, outputCol=out_col)
 
-    Labels are indexed before fitting, so the fitted model scores unlabelled rows and carries
-    its own index -> label mapping (saved with it).
+
+def fit_forest(train: DataFrame, text_cols, label_col: str, drop_empty: bool = False, num_trees: int = DEFAULT_TREES,
+               seed: int = RANDOM_SEED, num_features: int = 1 << 18, max_depth: int = 30) -> PipelineModel:
+    """M3: tokenizer -> hashed counts -> smoothed idf -> L2 -> random forest -> label strings.
+
+    Fits on the search text of ``text_cols``; ``drop_empty`` removes rows without text (P10), rows without a label
+    take no part. Every term counts: terms are hashed into ``num_features`` columns, no vocabulary is gathered.
+    ``max_depth`` 30 is the deepest tree that Spark grows. The model carries its index -> label mapping.
     """
     if not TREES_RANGE[0] <= num_trees <= TREES_RANGE[1]:
         raise ValueError("number of trees must be 50-500")
-    tok = RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
-    cv = CountVectorizer(inputCol="__tokens", outputCol="__tf", vocabSize=vocab_size, minDF=min_df)
-    idf = IDF(inputCol="__tf", outputCol="__idf")
-    norm = Normalizer(inputCol="__idf", outputCol="features", p=2.0)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="__label", numTrees=num_trees, seed=seed,
-                                predictionCol="__pred", rawPredictionCol="__raw", probabilityCol="__prob")
-    back = IndexToString(inputCol="__pred", outputCol="prediction", labels=list(labels))
-    return Pipeline(stages=[tok, cv, idf, norm, rf, back])
-
-
-def fit_forest(train: DataFrame, text_cols, label_col: str, drop_empty: bool = False, **kw) -> PipelineModel:
-    """Fit on the search text of ``text_cols``; ``drop_empty`` removes rows without text (P10)."""
     data = train.select(search_text(text_cols).alias("ml_text"), F.col(label_col).cast("string").alias("label"))
+    data = data.filter(F.col("label").isNotNull())
     if drop_empty:
         data = data.filter(has_text("ml_text"))
-    indexer = StringIndexer(inputCol="label", outputCol="__label", handleInvalid="skip").fit(data)
-    return forest_pipeline(list(indexer.labelsArray[0]), **kw).fit(indexer.transform(data))
+    indexer = StringIndexer(inputCol="label", outputCol="__label").fit(data)
+    tok = RegexTokenizer(inputCol="ml_text", outputCol="__tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
+    tf = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features)
+    idf = smooth_idf(tf.transform(tok.transform(data)), "__tf", "__idf")
+    norm = Normalizer(inputCol="__idf", outputCol="features", p=2.0)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="__label", numTrees=num_trees, seed=seed, maxDepth=max_depth,
+                                predictionCol="__pred", rawPredictionCol="__raw", probabilityCol="__prob")
+    back = IndexToString(inputCol="__pred", outputCol="prediction", labels=list(indexer.labelsArray[0]))
+    return Pipeline(stages=[tok, tf, idf, norm, rf, back]).fit(indexer.transform(data))
 
 
 def predict(model: PipelineModel, df: DataFrame, text_cols, out_col: str = "prediction") -> DataFrame:
@@ -146,9 +153,3 @@ def evaluate(pred: DataFrame, label_col: str, pred_col: str) -> tuple[DataFrame,
     acc = conf.agg(F.round(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n"), 6)
                    .alias("accuracy"), F.sum("n").cast("long").alias("n"))
     return per, acc
-
-
-def confusion(pred: DataFrame, label_col: str, pred_col: str) -> DataFrame:
-    return pred.groupBy(F.col(label_col).cast("string").alias("label"), F.col(pred_col).cast("string").alias("pred")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-

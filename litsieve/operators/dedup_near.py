@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.constants import COMBINED_FUZZY_THRESHOLD, FUZZY_PRESETS, NEAR_THRESHOLD
-from litsieve.functions.similarity import bounded_ratio, token_set_ratio
+from litsieve.functions.similarity import bounded_ratio, composite_score, token_set_ratio
 from litsieve.functions.text import match_key, percent, search_text, word_set
 from litsieve.operators.fuzzy import edit_candidates, edit_pairs, edit_prefix, edit_verify
 from litsieve.operators.setsim import (jaccard_candidates, jaccard_pairs, jaccard_prefix, jaccard_sets, lsh_banded,
@@ -55,7 +55,8 @@ class CombinedConfig:
     fuzzy_threshold: float = COMBINED_FUZZY_THRESHOLD
     keep: str = "first"
     id_col: str = "paper_id"
-    scorer: str = "ratio"  # 'ratio' (edit distance) or 'token_set' (D14)
+    scorer: str = "ratio"  # 'ratio' (edit distance), 'token_set' (D14) or 'composite' (best of the scorers, D13)
+    mode: str = "verified"  # 'verified': near pairs checked by the scorer; 'sequential': near, then fuzzy de-dup
 
 
 def _representatives(df: DataFrame, id_col: str, payload: dict[str, Column], group_key, matchable, keep: str) -> DataFrame:
@@ -183,11 +184,11 @@ def _combined_verify(cand: DataFrame, live: DataFrame, cfg: CombinedConfig) -> D
     kb = live.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
     if cfg.scorer == "ratio":
         score = bounded_ratio("ka", "kb", cfg.fuzzy_threshold)
-    elif cfg.scorer == "token_set":
-        ts = token_set_ratio("ka", "kb")
-        score = F.when(ts >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9), ts)
+    elif cfg.scorer in ("token_set", "composite"):
+        full = token_set_ratio("ka", "kb") if cfg.scorer == "token_set" else composite_score("ka", "kb")
+        score = F.when(full >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9), full)
     else:
-        raise ValueError("scorer must be 'ratio' or 'token_set'")
+        raise ValueError("scorer must be 'ratio', 'token_set' or 'composite'")
     return (near.join(ka, "id_a").join(kb, "id_b")
             .select("id_a", "id_b", "jaccard", score.alias("score"))
             .filter(F.col("score").isNotNull()))
@@ -205,6 +206,15 @@ def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()):
 
 
 def combined_dedup(df: DataFrame, cfg: CombinedConfig = CombinedConfig()) -> DataFrame:
+    """Greedy de-duplication over the verified pairs, or (mode 'sequential') near de-dup of the first
+    column followed by fuzzy de-dup of all selected columns on its survivors."""
+    if cfg.mode not in ("verified", "sequential"):
+        raise ValueError("mode must be 'verified' or 'sequential'")
+    if cfg.mode == "sequential":
+        near = near_dedup(df, NearConfig(text_cols=cfg.columns[:1], threshold=cfg.near_threshold, keep=cfg.keep,
+                                         id_col=cfg.id_col))
+        return fuzzy_dedup(near, FuzzyConfig(columns=cfg.columns, threshold=cfg.fuzzy_threshold, keep=cfg.keep,
+                                             id_col=cfg.id_col))
     if cfg.keep == "none":
         reps, verified = combined_pairs(df, cfg)
         return _survivors(df, reps, verified, cfg.keep, cfg.id_col)

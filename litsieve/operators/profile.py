@@ -329,37 +329,32 @@ def nullity_dendrogram(dist: DataFrame) -> list[tuple[str, str, float]]:
 # ---------------------------------------------------------------- E13 text columns
 
 def text_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Length min/mean/max, distinct and unique values, word counts and character classes.
+    """Length min/mean/median/max, distinct and unique values, word counts and character classes.
 
-    Computed from the per-value counts (one partial-aggregated group-by per column), weighted
-    by each value's multiplicity.
+    One scan for all columns: each (column, value) is measured map-side and grouped on the value's digest;
+    totals weigh each value by its multiplicity. The median keeps one counter per distinct length. A column
+    without any value gives no row.
     """
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    parts = []
-    for c in cols:
-        x = F.col(c)
-        # per-value statistics are computed map-side, values are grouped on their digest
-        per_row = df.filter(x.isNotNull()).select(
-            F.sha2(x, 256).alias("__h"), F.length(x).alias("len"),
-            F.size(F.filter(F.split(x, r"\s+"), lambda w: w != F.lit(""))).alias("words"),
-            F.regexp_count(x, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(x, F.lit(r"\p{N}")).alias("digits"),
-            F.regexp_count(x, F.lit(r"\s")).alias("spaces"), F.regexp_count(x, F.lit(r"\p{P}")).alias("punct"))
-        stats = ["len", "words", "letters", "digits", "spaces", "punct"]
-        per_value = per_row.groupBy("__h").agg(F.count(F.lit(1)).alias("k"), *[F.max(s_).alias(s_) for s_ in stats])
-        k = F.col("k")
-        parts.append(per_value.agg(
-            F.sum(k).cast("long").alias("n"),
-            F.min("len").alias("len_min"),
-            F.round(F.sum(k * F.col("len")) / F.sum(k), 6).alias("len_mean"),
-            F.max("len").alias("len_max"),
-            F.count(F.lit(1)).alias("n_distinct"), F.count_if(k == 1).alias("n_unique"),
-            F.sum(k * F.col("words")).cast("long").alias("n_words"),
-            F.sum(k * F.col("letters")).cast("long").alias("n_letters"),
-            F.sum(k * F.col("digits")).cast("long").alias("n_digits"),
-            F.sum(k * F.col("spaces")).cast("long").alias("n_spaces"),
-            F.sum(k * F.col("punct")).cast("long").alias("n_punct"),
-        ).select(F.lit(c).alias("column"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in cols])).alias("c"))
+    x = F.col("c.v")
+    per_row = cells.filter(x.isNotNull()).select(
+        "c.column", F.sha2(x, 256).alias("__h"), F.length(x).alias("len"),
+        F.size(F.filter(F.split(x, r"\s+"), lambda w: w != F.lit(""))).alias("words"),
+        F.regexp_count(x, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(x, F.lit(r"\p{N}")).alias("digits"),
+        F.regexp_count(x, F.lit(r"\s")).alias("spaces"), F.regexp_count(x, F.lit(r"\p{P}")).alias("punct"))
+    stats = ["len", "words", "letters", "digits", "spaces", "punct"]
+    per_value = per_row.groupBy("column", "__h").agg(F.count(F.lit(1)).alias("k"), *[F.max(s_).alias(s_) for s_ in stats])
+    k = F.col("k")
+    return per_value.groupBy("column").agg(
+        F.sum(k).cast("long").alias("n"),
+        F.min("len").alias("len_min"),
+        F.round(F.sum(k * F.col("len")) / F.sum(k), 6).alias("len_mean"),
+        F.percentile("len", 0.5, k).alias("len_median"),
+        F.max("len").alias("len_max"),
+        F.count(F.lit(1)).alias("n_distinct"), F.count_if(k == 1).alias("n_unique"),
+        *[F.sum(k * F.col(s_)).cast("long").alias(f"n_{s_}") for s_ in stats[1:]],
+    )
 
 
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:

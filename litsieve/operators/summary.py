@@ -13,17 +13,9 @@ def value_counts(df: DataFrame, col: str, out: str = "value") -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(out)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_values(df: DataFrame, col: str, max_list: int = 10_000) -> DataFrame:
-    """Number of distinct non-NULL values and their sorted list.
-
-    The list is one value, so its size is checked first: above ``max_list`` distinct values use
-    ``value_counts`` (a distributed table) instead.
-    """
-    n = df.agg(F.count_distinct(col)).first()[0]
-    if n > max_list:
-        raise ValueError(f"{n} distinct values in {col!r}; use value_counts for a column this wide")
-    return df.agg(F.count_distinct(col).alias("n_distinct"),
-                  F.array_join(F.array_sort(F.collect_set(col)), ", ").alias("values"))
+def distinct_values(df: DataFrame, col: str, out: str = "value") -> DataFrame:
+    """The distinct non-NULL values, one row each (their number is the row count)."""
+    return df.filter(F.col(col).isNotNull()).select(F.col(col).alias(out)).distinct()
 
 
 def split_counts(df: DataFrame, matched: Column) -> DataFrame:
@@ -33,20 +25,6 @@ def split_counts(df: DataFrame, matched: Column) -> DataFrame:
                   F.count_if(~F.coalesce(matched, F.lit(False))).alias("unmatched_count"))
 
 
-AUDIT_COLUMNS = ["stage", "action", "method", "original_count", "remaining_count", "removed_count",
-                 "removed_pct", "matched_count", "unmatched_count", "categories_created", "dimensions"]
-
-
-def audit_row(spark, stage: int, action: str, **values) -> DataFrame:
-    """One audit record from driver-side values (counts already computed by Spark actions)."""
-    row = {"stage": stage, "action": action}
-    row.update(values)
-    schema = ("stage int, action string, method string, original_count bigint, remaining_count bigint, "
-              "removed_count bigint, removed_pct double, matched_count bigint, unmatched_count bigint, "
-              "categories_created bigint, dimensions string")
-    return spark.createDataFrame([tuple(row.get(c) for c in AUDIT_COLUMNS)], schema)
-
-
 def audit_table(records: list[DataFrame]) -> DataFrame:
     """A1: union of per-stage audit frames; missing keys become NULL columns."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records)

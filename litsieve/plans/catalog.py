@@ -64,7 +64,8 @@ def q_match_key(spark, sf_dir):
 @register("capped_source", f"SELECT {PAPER_SELECT} FROM {PAPERS} p ORDER BY paper_id LIMIT 100")
 def q_capped_source(spark, sf_dir):
     """The per-source cap (max_results) is the feature here."""
-    return papers(spark, sf_dir).orderBy("paper_id").limit(100)
+    from litsieve.sources.landed import cap_rows
+    return cap_rows(papers(spark, sf_dir), 100)
 
 
 # ---------------------------------------------------------------- exact de-duplication
@@ -264,9 +265,8 @@ def q_value_counts(spark, sf_dir):
     return sm.value_counts(papers(spark, sf_dir), "Source")
 
 
-@register("distinct_categories", "SELECT count(DISTINCT secondary_category) AS n_distinct, "
-          "array_to_string(list_sort(list_distinct(list(secondary_category))), ', ') AS \"values\" "
-          f"FROM ({_c4_sql()}) c")
+@register("distinct_categories", f"SELECT DISTINCT secondary_category AS value FROM ({_c4_sql()}) c "
+          "WHERE secondary_category IS NOT NULL")
 def q_distinct_categories(spark, sf_dir):
     return sm.distinct_values(cz.substring_category(papers(spark, sf_dir), lx.SECONDARY), "secondary_category")
 
@@ -292,7 +292,7 @@ from litsieve.plans.sqlgen import char_levenshtein, greedy_kept_sql, match_key_s
 
 NEAR_COLS = ("Title", "Abstract")   # whole text: first line + rest
 FUZZY_COLS = ("Title",)
-COMBINED_COLS = ("Title", "DOI")
+COMBINED_COLS = ("Title", "DOI", "Abstract")
 
 
 def _near_reps_sql(keep="first", cols=NEAR_COLS) -> str:
@@ -342,10 +342,10 @@ def q_near_pairs_lsh(spark, sf_dir):
     return dn.near_pairs(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS, threshold=0.85, method="lsh"))
 
 
-def _near_dedup_sql(keep="first") -> str:
+def _near_dedup_sql(keep="first", pairs=_jaccard_pairs_sql) -> str:
     reps = _near_reps_sql(keep)
     return (f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
-            f"({greedy_kept_sql(reps, _jaccard_pairs_sql(reps, 0.85), keep)})")
+            f"({greedy_kept_sql(reps, pairs(reps, 0.85), keep)})")
 
 
 @register("near_dedup", _near_dedup_sql())
@@ -353,9 +353,9 @@ def q_near_dedup(spark, sf_dir):
     return dn.near_dedup(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS))
 
 
-@register("near_dedup_lsh", _near_dedup_sql())
+@register("near_dedup_lsh", _near_dedup_sql(pairs=_lsh_sql))
 def q_near_dedup_lsh(spark, sf_dir):
-    """D12 through LSH candidates; equals the exact result whenever LSH finds every pair."""
+    """D12 through LSH candidates; its oracle walks the same bands."""
     return dn.near_dedup(papers(spark, sf_dir), dn.NearConfig(text_cols=NEAR_COLS, method="lsh"))
 
 
@@ -644,7 +644,9 @@ def q_nullity_distance(spark, sf_dir):
 def _text_sql(c):
     v = ident(c)
     return (f"SELECT '{c}' AS \"column\", CAST(sum(k) AS BIGINT) AS n, min(length(v)) AS len_min, "
-            f"round(sum(k * length(v)) / sum(k), 6) AS len_mean, max(length(v)) AS len_max, count(*) AS n_distinct, "
+            f"round(sum(k * length(v)) / sum(k), 6) AS len_mean, "
+            f"(SELECT CAST(median(length({v})) AS DOUBLE) FROM {PAPERS} m) AS len_median, "
+            f"max(length(v)) AS len_max, count(*) AS n_distinct, "
             f"count(*) FILTER (WHERE k = 1) AS n_unique, "
             f"CAST(sum(k * len(list_filter(string_split_regex(v, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS n_words, "
             f"CAST(sum(k * length(regexp_replace(v, '[^\\p{{L}}]', '', 'g'))) AS BIGINT) AS n_letters, "
@@ -804,9 +806,7 @@ COS_SQL = ("list_dot_product(CAST(e.embedding AS DOUBLE[]), c.c) / (sqrt(list_do
 
 
 def _seeds(spark, sf_dir):
-    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").limit(vc.MAX_SEEDS + 1).collect()
-    if len(cents) > vc.MAX_SEEDS:  # one seed per label: the label count must stay small
-        raise ValueError("too many labels to use their centroids as seeds")
+    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").collect()  # one seed a label
     return {f"seed {r['label']}": r["centroid"] for r in sorted(cents, key=lambda r: r["label"])}
 
 
@@ -1007,3 +1007,223 @@ def q_pubmed_roundtrip(spark, sf_dir):
     path = os.path.join(_shared_folder(spark, "pubmed"), "landed")
     landed.write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
     return read_pubmed(spark, path).select("Title", "Abstract", "Year", "DOI", "Source")
+
+
+# ---------------------------------------------------------------- helpers as queries
+
+def _fuzzy_scored_sql(min_score: float = 0.5) -> str:
+    structs = []
+    for pos, (cat, vs) in enumerate(lx.SCORED.entries):
+        hit = [f"instr(t, {q(' ' + v.lower() + ' ')}) > 0" for v in vs]
+        hits = ("list_filter([" + ", ".join(f"CASE WHEN {h} THEN {q(v)} END" for h, v in zip(hit, vs))
+                + "], lambda x: x IS NOT NULL)")
+        near = " + ".join(
+            f"CASE WHEN {h} THEN 1.0::DOUBLE ELSE coalesce(list_max(list_transform(ws, lambda w: 1.0::DOUBLE - "
+            f"{char_levenshtein('w', q(v.lower()))} / greatest(length(w), {len(v)}))), 0.0) END" for h, v in zip(hit, vs))
+        structs.append(f"{{'neg': -(({near}) / {float(len(vs))}::DOUBLE), 'pos': {pos}, 'category': {q(cat)}, "
+                       f"'kw': array_to_string({hits}, ', ')}}")
+    return (f"SELECT paper_id, coalesce(c.category, 'Uncategorized') AS primary_category, "
+            f"round(coalesce(-c.neg, 0.0), 6) AS match_score, coalesce(c.kw, '') AS matched_keywords FROM (SELECT paper_id, "
+            f"list_sort(list_filter([{', '.join(structs)}], lambda s: -s.neg >= {min_score}))[1] AS c FROM (SELECT paper_id, t, "
+            f"list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '')) AS ws FROM "
+            f"(SELECT paper_id, {PADDED} AS t FROM {PAPERS} p) s) w) x")
+
+
+@register("scored_keywords_fuzzy", _fuzzy_scored_sql())
+def q_scored_fuzzy(spark, sf_dir):
+    """C2 with the word-level edit similarity for variants that are not found as they stand."""
+    return cz.scored_keywords(papers(spark, sf_dir).select("paper_id", *TEXT_COLS), TEXT_COLS, lx.SCORED, 0.5, "best",
+                              fuzzy=True).select("paper_id", "primary_category", "match_score", "matched_keywords")
+
+
+def _composite_pairs_sql() -> str:
+    reps, _ = _combined_sql()
+    live = f"SELECT * FROM ({reps}) r WHERE len(ws) > 0 AND length(k) > 0"
+    words = "list_filter(string_split_regex({k}, '\\s+'), lambda x: x <> '')"
+    pairs = (f"SELECT c.id_a, c.id_b, c.jaccard, a.k AS ka, b.k AS kb, {words.format(k='a.k')} AS la, {words.format(k='b.k')} AS lb "
+             f"FROM ({_jaccard_pairs_sql(live, 0.85)}) c JOIN ({live}) a ON a.id = c.id_a JOIN ({live}) b ON b.id = c.id_b")
+    sets = (f"SELECT *, array_to_string(list_sort(la), ' ') AS sa, array_to_string(list_sort(lb), ' ') AS sb, "
+            f"list_sort(list_distinct(la)) AS wa, list_sort(list_distinct(lb)) AS wb FROM ({pairs}) p")
+    parts = (f"SELECT *, array_to_string(list_sort(list_intersect(wa, wb)), ' ') AS t0, len(list_intersect(wa, wb)) AS nc, "
+             f"list_filter(wa, lambda x: NOT list_contains(wb, x)) AS ra, list_filter(wb, lambda x: NOT list_contains(wa, x)) AS rb "
+             f"FROM ({sets}) s")
+    strs = (f"SELECT *, trim(concat_ws(' ', t0, array_to_string(ra, ' '))) AS t1, "
+            f"trim(concat_ws(' ', t0, array_to_string(rb, ' '))) AS t2 FROM ({parts}) y")
+    token_set = (f"CASE WHEN nc > 0 AND (len(ra) = 0 OR len(rb) = 0) THEN 100.0 ELSE greatest({_ratio_sql('t0', 't1')}, "
+                 f"{_ratio_sql('t0', 't2')}, {_ratio_sql('t1', 't2')}) END")
+    score = (f"greatest({_ratio_sql('ka', 'kb')}, 0.95::DOUBLE * ({_ratio_sql('sa', 'sb')}), 0.95::DOUBLE * ({token_set}))")
+    return (f"SELECT id_a, id_b, round(jaccard, 9) AS jaccard, round(score, 9) AS score FROM "
+            f"(SELECT id_a, id_b, jaccard, {score} AS score FROM ({strs}) z) v WHERE score >= 90 - 1e-9")
+
+
+@register("combined_pairs_composite", _composite_pairs_sql())
+def q_combined_pairs_composite(spark, sf_dir):
+    """Near-duplicate candidates verified with the best of the three scorers."""
+    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, scorer="composite"))
+    return verified.select("id_a", "id_b", F.round("jaccard", 9).alias("jaccard"), F.round("score", 9).alias("score"))
+
+
+def _sequential_sql() -> str:
+    near = _near_reps_sql(cols=("Title",))
+    kept = f"SELECT * FROM {PAPERS} n WHERE paper_id IN ({greedy_kept_sql(near, _jaccard_pairs_sql(near, 0.85), 'first')})"
+    reps = _fuzzy_reps_sql(cols=("Title", "DOI")).replace(PAPERS, f"({kept})")
+    return (f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
+            f"({greedy_kept_sql(reps, _edit_pairs_sql(reps, 90), 'first')})")
+
+
+@register("combined_dedup_sequential", _sequential_sql())
+def q_combined_sequential(spark, sf_dir):
+    """D19 as two passes: near de-dup of titles, then fuzzy de-dup of titles and DOIs on what is left."""
+    return dn.combined_dedup(papers(spark, sf_dir), dn.CombinedConfig(columns=("Title", "DOI"), mode="sequential"))
+
+
+@register("drop_empty_text", f"SELECT paper_id FROM {PAPERS} p WHERE length({strip_sql('\"Abstract\"')}) > 0")
+def q_drop_empty(spark, sf_dir):
+    """P10: papers whose abstract has something besides white space."""
+    from litsieve.functions.text import has_text
+    return papers(spark, sf_dir).filter(has_text("Abstract")).select("paper_id")
+
+
+@register("preview_rows", f'SELECT "Title", "Source" FROM {PAPERS} p ORDER BY paper_id LIMIT 5')
+def q_preview(spark, sf_dir):
+    """The preview (its limit is the feature) of the preferred columns."""
+    from litsieve.functions.columns import pick_columns
+    from litsieve.sources.landed import preview
+    rows = preview(papers(spark, sf_dir))
+    return rows.select(*pick_columns(rows, ["Title", "Source"], 5))
+
+
+_TERMS_SQL = f"list_filter(list_transform(string_split(rest, ','), lambda x: {strip_sql('x')}), lambda x: x <> '')"
+
+
+@register("lexicon_parse", "SELECT category, min(paper_id) AS position, array_to_string(arg_max(terms, paper_id), '|') AS variants, "
+          "CAST(len(arg_max(terms, paper_id)) AS INTEGER) AS n_variants FROM (SELECT paper_id, category, " + _TERMS_SQL
+          + " AS terms FROM (SELECT paper_id, " + strip_sql("substr(line, 1, strpos(line, ':') - 1)") + " AS category, "
+          "substr(line, strpos(line, ':') + 1) AS rest FROM (SELECT paper_id, CASE WHEN \"DOI\" IS NULL THEN \"Title\" ELSE "
+          f"' ' || \"Source\" || ' : ' || replace(\"Title\", ' ', ' , ') END AS line FROM {PAPERS} p) l "
+          "WHERE strpos(line, ':') > 0) s) t GROUP BY category")
+def q_lexicon_parse(spark, sf_dir):
+    """Lexicon lines 'source : word , word ...' made of every paper (those without a DOI give a line
+    without a category, unless the title holds a colon), parsed as a Spark job."""
+    from litsieve.functions.lexicon import parse_lexicon_lines
+    line = F.when(F.col("DOI").isNull(), F.col("Title")).otherwise(
+        F.concat(F.lit(" "), F.col("Source"), F.lit(" : "), F.replace(F.col("Title"), F.lit(" "), F.lit(" , "))))
+    return parse_lexicon_lines(papers(spark, sf_dir).select(line.alias("line"), F.col("paper_id").alias("line_no")))
+
+
+def _landed_sql(tag: str) -> str:
+    return ("SELECT " + strip_sql('"Title"') + " AS \"Title\", coalesce(" + strip_sql('"Abstract"')
+            + f", '') AS \"Abstract\", \"Year\", coalesce(\"DOI\", '') AS \"DOI\", '{tag}' AS \"Source\" FROM {PAPERS} p")
+
+
+def _with_ids_sql(rows: str) -> str:
+    text = "concat_ws(chr(1), " + ", ".join(ident(c) for c in ("Title", "Abstract", "Year", "DOI", "Source")) + ")"
+    return f"SELECT row_number() OVER (ORDER BY sha256({text})) - 1 AS paper_id, * FROM ({rows}) r"
+
+
+def _land_atom(p: DataFrame, path: str) -> None:
+    p.select(F.col("Title").alias("title"), F.col("Abstract").alias("summary"),
+             F.concat("Year", F.lit("-06-30T12:00:00Z")).alias("published"), F.col("DOI").alias("arxiv:doi")) \
+        .write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+
+
+def _work(p: DataFrame):
+    return F.struct(F.array(F.col("Title")).alias("title"), F.array(F.struct(F.col("Abstract").alias("text"))).alias("abstracts"),
+                    F.struct(F.array(F.array(F.col("Year").cast("int"))).alias("date-parts")).alias("published"),
+                    F.col("DOI").alias("DOI"))
+
+
+@register("arxiv_roundtrip", _with_ids_sql(_landed_sql("arXiv")))
+def q_arxiv_roundtrip(spark, sf_dir):
+    """The paper table landed as Atom entries, read with the arXiv mapping; ids by record digest."""
+    from litsieve.sources.landed import read_arxiv
+    path = _shared_folder(spark, "arxiv") + "/landed"
+    _land_atom(papers(spark, sf_dir), path)
+    return read_arxiv(spark, path)
+
+
+@register("sources_union", _with_ids_sql(_landed_sql("arXiv") + " UNION ALL " + _landed_sql("Crossref")))
+def q_sources_union(spark, sf_dir):
+    """The paper table landed by two sources (Crossref with `published` and `abstracts`), read and united."""
+    from litsieve.sources.landed import read_arxiv, read_crossref, union_sources
+    p, root = papers(spark, sf_dir), _shared_folder(spark, "sources")
+    _land_atom(p, root + "/arxiv")
+    p.select(F.struct(F.array(_work(p)).alias("items")).alias("message")).write.json(root + "/crossref")
+    return union_sources([read_arxiv(spark, root + "/arxiv"), read_crossref(spark, root + "/crossref", multi_line=False)])
+
+
+@register("quarantine_split", "SELECT CASE WHEN \"DOI\" IS NULL THEN 'quarantined' ELSE 'read' END AS kind, "
+          "CASE WHEN \"DOI\" IS NULL THEN '{\"message\": {\"items\": [{\"DOI\": \"' || md5(\"Title\") ELSE "
+          + strip_sql('"Title"') + f" END AS content FROM {PAPERS} p")
+def q_quarantine(spark, sf_dir):
+    """Papers without a DOI are landed as broken Crossref responses; the others are read, these set aside."""
+    from litsieve.sources.landed import CORRUPT, read_crossref
+    p, path = papers(spark, sf_dir), _shared_folder(spark, "quarantine") + "/landed"
+    whole = F.to_json(F.struct(F.struct(F.array(_work(p)).alias("items")).alias("message")))
+    broken = F.concat(F.lit('{"message": {"items": [{"DOI": "'), F.md5(F.col("Title")))
+    p.select(F.when(F.col("DOI").isNull(), broken).otherwise(whole).alias("value")).write.text(path)
+    good, bad = read_crossref(spark, path, with_quarantine=True, multi_line=False)
+    return good.select(F.lit("read").alias("kind"), F.col("Title").alias("content")).unionByName(
+        bad.select(F.lit("quarantined").alias("kind"), F.col(CORRUPT).alias("content")))
+
+
+def _export_sql() -> str:
+    rows = (f"SELECT CASE WHEN c.primary_category = 'Uncategorized' THEN 'unmatched' ELSE 'processed' END AS part, "
+            f"p.\"Title\", p.\"Abstract\", c.primary_category, CAST(NULL AS BIGINT) AS n FROM ({_c1_sql()}) c "
+            f"JOIN {PAPERS} p USING (paper_id)")
+    counts = (f"SELECT 'summary' AS part, CAST(NULL AS VARCHAR) AS \"Title\", CAST(NULL AS VARCHAR) AS \"Abstract\", "
+              f"primary_category, count(*) AS n FROM ({_c1_sql()}) c GROUP BY primary_category")
+    return f"SELECT f.format, x.* FROM ({rows} UNION ALL {counts}) x, (VALUES ('parquet'), ('csv')) f(format)"
+
+
+@register("export_roundtrip", _export_sql())
+def q_export(spark, sf_dir):
+    """K2/K7: processed, unmatched and summary tables in both formats, all six read back."""
+    from litsieve.sinks.files import export_result
+    from litsieve.sources.landed import read_csv_table
+    labelled = cz.phrase_labels(papers(spark, sf_dir), TEXT_COLS, lx.CORE, lx.ADDITIONAL)
+    matched, rest = cz.split_matched(labelled, "primary_category")
+    summary = labelled.groupBy("primary_category").agg(F.count(F.lit(1)).alias("n"))
+    written = export_result(_shared_folder(spark, "export"), matched, rest, summary)
+    out = None
+    for key, path in written.items():
+        fmt, part = key.split("/")
+        rows = spark.read.parquet(path) if fmt == "parquet" else read_csv_table(spark, path, infer=False)
+
+        def col(c, kind):
+            return (F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c)
+        rows = rows.select(F.lit(fmt).alias("format"), F.lit(part).alias("part"), col("Title", "string"),
+                           col("Abstract", "string"), col("primary_category", "string"), col("n", "long"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _ml_screening_sql() -> str:
+    kept = f"SELECT paper_id FROM ({ORACLE['exact_first']}) d"
+    c2 = f"SELECT * FROM ({_scored_sql('best')}) c WHERE paper_id IN ({kept})"
+    c4 = f"SELECT * FROM ({_c4_sql()}) c WHERE paper_id IN (SELECT paper_id FROM ({c2}) m WHERE primary_category <> 'Uncategorized')"
+    return f"""SELECT c2.paper_id, c2.primary_category, c2.match_score, c4.secondary_category, z.prediction AS "Language"
+FROM ({c2}) c2 JOIN ({c4}) c4 USING (paper_id) JOIN ({_zero_shot_sql()}) z USING (paper_id) WHERE c4.secondary_category IS NOT NULL"""
+
+
+def _ml_run(spark, sf_dir):
+    return pl.run_screening(papers(spark, sf_dir), pl.ScreeningConfig(
+        dedup="exact", primary="keywords", ml=pl.label_overlap("Language", ZERO_SHOT, TEXT_COLS)))
+
+
+@register("screening_ml", _ml_screening_sql())
+def q_screening_ml(spark, sf_dir):
+    """A2 with other choices: exact de-dup, scored keywords, C4, then classification of every processed paper."""
+    return _ml_run(spark, sf_dir).processed.select("paper_id", "primary_category", "match_score", "secondary_category", "Language")
+
+
+@register("screening_ml_audit", "SELECT 5 AS stage, 'ML classification' AS action, 'Use transformer model' AS method, "
+          "'Language' AS dimension, CAST(NULL AS BIGINT) AS matched_count UNION ALL SELECT 5, 'Manual analysis', NULL, NULL, NULL "
+          "UNION ALL SELECT 2, 'Duplicate removal', 'Strict exact matching', NULL, NULL UNION ALL "
+          "SELECT 3, 'Primary categorization', 'Configurable Keyword Matching', NULL, count(*) FILTER (WHERE primary_category <> "
+          f"'Uncategorized') FROM ({_scored_sql('best')}) c WHERE paper_id IN (SELECT paper_id FROM ({ORACLE['exact_first']}) d) "
+          "UNION ALL SELECT 4, 'Secondary categorization', NULL, NULL, "
+          f"(SELECT count(*) FROM ({_ml_screening_sql()}) m)")
+def q_screening_ml_audit(spark, sf_dir):
+    """A1 with the row and the dimension column of the ML stage."""
+    return _ml_run(spark, sf_dir).summary.select("stage", "action", "method", "dimension", "matched_count")

@@ -8,16 +8,21 @@ tagged with the stage number. The audit table is built from per-stage Spark aggr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.constants import DEFAULT_CLUSTERS, DEFAULT_MIN_SCORE
 from litsieve.functions.lexicon import Lexicon
+from litsieve.functions.text import search_text
 from litsieve.operators import categorize as cz
+from litsieve.operators import classify as cl
 from litsieve.operators import dedup_exact as dx
 from litsieve.operators import dedup_near as dn
+from litsieve.operators import vectors as vc
 from litsieve.operators.summary import audit_table
 from litsieve.plans import lexicons as lx
 from litsieve.schema import papers_view, validate_columns
@@ -25,19 +30,64 @@ from litsieve.session import read_table
 
 DEDUP_METHODS = {
     "exact": "Strict exact matching",
-    "fuzzy": "Fuzzy matching",
+    "fuzzy": "Fuzzy matching ({threshold:g}%)",
     "near": "Near (MinHash 0.85)",
     "combined": "Combined (MinHash + Fuzzy)",
 }
 
 
+PRIMARY_METHODS = {
+    "phrases": "Standalone Exact-Match",
+    "pairs": "Configurable Keyword Matching",
+    "keywords": "Configurable Keyword Matching",
+    "seeds": "BERT Semantic Matching",
+    "clusters": "BERT Semantic Matching",
+}
+
+
+@dataclass(frozen=True)
+class MlStage:
+    """Classification of the processed papers into the column ``dimension``: ``classify(papers, dimension)``
+    returns them with that column; ``option`` names the choice in the audit table."""
+    dimension: str
+    option: str
+    classify: Callable[[DataFrame, str], DataFrame]
+
+
+def trained_forest(train: DataFrame, text_cols, label_col: str, dimension: str, predict_cols, **fit) -> MlStage:
+    """'Train new model': a forest fitted on ``train``, applied to every processed paper."""
+    def run(papers, out):
+        return cl.predict(cl.fit_forest(train, text_cols, label_col, **fit), papers, predict_cols, out)
+    return MlStage(dimension, "Train new model", run)
+
+
+def saved_forest(root: str, dimension: str, predict_cols) -> MlStage:
+    """'Use pre-trained model': the forest saved for ``dimension`` under ``root``."""
+    return MlStage(dimension, "Use pre-trained model",
+                   lambda papers, out: cl.predict(cl.load_model(root, dimension), papers, predict_cols, out))
+
+
+def label_overlap(dimension: str, candidates: dict[str, str], text_cols) -> MlStage:
+    """'Use transformer model': the zero-shot scorer by word overlap with the labels' descriptions."""
+    return MlStage(dimension, "Use transformer model",
+                   lambda papers, out: cl.zero_shot_overlap(papers, text_cols, candidates, out))
+
+
 @dataclass
 class ScreeningConfig:
     dedup: str = "combined"
-    dedup_columns: tuple[str, ...] = ("Title", "DOI")
+    dedup_columns: tuple[str, ...] = ("Title", "DOI", "Abstract")
     keep: str = "first"
     fuzzy_threshold: float = 90
     text_columns: tuple[str, ...] = ("Title", "Abstract")
+    primary: str = "phrases"           # a key of PRIMARY_METHODS
+    scored: Lexicon = lx.SCORED        # 'keywords'
+    min_score: float = DEFAULT_MIN_SCORE
+    strategy: str = "best"
+    fuzzy_keywords: bool = False
+    seed_terms: tuple[str, ...] = ()   # 'seeds': one seed vector a term
+    clusters: int = DEFAULT_CLUSTERS   # 'clusters'
+    ml: MlStage | None = None
     core: Lexicon = lx.CORE
     additional: Lexicon = lx.ADDITIONAL
     secondary: Lexicon = lx.SECONDARY
@@ -66,6 +116,23 @@ def _dedup(papers: DataFrame, cfg: ScreeningConfig) -> DataFrame:
     raise ValueError(f"unknown de-duplication method {cfg.dedup!r}")
 
 
+def _primary(papers: DataFrame, cfg: ScreeningConfig) -> DataFrame:
+    """Stage 3 by the chosen method; always adds ``primary_category``."""
+    if cfg.primary == "phrases":
+        return cz.phrase_labels(papers, cfg.text_columns, cfg.core, cfg.additional)
+    if cfg.primary == "pairs":
+        return cz.paired_labels(papers, cfg.text_columns, cfg.core, cfg.additional)
+    if cfg.primary == "keywords":
+        return cz.scored_keywords(papers, cfg.text_columns, cfg.scored, cfg.min_score, cfg.strategy, fuzzy=cfg.fuzzy_keywords)
+    text = papers.withColumn("__text", search_text(cfg.text_columns))
+    if cfg.primary == "clusters":
+        vectors = vc.embed(text, "__text", "__vector")
+        return vc.kmeans_cosine(vectors, "__vector", k=cfg.clusters, out_col="primary_category").drop("__text", "__vector")
+    if cfg.primary == "seeds":
+        return vc.assign_to_terms(text, "__text", cfg.seed_terms, out_col="primary_category").drop("__text")
+    raise ValueError(f"unknown primary method {cfg.primary!r}")
+
+
 def _split_audit(df: DataFrame, matched, stage: int, action: str, method: str | None, categories) -> DataFrame:
     m = F.coalesce(matched, F.lit(False))
     return df.agg(F.count_if(m).alias("matched_count"), F.count_if(~m).alias("unmatched_count"),
@@ -79,12 +146,12 @@ def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -
     validate_columns(papers, ["paper_id", *cfg.dedup_columns, *cfg.text_columns])  # B19: check inputs up front
     # the de-duplicated table feeds every later stage and the audit: keep it (memory + disk)
     unique = _dedup(papers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup])]
+    audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup].format(threshold=cfg.fuzzy_threshold))]
 
-    primary = cz.phrase_labels(unique, cfg.text_columns, cfg.core, cfg.additional)
+    primary = _primary(unique, cfg)
     p_match, p_un = cz.split_matched(primary, "primary_category")
     is_cat = F.col("primary_category") != F.lit(cz.UNCATEGORIZED)
-    audits.append(_split_audit(primary, is_cat, 3, "Primary categorization", "Standalone Exact-Match",
+    audits.append(_split_audit(primary, is_cat, 3, "Primary categorization", PRIMARY_METHODS[cfg.primary],
                                F.count_distinct(F.when(is_cat, F.col("primary_category")))))
 
     text_cols = [f.name for f in papers.schema.fields if f.dataType.simpleString() == "string"]
@@ -97,6 +164,12 @@ def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -
     audits.append(papers.sparkSession.createDataFrame(
         [(5, "Manual analysis", ", ".join(cfg.dimensions))], "stage int, action string, dimensions string"))
 
+    if cfg.ml:
+        final = cfg.ml.classify(final, cfg.ml.dimension)
+        audits.append(papers.sparkSession.createDataFrame(
+            [(5, "ML classification", cfg.ml.dimension, cfg.ml.option)],
+            "stage int, action string, dimension string, method string"))
+
     unmatched = (p_un.withColumn("unmatched_stage", F.lit(3))
                  .unionByName(s_un.withColumn("unmatched_stage", F.lit(4)), allowMissingColumns=True))
     return ScreeningResult(processed=final, unmatched=unmatched, summary=audit_table(audits),

@@ -5,8 +5,9 @@ XML, Atom XML or Crossref JSON document per file) and read here as distributed S
 explicit schemas (the XML reader's inferred types flip with the data, so a schema is always
 passed). Malformed records are split off into a quarantine frame, the rest of the batch is kept.
 
-Ids: ``paper_id`` is assigned once at ingest (``monotonically_increasing_id``) and the table is
-meant to be persisted right after (K5), so later stages see fixed ids.
+Ids: ``paper_id`` is a record's place in the order of the records' SHA-256 digests, from 0. It
+depends on the records alone, not on files, splits or partitions; equal records get neighbouring
+ids. Records are range-partitioned by digest and checkpointed once, so later stages see fixed ids.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from litsieve.constants import ARXIV_DATE_FORMAT, DEFAULT_MAX_RESULTS, MAX_RESULTS_RANGE, PREVIEW_ROWS
 from litsieve.functions.text import py_strip
+from litsieve.operators.association import with_running_sum
 from litsieve.schema import PAPER_COLUMNS
+from litsieve.session import cut_lineage
 
 CORRUPT = "_corrupt_record"
+ID_SALTS = 4096  # equal records are spread over so many sort keys
 
 
 def _s(name, t=None, nullable=True):
@@ -71,18 +75,32 @@ def _clean(c: Column) -> Column:
     return F.coalesce(py_strip(c), F.lit(""))
 
 
+def record_digest() -> Column:
+    """SHA-256 of the five paper columns, NULL and '' told apart."""
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("\u0000")) for c in PAPER_COLUMNS]), 256)
+
+
 def _with_ids(df: DataFrame) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("paper_id"), *PAPER_COLUMNS)
+    # the salt only spreads equal records over partitions; which of them gets which id makes no difference
+    keyed = df.select(record_digest().alias("__digest"),
+                      F.pmod(F.monotonically_increasing_id(), F.lit(ID_SALTS)).alias("__salt"),
+                      F.lit(1).cast("long").alias("__one"), *PAPER_COLUMNS)
+    return with_running_sum(keyed, ["__digest", "__salt"], "__one", "paper_id").select("paper_id", *PAPER_COLUMNS)
+
 
+def _read(raw: DataFrame, mapping, with_quarantine: bool):
+    """``mapping`` of the well-formed records, with ids; with_quarantine also gives the malformed records.
 
-def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined malformed records)."""
-    if CORRUPT not in df.columns:
-        return df, df.limit(0)
-    # Spark refuses queries that read only the corrupt-record column of a raw file, so the
-    # parsed batch is persisted once and both splits are taken from it.
-    parsed = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), parsed.filter(F.col(CORRUPT).isNotNull())
+    Spark refuses queries that read only the corrupt-record column of a raw file, so where that is asked for
+    the parsed batch is persisted until both results are checkpointed.
+    """
+    if not with_quarantine:
+        return _with_ids(mapping(raw.filter(F.col(CORRUPT).isNull())))
+    parsed = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    papers = _with_ids(mapping(parsed.filter(F.col(CORRUPT).isNull())))
+    bad = cut_lineage(parsed.filter(F.col(CORRUPT).isNotNull()))
+    parsed.unpersist()
+    return papers, bad
 
 
 def read_pubmed(spark: SparkSession, path: str, with_quarantine: bool = False):
@@ -90,18 +108,15 @@ def read_pubmed(spark: SparkSession, path: str, with_quarantine: bool = False):
     only, PubDate/Year (absent -> ''), first ArticleId with IdType 'doi'; Source 'PubMed'."""
     raw = (spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(PUBMED_SCHEMA).load(path))
-    good, bad = split_corrupt(raw)
     art = F.col("MedlineCitation.Article")
     dois = F.filter(F.col("PubmedData.ArticleIdList.ArticleId"), lambda x: x["_IdType"] == F.lit("doi"))
-    papers = good.select(
+    return _read(raw, lambda good: good.select(
         _clean(_strip_tags(art["ArticleTitle"])).alias("Title"),
         _clean(F.get(art["Abstract"]["AbstractText"], 0)).alias("Abstract"),
         F.coalesce(art["Journal"]["JournalIssue"]["PubDate"]["Year"], F.lit("")).alias("Year"),
         F.coalesce(F.get(dois, 0)["_VALUE"], F.lit("")).alias("DOI"),
         F.lit("PubMed").alias("Source"),
-    )
-    papers = _with_ids(papers)
-    return (papers, bad) if with_quarantine else papers
+    ), with_quarantine)
 
 
 def read_arxiv(spark: SparkSession, path: str, with_quarantine: bool = False):
@@ -109,17 +124,14 @@ def read_arxiv(spark: SparkSession, path: str, with_quarantine: bool = False):
     date -> ''); the DOI is read from ``arxiv:doi`` where Atom puts it (B14)."""
     raw = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(ATOM_SCHEMA).load(path))
-    good, bad = split_corrupt(raw)
     ts = F.try_to_timestamp(py_strip(F.col("published")), F.lit(ARXIV_DATE_FORMAT))
-    papers = good.select(
+    return _read(raw, lambda good: good.select(
         _clean(F.col("title")).alias("Title"),
         _clean(F.col("summary")).alias("Abstract"),
         F.coalesce(F.year(ts).cast("string"), F.lit("")).alias("Year"),
         F.coalesce(py_strip(F.col("`arxiv:doi`")), F.lit("")).alias("DOI"),
         F.lit("arXiv").alias("Source"),
-    )
-    papers = _with_ids(papers)
-    return (papers, bad) if with_quarantine else papers
+    ), with_quarantine)
 
 
 def read_crossref(spark: SparkSession, path: str, with_quarantine: bool = False, multi_line: bool = True):
@@ -130,27 +142,24 @@ def read_crossref(spark: SparkSession, path: str, with_quarantine: bool = False,
     (one response per line), which splits across tasks."""
     raw = (spark.read.schema(CROSSREF_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    good, bad = split_corrupt(raw)
-    items = good.select(F.explode("message.items").alias("it"))
     it = F.col("it")
 
     def year_of(field):
         return F.get(F.get(it[field]["date-parts"], 0), 0).cast("string")
 
-    papers = items.select(
+    return _read(raw, lambda good: good.select(F.explode("message.items").alias("it")).select(
         _clean(F.get(it["title"], 0)).alias("Title"),
         _clean(F.coalesce(it["abstract"], F.get(it["abstracts"], 0)["text"])).alias("Abstract"),
         F.coalesce(year_of("published"), year_of("created"), F.lit("")).alias("Year"),
         F.coalesce(it["DOI"], F.lit("")).alias("DOI"),
         F.lit("Crossref").alias("Source"),
-    )
-    papers = _with_ids(papers)
-    return (papers, bad) if with_quarantine else papers
+    ), with_quarantine)
 
 
-def read_csv_table(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """CSV upload with a header row (quoted newlines and commas allowed)."""
-    return (spark.read.option("header", True).option("inferSchema", infer).option("multiLine", True)
+def read_csv_table(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV upload with a header row (quoted commas allowed). ``multi_line`` allows newlines inside quotes,
+    at one task a file; without it files are split across tasks."""
+    return (spark.read.option("header", True).option("inferSchema", infer).option("multiLine", multi_line)
             .option("escape", '"').csv(path))
 
 

@@ -41,7 +41,7 @@ def test_tfidf_matches_python(spark):
 def test_forest_fit_predict_save_load(spark):
     docs = read_table(spark, SF001, "documents").join(read_table(spark, SF001, "labels"), "doc_id")
     train, test = cl.holdout_split(docs, "doc_id")
-    model = cl.fit_forest(train, ["text"], "quality", num_trees=50, vocab_size=4096)
+    model = cl.fit_forest(train, ["text"], "quality", num_trees=50, num_features=4096)
     root = tempfile.mkdtemp(prefix="litsieve-model-")
     cl.save_model(model, root, "quality")
     again = cl.load_model(root, "quality")
