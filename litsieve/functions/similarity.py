@@ -43,32 +43,54 @@ def sorted_tokens(c) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def token_sort_ratio(a, b) -> Column:
-    return ratio(sorted_tokens(a), sorted_tokens(b))
+def let(value, body) -> Column:
+    """``body`` over ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _ratio_from(a, b, threshold: float | None) -> Column:
+    return ratio(a, b) if threshold is None else bounded_ratio(a, b, threshold)
+
+
+def token_sort_ratio(a, b, threshold: float | None = None) -> Column:
+    """Ratio of the sorted words; NULL below ``threshold`` where one is given."""
+    return let(F.struct(sorted_tokens(a).alias("a"), sorted_tokens(b).alias("b")),
+               lambda s: _ratio_from(s["a"], s["b"], threshold))
 
 
 def _words(c) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(col_of(c), r"\s+"), lambda x: x != F.lit(""))))
 
 
-def token_set_ratio(a, b) -> Column:
+def token_set_ratio(a, b, threshold: float | None = None) -> Column:
     """t0 = sorted common words, t1 = t0 + rest(a), t2 = t0 + rest(b);
-    max(ratio(t0,t1), ratio(t0,t2), ratio(t1,t2)); 100 when t0 is non-empty and a side has no rest."""
-    wa, wb = _words(a), _words(b)
-    common = F.array_intersect(wa, wb)
-    ra, rb = F.array_except(wa, wb), F.array_except(wb, wa)
-    t0 = F.array_join(common, " ")
-    t1 = F.trim(F.concat_ws(" ", t0, F.array_join(ra, " ")))
-    t2 = F.trim(F.concat_ws(" ", t0, F.array_join(rb, " ")))
-    best = F.greatest(ratio(t0, t1), ratio(t0, t2), ratio(t1, t2))
-    full = (F.size(common) > 0) & ((F.size(ra) == 0) | (F.size(rb) == 0))
-    return F.when(full, F.lit(100.0)).otherwise(best)
-
-
-def composite_score(a, b) -> Column:
+    max(ratio(t0,t1), ratio(t0,t2), ratio(t1,t2)); 100 when t0 is non-empty and a side has no rest.
+    NULL below ``threshold`` where one is given: the distances then stop early."""
+    def split_words(w):
+        return F.struct(F.array_intersect(w["a"], w["b"]).alias("common"), F.array_except(w["a"], w["b"]).alias("ra"),
+                        F.array_except(w["b"], w["a"]).alias("rb"))
+
+    def texts(s):
+        t0 = F.array_join(s["common"], " ")
+        return F.struct(t0.alias("t0"), F.trim(F.concat_ws(" ", t0, F.array_join(s["ra"], " "))).alias("t1"),
+                        F.trim(F.concat_ws(" ", t0, F.array_join(s["rb"], " "))).alias("t2"))
+
+    pairs = (("t0", "t1"), ("t0", "t2"), ("t1", "t2"))
+
+    def score(s):
+        full = (F.size(s["common"]) > 0) & ((F.size(s["ra"]) == 0) | (F.size(s["rb"]) == 0))
+        best = let(texts(s), lambda t: F.greatest(*[_ratio_from(t[x], t[y], threshold) for x, y in pairs]))
+        return F.when(full, F.lit(100.0)).otherwise(best)
+
+    return let(F.struct(_words(a).alias("a"), _words(b).alias("b")), lambda w: let(split_words(w), score))
+
+
+def composite_score(a, b, threshold: float | None = None) -> Column:
     """WRatio-like blend used as the reference's default scorer intent:
-    greatest(ratio, 0.95 * token_sort, 0.95 * token_set)."""
-    return F.greatest(ratio(a, b), F.lit(0.95) * token_sort_ratio(a, b), F.lit(0.95) * token_set_ratio(a, b))
+    greatest(ratio, 0.95 * token_sort, 0.95 * token_set); NULL below ``threshold`` where one is given."""
+    token = None if threshold is None else threshold / 0.95
+    return F.greatest(_ratio_from(a, b, threshold), F.lit(0.95) * token_sort_ratio(a, b, token),
+                      F.lit(0.95) * token_set_ratio(a, b, token))
 
 
 def jaccard(wa, wb) -> Column:

@@ -182,16 +182,20 @@ def _combined_verify(cand: DataFrame, live: DataFrame, cfg: CombinedConfig) -> D
     near = verify_jaccard(cand, sets, cfg.near_threshold)
     ka = live.select(F.col("id").alias("id_a"), F.col("key").alias("ka"))
     kb = live.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
+
+    def high_enough(s):
+        return s >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9)
+
     if cfg.scorer == "ratio":
         score = bounded_ratio("ka", "kb", cfg.fuzzy_threshold)
     elif cfg.scorer in ("token_set", "composite"):
-        full = token_set_ratio("ka", "kb") if cfg.scorer == "token_set" else composite_score("ka", "kb")
-        score = F.when(full >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9), full)
+        scorer = token_set_ratio if cfg.scorer == "token_set" else composite_score
+        score = scorer("ka", "kb", cfg.fuzzy_threshold)
     else:
         raise ValueError("scorer must be 'ratio', 'token_set' or 'composite'")
     return (near.join(ka, "id_a").join(kb, "id_b")
-            .select("id_a", "id_b", "jaccard", score.alias("score"))
-            .filter(F.col("score").isNotNull()))
+            # a filter on the score would compute it once more below the projection
+            .select("id_a", "id_b", "jaccard", F.explode(F.filter(F.array(score), high_enough)).alias("score")))
 
 
 def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()):

@@ -87,7 +87,7 @@ def greedy_kept_sql(reps: str, pairs: str, keep: str) -> str:
                 f"(SELECT id_a FROM ({pairs}) x UNION SELECT id_b FROM ({pairs}) y)")
     direction = "" if keep == "first" else " DESC"
     return f"""
-WITH RECURSIVE pr AS ({pairs}),
+WITH RECURSIVE pr AS MATERIALIZED ({pairs}),
 nodes AS (SELECT id_a AS id FROM pr UNION SELECT id_b FROM pr),
 ord AS (SELECT id, row_number() OVER (ORDER BY id{direction}) AS i FROM nodes),
 e AS (SELECT least(oa.i, ob.i) AS si, greatest(oa.i, ob.i) AS di
