@@ -67,11 +67,12 @@ def smooth_idf(counted: DataFrame, tf_col: str, out_col: str) -> ElementwiseProd
 
 
 def fit_forest(train: DataFrame, text_cols, label_col: str, drop_empty: bool = False, num_trees: int = DEFAULT_TREES,
-               seed: int = RANDOM_SEED, num_features: int = 1 << 18, max_depth: int = 30) -> PipelineModel:
+               seed: int = RANDOM_SEED, num_features: int = 1 << 14, max_depth: int = 30) -> PipelineModel:
     """M3: tokenizer -> hashed counts -> smoothed idf -> L2 -> random forest -> label strings.
 
     Fits on the search text of ``text_cols``; ``drop_empty`` removes rows without text (P10), rows without a label
-    take no part. Every term counts: terms are hashed into ``num_features`` columns, no vocabulary is gathered.
+    take no part. Every term counts: terms are hashed into ``num_features`` columns, no vocabulary is gathered
+    (Spark's trees keep a dense row of bins, so the number of columns bounds a training row's size).
     ``max_depth`` 30 is the deepest tree that Spark grows. The model carries its index -> label mapping.
     """
     if not TREES_RANGE[0] <= num_trees <= TREES_RANGE[1]:
