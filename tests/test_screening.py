@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from litsieve.plans.screening import ScreeningConfig, run_screening
+from litsieve.plans.screening import PRIMARY_METHODS, ScreeningConfig, label_overlap, run_screening
 from litsieve.schema import papers_view
 from litsieve.session import read_table
 
@@ -29,3 +29,17 @@ def test_screening_rejects_missing_columns(spark):
         raise AssertionError("expected a clear error")
     except ValueError:
         pass
+
+
+def test_screening_primary_methods_and_ml_stage(spark):
+    papers = papers_view(read_table(spark, SF001, "documents"))
+    ml = label_overlap("Language", {"en": "the of and", "fr": "le la les"}, ("Title",))
+    for method in ("pairs", "keywords", "seeds", "clusters"):
+        cfg = ScreeningConfig(dedup="exact", primary=method, seed_terms=("the of", "le la"), clusters=3, ml=ml)
+        res = run_screening(papers, cfg)
+        summ = {(r["stage"], r["action"]): r for r in res.summary.collect()}
+        s2, s3 = summ[(2, "Duplicate removal")], summ[(3, "Primary categorization")]
+        assert s2["remaining_count"] == s3["matched_count"] + s3["unmatched_count"]
+        assert s3["matched_count"] > 0 and s3["method"] == PRIMARY_METHODS[method]
+        assert summ[(5, "ML classification")]["dimension"] == "Language"
+        assert "Language" in res.processed.columns
