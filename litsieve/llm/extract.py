@@ -44,45 +44,64 @@ cookies consent gdpr notice notices alert popup modal overlay newsletter subscri
 navigation breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus reply replies respond share sharing social
 related recommended recommendations teaser widget widgets toolbar pagination pager copyright login signin signup skip hidden""".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Parts of a class or id token that name a box and not what is in it.
+BOX_WORDS = frozenset("area block body box container inner outer section wrap wrapper".split())
+MOST_TEXT = 0.75           # a part named as noise that holds more of the page's text is no noise
 ENDS_P = BLOCKS - frozenset("html body".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _is_noise(name: str, tag: str, in_article: bool) -> bool:
+NO, NAMED, SURE = 0, 1, 2
+COMMENT_WORDS = frozenset("comment comments reply teaser related ad ads advert".split())
+
+
+def _named(found: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether a whole class or id token says one of the words: ``ad-box`` does, ``has-sidebar`` and ``entry-header`` do not."""
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        said = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w} - BOX_WORDS
+        if said and said <= words:
+            return True
+    return False
+
+
+def _is_noise(name: str, tag: str, in_article: bool) -> int:
+    """SURE by element, role or hiding; NAMED by a class or id token only, which may be mistaken."""
     if name in ("html", "body", "main"):
-        return False
+        return NO
     if name in DROPPED:
-        return not (name == "header" and in_article)
+        return NO if name == "header" and in_article else SURE
     if "=" not in tag and "hidden" not in tag:
-        return False
+        return NO
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(tag)}
     if found.get("role", "").lower() in NOISE_ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return SURE
     if re.search(r"\shidden(?=[\s>/=])", ATTRIBUTE.sub("", tag)) or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    if name == "article":
-        return bool(words & {"comment", "comments", "reply", "teaser", "related", "ad", "ads", "advert"})
-    return bool(words & NOISE_WORDS)
+        return SURE
+    role = found.get("role", "").lower()
+    if role == "main":
+        return NO
+    return NAMED if _named(found, COMMENT_WORDS if "article" in (name, role) else NOISE_WORDS) else NO
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(line, kind) of a page in order; kind: NOISE by element, ARTICLE inside an explicit article, FREE."""
-    out: list[tuple[str, int]] = []
-    open_tags: list[tuple[str, bool, bool]] = []      # name, noise, article: each with its parents'
+    """(line, kind) of a page in order; kind: NOISE by element, ARTICLE inside an explicit article, FREE.
+
+    A part that only its class or id names as noise is none if it holds an article or most of the text."""
+    out: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    open_tags: list[tuple[str, bool, bool, tuple[int, ...]]] = []   # name, noise, article, named parts: each with its parents'
+    named, held = 0, set()                            # parts named as noise so far; those that hold an article
     parts: list[str] = []
     raw_until = None
 
-    def state() -> tuple[bool, bool]:
-        return open_tags[-1][1:] if open_tags else (False, False)
+    def state() -> tuple[bool, bool, tuple[int, ...]]:
+        return open_tags[-1][1:] if open_tags else (False, False, ())
 
     def flush() -> None:
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if line:
-                noise, article = state()
-                out.append((line, NOISE if noise else ARTICLE if article else FREE))
+                out.append((line, *state()))
 
     for m in TOKEN.finditer(page or ""):
         token = m.group()
@@ -106,7 +125,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             if name in BLOCKS:
                 flush()
             if at is not None:
-                if any(t in BLOCKS for t, _, _ in open_tags[at:]) or open_tags[at][1] != (open_tags[at - 1][1] if at else False):
+                if any(t[0] in BLOCKS for t in open_tags[at:]) or open_tags[at][1::2] != (open_tags[at - 1][1::2] if at else (False, ())):
                     flush()
                 del open_tags[at:]
             continue
@@ -125,7 +144,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if name == "body":
             open_tags[:] = [t for t in open_tags if t[0] == "html"]
         if name in ENDS_P and (at := next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == "p"), None)) is not None \
-                and not any(t in BLOCKS for t, _, _ in open_tags[at + 1:]):
+                and not any(t[0] in BLOCKS for t in open_tags[at + 1:]):
             del open_tags[at:]
         if name in SAME_ENDS:
             at = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] in SAME_ENDS[name] | {"ul", "ol", "dl", "table"}), None)
@@ -133,14 +152,26 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 del open_tags[at:]
         if token.endswith("/>") and name not in BLOCKS:
             continue
-        noise, article = state()
-        own = noise or _is_noise(name, token, article)
-        if own != noise:
+        noise, article, within = state()
+        kind = NO if noise else _is_noise(name, token, article)
+        if kind != NO:
             flush()
-        is_article = article or not own and (name in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", token)))
-        open_tags.append((name, own, is_article))
+        if kind == NAMED:
+            within, named = (*within, named), named + 1
+        noise = noise or kind == SURE
+        own_article = not noise and kind == NO and (name in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", token)))
+        if own_article:
+            held.update(within)
+        open_tags.append((name, noise, article or own_article, within))
     flush()
-    return out
+    size, total = [0] * named, 0
+    for line, noise, _, within in out:
+        if not noise:
+            total += len(line)
+            for k in within:
+                size[k] += len(line)
+    gone = {k for k in range(named) if k not in held and size[k] <= MOST_TEXT * total}
+    return [(line, NOISE if noise or not gone.isdisjoint(within) else ARTICLE if article else FREE) for line, noise, article, within in out]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:

@@ -87,3 +87,10 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert first == sorted(map(str, rows_of(extract.main_text(pages.repartition(13)))))
     assert len(first) == len(rows) and not any("Menu" in x or "Imprint" in x for x in first)
     assert extract.main_text(pages.where("page_id < 0")).count() == 0
+
+
+def test_class_parts_do_not_name_noise():
+    body = "<article><div class='entry-header'><h1>Title</h1></div><p>A long story about things</p></article>"
+    for wrap in ('class="content has-sidebar"', 'class="layout with-header"', 'id="page-banner-wrap"', 'class="header-wrap"'):
+        assert text(f"<body><div {wrap}>{body}</div>") == "Title\nA long story about things", wrap
+    assert text(f"<div class='sidebar'><p>{'word ' * 40}</p></div><p>end</p>").startswith("word")   # most of the text
