@@ -2,18 +2,19 @@
 
 A page becomes lines: one a block, character references decoded, white space turned into single spaces.
 Pages are ordered by host and URL path, so a page's nearest URLs are its neighbours; its lines are aligned
-with those of the neighbour before and after, where these are of the same host, by longest common
-subsequence, and shared lines are deleted as template. Three things bound the deletion: lines in elements
-that are no article by name (menus, forms, adverts and so on) go in any case, shared or not; lines inside an
-explicit article stay, as copies of an article are still articles; and neighbours that share most of the
-text that could be deleted are copies of one another, not a template, so that alignment is not used.
+with those of the nearest page before and after of another text, where these are of the same host, by longest
+common subsequence, and shared lines are deleted as template, on every page. Three things bound the deletion:
+lines in elements that are no article by name (menus, forms, adverts and so on) go in any case, shared or
+not; lines inside an explicit article go only if both neighbours share them; and a neighbour that shares most
+of the explicit article (of all text where there is none) is a near copy, not a template, so that alignment
+is not used alone, and what both share is kept if it is most of the article, or nearly all text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import columns, shuffle_width
-from litsieve.llm.neighbours import OWN, Ranges, ranges_of
+from litsieve.llm.common import columns, cut_lineage, shuffle_width
+from litsieve.llm.neighbours import AFTER, BEFORE, OWN, Ranges, ranges_of
 from litsieve.llm.warc import url_key
 
 NOISE, FREE, ARTICLE = 0, 1, 2
 COPY_SHARE = 0.5
+TEMPLATE_SHARE = 0.9       # of a page without an explicit article, at most so much is template even if both neighbours share it
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|"
                    r"</?[a-zA-Z](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>|</?[a-zA-Z][^<>]*(?:>|\Z|(?=<))|[^<]+|<", re.S)
@@ -204,20 +206,28 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def article_of(own: tuple, neighbours: list[tuple]) -> str:
-    """own: (hashes, kinds, texts of the lines that are not noise); neighbours: (hashes, ...) of the same host."""
+    """own: (hashes, kinds, texts of the lines that are not noise); neighbours: (hashes, kinds, ...) of the same
+    host, of which those of the same text are passed over."""
     hashes, kinds, texts = own
-    has_article = ARTICLE in kinds
-    may_go = {i for i, kind in enumerate(kinds) if kind == FREE}
     kept = [i for i, kind in enumerate(kinds) if kind != NOISE]
-    text_at = dict(zip(kept, texts))
-    gone: set[int] = set()
-    if may_go and not has_article:
-        size = sum(len(text_at[i]) for i in may_go)
-        for other in neighbours:
-            shared = may_go.intersection(shared_lines(hashes, other[0]))
-            if sum(len(text_at[i]) for i in shared) <= COPY_SHARE * size:
-                gone |= shared
-    return "\n".join(text_at[i] for i in kept if i not in gone and (kinds[i] == ARTICLE or not has_article))
+    lines, text_at = [hashes[i] for i in kept], dict(enumerate(texts))
+    free = {j for j, i in enumerate(kept) if kinds[i] == FREE}
+    guard = set(text_at) - free or free
+    weigh = lambda some: sum(len(text_at[j]) for j in some)
+    most, all_shared, gone = weigh(guard), [], set()
+    for other in neighbours:
+        text_lines = [h for h, kind in zip(other[0], other[1]) if kind != NOISE]
+        if text_lines == lines:
+            continue
+        shared = set(shared_lines(lines, text_lines))     # a menu's line that an article repeats stays in the article
+        all_shared.append(shared)
+        if free and weigh(shared & guard) <= COPY_SHARE * most:
+            gone |= free.intersection(shared_lines(lines, other[0]))
+    if len(all_shared) > 1:
+        shared = set.intersection(*all_shared)
+        if weigh(shared & guard) <= (TEMPLATE_SHARE if guard == free else COPY_SHARE) * most:
+            gone |= shared
+    return "\n".join(text for j, text in text_at.items() if j not in gone)
 
 
 def sort_key(page_id: int | None, url: str | None) -> str:
@@ -226,48 +236,99 @@ def sort_key(page_id: int | None, url: str | None) -> str:
     return f"{host}\0{path}\0" + ("" if page_id is None else f"{page_id + (1 << 63):020d}")
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _print_of(key: str, lines: list[tuple[str, int]]) -> int:
+    """Equal for pages of one host and one text."""
+    return _hash("\n".join([key.split("\0", 1)[0], *(line for line, kind in lines if kind != NOISE)]))
+
+
+def _prints(batches: Iterator[pa.RecordBatch], bounds: list) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
+            key = sort_key(page_id, url)
+            rows.append((bisect_right(bounds, key), key, _print_of(key, lines_of(page))))
+        kinds = (pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["range", "key", "print"])
+
+
+def guests(pages: DataFrame, bounds: list) -> Ranges:
+    """Ranges whose guests are the nearest page before the first and after the last own page of another text (or
+    host): a run of equal texts, which may fill many ranges, is passed over. Four keys a range come to the driver."""
+    seen = pages.mapInArrow(lambda it: _prints(it, bounds), "range int, key string, print long")
+    seen = cut_lineage(seen.groupBy("range", "print").agg(F.min("key").alias("first"), F.max("key").alias("last")))
+
+    def ends(rows: DataFrame) -> dict[int, tuple]:
+        return {r[0]: (tuple(r[1]), tuple(r[2])) for r in rows.groupBy("range").agg(F.min(F.struct("first", "print")), F.max(F.struct("last", "print"))).collect()}
+
+    outer = ends(seen)
+    if not outer:
+        return Ranges(bounds, {})
+    edge = seen.sparkSession.createDataFrame([(r, a[1], z[1]) for r, (a, z) in outer.items()], "range int, a long, z long")
+    rest = seen.join(F.broadcast(edge), "range")                      # one row a range
+    after_a, before_z = ends(rest.where("print <> a")), ends(rest.where("print <> z"))
+    order, seats = sorted(outer), {}
+    for i, r in enumerate(order):
+        for seat, end, inner, way in ((BEFORE, 1, before_z, reversed(order[:i])), (AFTER, 0, after_a, order[i + 1:])):
+            own = outer[r][1 - end][1]
+            for other in way:
+                near = outer[other][end] if outer[other][end][1] != own else inner[other][end] if other in inner else None
+                if near:
+                    seats.setdefault(near[0], []).append((r, seat))
+                    break
+    return Ranges(bounds, seats)
+
+
 def _parse(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
             lines, key = lines_of(page), sort_key(page_id, url)
-            hashes = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) for line, _ in lines]
+            hashes, own = [_hash(line) for line, _ in lines], _print_of(key, lines)
             kinds, texts = [k for _, k in lines], [line for line, k in lines if k != NOISE]
             for r, seat in ranges.places(key):
-                rows.append((r, key, seat, page_id, url, hashes, bytes(kinds), texts if seat == OWN else []))
-        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)],
-                                         names=["range", "key", "seat", "page_id", "url", "hashes", "kinds", "texts"])
+                rows.append((r, key, seat, page_id, url, hashes, bytes(kinds), texts if seat == OWN else [], own))
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)],
+                                         names=["range", "key", "seat", "page_id", "url", "hashes", "kinds", "texts", "print"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, key, seat, hashes): each own page is settled once the row after it is known."""
-    before, page, done = None, None, []
-
-    def settle(after) -> None:
-        host = page[1].split("\0", 1)[0]
-        near = [x[5:8] for x in (before, after) if x is not None and x[0] == page[0] and x[1].split("\0", 1)[0] == host]
-        text = article_of((page[5], list(page[6]), page[7]), near)
-        done.append((page[3], page[4], text, len(text)))
+    """Rows sorted by (range, key, seat, print): each run of own pages of one text is settled once the row after it is known."""
+    before, last, run, forms, done = None, None, [], {}, []
 
     def out() -> pa.RecordBatch:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [[]] * 4, kinds)], names=["page_id", "url", "text", "n_chars"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [[]] * 4, kinds)], names=["page_id", "url", "text", "n_chars"])
+        done.clear()
+        return batch
+
+    def settle(after) -> Iterator[pa.RecordBatch]:
+        host = last[1].split("\0", 1)[0]
+        near = [x[5:8] for x in (before, after) if x is not None and x[0] == last[0] and x[1].split("\0", 1)[0] == host]
+        text_of = {kinds: article_of((row[5], list(row[6]), row[7]), near) for kinds, row in forms.items()}
+        for page_id, url, kinds in run:
+            done.append((page_id, url, text_of[kinds], len(text_of[kinds])))
+            if len(done) >= 1_000:
+                yield out()
+        run.clear()
+        forms.clear()
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if page is not None:
-                settle(row)
-            before = page if page is not None else before
+            if last is not None and (row[0], row[8]) != (last[0], last[8]):
+                yield from settle(row)
+                before = last
+            last = row
             if row[2] == OWN:
-                page = row
-            else:
-                before, page = row, None
-            if len(done) >= 1_000:
-                yield out()
-                done.clear()
-    if page is not None:
-        settle(None)
+                kinds = row[6].replace(bytes([NOISE]), b"")      # equal texts can stand in unequal elements
+                forms.setdefault(kinds, row)
+                run.append((row[3], row[4], kinds))
+    if last is not None:
+        yield from settle(None)
     yield out()
 
 
@@ -275,8 +336,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars: one row per input row, whole pages.
 
     A null or empty html gives an empty text; a null url is a URL of no host, and pages without host are
-    neighbours like any; rows without page_id come first among equal URLs; repeated rows are neighbours of
-    one another (their lines are then copies, not a template); an empty table gives no rows. Markup that
+    neighbours like any; rows without page_id come first among equal URLs; repeated rows, and pages of equal
+    text, are passed over when a page's neighbours are looked for; an empty table gives no rows. Markup that
     is cut off or unclosed ends with its parent element or with the page.
     """
     pages = columns(pages, page_id="long", url="string", html="string")
@@ -285,8 +346,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(sort_key, *(c.to_pylist() for c in batch.columns)), pa.string())], names=["key"])
 
-    ranges = ranges_of(pages.select("page_id", "url").mapInArrow(keys, "key string"), F.col("key"))
+    ranges = guests(pages, ranges_of(pages.select("page_id", "url").mapInArrow(keys, "key string"), F.col("key")).bounds)
     parsed = pages.mapInArrow(lambda it: _parse(it, ranges), "range int, key string, seat int, page_id long, url string, "
-                              "hashes array<long>, kinds binary, texts array<string>")
-    placed = parsed.repartition(shuffle_width(pages), "range").sortWithinPartitions("range", "key", "seat", "hashes")
+                              "hashes array<long>, kinds binary, texts array<string>, print long")
+    placed = parsed.repartition(shuffle_width(pages), "range").sortWithinPartitions("range", "key", "seat", "print")
     return placed.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")

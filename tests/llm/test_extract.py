@@ -94,3 +94,27 @@ def test_class_parts_do_not_name_noise():
     for wrap in ('class="content has-sidebar"', 'class="layout with-header"', 'id="page-banner-wrap"', 'class="header-wrap"'):
         assert text(f"<body><div {wrap}>{body}</div>") == "Title\nA long story about things", wrap
     assert text(f"<div class='sidebar'><p>{'word ' * 40}</p></div><p>end</p>").startswith("word")   # most of the text
+
+
+def test_alignment_decides_beside_and_inside_an_article():
+    page = lambda x: f"<div>Menu one</div><p>{x} has the body in a plain part</p><article><p>{x} is on a card of its own</p></article>"
+    a, b, c = page("Ann"), page("Bob"), page("Cid")
+    assert text(a, b) == "Ann has the body in a plain part\nAnn is on a card of its own"
+    assert text("<div class='side-bar'>x</div><div class='sidebar'>y</div><article><p>z</p></article>") == "x\nz"
+    main = lambda x: f"<main><p>Home of things</p><p>{x} is a long story about other things</p><p>Terms</p></main>"
+    a, b, c = main("Ann"), main("Bob"), main("Cid")
+    assert text(a, b, c) == "Ann is a long story about other things"
+    assert text(a, b) == text(a, b, a) == "Home of things\nAnn is a long story about other things\nTerms"   # one neighbour is not enough
+    assert text(a, a.replace("Terms", "Term"), a.replace("Home", "House")) == text(a, b)                     # near copies
+    heavy = lambda x: "".join(f"<p>Menu line {i}</p>" for i in range(9)) + f"<p>{x} is a story about some things</p>"
+    assert text(heavy("Ann"), heavy("Bob"), heavy("Cid")) == "Ann is a story about some things"
+
+
+def test_copies_are_passed_over_whatever_the_ranges(spark):
+    page = lambda x: f"<div>Menu one</div><p>{x} is a long story about things</p><div>Terms</div>"
+    rows = [(i, f"http://a.org/{i:04d}", page("Ann" if 100 <= i < 300 else f"No {i}")) for i in range(400)]
+    rows.append((400, "http://b.org/1", page("Ann")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows_of(extract.main_text(pages.repartition(7)))}
+    assert len(got) == 401 and got.pop(400).startswith("Menu one")
+    assert got == {i: f"{'Ann' if 100 <= i < 300 else f'No {i}'} is a long story about things" for i in got}
