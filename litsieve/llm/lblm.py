@@ -1,12 +1,12 @@
 """Log-bilinear language model trained with noise-contrastive estimation.
 
-Vocabulary: every training token. The WORDS most frequent tokens are classes of their own, all others fall
-into BUCKETS classes by their last two bytes. A log-bilinear network predicts the next class from the two
+Vocabulary: every training token. The WORDS most frequent tokens (more in a large corpus: as many classes as the
+cube root of its tokens) are classes of their own, all others fall into BUCKETS classes by their last two bytes. A log-bilinear network predicts the next class from the two
 before (context vectors times a matrix per position, dotted with an output vector, plus a bias); a rare
 token's share of its class is its count plus one, one more unit of each class standing for unseen tokens.
 The network learns from the counts of all class triples of the training texts: the table is bounded by
-classes cubed whatever the corpus, each trainer task samples its part of it by count, and parameters are
-averaged between rounds. The normaliser over all classes is exact: with E1 = exp(position-1 scores + bias)
+classes cubed, its parts grow in number with its rows, each trainer task sweeps its whole part every round,
+frequent triples in several steps, and parameters are averaged between rounds. The normaliser over all classes is exact: with E1 = exp(position-1 scores + bias)
 and E2 = exp(position-2 scores), Z = E1 E2' for all pairs of context classes in one matrix product.
 """
 
@@ -26,7 +26,8 @@ from litsieve.llm.common import columns, cut_lineage
 WORDS, BUCKETS = 415, 96           # with the end of text: 512 classes
 KNOWN_WORDS = 150_000              # most frequent tokens whose counts every task holds (at most KNOWN_BYTES each)
 KNOWN_BYTES = 64
-DIM, TRAINERS, ROUNDS, STEPS, BATCH, NOISE, RATE = 32, 8, 3, 100, 4096, 64, 0.02
+DIM, TRAINERS, ROUNDS, BATCH, NOISE, RATE = 32, 8, 3, 4096, 64, 0.02
+PART_ROWS = 2_000_000              # triples of a trainer task, of which there are TRAINERS at least
 NOISE_PER_TOKEN = 16
 END = b"\n"                        # no word holds white space
 FLUSH = 300_000
@@ -64,17 +65,17 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Lookup:
     """Class, and log10 of count + 1, of the known tokens; a worker builds its dictionary once."""
 
-    def __init__(self, known: list[tuple[bytes, int]]):
-        self.known, self.at = known, None
-        names = [w for w, _ in known if w != END][:WORDS]
+    def __init__(self, known: list[tuple[bytes, int]], words: int | None = None):
+        self.known, self.words, self.at = known, WORDS if words is None else words, None
+        names = [w for w, _ in known if w != END][:self.words]
         self.classes = {END: 0} | {w: i + 1 for i, w in enumerate(names)}
         self.first_bucket, self.size = len(self.classes), len(self.classes) + BUCKETS
 
     def __getstate__(self):
-        return self.known
+        return self.known, self.words
 
-    def __setstate__(self, known):
-        self.__init__(known)
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def load(self):
         if self.at is None:
@@ -93,6 +94,11 @@ class Lookup:
         return out
 
 
+def words_for(tokens: int) -> int:
+    """Words that are classes of their own in a corpus of so many tokens: WORDS, or cube root of tokens classes."""
+    return max(WORDS, min(KNOWN_WORDS, round(tokens ** (1 / 3)) - BUCKETS - 1))
+
+
 def _context(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes one and two places back; before a text there are only ends (class 0)."""
     one, two = np.zeros_like(classes), np.zeros_like(classes)
@@ -159,37 +165,57 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def nce_gradients(net, two, one, target, noise, share):
-    """Noise-contrastive gradients: targets against NOISE_PER_TOKEN draws each, the batch sharing ``noise``."""
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """np.add.at(out, at, rows), by sorting."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+    out[places[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def nce_gradients(net, two, one, target, noise, share, weight=1.0):
+    """Noise-contrastive gradients: targets against NOISE_PER_TOKEN draws each, the batch sharing ``noise``;
+    ``weight``: how much each target counts."""
     a, b = net["context"][one], net["context"][two]
     h = a @ net["one"] + b @ net["two"]
     k = NOISE_PER_TOKEN
     shift = np.log(k * share)
     s = np.einsum("ij,ij->i", h, net["output"][target]) + net["bias"][target] - shift[target]
     t = h @ net["output"][noise].T + (net["bias"] - shift)[noise][None, :]
-    ds = ((_sigmoid(s) - 1) / len(target)).astype(np.float32)
-    dt = (_sigmoid(t) * (k / len(noise) / len(target))).astype(np.float32)
+    each = np.broadcast_to(weight, len(target)) / len(target)
+    ds = ((_sigmoid(s) - 1) * each).astype(np.float32)
+    dt = (_sigmoid(t) * (k / len(noise) * each)[:, None]).astype(np.float32)
     dh = ds[:, None] * net["output"][target] + dt @ net["output"][noise]
     grad = {n: np.zeros_like(v) for n, v in net.items()}
-    np.add.at(grad["output"], target, ds[:, None] * h)
-    np.add.at(grad["output"], noise, dt.T @ h)
-    np.add.at(grad["bias"], target, ds)
-    np.add.at(grad["bias"], noise, dt.sum(axis=0))
+    _add_rows(grad["output"], target, ds[:, None] * h)
+    _add_rows(grad["output"], noise, dt.T @ h)
+    _add_rows(grad["bias"], target, ds)
+    _add_rows(grad["bias"], noise, dt.sum(axis=0))
     grad["one"], grad["two"] = a.T @ dh, b.T @ dh
-    np.add.at(grad["context"], one, dh @ net["one"].T)
-    np.add.at(grad["context"], two, dh @ net["two"].T)
+    _add_rows(grad["context"], one, dh @ net["one"].T)
+    _add_rows(grad["context"], two, dh @ net["two"].T)
     return grad
 
 
-def train_part(net, triple: np.ndarray, count: np.ndarray, share: np.ndarray, seed: int, rate: float, steps: int = STEPS):
-    """Adam steps on triples drawn by count from one trainer's part of the table."""
+def sweep(count: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, weights) of one sweep in random order: every row, one of more than the mean count in several places
+    that share its count; weights are 1 on average and sum in proportion to the counts."""
+    times = np.maximum(1, -(-count * len(count) // count.sum()))
+    at = rng.permutation(np.repeat(np.arange(len(count)), times))
+    weight = (count / times)[at]
+    return at, weight / weight.mean()
+
+
+def train_part(net, triple: np.ndarray, count: np.ndarray, share: np.ndarray, seed: int, rate: float):
+    """Adam steps over one sweep of one trainer's part of the table."""
     net, size, rng = {k: v.copy() for k, v in net.items()}, len(share), np.random.default_rng(seed)
-    ends, draws = np.cumsum(count), np.cumsum(share)
+    draws = np.cumsum(share)
+    rows, weight = sweep(count, rng)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
-    for step in range(1, steps + 1):
-        at = triple[np.searchsorted(ends, rng.integers(0, ends[-1], BATCH), side="right")]
+    for step, first in enumerate(range(0, len(rows), BATCH), 1):
+        at = triple[rows[first:first + BATCH]]
         noise = np.minimum(np.searchsorted(draws, rng.random(NOISE)), size - 1)
-        grad = nce_gradients(net, at // size // size, at // size % size, at % size, noise, share)
+        grad = nce_gradients(net, at // size // size, at // size % size, at % size, noise, share, weight[first:first + BATCH])
         for k, g in grad.items():
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
@@ -198,8 +224,8 @@ def train_part(net, triple: np.ndarray, count: np.ndarray, share: np.ndarray, se
 
 
 def train(triples: DataFrame, share: np.ndarray) -> dict[str, np.ndarray]:
-    """Rounds of TRAINERS tasks, each on its part of the triples (at most classes^3 / TRAINERS of them);
-    TRAINERS parameter sets of a fixed size come back to be averaged by tokens seen."""
+    """Rounds of one task for each ``part`` of triples(triple, n, part), each a sweep of the part; a parameter set
+    of a fixed size a part comes back to be averaged by tokens seen."""
     net = initial(len(share), share)
     names = list(net)
     for turn in range(ROUNDS):
@@ -301,25 +327,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = cut_lineage(training.mapInArrow(_count_tokens, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     known = most_frequent(counts)
-    lookup = Lookup(known)
+    lookup = Lookup(known, words_for(n_all))
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(lookup)                      # at most KNOWN_WORDS * KNOWN_BYTES
 
     triples = training.mapInArrow(lambda it: _triples(it, shared.value), "triple long, n long")
-    triples = triples.groupBy("triple").agg(F.sum("n").alias("n"))
-    triples = cut_lineage(triples.withColumn("part", F.pmod(F.xxhash64("triple"), F.lit(TRAINERS)).cast("int")))
-    share = np.ones(lookup.size)
-    for r in triples.groupBy((F.col("triple") % lookup.size).alias("c")).agg(F.sum("n").alias("n")).collect():  # one row a class
+    triples = cut_lineage(triples.groupBy("triple").agg(F.sum("n").alias("n")))
+    share, rows = np.ones(lookup.size), 0
+    for r in triples.groupBy((F.col("triple") % lookup.size).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect():  # one row a class
         share[r["c"]] += r["n"]
+        rows += r["rows"]
     share /= share.sum()
-    net = train(triples, share)
+    parts = max(TRAINERS, -(-rows // PART_ROWS))
+    net = train(triples.withColumn("part", F.pmod(F.xxhash64("triple"), F.lit(parts)).cast("int")), share)
 
     own = [w for w, c in lookup.classes.items()]
     in_class = F.pmod(F.crc32(F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")), F.lit(BUCKETS)).cast("int")
     mass = np.ones(BUCKETS)                                  # one unit for unseen tokens
     for r in (counts.withColumn("bucket", in_class).groupBy("bucket").agg(F.sum(F.col("n") + 1).alias("n")).collect()):
         mass[r["bucket"]] += r["n"]
-    count_of = dict(known[:WORDS + 1] + [k for k in known if k[0] == END])
+    count_of = dict(known[:lookup.words + 1] + [k for k in known if k[0] == END])
     for w in own:
         if w in count_of and count_of[w]:
             mass[bucket(w)] -= count_of[w] + 1

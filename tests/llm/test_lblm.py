@@ -94,3 +94,27 @@ def test_odd_documents(spark):
     same(rows_of(docs), rows)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     assert lblm.score_documents(empty_documents(spark)).count() == 0
+
+
+def test_sweep_takes_every_row_by_count():
+    count = np.array([1, 1, 2, 1, 900, 40, 1, 1], dtype=np.int64)
+    at, weight = lblm.sweep(count, np.random.default_rng(0))
+    sums = np.bincount(at, weights=weight, minlength=len(count))
+    assert (sums > 0).all() and sums / sums.sum() == pytest.approx(count / count.sum())
+    assert weight.mean() == pytest.approx(1) and len(at) <= 2 * len(count)
+
+
+def test_a_part_is_swept_whole(monkeypatch):
+    seen = []
+    real = lblm.nce_gradients
+    monkeypatch.setattr(lblm, "nce_gradients", lambda net, two, one, target, *a: seen.append((two * 100 + one) * 100 + target) or real(net, two, one, target, *a))
+    triple, share = np.arange(500_000, dtype=np.int64), np.full(100, 0.01)    # more than 100 batches
+    lblm.train_part(lblm.initial(100, share), triple, np.ones(len(triple), np.int64), share, 1, 0.01)
+    assert (np.unique(np.concatenate(seen)) == triple).all()
+
+
+def test_classes_grow_with_the_tokens():
+    assert lblm.words_for(0) == lblm.words_for(10**8) == lblm.WORDS < lblm.words_for(10**9) < lblm.words_for(10**10)
+    known = [(b"%d" % i, 10**6 - i) for i in range(2_000)]
+    look = lblm.Lookup(known, lblm.words_for(10**9)).load()
+    assert look.size == 1_000 and look.classes_of([b"500"])[0] == 501
