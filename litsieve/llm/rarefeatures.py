@@ -1,6 +1,7 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-Every window of WINDOW bytes has an entropy, taken over eight byte classes and quantised to LEVELS steps.
+Every window of WINDOW bytes has an entropy, taken over eight byte classes and quantised to LEVELS steps. Digits
+and the bytes of all other scripts are spread over the eight classes, so a text in any script has varied windows.
 Levels are ranked by how rare they are over all windows of the corpus, the rarest first; levels of nearly
 uniform windows carry no feature. Among each run of NEIGHBOURS windows the rarest (then leftmost) scores a
 point, and a window with POINTS is a feature. Features enter Bloom filters of 2048 bits, a new one after
@@ -33,6 +34,8 @@ _CLASS = np.full(256, 7, dtype=np.uint8)
 for _k, _group in enumerate((b" \t\n\r.,;:", b"eia", b"oun", b"trs", b"hldc", b"mpgfbwy", b"kvjqxz")):
     for _c in _group + _group.upper():
         _CLASS[_c] = _k
+for _c in [*b"0123456789", *range(128, 256)]:
+    _CLASS[_c] = _c & 7
 _TERM = np.array([0.0] + [-c / WINDOW * np.log2(c / WINDOW) for c in range(1, WINDOW + 1)], dtype=np.float32)
 
 
