@@ -10,6 +10,7 @@ each source's order, so blocks are disjoint, and shuffles its draws locally.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ SHARD_DRAWS = 8_192     # draws of one output shard, of which there are LEAST_SH
 LEAST_SHARDS = 16
 SEED = 20240607
 MAX_BLOCKS = 100_000_000   # numpy's hypergeometric takes below 10^9; more draws make larger blocks
-#: Single documents that fill up the last pass: of those not drawn in it, of any, and one that may pass the target.
-TOP_UPS = ("new", "new", "any", "any", "nearest")
+#: Single documents that fill up the last pass when no further one fits: of any, and one that may pass the target.
+TOP_UPS = ("any", "any", "nearest")
 WORDS = r"[^ \t-\r]+"
 
 
@@ -78,7 +79,8 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Dat
 
     Sizes are words of the whole text (null or empty: 0, never drawn beyond whole passes). Sources go by
     code point, null last. Whole passes first; the last, partial pass takes the longest prefix of the
-    permuted order that fits, then the single documents of TOP_UPS, each the largest that still fits, none
+    permuted order that fits, again and again the longest prefix of those left that are not longer than the gap,
+    until none is, then the single documents of TOP_UPS, each the largest that still fits, none
     more than MOST times in all, and one that may pass the target if the source then ends nearer to it.
     Repeated rows are separate documents; ties in the order go by doc_id; the same input and seed give the
     same mix; an empty table gives no rows.
@@ -99,30 +101,50 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Dat
     placed = with_source(placed, sources, "passes", "rest")
     fits = (F.col("before") + F.col("size") <= F.col("rest")) & (F.col("size") > 0)
     placed = cut_lineage(placed.withColumn("_prefix", fits))
-    drawn = placed.where("_prefix").groupBy("source").agg(F.sum("size").alias("_got"), F.max("at").alias("_end"), F.count(F.lit(1)).alias("_n"))
-    state = sources.join(
-        drawn.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    state = state.withColumns({"gap": F.col("rest") - F.coalesce("_got", F.lit(0)), "extras": F.array().cast("array<long>"),
-                               "prefix_end": F.coalesce(F.col("_end") + 1, F.lit(0))}).drop("_got", "_end", "_n")
+    state = sources.withColumns({"gap": F.col("rest"), "next": F.lit(0).cast("long"), "extras": F.array().cast("array<long>")})
+
+    def after(state, drawn):
+        """``drawn``: rows(source, _pick, size) of one prefix."""
+        sums = drawn.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("_got"), F.max("_pick").alias("_end"))
+        return cut_lineage(state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").withColumns({
+            "gap": F.col("gap") - F.coalesce("_got", F.lit(0)), "next": F.coalesce(F.col("_end") + 1, F.col("next"))}).drop("_s", "_got", "_end"))
+
+    state = after(state, placed.where("_prefix").select("source", F.col("at").alias("_pick"), "size"))
+    left, picked = placed.where("size > 0 and not _prefix").select("source", "at", "size"), []
+    while True:  # each round's gap is smaller than a document that the round before had room for
+        left = cut_lineage(with_source(left, state, "gap", "next").where("size <= gap"))
+        if left.isEmpty():
+            break
+        ranked = cut_lineage(positions(left, ["source"], ["at"], weight="size", rank="_rank", before="_before"))
+        takes = F.col("_before") + F.col("size") <= F.col("gap")
+        drawn = ranked.where(takes).select("source", "at", (F.col("next") + F.col("_rank")).alias("_pick"), "size")
+        state, left = after(state, drawn), ranked.where(~takes).select("source", "at", "size")
+        picked.append(drawn.select(F.col("source").alias("_s"), F.col("at").alias("_a"), "_pick"))
+    if picked:
+        more = reduce(DataFrame.unionByName, picked)
+        placed = placed.join(more, F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_a")), "left").drop("_s", "_a")
+    else:
+        placed = placed.withColumn("_pick", F.lit(None).cast("long"))
+    placed = cut_lineage(placed.withColumn("_pick", F.when(F.col("_prefix"), F.col("at")).otherwise(F.col("_pick"))).drop("_prefix"))
     for kind in TOP_UPS:  # one document a source and round
         state = cut_lineage(state)
-        left = with_source(placed.where("size > 0" if kind != "new" else "size > 0 and not _prefix"), state, "gap", "extras")
+        left = with_source(placed.where("size > 0"), state, "gap", "extras")
         often = F.size(F.filter("extras", lambda x: x == F.col("at")))
-        may = often == 0 if kind == "new" else F.col("passes") + F.col("_prefix").cast("int") + often < MOST
+        may = F.col("passes") + F.col("_pick").isNotNull().cast("int") + often < MOST
         left = left.where((F.col("size") < F.col("gap") * (2 if kind == "nearest" else 1)) & may)
         best = left.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct(F.negative(F.abs(F.col("size") - F.col("gap"))), F.negative("at").alias("no"), "size")).alias("_b"))
         state = state.join(best, F.col("source").eqNullSafe(F.col("_s")), "left").withColumns({
             "gap": F.col("gap") - F.coalesce("_b.size", F.lit(0)),
             "extras": F.when(F.col("_b").isNull(), F.col("extras")).otherwise(F.concat("extras", F.array(F.negative("_b.no"))))}).drop("_s", "_b")
-    state = cut_lineage(state.withColumn("draws", F.col("passes") * F.col("n_docs") + F.col("prefix_end") + F.size("extras")))
+    state = cut_lineage(state.withColumn("draws", F.col("passes") * F.col("n_docs") + F.col("next") + F.size("extras")))
     shards = shards or max(LEAST_SHARDS, -(-(state.agg(F.sum("draws")).first()[0] or 0) // SHARD_DRAWS))
     ends = (state.select("_rank", "draws").coalesce(1)
             .mapInPandas(lambda it: _tree(it, shards, seed), "_rank long, ends array<long>"))
     state = state.join(ends, "_rank")
-    out = with_source(placed.drop("passes", "rest"), state, "source_size", "target", "passes", "n_docs", "prefix_end", "extras", "ends")
+    out = with_source(placed.drop("passes", "rest"), state, "source_size", "target", "passes", "n_docs", "next", "extras", "ends")
     whole = F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<long>"))
-    spare = F.filter(F.transform("extras", lambda x, i: F.when(x == F.col("at"), F.col("prefix_end") + i)), lambda i: i.isNotNull())
-    last = F.concat(F.when(F.col("_prefix"), F.array("at")).otherwise(F.array().cast("array<long>")), spare)
+    spare = F.filter(F.transform("extras", lambda x, i: F.when(x == F.col("at"), F.col("next") + i)), lambda i: i.isNotNull())
+    last = F.concat(F.when(F.col("_pick").isNotNull(), F.array("_pick")).otherwise(F.array().cast("array<long>")), spare)
     draws = F.concat(F.transform(whole, lambda p: p * F.col("n_docs") + F.col("at")),
                      F.transform(last, lambda i: F.col("passes") * F.col("n_docs") + i))
     out = out.withColumn("shards", F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d))))

@@ -63,3 +63,12 @@ def test_odd_documents(spark):
     assert drawn.columns == [c for c in docs.columns if c != "shard"] + ["shard"]
     assert drawn.count() == sum(r["copies"] for r in rows)
     assert mixing.mixture(empty_documents(spark)).count() == 0 and mixing.mix(empty_documents(spark)).count() == 0
+
+
+def test_a_very_long_document_shuts_none_out(spark):
+    """Wherever the long document stands in the order, the short ones behind it fill the target."""
+    rows = [(i, "w " * 100, "a") for i in range(600)] + [(1_000 + i, "w " * (20_000 if i == 0 else 20), "b") for i in range(2_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2, 3, 4):
+        got = rows_of(mixing.mixture(docs, shards=4, seed=seed))
+        check([{"source": s, "text": t} for _, t, s in rows], got, 0.002)
