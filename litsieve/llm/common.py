@@ -22,8 +22,8 @@ def shuffle_width(df: DataFrame) -> int:
 
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str | None = None,
-              rank: str = "rank", before: str = "before") -> DataFrame:
-    """Adds the 0-based rank of each row in its group, and the sum of ``weight`` in front of it.
+              rank: str = "rank", before: str = "before", weight_type: str = "long") -> DataFrame:
+    """Adds the 0-based rank of each row in its group, and the sum of ``weight`` (a long unless said) in front of it.
 
     A window over the group would put a hot group into one task. Here rows are range-partitioned by
     (group, order), the assignment is fixed by a checkpoint, each partition's totals per group (at most
@@ -32,7 +32,7 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], weight:
     """
     keys = [*group, *order]
     placed = cut_lineage(df.repartitionByRange(shuffle_width(df), *keys).withColumn("_part", F.spark_partition_id()))
-    w = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
+    w = (F.col(weight) if weight else F.lit(0)).cast(weight_type)
     totals = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_w"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
@@ -45,7 +45,7 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], weight:
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = placed.join(right, on).withColumns({
         rank: F.col("_n0") + F.row_number().over(inside) - 1,
-        before: F.col("_w0") + F.sum(w).over(so_far) - w,
+        before: (F.col("_w0") + F.sum(w).over(so_far) - w).cast(weight_type),
     })
     return out.drop("_part", "_p2", "_n0", "_w0", *[f"_{g}2" for g in group])
 
