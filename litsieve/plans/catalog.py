@@ -562,18 +562,21 @@ def q_corr_spearman(spark, sf_dir):
 
 def _kendall_sql(a, b):
     """Signed pairs level by level: at each bit of y's rank, rows that agree on the higher bits and
-    differ in this one are ordered by it; a window over earlier x counts them."""
-    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(s / nullif(sqrt((n0 - n1) * (n0 - n2)), 0), 6) AS tau_b FROM
-(WITH c AS (SELECT dense_rank() OVER (ORDER BY x) AS x, dense_rank() OVER (ORDER BY y) AS y, n FROM
+    differ in this one are ordered by it; a window over earlier x counts them. All counts are whole
+    numbers (HUGEINT) until the last division, so no order of summation can change them."""
+    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b,
+  round(CAST(s AS DOUBLE) / nullif(sqrt(CAST(n0 - n1 AS DOUBLE) * CAST(n0 - n2 AS DOUBLE)), 0), 6) AS tau_b FROM
+(WITH c AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY x) AS x, dense_rank() OVER (ORDER BY y) AS y, CAST(n AS HUGEINT) AS n FROM
    (SELECT {a} AS x, {b} AS y, count(*) AS n FROM {LINEITEM_SQL} li WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) g),
- lev AS (SELECT x, n, l, y >> (l + 1) AS hi, (y >> l) & 1 AS bit FROM c, (SELECT unnest(range(31)) AS l) r
-         WHERE (SELECT max(y) FROM c) >> l > 0),
- w AS (SELECT n, bit, sum(n * bit) OVER e AS ones, sum(n * (1 - bit)) OVER e AS zeros FROM lev
-       WINDOW e AS (PARTITION BY l, hi ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
- SELECT (SELECT CAST(sum(CASE WHEN bit = 1 THEN n * coalesce(zeros, 0) ELSE -n * coalesce(ones, 0) END) AS DOUBLE) FROM w) AS s,
-   (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM c) AS n0,
-   (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY x) z) AS n1,
-   (SELECT sum(m * (m - 1) / 2.0) FROM (SELECT sum(n) AS m FROM c GROUP BY y) z) AS n2) k"""
+ lev AS MATERIALIZED (SELECT x, l, y >> (l + 1) AS hi, sum(CASE WHEN (y >> l) & 1 = 1 THEN n ELSE 0 END) AS one,
+                             sum(CASE WHEN (y >> l) & 1 = 0 THEN n ELSE 0 END) AS zero
+         FROM c, (SELECT unnest(range(31)) AS l) r WHERE (SELECT max(y) FROM c) >> l > 0 GROUP BY 1, 2, 3),
+ w AS MATERIALIZED (SELECT one, zero, sum(one) OVER e AS ones, sum(zero) OVER e AS zeros FROM lev
+       WINDOW e AS (PARTITION BY l, hi ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT (SELECT sum(CAST(one * coalesce(zeros, 0) - zero * coalesce(ones, 0) AS HUGEINT)) FROM w) AS s,
+   (SELECT CAST(sum(n) * (sum(n) - 1) // 2 AS HUGEINT) FROM c) AS n0,
+   (SELECT sum(CAST(m * (m - 1) // 2 AS HUGEINT)) FROM (SELECT CAST(sum(n) AS HUGEINT) AS m FROM c GROUP BY x) z) AS n1,
+   (SELECT sum(CAST(m * (m - 1) // 2 AS HUGEINT)) FROM (SELECT CAST(sum(n) AS HUGEINT) AS m FROM c GROUP BY y) z) AS n2) k"""
 
 
 @register("corr_kendall", _union([f"SELECT * FROM ({_kendall_sql(a, b)}) k{i}" for i, (a, b) in enumerate(_pairs_of(NUM_COLS))]))

@@ -3,11 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-FIXTURES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -15,8 +12,3 @@ def spark():
     from litsieve.session import build_session
     s = build_session("local[4]", app="litsieve-tests", shuffle_partitions=8)
     yield s
-
-
-def rows(df, *cols):
-    cols = cols or df.columns
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())

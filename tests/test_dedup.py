@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from conftest import rows
+from support import rows
 from litsieve.operators import dedup_exact as dx
 from litsieve.operators import dedup_near as dn
 from litsieve.operators.fuzzy import edit_pairs

@@ -5,7 +5,7 @@ import tempfile
 
 import numpy as np
 
-from conftest import SF001, rows
+from support import SF001, rows
 from litsieve.operators import classify as cl
 from litsieve.operators import vectors as vc
 from litsieve.session import read_table

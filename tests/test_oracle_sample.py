@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
-from conftest import SF01
+from support import SF01
 from tools.oracle_check import TABLES, canon
 
 SAMPLE = ["exact_first", "near_dedup", "fuzzy_dedup_90", "phrase_labels", "substring_last_wins", "profile_quantiles",

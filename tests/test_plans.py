@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__ as entry
-from conftest import SF01
+from support import SF01
 from litsieve.plans.catalog import SUM_COLS
 
 NO_ALL_PAIRS = ["exact_first", "duplicate_flags", "near_pairs", "near_pairs_lsh", "fuzzy_pairs_ratio", "combined_pairs",

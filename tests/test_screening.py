@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from support import SF001
 from litsieve.plans.screening import PRIMARY_METHODS, ScreeningConfig, label_overlap, run_screening
 from litsieve.schema import papers_view
 from litsieve.session import read_table

@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import FIXTURES, rows
+from support import FIXTURES, rows
 from litsieve.sinks import files as sk
 from litsieve.sources import landed as src
 

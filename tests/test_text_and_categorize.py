@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from litsieve.functions.lexicon import Lexicon, parse_lexicon_lines
 from litsieve.functions.text import match_key, search_text, word_set
 from litsieve.operators import categorize as cz
