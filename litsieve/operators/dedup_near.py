@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.constants import COMBINED_FUZZY_THRESHOLD, FUZZY_PRESETS, NEAR_THRESHOLD
-from litsieve.functions.similarity import bounded_ratio, composite_score, token_set_ratio
+from litsieve.functions.similarity import composite_score, max_edits, token_set_ratio
 from litsieve.functions.text import match_key, percent, search_text, word_set
-from litsieve.operators.fuzzy import edit_candidates, edit_pairs, edit_prefix, edit_verify
+from litsieve.operators.fuzzy import edit_pairs, rows_with_neighbours, verify_edit_pairs
 from litsieve.operators.setsim import (jaccard_candidates, jaccard_pairs, jaccard_prefix, jaccard_sets, lsh_banded,
                                        lsh_candidates, lsh_pairs, verify_jaccard)
 from litsieve.operators.survivors import greedy_removed, seeded_removed
@@ -158,16 +158,10 @@ def fuzzy_pairs(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 def fuzzy_dedup(df: DataFrame, cfg: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """Greedy fuzzy de-duplication with keep first / last / none."""
     reps = fuzzy_items(df, cfg)
+    live = reps.filter("matchable")
     if cfg.keep == "none":
-        return _survivors(df, reps, edit_pairs(reps.filter("matchable"), cfg.threshold), cfg.keep, cfg.id_col)
-    t = cfg.threshold
-
-    def build(live):
-        keys, gram_items, prefix = edit_prefix(live, t)
-        prefix = prefix.persist(StorageLevel.MEMORY_AND_DISK)
-        return (prefix, ["g", "occ"], (lambda pa, pb: edit_candidates(pa, pb, t)),
-                (lambda c: edit_verify(c, keys, gram_items, t)))
-    return _seeded(df, reps, cfg.keep, cfg.id_col, build)
+        return _keep_reps(df, reps, rows_with_neighbours(live, cfg.threshold), cfg.keep, cfg.id_col)
+    return _survivors(df, reps, edit_pairs(live, cfg.threshold), cfg.keep, cfg.id_col)
 
 
 def _combined_reps(df: DataFrame, cfg: CombinedConfig) -> DataFrame:
@@ -178,24 +172,27 @@ def _combined_reps(df: DataFrame, cfg: CombinedConfig) -> DataFrame:
 
 
 def _combined_verify(cand: DataFrame, live: DataFrame, cfg: CombinedConfig) -> DataFrame:
-    sets = jaccard_sets(live)
-    near = verify_jaccard(cand, sets, cfg.near_threshold)
-    ka = live.select(F.col("id").alias("id_a"), F.col("key").alias("ka"))
-    kb = live.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
+    """Near pairs whose keys also reach the fuzzy threshold; lengths that rule it out go before any key is attached."""
+    near = verify_jaccard(cand, jaccard_sets(live), cfg.near_threshold)
+    keys = live.select("id", "key")
+    if cfg.scorer == "ratio":
+        sizes = live.select("id", F.length("key").alias("L"))
+        near = near.join(sizes.withColumnsRenamed({"id": "id_a", "L": "len_a"}), "id_a") \
+            .join(sizes.withColumnsRenamed({"id": "id_b", "L": "len_b"}), "id_b")
+        lmax = F.greatest("len_a", "len_b")
+        near = near.filter(lmax - F.least("len_a", "len_b") <= max_edits(lmax, cfg.fuzzy_threshold)).select("id_a", "id_b", "jaccard")
+        return verify_edit_pairs(near, keys, cfg.fuzzy_threshold)
 
     def high_enough(s):
         return s >= F.lit(float(cfg.fuzzy_threshold)) - F.lit(1e-9)
 
-    if cfg.scorer == "ratio":
-        score = bounded_ratio("ka", "kb", cfg.fuzzy_threshold)
-    elif cfg.scorer in ("token_set", "composite"):
-        scorer = token_set_ratio if cfg.scorer == "token_set" else composite_score
-        score = scorer("ka", "kb", cfg.fuzzy_threshold)
-    else:
+    if cfg.scorer not in ("token_set", "composite"):
         raise ValueError("scorer must be 'ratio', 'token_set' or 'composite'")
+    scorer = token_set_ratio if cfg.scorer == "token_set" else composite_score
+    ka, kb = keys.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), keys.select(F.col("id").alias("id_b"), F.col("key").alias("kb"))
     return (near.join(ka, "id_a").join(kb, "id_b")
             # a filter on the score would compute it once more below the projection
-            .select("id_a", "id_b", "jaccard", F.explode(F.filter(F.array(score), high_enough)).alias("score")))
+            .select("id_a", "id_b", "jaccard", F.explode(F.filter(F.array(scorer("ka", "kb", cfg.fuzzy_threshold)), high_enough)).alias("score")))
 
 
 def combined_pairs(df: DataFrame, cfg: CombinedConfig = CombinedConfig()):

@@ -1,122 +1,172 @@
 """Edit-distance similarity join (D13, D15): all pairs with ratio >= T, without all-pairs.
 
-Lossless q-gram prefix filter (Gravano et al. 2001; Xiao et al. 2008, Ed-Join):
-* ratio >= T needs lev <= (1-t)*Lmax and Lmin >= t*Lmax, so k(s) = floor((1-t)*L/t) bounds the
-  edits for any partner of s.
-* keys are padded with q-1 sentinels per side, so a key of length L has L+q-1 q-grams and two
-  keys within k edits share at least Lmax+q-1-k*q of them (>= 1 for q <= t/(1-t), t >= 2/3).
-* q-grams are numbered by occurrence, ordered rare-first globally, and each key joins on its
-  first k*q+1 items; a shared item is necessary, so no true pair is lost.
-Candidates pass the length filter and the q-gram count filter (shared items counted on 32-bit
-item hashes), and only the survivors are verified with the bounded ``levenshtein``: at sf0.1 the
-count filter turns 400k prefix candidates into a few hundred pairs to verify.
+Segments against grams (Li et al. 2011, Pass-Join; Qin et al. 2011, asymmetric signatures):
+
+* ratio >= t needs lev <= (1-t)*Lmax and Lmin >= t*Lmax, so k(l) = floor((1-t)*l/t) bounds the edits
+  between a key of length l and any partner as long or longer.
+* the shorter key is cut into non-overlapping segments of q characters, more than k(l) of them. An edit
+  breaks one segment at most, so of n chosen segments n - k stand unchanged in the longer key, each moved
+  by as many characters as edits in front of it allow.
+* the chosen segments (the rarest k(l)+1, and a few more that sharpen the count) are the index; every
+  q-gram of the longer key is a probe. They meet on (text, length band, position bucket), so keys of
+  unlike lengths, or with the text in unlike places, do not.
+* pairs are counted per shared segment; those with n - k or more are verified (functions/edits.py).
+
+The shared count can only be too high (a segment met twice, equal hashes), so no true pair is lost.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.functions.similarity import EPS, bounded_ratio, max_edits
-from litsieve.operators.setsim import banded_sides
+from litsieve.functions.edits import long_ratio
+from litsieve.functions.similarity import EPS, max_edits
+from litsieve.operators.setsim import size_band
 from litsieve.session import cut_lineage
 
-BROADCAST_SIGNATURE_BYTES = 64 << 20
+LONGEST_SEGMENT = 12
+SKETCH = 4                 # least gram hashes of a key by which near copies find one another
+SPARE_SEGMENTS = 0.5       # of the segments beyond k + 1, the share that is indexed too
 
-PAD_LEFT = "\u0001"
-PAD_RIGHT = "\u0002"
 
-
-def gram_size(threshold: float) -> int:
+def segment_size(threshold: float) -> int:
+    """Characters of a segment of long keys: two thirds of the text that each edit leaves on average."""
     t = threshold / 100.0
-    if t >= 1.0:
-        return 4
     if t < 2.0 / 3.0:
         raise ValueError("edit-distance join needs a threshold of at least 67 (two thirds)")
-    return max(2, min(4, int(math.floor(t / (1.0 - t) + EPS))))
+    return LONGEST_SEGMENT if t >= 1.0 else max(2, min(LONGEST_SEGMENT, int(2 * t / (1.0 - t) / 3 + EPS)))
 
 
-def edit_prefix(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key"):
-    """(keys, gram_items, prefix): keys (id, key, L); occurrence-numbered q-gram items
-    (id, L, g, occ); and, with its rank rk, each key's first k*q+1 items in rare-first global order."""
-    q = gram_size(threshold)
-    t = threshold / 100.0
-    keys = (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"))
-            .filter(F.length("key") > 0)
-            .withColumn("L", F.length("key")))
-    padded = F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("key"), F.lit(PAD_RIGHT * (q - 1)))
-    # overlapping q-grams in one regex pass (zero-width lookahead), no per-position lambda
-    grams = keys.select("id", "L", F.explode(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{q}}}))"), 1)).alias("g"))
-    # occurrence numbering turns the q-gram multiset into a set of (gram, occ) items
-    counted = grams.groupBy("id", "L", "g").agg(F.count(F.lit(1)).alias("c"))
-    gram_items = cut_lineage(counted.select("id", "L", "g", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("occ")))
-    freq = gram_items.groupBy("g", "occ").agg(F.count(F.lit(1)).alias("f"))
-    kmax = F.floor((F.lit(1.0 - t) * F.col("L")) / F.lit(t) + F.lit(EPS))
-    rank = Window.partitionBy("id").orderBy("f", "g", "occ")
-    prefix = (gram_items.join(freq, ["g", "occ"])
-              .withColumn("rk", F.row_number().over(rank))
-              .filter(F.col("rk") <= kmax * q + 1)
-              .select("id", "L", "g", "occ", "rk"))
-    return keys, gram_items, prefix
-
-
-def edit_candidates(pa: DataFrame, pb: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id_a < id_b) sharing a prefix item, of lengths and positions that allow the threshold.
-
-    For the first item common to a true pair, the items after it bound the number shared; a pair
-    is kept if any shared item passes, so no true pair is lost.
-    """
+def _edits_of_partners(length, threshold: float):
+    """k(l): the edits to any partner of at least this length."""
     t = threshold / 100.0
-    q = gram_size(threshold)
-    a, b = banded_sides(pa, pb, "L", t)
-    lmax = F.greatest(F.col("a.L"), F.col("b.L"))
-    lmin = F.least(F.col("a.L"), F.col("b.L"))
-    shared = F.lit(q) + F.least(F.col("a.L") - F.col("a.rk"), F.col("b.L") - F.col("b.rk"))
-    need = lmax + q - 1 - max_edits(lmax, threshold) * q
-    return (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.occ") == F.col("b.occ"))
-                   & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))
-                   & (lmin >= F.lit(t) * lmax - F.lit(EPS)) & (shared >= need))
-            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+    return F.floor(F.lit(1.0 - t) * length / F.lit(t) + F.lit(EPS)).cast("int")
 
 
-def edit_verify(cand: DataFrame, keys: DataFrame, gram_items: DataFrame, threshold: float) -> DataFrame:
-    """Count filter, then the bounded edit-distance ratio: (id_a, id_b, score)."""
-    return verify_edit_pairs(count_filter(cand, gram_items, threshold, gram_size(threshold)), keys, threshold)
+def _size_at(length, threshold: float) -> Column:
+    """Segment size of a key: smaller on short keys, so that k + 1 segments fit."""
+    return F.least(F.lit(segment_size(threshold)), F.floor(length / (_edits_of_partners(length, threshold) + 1)).cast("int"))
 
 
-def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key") -> DataFrame:
-    """All pairs (id_a < id_b) of non-empty keys with ratio >= threshold (0-100), with the score."""
-    keys, gram_items, prefix = edit_prefix(items, threshold, id_col, key_col)
-    return edit_verify(edit_candidates(prefix, prefix, threshold), keys, gram_items, threshold)
+@lru_cache(maxsize=None)
+def _long_from(threshold: float) -> int:
+    """The length from which on every key has segments of the full size."""
+    t, q = threshold / 100.0, segment_size(threshold)
+    slack = 1.0 - q * (1.0 - t) / t                       # l - q*k(l) >= slack*l, and k + 1 segments need q more
+    limit = int(q / slack) + 2 * q
+    return max((n + 1 for n in range(1, limit + 1) if n // (int((1 - t) * n / t + EPS) + 1) < q), default=1)
+
 
+def _band_edits(band: Column, threshold: float) -> Column:
+    """Most edits between a key of this length band and a shorter one: the width of its position buckets."""
+    t = threshold / 100.0
+    width = max(-math.log(t) * 1.000001, 0.001) if t < 1 else 0.001
+    return F.floor(F.lit(1.0 - t) * F.exp(F.lit(width) * (band + 1))).cast("long") + 1
+
+
+def _keys(items: DataFrame, id_col: str, key_col: str) -> DataFrame:
+    return (items.select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).filter(F.length("key") > 0)
+            .withColumns({"L": F.length("key"), "open": F.lit(True)}))
+
+
+def segment_index(keys: DataFrame, threshold: float) -> DataFrame:
+    """(h, band, bucket, id, L, open, n, p): the chosen segments of each key, once for each length band and
+    position bucket in which a partner can hold them. n counts the key's chosen segments."""
+    q = _size_at(F.col("L"), threshold)
+    pattern = F.concat(F.lit("(?s).{"), q.cast("string"), F.lit("}"))
+    parts = keys.select("id", "L", "open", q.alias("q"), F.posexplode(F.regexp_extract_all("key", pattern, F.lit(0))).alias("j", "part"))
+    parts = cut_lineage(parts.select("id", "L", "open", (F.col("j") * F.col("q")).alias("p"), "q", F.xxhash64("part").alias("h")))
+    freq = parts.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    k = _edits_of_partners(F.col("L"), threshold)
+    total = F.floor(F.col("L") / F.col("q")).cast("int")
+    wanted = F.least(total, (k + 1 + F.ceil((total - k - 1) * F.lit(SPARE_SEGMENTS))).cast("int"))
+    rank = Window.partitionBy("id").orderBy("f", "h", "p")
+    chosen = (parts.join(freq, "h").withColumn("rk", F.row_number().over(rank)).filter(F.col("rk") <= wanted)
+              .select("h", "id", "L", "open", wanted.alias("n"), "p", k.alias("k")))
+    own = size_band(F.col("L"), threshold / 100.0)
+    banded = chosen.withColumn("band", F.explode(F.array(own, own + 1)))
+    width = _band_edits(F.col("band"), threshold)
+    low = F.floor(F.greatest(F.col("p") - F.ceil(F.col("k") / 2), F.lit(0)) / width)
+    high = F.floor((F.col("p") + F.col("k")) / width)
+    return banded.select("h", "band", F.explode(F.sequence(low, high)).alias("bucket"), "id", "L", "open", "n", "p")
+
+
+def gram_probes(keys: DataFrame, threshold: float) -> DataFrame:
+    """(h, band, bucket, id, L, open, p): every gram of each key, of the sizes that partners' segments have."""
+    t = threshold / 100.0
+    least = F.ceil(F.lit(t) * F.col("L") - F.lit(EPS)).cast("int")
+    sizes = F.when(least >= _long_from(threshold), F.array(F.lit(segment_size(threshold)))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.greatest(least, F.lit(1)), F.col("L")), lambda n: _size_at(n, threshold))))
+    sized = keys.withColumn("q", F.explode(sizes))
+    # overlapping grams in one regex pass (zero-width lookahead), no per-position lambda
+    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("q").cast("string"), F.lit("}))"))
+    grams = sized.select("id", "L", "open", F.posexplode(F.regexp_extract_all("key", pattern, F.lit(1))).alias("p", "g"))
+    band = size_band(F.col("L"), t)
+    return grams.select(F.xxhash64("g").alias("h"), band.alias("band"), F.floor(F.col("p") / _band_edits(band, threshold)).alias("bucket"), "id", "L", "open", "p")
+
+
+def meetings(index: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
+    """(id_r, id_s, s_len, n): a row for each shared segment in places that the edits allow, r the shorter key,
+    of pairs that hold an open key (all are, unless a caller has settled some)."""
+    r, s = index.alias("r"), probes.alias("s")
+    more, moved = F.col("s.L") - F.col("r.L"), F.col("s.p") - F.col("r.p")
+    k = max_edits(F.col("s.L"), threshold)
+    return (r.join(s, (F.col("r.open") | F.col("s.open")) & (F.col("r.h") == F.col("s.h")) & (F.col("r.band") == F.col("s.band")) & (F.col("r.bucket") == F.col("s.bucket"))
+                   & ((more > 0) | ((more == 0) & (F.col("r.id") < F.col("s.id"))))
+                   & (F.col("r.L") >= F.lit(threshold / 100.0) * F.col("s.L") - F.lit(EPS))
+                   & (F.abs(moved) + F.abs(more - moved) <= k))
+            .select(F.col("r.id").alias("id_r"), F.col("s.id").alias("id_s"), F.col("s.L").alias("s_len"), F.col("r.n").alias("n")))
+
+
+def edit_candidates(index: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (id_a < id_b) that share as many segments as the edits must leave."""
+    counted = meetings(index, probes, threshold).groupBy("id_r", "id_s").agg(
+        F.count(F.lit(1)).alias("shared"), F.max(F.col("n") - max_edits(F.col("s_len"), threshold)).alias("need"))
+    return counted.filter(F.col("shared") >= F.col("need")).select(F.least("id_r", "id_s").alias("id_a"), F.greatest("id_r", "id_s").alias("id_b"))
 
-def count_filter(cand: DataFrame, gram_items: DataFrame, threshold: float, q: int) -> DataFrame:
-    """q-gram count filter: two keys within k edits share >= max(|G_a|, |G_b|) - k*q items.
 
-    Items are compared as 32-bit hashes; hash collisions inside one key can only hide shared
-    items, so the shared count is bounded from above by the hashed intersection plus the
-    collisions, and the filter never drops a true pair.
-    """
-    sig = gram_items.groupBy("id", "L").agg(F.array_distinct(F.collect_list(F.hash("g", "occ"))).alias("h"),
-                                          F.count(F.lit(1)).alias("n"))
-    sa = sig.select(F.col("id").alias("id_a"), F.col("L").alias("La"), F.col("h").alias("ha"), F.col("n").alias("na"))
-    sb = sig.select(F.col("id").alias("id_b"), F.col("L").alias("Lb"), F.col("h").alias("hb"), F.col("n").alias("nb"))
-    # the signature table holds one 4-byte hash per item: when the item count proves it small,
-    # broadcast it so the candidate pairs are filtered map-side; otherwise shuffle joins on the id
-    if gram_items.count() * 4 <= BROADCAST_SIGNATURE_BYTES:
-        sa, sb = F.broadcast(sa), F.broadcast(sb)
-    lmax = F.greatest("La", "Lb")
-    k = max_edits(lmax, threshold)
-    need = lmax + q - 1 - k * q
-    shared = (F.size(F.array_intersect("ha", "hb")) + (F.col("na") - F.size("ha")) + (F.col("nb") - F.size("hb")))
-    return cand.join(sa, "id_a").join(sb, "id_b").filter(shared >= need).select("id_a", "id_b")
+def edit_pairs(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key") -> DataFrame:
+    """All pairs (id_a < id_b) of non-empty keys with ratio >= threshold (0-100), with the score."""
+    keys = _keys(items, id_col, key_col)
+    cand = edit_candidates(segment_index(keys, threshold), gram_probes(keys, threshold), threshold)
+    return verify_edit_pairs(cand, keys, threshold)
 
 
 def verify_edit_pairs(cand: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    ka = keys.select(F.col("id").alias("id_a"), F.col("key").alias("key_a"))
-    kb = keys.select(F.col("id").alias("id_b"), F.col("key").alias("key_b"))
-    return (cand.join(ka, "id_a").join(kb, "id_b")
-            .select("id_a", "id_b", bounded_ratio("key_a", "key_b", threshold).alias("score"))
-            .filter(F.col("score").isNotNull()))
+    """Candidates (id_a, id_b, ...) whose keys reach the threshold, with the score. Pairs are few and their
+    keys long, so they are spread over all tasks by pair, not by what the joins on the ids leave."""
+    sized = cand.join(keys.select(F.col("id").alias("id_a"), F.col("key").alias("key_a")), "id_a") \
+        .join(keys.select(F.col("id").alias("id_b"), F.col("key").alias("key_b")), "id_b")
+    width = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sized.repartition(width, "id_a", "id_b")
+    scored = spread.withColumn("score", long_ratio("key_a", "key_b", threshold)).drop("key_a", "key_b")
+    return scored.filter(F.col("score").isNotNull()).select("id_a", "id_b", *[c for c in cand.columns if c not in ("id_a", "id_b")], "score")
+
+
+def rows_with_neighbours(items: DataFrame, threshold: float, id_col: str = "id", key_col: str = "key") -> DataFrame:
+    """Ids of the keys that have any partner with ratio >= threshold (D18), without listing a group's pairs.
+
+    First each key is compared with the smallest id that shares one of its SKETCH least gram hashes: at most
+    SKETCH pairs a key, which settle the members of a group of near copies, however large. Only pairs of a key
+    still open with any other are then joined and verified.
+    """
+    keys = _keys(items, id_col, key_col)
+    grams = F.regexp_extract_all("key", F.lit(f"(?s)(?=(.{{{segment_size(threshold)}}}))"), F.lit(1))
+    least = F.slice(F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, SKETCH)
+    sketch = cut_lineage(keys.select("id", F.explode(least).alias("h")))
+    heads = sketch.groupBy("h").agg(F.min("id").alias("head"))
+    cand = sketch.join(heads, "h").filter("head <> id").select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    settled = cut_lineage(_ends(verify_edit_pairs(cand, keys, threshold)))
+    open_keys = keys.select("id").join(settled, "id", "left_anti").withColumn("still", F.lit(True))
+    marked = keys.join(open_keys, "id", "left").withColumn("open", F.col("still").isNotNull()).drop("still")
+    index, probes = segment_index(marked, threshold), gram_probes(marked, threshold)
+    pairs = verify_edit_pairs(edit_candidates(index, probes, threshold), keys, threshold)
+    return settled.union(_ends(pairs)).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()

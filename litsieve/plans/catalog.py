@@ -291,9 +291,8 @@ from litsieve.operators import dedup_near as dn  # noqa: E402
 from litsieve.plans.sqlgen import char_levenshtein, greedy_kept_sql, match_key_sql, words_sql  # noqa: E402
 
 NEAR_COLS = ("Title", "Abstract")   # whole text: first line + rest
-FUZZY_COLS = ("Title",)
+FUZZY_COLS = ("Title", "DOI", "Abstract")
 COMBINED_COLS = ("Title", "DOI", "Abstract")
-SCORER_COLS = ("Title", "DOI")   # token scorers: DuckDB needs minutes for them on whole abstracts
 
 
 def _near_reps_sql(keep="first", cols=NEAR_COLS) -> str:
@@ -368,12 +367,19 @@ def _fuzzy_reps_sql(keep="first", cols=FUZZY_COLS) -> str:
 
 
 def _edit_pairs_sql(reps: str, threshold: float) -> str:
-    t = threshold / 100.0
-    return (f"SELECT id_a, id_b, 100.0 * (1 - d / lmax) AS score FROM (SELECT a.id AS id_a, b.id AS id_b, "
-            f"{char_levenshtein('a.k', 'b.k')} AS d, greatest(length(a.k), length(b.k)) AS lmax "
-            f"FROM ({reps}) a JOIN ({reps}) b ON a.id < b.id AND length(a.k) > 0 AND length(b.k) > 0 "
-            f"AND least(length(a.k), length(b.k)) >= {t} * greatest(length(a.k), length(b.k)) - 1e-9) x "
-            f"WHERE 100.0 * (1 - d / lmax) >= {threshold} - 1e-9")
+    """All pairs of alike lengths; an edit takes five distinct 5-grams away at most, so pairs that miss more need no
+    distance. Pairs short or repetitive enough to miss all their grams are compared outright."""
+    alike = f"least(a.n, b.n) >= {threshold / 100.0} * greatest(a.n, b.n) - 1e-9"
+    lost = f"5 * floor({100 - threshold} * greatest(a.n, b.n) / 100.0 + 1e-9)"
+    return (f"(WITH ks AS MATERIALIZED (SELECT id, k, length(k) AS n FROM ({reps}) r WHERE length(k) > 0), "
+            f"g AS MATERIALIZED (SELECT DISTINCT id, n, substr(k, CAST(i AS BIGINT), 5) AS h FROM (SELECT id, k, n, unnest(range(1, n - 3)) AS i FROM ks) u), "
+            f"c AS MATERIALIZED (SELECT id, k, n, coalesce(m, 0) AS m FROM ks LEFT JOIN (SELECT id, count(*) AS m FROM g GROUP BY id) x USING (id)), "
+            f"s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM g a JOIN g b ON a.h = b.h AND a.id < b.id AND {alike} GROUP BY 1, 2), "
+            f"f AS (SELECT id_a, id_b FROM s JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE i >= greatest(a.m, b.m) - {lost} UNION "
+            f"SELECT a.id, b.id FROM c a JOIN c b ON a.id < b.id AND {alike} AND greatest(a.m, b.m) <= {lost}), "
+            f"near AS MATERIALIZED (SELECT id_a, id_b, a.k AS ka, b.k AS kb, greatest(a.n, b.n) AS lmax FROM f JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b) "
+            f"SELECT id_a, id_b, 100.0 * (1 - d / lmax) AS score FROM (SELECT id_a, id_b, lmax, {char_levenshtein('ka', 'kb')} AS d FROM near) x "
+            f"WHERE 100.0 * (1 - d / lmax) >= {threshold} - 1e-9)")
 
 
 @register("fuzzy_pairs_ratio", _edit_pairs_sql(_fuzzy_reps_sql(), 90))
@@ -422,7 +428,7 @@ def _ratio_sql(x: str, y: str) -> str:
 
 
 def _token_set_pairs_sql() -> str:
-    reps, _ = _combined_sql(cols=SCORER_COLS)
+    reps, _ = _combined_sql(cols=COMBINED_COLS)
     live = f"SELECT * FROM ({reps}) r WHERE len(ws) > 0 AND length(k) > 0"
     cand = _jaccard_pairs_sql(live, 0.85)
     tw = "list_sort(list_distinct(list_filter(string_split_regex({k}, '\\s+'), lambda x: x <> '')))"
@@ -912,7 +918,7 @@ def q_screening_default(spark, sf_dir):
 @register("combined_pairs_token_set", _token_set_pairs_sql())
 def q_combined_pairs_token_set(spark, sf_dir):
     """Near-duplicate candidates verified with the token-set scorer instead of the ratio."""
-    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=SCORER_COLS, scorer="token_set"))
+    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, scorer="token_set"))
     return verified
 
 
@@ -1042,7 +1048,7 @@ def q_scored_fuzzy(spark, sf_dir):
 
 
 def _composite_pairs_sql() -> str:
-    reps, _ = _combined_sql(cols=SCORER_COLS)
+    reps, _ = _combined_sql(cols=COMBINED_COLS)
     live = f"SELECT * FROM ({reps}) r WHERE len(ws) > 0 AND length(k) > 0"
     words = "list_filter(string_split_regex({k}, '\\s+'), lambda x: x <> '')"
     pairs = (f"SELECT c.id_a, c.id_b, c.jaccard, a.k AS ka, b.k AS kb, {words.format(k='a.k')} AS la, {words.format(k='b.k')} AS lb "
@@ -1064,22 +1070,22 @@ def _composite_pairs_sql() -> str:
 @register("combined_pairs_composite", _composite_pairs_sql())
 def q_combined_pairs_composite(spark, sf_dir):
     """Near-duplicate candidates verified with the best of the three scorers."""
-    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=SCORER_COLS, scorer="composite"))
+    _, verified = dn.combined_pairs(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, scorer="composite"))
     return verified.select("id_a", "id_b", F.round("jaccard", 9).alias("jaccard"), F.round("score", 9).alias("score"))
 
 
 def _sequential_sql() -> str:
     near = _near_reps_sql(cols=("Title",))
     kept = f"SELECT * FROM {PAPERS} n WHERE paper_id IN ({greedy_kept_sql(near, _jaccard_pairs_sql(near, 0.85), 'first')})"
-    reps = _fuzzy_reps_sql(cols=("Title", "DOI")).replace(PAPERS, f"({kept})")
+    reps = _fuzzy_reps_sql().replace(PAPERS, f"({kept})")
     return (f"SELECT {PAPER_SELECT} FROM {PAPERS} p WHERE paper_id IN "
             f"({greedy_kept_sql(reps, _edit_pairs_sql(reps, 90), 'first')})")
 
 
 @register("combined_dedup_sequential", _sequential_sql())
 def q_combined_sequential(spark, sf_dir):
-    """D19 as two passes: near de-dup of titles, then fuzzy de-dup of titles and DOIs on what is left."""
-    return dn.combined_dedup(papers(spark, sf_dir), dn.CombinedConfig(columns=("Title", "DOI"), mode="sequential"))
+    """D19 as two passes: near de-dup of titles, then fuzzy de-dup of whole papers on what is left."""
+    return dn.combined_dedup(papers(spark, sf_dir), dn.CombinedConfig(columns=COMBINED_COLS, mode="sequential"))
 
 
 @register("drop_empty_text", f"SELECT paper_id FROM {PAPERS} p WHERE length({strip_sql('\"Abstract\"')}) > 0")
