@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_LANG = 250      # expected labelled documents per language that train the network
-TRAIN_RUNS = 8_000        # at most so many distinct (language, run) counts, most frequent first
-MAX_LANGS = 1_000
-RUN_BYTES = 24             # longer runs are cut into pieces of so many bytes; no byte is dropped
+TRAIN_RUNS = 8_000        # distinct (language, run) counts that train it, shared evenly by the languages,
+LEAST_RUNS = 500           # but so many of each at least; a language's most frequent come first
+MAX_LANGS = 1_000          # languages that one network tells apart, the most frequent
+RUN_BYTES = 24             # longer runs are cut into pieces of at most so many bytes, between characters
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 12, 12, 512, 0.012
 CACHE_RUNS = 500_000       # sums that a worker keeps; it starts anew when they are full
 UNDETERMINED = "und"
@@ -32,10 +33,20 @@ def runs_of(text: str) -> list[bytes]:
     """Maximal runs of letter bytes, cut at RUN_BYTES."""
     words = text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
     if words and max(map(len, words)) > RUN_BYTES:
-        words = [w[i:i + RUN_BYTES] for w in words for i in range(0, len(w), RUN_BYTES)]
+        words = [piece for w in words for piece in _pieces(w)]
     return words
 
 
+def _pieces(word: bytes) -> Iterator[bytes]:
+    while len(word) > RUN_BYTES:
+        at = RUN_BYTES
+        while at > RUN_BYTES - 3 and word[at] & 0xC0 == 0x80:   # inside a character
+            at -= 1
+        yield word[:at]
+        word = word[at:]
+    yield word
+
+
 def has_letter(text: str) -> bool:
     low = text.encode("utf-8", "surrogatepass").translate(_LETTERS)
     return any(97 <= c <= 122 for c in low.lstrip()[:1]) or any(ch.isalpha() for ch in text)
@@ -188,27 +199,51 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(run, pa.binary()), pa.array(n, pa.int64())], names=["lang", "run", "n"])
 
 
-def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG):
-    """(network, languages) from docs(doc_id, text, lang): non-null labels of documents not held out.
-
-    The sample holds about ``sample_per_lang`` documents of each language, picked by a hash of the id; at
-    most TRAIN_RUNS distinct runs of it reach the driver. Without labelled rows: (None, [])."""
+def labelled_sample(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[DataFrame | None, list[str]]:
+    """(lang, text of about ``sample_per_lang`` documents of each language, languages): non-null labels of
+    documents not held out, picked by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return None, []
-    langs = sorted(r["lang"] for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample_per_lang / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = (sample.mapInArrow(_count_runs, "lang string, run binary, n long")
-              .groupBy("lang", "run").agg(F.sum("n").alias("n"))
-              .orderBy(F.desc("n"), "lang", "run").limit(TRAIN_RUNS).collect())
+    return known.where(draw < share[F.col("lang")]).select("lang", "text"), sorted(r["lang"] for r in sizes)
+
+
+def training_runs(sample: DataFrame, n_langs: int) -> DataFrame:
+    """lang, run, n: the most frequent runs of each language, as many of each, so that a language of few or of
+    long runs (a script without spaces) keeps its share beside large ones."""
+    each = max(LEAST_RUNS, TRAIN_RUNS // n_langs)
+    counts = sample.mapInArrow(_count_runs, "lang string, run binary, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
+    return counts.withColumn("_place", place).where(F.col("_place") <= each).drop("_place")
+
+
+def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG):
+    """(network, languages) from docs(doc_id, text, lang); only the runs of the bounded sample reach the driver.
+    Without labelled rows: (None, [])."""
+    sample, langs = labelled_sample(docs, sample_per_lang)
+    if sample is None:
+        return None, []
+    counts = training_runs(sample, len(langs)).orderBy(F.desc("n"), "lang", "run").collect()
     if not counts:
         return None, []
     return train([(r["lang"], bytes(r["run"]), r["n"]) for r in counts], langs), langs
 
 
+def rejection_bound(docs: DataFrame, net, langs: list[str], sample_per_lang: int = SAMPLE_PER_LANG) -> float:
+    """The score below which a text counts as of none of the languages: half way from chance (one over their
+    number) to the score that all but a hundredth of the labelled sample's rightly told texts reach. With one
+    language every text of letters scores 1, so nothing is rejected."""
+    if len(langs) < 2:
+        return 0.0
+    sample, _ = labelled_sample(docs, sample_per_lang)
+    told = identify(sample, net, langs).where("lang = lang_pred")
+    low = told.agg(F.percentile("score", F.lit(0.01)).alias("low")).first()["low"]
+    return 0.0 if low is None else (1.0 / len(langs) + max(low, 1.0 / len(langs))) / 2
+
+
 class Predictor:
     """Pools run sums into documents; a worker keeps the sums of the runs it has seen."""
 

@@ -74,3 +74,27 @@ def test_odd_documents(spark):
     assert langid.language_id(empty_documents(spark)).count() == 0
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in rows_of(langid.language_id(unlabelled))} == {"und"}
+
+
+def test_pieces_end_between_characters():
+    for text in ("日本語" * 20, "aé" * 30, "\U00020000" * 20, "x" * 100, "é" * 12 + "日" * 30):
+        runs = langid.runs_of(text)
+        assert b"".join(runs).decode() == text and all(len(r) <= langid.RUN_BYTES and r.decode() for r in runs)
+
+
+def test_script_without_spaces_beside_four_languages(spark):
+    """A fifth language of long runs, nearly all of them unique, keeps its share of the training runs."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    texts = [(10_000_000 + i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(20, 400))), "zh") for i in range(250)]
+    both = docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    sample, langs = langid.labelled_sample(both)
+    per = {r["lang"]: r["count"] for r in langid.training_runs(sample, len(langs)).groupBy("lang").count().collect()}
+    assert len(langs) == 5 and per["zh"] >= langid.TRAIN_RUNS // 5
+    net, langs = langid.fit(both)
+    got = rows_of(langid.identify(both, net, langs))
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    for lang in langs:
+        assert np.mean([r["lang_pred"] == lang for r in held if r["lang"] == lang]) > 0.95, lang
+    least = langid.rejection_bound(both, net, langs)
+    assert 0.2 < least < 0.9 and np.mean([r["score"] >= least for r in held if r["lang_pred"] != "und"]) > 0.99
