@@ -233,15 +233,17 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG):
 
 
 def rejection_bound(docs: DataFrame, net, langs: list[str], sample_per_lang: int = SAMPLE_PER_LANG) -> float:
-    """The score below which a text counts as of none of the languages: half way from chance (one over their
-    number) to the score that all but a hundredth of the labelled sample's rightly told texts reach. With one
-    language every text of letters scores 1, so nothing is rejected."""
+    """The score below which a text counts as of none of the languages: a quarter of the way from chance (one over
+    their number) to the score that all but a hundredth of the labelled sample's rightly told texts reach, so that
+    short and noisy texts of a known language stay. With one language every text of letters scores 1, so nothing
+    is rejected."""
     if len(langs) < 2:
         return 0.0
     sample, _ = labelled_sample(docs, sample_per_lang)
     told = identify(sample, net, langs).where("lang = lang_pred")
     low = told.agg(F.percentile("score", F.lit(0.01)).alias("low")).first()["low"]
-    return 0.0 if low is None else (1.0 / len(langs) + max(low, 1.0 / len(langs))) / 2
+    chance = 1.0 / len(langs)
+    return 0.0 if low is None else chance + max(low - chance, 0.0) / 4
 
 
 class Predictor:
