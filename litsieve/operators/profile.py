@@ -3,15 +3,16 @@
 Every statistic is a distributed aggregate. The driver only sees bounded summaries: one row
 per column, per column pair, per histogram bin or per bucket of a selection pass.
 
-Exact quantiles use distributed selection (``order_statistics``): equal-width bucket counts
-narrow the value range that holds each wanted rank, pass by pass, until the range holds few
-enough values to fetch; no task or driver ever holds a whole column. ``approx=True``
+Exact quantiles use distributed selection (``select_ranks``): equal-width bucket counts narrow the
+value range that holds each wanted rank, for all columns in the same scan, until the range holds few
+enough values to number them; no task or driver ever holds a whole column. ``approx=True``
 switches to ``percentile_approx`` (one pass, bounded sketch).
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,26 +74,99 @@ def overview(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E2 numeric summary
 
-NUMERIC_STATS = {
-    "n": lambda c: F.count(c),
-    "n_missing": lambda c: F.count_if(c.isNull()),
-    "n_distinct": lambda c: F.count_distinct(c),
-    "min": lambda c: F.min(c).cast("double"),
-    "max": lambda c: F.max(c).cast("double"),
-    "mean": lambda c: F.round(F.avg(c), 5),
-    "std": lambda c: F.round(F.stddev_samp(c), 6),
-    "variance": lambda c: F.round(F.var_samp(c), 6),
-    "sum": lambda c: F.round(F.sum(c.cast("double")), 6),
-    "n_zeros": lambda c: F.count_if(c == 0),
-    "n_negative": lambda c: F.count_if(c < 0),
-    "range": lambda c: (F.max(c) - F.min(c)).cast("double"),
-    "cv": lambda c: F.round(F.stddev_samp(c) / F.nullif(F.avg(c), F.lit(0.0)), 6),
-}
+GRID_BITS = 53  # sums are taken on a grid of 2**-53 of the column's largest magnitude, the rests on one as fine again
+HALF_BITS = 26  # a grid number is split here, so that squares are sums of products that fit a long
+NUMERIC_SCHEMA = ("column string, n long, n_missing long, n_nan long, n_distinct long, min double, max double, mean double, "
+                  "std double, variance double, sum double, n_zeros long, n_negative long, range double, cv double")
+
+
+def _cells(df: DataFrame, values: dict[str, Column], *extra) -> DataFrame:
+    """Long form (column, v, ...): one row a cell, NULL and NaN left out. ``extra`` are functions of the
+    column's name that give a further field."""
+    fields = [F.struct(F.lit(c).alias("column"), F.when(~F.isnan(v), v).alias("v"), *[f(c) for f in extra])
+              for c, v in values.items()]
+    return df.select(F.explode(F.array(*fields)).alias("r")).select("r.*").filter(F.col("v").isNotNull())
+
+
+def _doubles(cols: list[str]) -> dict[str, Column]:
+    return {c: F.col(f"`{c}`").cast("double") for c in cols}
+
+
+def _ends(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float, int]]:
+    """(smallest, largest, count) of the non-NULL, non-NaN values of each column that has any; one scan."""
+    clean = [F.when(~F.isnan(v), v) for v in values.values()]
+    r = df.agg(*[x for v in clean for x in (F.min(v), F.max(v), F.count(v))]).first()
+    return {c: tuple(r[3 * i:3 * i + 3]) for i, c in enumerate(values) if r[3 * i + 2]}
+
+
+def value_groups(df: DataFrame, cols: list[str], scale: dict[str, int]) -> DataFrame:
+    """(column, v, exact, q, k): every distinct value of every column with its number of rows, in one long-form
+    aggregate. ``q`` is the value times 2**scale as a whole number, ``rest`` what rounding left, times 2**53 (NULL
+    for infinite values)."""
+    values = _doubles(cols)
+    wide_ints = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "decimal")}
+
+    def exact(c):  # doubles merge whole numbers beyond 2**53: those columns are told apart by their text
+        return (F.col(f"`{c}`").cast("string") if c in wide_ints else F.lit(None).cast("string")).alias("exact")
+
+    def scaled(c):
+        return F.when(F.abs(values[c]) < F.lit(math.inf), values[c] * F.lit(math.ldexp(1.0, scale[c]))).alias("scaled")
+
+    q, rest = F.rint("scaled"), F.rint((F.col("scaled") - F.rint("scaled")) * F.lit(math.ldexp(1.0, GRID_BITS)))
+    return _cells(df, values, exact, scaled).groupBy(
+        "column", "v", "exact", q.cast("long").alias("q"), rest.cast("long").alias("rest")).agg(F.count(F.lit(1)).alias("k"))
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One row per numeric column."""
-    return _long(df, NUMERIC_STATS, cols or numeric_columns(df))
+    """One row per numeric column.
+
+    NaN is counted apart (``n_nan``) and enters no other figure. Sums and squares are added as whole numbers on
+    a grid of 2**-53 of the column's largest magnitude (sums with a second term for the rests), so mean, deviation and variance are the same for any
+    order or split of the rows. A column with infinite values has no sum, mean, deviation, variance or cv;
+    one without values has counts only. Two scans: ends and missing cells, then equal values of each column
+    grouped (combined map-side), which also gives the exact distinct counts.
+    """
+    cols = cols or numeric_columns(df)
+    values = _doubles(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
+    clean = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
+    finite = {c: F.when(F.abs(v) < F.lit(math.inf), F.abs(v)) for c, v in clean.items()}
+    wide = df.agg(F.count(F.lit(1)), *[x for c in cols for x in (
+        F.count(clean[c]), F.count(values[c]), F.min(clean[c]), F.max(clean[c]), F.max(finite[c]))]).first()
+    first = {c: wide[1 + 5 * i:6 + 5 * i] for i, c in enumerate(cols)}
+    # v * 2**scale is at most 2**53
+    scale = {c: min(GRID_BITS - math.frexp(top)[1], 1000) if top else 0 for c, (_, _, _, _, top) in first.items()}
+    groups = value_groups(df, cols, scale)
+    whole = "decimal(19,0)"
+    k, hi = F.col("k").cast(whole), F.shiftright("q", HALF_BITS)
+    lo = F.col("q").bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+    stats = {r["column"]: r for r in groups.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_distinct"), F.sum(F.when(F.col("v") == 0, F.col("k"))).alias("zeros"),
+        F.sum(F.when(F.col("v") < 0, F.col("k"))).alias("negative"), F.count_if(F.col("q").isNull()).alias("endless"),
+        F.sum(k * F.col("q").cast(whole)).alias("s"),
+        F.sum(k * F.col("rest").cast(whole)).alias("rest"), F.sum(k * (hi * hi).cast(whole)).alias("hh"),
+        F.sum(k * (hi * lo).cast(whole)).alias("hl"), F.sum(k * (lo * lo).cast(whole)).alias("ll")).collect()}  # a row a column
+    rows = []
+    for c in cols:
+        n, present, least, most, _ = first[c]
+        r = stats.get(c)
+        row = [c, n, wide[0] - present, present - n, r["n_distinct"] if r else 0, least, most]
+        mean = std = var = total = cv = None
+        if r and not r["endless"]:
+            step = Fraction(2) ** -scale[c]
+            s1, s2 = int(r["s"]), (int(r["hh"]) << 2 * HALF_BITS) + (int(r["hl"]) << HALF_BITS + 1) + int(r["ll"])
+            exact_sum = (s1 + Fraction(int(r["rest"]), 1 << GRID_BITS)) * step
+            total, mean = float(round(exact_sum, 6)), exact_sum / n
+            if n > 1:
+                var = (n * s2 - s1 * s1) * step * step / (n * (n - 1))
+                std = math.sqrt(var)
+                cv = round(std / float(mean), 6) if mean else None
+                std, var = round(std, 6), float(round(var, 6))
+            mean = float(round(mean, 5))
+        rows.append((*row, mean, std, var, total, (r["zeros"] or 0) if r else 0, (r["negative"] or 0) if r else 0,
+                     None if least is None else most - least, cv))
+    return df.sparkSession.createDataFrame(rows, NUMERIC_SCHEMA)
 
 
 def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -108,77 +182,99 @@ def approx_distinct(df: DataFrame, cols: list[str] | None = None, rsd: float = 0
 
 # ---------------------------------------------------------------- E3 quantiles
 
-def order_statistics(df: DataFrame, col: str | Column, ranks: list[int], buckets: int = 2048,
+def _narrow(cells: DataFrame, spans: list[tuple], buckets: int) -> list:
+    """One histogram round for all columns: per wanted rank the bucket that holds it.
+
+    ``spans``: (column, rank, lo, hi, rows below lo), at most one row a wanted rank. They are broadcast:
+    their number is that of columns times quantiles. Only the chosen buckets come back, a row a rank.
+    """
+    spark = cells.sparkSession
+    wanted = spark.createDataFrame(spans, "column string, rank long, lo double, hi double, below long")
+    ivs = []
+    for c, lo, hi in sorted({(s[0], s[2], s[3]) for s in spans}):
+        width = (hi - lo) / buckets
+        ivs.append((c, lo, hi, width if width and math.isfinite(width) else None))
+    ivs = spark.createDataFrame(ivs, "column string, lo double, hi double, width double")
+    v, lo, hi, width = F.col("v"), F.col("lo"), F.col("hi"), F.col("width")
+    # infinite ends, or values too close to divide: part the ends from the rest
+    bucket = (F.when(width.isNull(), F.when(v == lo, 0).when(v == hi, 2).otherwise(1))
+              .otherwise(F.least(F.floor((v - lo) / width), F.lit(buckets - 1)).cast("int")))
+    hist = (cells.join(F.broadcast(ivs.withColumnRenamed("column", "__c")),
+                       (F.col("column") == F.col("__c")) & (v >= lo) & (v <= hi))
+            .groupBy("column", "lo", "hi", bucket.alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")))
+    upto = Window.partitionBy("column", "lo", "hi").orderBy("b")  # at most ``buckets`` rows
+    ahead = F.sum("n").over(upto) - F.col("n")
+    got = (hist.withColumn("ahead", ahead).join(F.broadcast(wanted), ["column", "lo", "hi"])
+           .withColumn("ahead", F.col("ahead") + F.col("below"))
+           .filter((F.col("rank") >= F.col("ahead")) & (F.col("rank") < F.col("ahead") + F.col("n"))))
+    return got.select("column", "rank", "mn", "mx", "ahead", "n").collect()
+
+
+def _numbered(cells: DataFrame, spans: list[tuple]) -> list:
+    """The values at the wanted ranks of spans that hold few values each."""
+    spark = cells.sparkSession
+    wanted = spark.createDataFrame([(c, r, lo, hi, r - below) for c, r, lo, hi, below in spans],
+                                   "column string, rank long, lo double, hi double, nth long")
+    ivs = wanted.select(F.col("column").alias("__c"), "lo", "hi").distinct()
+    inside = cells.join(F.broadcast(ivs), (F.col("column") == F.col("__c")) & F.col("v").between(F.col("lo"), F.col("hi")))
+    # a span overlaps no other of its column, so each value is numbered once
+    nth = (F.row_number().over(Window.partitionBy("column", "lo", "hi").orderBy("v")) - 1).cast("long")
+    return (inside.select("column", "lo", "hi", "v", nth.alias("nth")).join(F.broadcast(wanted), ["column", "lo", "hi", "nth"])
+            .select("column", "rank", "v").collect())
+
+
+def select_ranks(df: DataFrame, values: dict[str, Column], ends: dict[str, tuple], ranks: dict[str, list[int]],
+                 buckets: int = 2048, fetch_limit: int = 20_000) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest values (0-based ranks) of several columns by distributed range narrowing.
+
+    Every round is one scan for all columns still open; the number of scans follows the values'
+    distribution, not the number of columns. ``fetch_limit`` bounds the values numbered in one group.
+    """
+    out: dict[tuple[str, int], float] = {}
+    spans = [(c, r, *ends[c][:2], 0) for c, rs in ranks.items() for r in rs]
+    while True:
+        out.update({(c, r): lo for c, r, lo, hi, _ in spans if lo == hi})
+        spans = [s for s in spans if s[2] != s[3]]
+        if not spans:
+            return out
+        cells = _cells(df, {c: values[c] for c in dict.fromkeys(s[0] for s in spans)})
+        found = _narrow(cells, spans, buckets)
+        if len(found) < len(spans):
+            raise ValueError("a wanted rank is beyond the values of its column")
+        few = [(g["column"], g["rank"], g["mn"], g["mx"], g["ahead"]) for g in found
+               if g["n"] <= fetch_limit and g["mn"] != g["mx"]]
+        if few:
+            out.update({(g["column"], g["rank"]): g["v"] for g in _numbered(cells, few)})
+        spans = [(g["column"], g["rank"], g["mn"], g["mx"], g["ahead"]) for g in found if (g["column"], g["rank"]) not in out]
+
+
+def _quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]) -> dict[str, dict[float, float]]:
+    """Linear-interpolated quantiles (the usual 'type 7' / quantile_cont definition) of every column."""
+    ends = _ends(df, values)
+    place = {(c, p): (n - 1) * p for c, (_, _, n) in ends.items() for p in probs}
+    ranks = {c: sorted({f(place[c, p]) for p in probs for f in (math.floor, math.ceil)}) for c in ends}
+    got = select_ranks(df, values, ends, ranks)
+    out = {c: dict.fromkeys(probs) for c in values}
+    for (c, p), h in place.items():
+        lo, hi = got[c, math.floor(h)], got[c, math.ceil(h)]
+        out[c][p] = lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)
+    return out
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int = 2048,
                      fetch_limit: int = 20_000) -> dict[int, float]:
-    """Exact k-th smallest non-NULL values (0-based ranks) by distributed range narrowing."""
-    v = (F.col(col) if isinstance(col, str) else col).cast("double")
-    vals = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    lo_hi = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if lo_hi["lo"] is None:
+    """``select_ranks`` of one column; None for every rank of a column without values."""
+    values = _doubles([col])
+    ends = _ends(df, values)
+    if not ends:
         return {r: None for r in ranks}
-    state = {r: (lo_hi["lo"], lo_hi["hi"], 0) for r in ranks}  # rank -> (lo, hi, rows below lo)
-    out: dict[int, float] = {}
-    while len(out) < len(ranks):
-        intervals = {}
-        for r, (lo, hi, below) in state.items():
-            if r in out:
-                continue
-            if lo == hi:
-                out[r] = lo
-                continue
-            intervals.setdefault((lo, hi), []).append(r)
-        if not intervals:
-            break
-        parts = []
-        for idx, (lo, hi) in enumerate(intervals):
-            width = (hi - lo) / buckets
-            if width and math.isfinite(width):
-                b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            else:  # infinite ends, or values too close to divide: part the ends from the rest
-                b = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, 2).otherwise(1)
-            parts.append(vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-                         .select(F.lit(idx).alias("iv"), b.alias("b"), "v"))
-        hist = (reduce(DataFrame.unionByName, parts).groupBy("iv", "b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())  # at most buckets rows per interval
-        by_iv: dict[int, list] = {}
-        for row in hist:
-            by_iv.setdefault(row["iv"], []).append(row)
-        fetch = []
-        for idx, ((lo, hi), rs) in enumerate(intervals.items()):
-            cells = sorted(by_iv.get(idx, []), key=lambda x: x["b"])
-            for r in rs:
-                below = state[r][2]
-                acc = below
-                for cell in cells:
-                    if acc + cell["n"] > r:
-                        state[r] = (cell["mn"], cell["mx"], acc)
-                        if cell["n"] <= fetch_limit and cell["mn"] != cell["mx"]:
-                            fetch.append(r)
-                        break
-                    acc += cell["n"]
-                else:
-                    raise ValueError(f"rank {r} is beyond the {acc} values of the column")
-        for r in fetch:
-            lo, hi, below = state[r]
-            got = [row["v"] for row in vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-                   .orderBy("v").limit(fetch_limit).collect()]
-            out[r] = got[r - below]
-    return out
+    return {r: v for (_, r), v in select_ranks(df, values, ends, {col: ranks}, buckets, fetch_limit).items()}
 
 
-def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float]) -> dict[float, float]:
-    """Linear-interpolated quantiles (the usual 'type 7' / quantile_cont definition)."""
-    v = (F.col(col) if isinstance(col, str) else col)
-    n = df.select(v.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).count()
-    if n == 0:
-        return {p: None for p in probs}
-    need = {}
-    for p in probs:
-        h = (n - 1) * p
-        need[p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-    stats = order_statistics(df, v, sorted({k for lo, hi, _ in need.values() for k in (lo, hi)}))
-    return {p: stats[lo] + frac * (stats[hi] - stats[lo]) for p, (lo, hi, frac) in need.items()}
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> dict[float, float]:
+    """Linear-interpolated quantiles of one column; None where it has no values."""
+    return _quantiles(df, _doubles([col]), probs)[col]
 
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -186,21 +282,28 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 def quantile_summary(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
                      accuracy: int = 10_000) -> DataFrame:
-    """5/25/50/75/95 % quantiles, IQR and median absolute deviation per numeric column."""
+    """5/25/50/75/95 % quantiles, IQR and median absolute deviation per numeric column.
+
+    All columns are selected together, then all deviations together. A column without values has NULLs.
+    """
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
-    rows = []
+    values = _doubles(cols)
     if approx:
-        wide = df.agg(*[F.percentile_approx(F.col(c), QUANTILES, accuracy).alias(c) for c in cols]).first()
-        for c in cols:
-            qs = dict(zip(QUANTILES, wide[c]))
-            mad = df.agg(F.percentile_approx(F.abs(F.col(c) - F.lit(qs[0.5])), 0.5, accuracy)).first()[0]
-            rows.append((c, *[float(qs[p]) for p in QUANTILES], float(qs[0.75] - qs[0.25]), float(mad)))
+        qs = {c: dict.fromkeys(QUANTILES) for c in cols}
+        wide = df.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), QUANTILES, accuracy) for v in values.values()]).first()
+        qs.update({c: dict(zip(QUANTILES, got)) for c, got in zip(cols, wide) if got})
     else:
-        for c in cols:
-            qs = exact_quantiles(df, c, QUANTILES)
-            mad = exact_quantiles(df, F.abs(F.col(c) - F.lit(qs[0.5])), [0.5])[0.5]
-            rows.append((c, *[qs[p] for p in QUANTILES], qs[0.75] - qs[0.25], mad))
+        qs = _quantiles(df, values, QUANTILES)
+    away = {c: F.abs(values[c] - F.lit(qs[c][0.5])) for c in cols if qs[c][0.5] is not None}
+    mads = dict.fromkeys(cols)
+    if away and approx:
+        wide = df.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), 0.5, accuracy) for v in away.values()]).first()
+        mads.update(zip(away, wide))
+    elif away:
+        mads.update({c: got[0.5] for c, got in _quantiles(df, away, [0.5]).items()})
+    rows = [(c, *[qs[c][p] for p in QUANTILES], None if qs[c][0.5] is None else qs[c][0.75] - qs[c][0.25], mads[c])
+            for c in cols]
     schema = "column string, p05 double, p25 double, p50 double, p75 double, p95 double, iqr double, mad double"
     out = spark.createDataFrame(rows, schema)
     return out.select("column", *[F.round(F.col(x), 6).alias(x) for x in out.columns[1:]])
@@ -222,30 +325,54 @@ def pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def average_ranks(df: DataFrame, col: str) -> DataFrame:
-    """(value, avg_rank) with ties averaged, computed over distinct values with counts.
+def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, v, off) for every distinct value of every column (by its place in ``cols``): its average rank
+    (ties share it) less the column's mean rank.
 
-    Distinct values are range-partitioned and ranked inside each partition; partition offsets
-    (one number per partition) come from a small aggregate, so no single task sees them all.
+    One pass for all columns: equal values are counted map-side, (column, value) pairs are range-partitioned
+    and summed inside each partition; offsets a partition come from a small aggregate, so no single task
+    sees a whole column. NULL and NaN have no rank.
     """
-    dv = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    return (with_running_sum(dv, ["value"], "cnt", "before")
-            .select("value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank")))
+    dv = _cells(df, dict(enumerate(_doubles(cols).values()))).groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = with_running_sum(dv, ["column", "v"], "cnt", "before")
+    per_col = ranked.groupBy("column").agg(F.min("before").alias("base"), F.sum("cnt").alias("n"))  # one row a column
+    rank = F.col("before") - F.col("base") + (F.col("cnt") + 1) / 2.0
+    return ranked.join(F.broadcast(per_col), "column").select("column", "v", (rank - (F.col("n") + 1) / 2.0).alias("off"))
 
 
 def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Spearman rho = Pearson r of average ranks."""
+    """Spearman rho = Pearson r of average ranks, over the rows where both columns have a value.
+
+    One join for all columns, on (column, value), and one exchange that brings a row's ranks together. Equal
+    rows share a digest and are one weighted row from there on.
+    """
     cols = cols or numeric_columns(df)
-    ranked = df.select(*cols)
-    for c in cols:
-        r = average_ranks(df, c).withColumnRenamed("value", c).withColumnRenamed("avg_rank", f"__r_{c}")
-        ranked = ranked.join(r, c, "left")
-    rcols = {c: f"__r_{c}" for c in cols}
     pairs = _pairs(cols)
-    wide = ranked.agg(*[F.corr(rcols[a], rcols[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(F.col(f"c{i}"), 6).alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    values = _doubles(cols)
+    clean = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
+    parts = [x for v in clean.values() for x in (v, v.isNull())]  # a NULL alone would leave the digest as it is
+    digest = F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit("second"), *parts).alias("y"))  # 128 bits
+    cells = df.select(digest.alias("row"), F.explode(F.array(
+        *[F.struct(F.lit(i).alias("column"), v.alias("v")) for i, v in enumerate(clean.values())])).alias("r")).select("row.*", "r.*")
+    # a cell without value keeps its row whole: every row gives one cell a column
+    ranked = cells.join(average_ranks(df, cols), ["column", "v"], "left")
+    rows = ranked.groupBy("x", "y").agg((F.count(F.lit(1)) / F.lit(float(len(cols)))).alias("w"), *[
+        F.max(F.when(F.col("column") == i, F.col("off"))).alias(f"r{i}") for i in range(len(cols))])
+    sums = []
+    for a, b in pairs:
+        x, y = F.col(f"r{cols.index(a)}"), F.col(f"r{cols.index(b)}")
+        both = x.isNotNull() & y.isNotNull()
+        sums += [F.sum(F.when(both, F.col("w") * t)) for t in (F.lit(1.0), x, y, x * x, y * y, x * y)]
+    wide = rows.agg(*sums).first()  # six sums a pair
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        n, sx, sy, sxx, syy, sxy = wide[6 * i:6 * i + 6]
+        corr = None
+        if n:
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            corr = round((sxy - sx * sy / n) / math.sqrt(vx * vy), 6) if vx > 0 and vy > 0 else None
+        out.append((a, b, corr))
+    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, corr double")
 
 
 # ---------------------------------------------------------------- E9, E14 histograms

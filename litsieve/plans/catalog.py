@@ -486,9 +486,7 @@ def q_near_audit(spark, sf_dir):
 from litsieve.operators import association as ac  # noqa: E402
 from litsieve.operators import profile as pf  # noqa: E402
 
-# every numeric column, read as double; sums and variances of the wide-ranged ones differ between two
-# engines in the digits that are compared, so E2 is compared on the narrow columns
-SUM_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+# every numeric column, read as double
 NUM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_SQL = "(SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM_COLS) + " FROM lineitem)"
 PROFILE_TEXT_COLS = ["Title", "Abstract", "Year", "DOI", "Source", "lang"]
@@ -513,15 +511,21 @@ def _lineitem(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in NUM_COLS])
 
 
-@register("profile_numeric", _union([
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, "
-    f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 5) AS mean, "
-    f"round(stddev_samp({c}), 6) AS std, round(var_samp({c}), 6) AS variance, round(sum({c}), 6) AS sum, "
-    f"count(*) FILTER (WHERE {c} = 0) AS n_zeros, count(*) FILTER (WHERE {c} < 0) AS n_negative, "
-    f"CAST(max({c}) - min({c}) AS DOUBLE) AS range, round(stddev_samp({c}) / nullif(avg({c}), 0), 6) AS cv "
-    f"FROM {LINEITEM_SQL} li" for c in SUM_COLS]))
+def _numeric_sql(c):
+    """Sums in whole hundredths (HUGEINT): exact, the same in any order; the variance is rounded as a whole number."""
+    return f"""SELECT '{c}' AS "column", n, n_missing, n_nan, n_distinct, min, max, round(s / (n * 100.0), 5) AS mean,
+  round(dev, 6) AS std, variance, CAST(s AS DOUBLE) / 100 AS sum, n_zeros, n_negative, max - min AS range,
+  round(dev / nullif(s / (n * 100.0), 0), 6) AS cv FROM
+(SELECT *, sqrt(CAST(n * s2 - s * s AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) / 100 AS dev, CAST(((n * s2 - s * s) * 100 + n * (n - 1) // 2) // (n * (n - 1)) AS DOUBLE) / 1e6 AS variance FROM
+(SELECT count({c}) AS n, count(*) - count({c}) AS n_missing, count(*) FILTER (WHERE isnan({c})) AS n_nan,
+  count(DISTINCT {c}) AS n_distinct, min({c}) AS min, max({c}) AS max, count(*) FILTER (WHERE {c} = 0) AS n_zeros,
+  count(*) FILTER (WHERE {c} < 0) AS n_negative, sum(CAST(round({c} * 100) AS HUGEINT)) AS s,
+  sum(CAST(round({c} * 100) AS HUGEINT) * CAST(round({c} * 100) AS HUGEINT)) AS s2 FROM {LINEITEM_SQL} li) a) b"""
+
+
+@register("profile_numeric", _union([_numeric_sql(c) for c in NUM_COLS]))
 def q_profile_numeric(spark, sf_dir):
-    return pf.numeric_summary(_lineitem(spark, sf_dir), SUM_COLS)
+    return pf.numeric_summary(_lineitem(spark, sf_dir), NUM_COLS)
 
 
 @register("profile_quantiles", _union([
@@ -700,7 +704,7 @@ def _alerts_sql(table: str, cols: list[str]) -> str:
     return "SELECT * FROM (" + _union(per) + ") x WHERE alert IS NOT NULL UNION ALL " + _union(corr)
 
 
-ALERT_COLS = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "events": ["value", "user_id"]}
+ALERT_COLS = {"lineitem": NUM_COLS, "events": ["event_id", "user_id", "value"]}  # every numeric column
 
 
 @register("alerts", _alerts_sql("lineitem", ALERT_COLS["lineitem"]) + " UNION ALL " + _alerts_sql("events", ALERT_COLS["events"]))

@@ -4,7 +4,9 @@ import re
 
 import __spark_entry__ as entry
 from support import SF01
-from litsieve.plans.catalog import SUM_COLS
+from litsieve.operators import profile as pf
+from litsieve.plans.catalog import NUM_COLS
+from litsieve.session import read_table
 
 NO_ALL_PAIRS = ["exact_first", "duplicate_flags", "near_pairs", "near_pairs_lsh", "fuzzy_pairs_ratio", "combined_pairs",
                 "phrase_labels", "phrase_labels_join", "substring_last_wins", "seed_assignment", "tfidf",
@@ -24,10 +26,12 @@ def test_no_cartesian_or_nested_loop_joins(spark):
 
 
 def test_scans_read_only_needed_columns(spark):
-    qs = entry.queries()
-    plan = _plan(qs["profile_numeric"](spark, SF01))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # the whole list of columns
+    plan = _plan(pf.value_groups(read_table(spark, SF01, "lineitem"), NUM_COLS, dict.fromkeys(NUM_COLS, 0)))
+    assert "Expand" not in plan
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
-    assert sorted(c.split(":")[0] for c in read.split(",")) == sorted(SUM_COLS)
+    assert sorted(c.split(":")[0] for c in read.split(",")) == sorted(NUM_COLS)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_lsh_recall_against_exact_pairs(spark):

@@ -1,6 +1,10 @@
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from litsieve.operators import association as ac
 from litsieve.operators import profile as pf
@@ -29,6 +33,54 @@ def test_order_statistics_small_fetch_limit(spark):
     assert [got[r] for r in ranks] == [want[r] for r in ranks]
 
 
+def test_quantiles_of_all_columns_together(spark):
+    df, arr = _numbers(spark)
+    wide = df.select("a", "b", "c", (df.b * 3).alias("d"), (df.b - 7).alias("e"), F.lit(None).cast("double").alias("none"),
+                     F.when(df.a > 3, df.b).otherwise(float("nan")).alias("part"))
+    got = {r["column"]: r for r in pf.quantile_summary(wide).collect()}
+    part = arr[arr[:, 0] > 3, 1]
+    for c, v in {"a": arr[:, 0], "b": arr[:, 1], "c": arr[:, 2], "d": arr[:, 1] * 3, "e": arr[:, 1] - 7, "part": part}.items():
+        want = [*np.quantile(v, pf.QUANTILES), np.subtract(*np.quantile(v, [0.75, 0.25])), np.median(abs(v - np.median(v)))]
+        assert np.allclose(list(got[c])[1:], want, atol=2e-6), c
+    assert list(got["none"])[1:] == [None] * 7
+    near = {r["column"]: r for r in pf.quantile_summary(wide, approx=True).collect()}
+    assert abs(near["b"]["p50"] - got["b"]["p50"]) < 1 and near["none"]["mad"] is None
+
+
+def test_quantile_jobs_do_not_grow_with_columns(spark):
+    df, _ = _numbers(spark)
+    sc, jobs = spark.sparkContext, []
+    for k in (1, 6):
+        sc.setJobGroup(f"quantiles-{k}", "")
+        pf.quantile_summary(df.select(*[(df.b * (i + 1)).alias(f"x{i}") for i in range(k)]))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"quantiles-{k}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_numeric_summary_is_exact_in_any_order(spark):
+    rnd = np.random.default_rng(8)
+    v = np.r_[rnd.normal(size=3000) * 10.0 ** rnd.integers(-6, 9, 3000), np.zeros(40), np.full(1500, 0.1)]
+    data = [(float(x), 2 ** 53 + i % 3, None) for i, x in enumerate(v)] + [(float("nan"), 1, None), (None, 1, None)]
+    schema = "x double, big long, none double"
+    got = [pf.numeric_summary(spark.createDataFrame(rows, schema).repartition(parts)).collect()
+           for rows, parts in ((data, 3), (data[::-1], 7))]
+    assert got[0] == got[1]
+    x, big, none = got[0]
+    exact = [Fraction(float(t)) for t in v]
+    mean = sum(exact) / len(v)
+    var = sum((t - mean) ** 2 for t in exact) / (len(v) - 1)
+    assert math.isclose(x["sum"], float(sum(exact)), rel_tol=1e-14) and math.isclose(x["variance"], float(var), rel_tol=1e-14)
+    assert abs(x["std"] - math.sqrt(var)) < 1e-6
+    assert (x["n"], x["n_nan"], x["n_missing"], x["n_zeros"], x["n_negative"]) == (len(v), 1, 1, 40, int((v < 0).sum()))
+    assert x["n_distinct"] == len(set(v)) and (x["min"], x["max"]) == (v.min(), v.max())
+    assert big["n_distinct"] == 4  # neighbours beyond 2**53 are told apart
+    assert (none["n"], none["n_missing"], none["n_distinct"], none["mean"]) == (0, len(data), 0, None)
+    ends = pf.numeric_summary(spark.createDataFrame([(float("inf"),), (1.0,)], "x double")).first()
+    assert (ends["n"], ends["max"], ends["sum"], ends["variance"]) == (2, float("inf"), None, None)
+    assert pf.numeric_summary(spark.createDataFrame([], "x double")).first()["n"] == 0
+
+
 def _tau_b(x, y):
     dx, dy = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
     return (dx * dy).sum() / np.sqrt((dx != 0).sum() * float((dy != 0).sum()))
@@ -91,6 +143,24 @@ def test_spearman_with_ties(spark):
     assert abs(got[("a", "c")] - round(want, 6)) < 1e-6
 
 
+def test_spearman_leaves_out_missing_values(spark):
+    rnd = np.random.default_rng(4)
+    data = rnd.integers(0, 9, size=(800, 3)).astype(float)
+    data[:, 2] += data[:, 0]
+    data[rnd.random(data.shape) < 0.2] = np.nan
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(data)] + [(1.0, -0.0, 0.0)] * 400
+    full = np.vstack([data, [[1.0, 0.0, 0.0]] * 400])
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("same", F.lit(2))
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in pf.spearman_matrix(df).collect()}
+    ranks = pd.DataFrame(full).rank().to_numpy()  # ranked over the column's own values, NaN left out
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        both = ~np.isnan(ranks[:, [i, j]]).any(axis=1)
+        want = np.corrcoef(ranks[both, i], ranks[both, j])[0, 1]
+        assert abs(got["abc"[i], "abc"[j]] - want) < 2e-6
+    assert got["a", "same"] is None
+    assert pf.spearman_matrix(df.limit(0), ["a", "b"]).first()["corr"] is None
+
+
 def test_overview_and_missing(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     o = pf.overview(df).first()
