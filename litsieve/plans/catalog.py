@@ -755,6 +755,16 @@ def q_forest_predict(spark, sf_dir):
     return cl.predict(model, docs, ["text"]).select("doc_id", "prediction")
 
 
+@register("saved_forest_predict")
+def q_saved_forest(spark, sf_dir):
+    """K6/M5: the forest saved under its dimension's name, loaded again and applied to every document."""
+    train, _ = cl.holdout_split(_labelled(spark, sf_dir), "doc_id")
+    root = _shared_folder(spark, "models")
+    cl.save_model(cl.fit_forest(train, ["text"], "quality", num_trees=50), root, "quality")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cl.predict(cl.load_model(root, "quality"), docs, ["text"]).select("doc_id", "prediction")
+
+
 def _zero_shot_sql() -> str:
     import re
     structs = []
@@ -820,8 +830,8 @@ COS_SQL = ("list_dot_product(CAST(e.embedding AS DOUBLE[]), c.c) / (sqrt(list_do
 
 
 def _seeds(spark, sf_dir):
-    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label").collect()  # one seed a label
-    return {f"seed {r['label']}": r["centroid"] for r in sorted(cents, key=lambda r: r["label"])}
+    cents = vc.centroids(_embeddings(spark, sf_dir), "embedding", "label")  # one seed a label
+    return cents.select(F.concat(F.lit("seed "), F.col("label").cast("string")), "centroid")
 
 
 @register("cosine_pairs", f"SELECT e.vec_id, round({COS_SQL}, 6) AS cosine FROM embeddings e JOIN ({CENTROIDS_SQL}) c USING (label)")
@@ -835,7 +845,7 @@ def q_cosine_pairs(spark, sf_dir):
 @register("seed_assignment", f"SELECT vec_id, arg_max('seed ' || CAST(c.label AS VARCHAR), {COS_SQL}) AS cluster, "
           f"round(max({COS_SQL}), 6) AS similarity FROM embeddings e, ({CENTROIDS_SQL}) c GROUP BY vec_id")
 def q_seed_assignment(spark, sf_dir):
-    out = vc.assign_to_seeds(_embeddings(spark, sf_dir), "embedding", _seeds(spark, sf_dir))
+    out = vc.nearest_seed(_embeddings(spark, sf_dir), "embedding", "vec_id", _seeds(spark, sf_dir))
     return out.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"))
 
 
@@ -844,10 +854,35 @@ def q_seed_assignment(spark, sf_dir):
           f"arg_max('seed ' || CAST(c.label AS VARCHAR), {COS_SQL}) AS cluster FROM embeddings e, ({CENTROIDS_SQL}) c "
           "GROUP BY e.vec_id, e.label) a GROUP BY cluster, label) b GROUP BY cluster) z")
 def q_cluster_purity(spark, sf_dir):
-    out = vc.assign_to_seeds(_embeddings(spark, sf_dir), "embedding", _seeds(spark, sf_dir))
+    out = vc.nearest_seed(_embeddings(spark, sf_dir), "embedding", "vec_id", _seeds(spark, sf_dir))
     return vc.purity(out, "cluster", "label")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts():
+    """A deterministic batch encoder: how often each of the letters a-z stands in a text, capitals included."""
+    import numpy as np
+
+    def encode(texts):
+        lower = np.char.lower(np.asarray(texts).astype(str))
+        return np.stack([np.char.count(lower, x) for x in LETTERS], axis=-1).astype(np.float32)
+    return encode
+
+
+def _letters_sql(text):
+    return "[" + ", ".join(f"CAST(len({text}) - len(replace({text}, '{x}', '')) AS FLOAT)" for x in LETTERS) + "]"
+
+
+@register("embed_encoder", "SELECT doc_id, " + _letters_sql("t") + " AS embedding FROM "
+          "(SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) d")
+def q_embed_encoder(spark, sf_dir):
+    """V1: the whole texts through a batch encoder that each Python worker builds once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vc.embed(docs, "text", make_encoder=letter_counts).select("doc_id", "embedding")
+
+
 @register("kmeans_cosine")
 def q_kmeans(spark, sf_dir):
     return vc.kmeans_cosine(_embeddings(spark, sf_dir), "embedding", k=10).select("vec_id", "label", "cluster")
@@ -953,6 +988,18 @@ def _shared_folder(spark, prefix: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{prefix}-{uuid.uuid4().hex}")
 
 
+@register("csv_typed_roundtrip", "SELECT event_id, ts, user_id, event_type, value FROM events")
+def q_csv_typed(spark, sf_dir):
+    """The events written as split CSV files and read with inferred types (whole numbers, doubles, timestamps)."""
+    from litsieve.sinks.files import write_csv
+    from litsieve.sources.landed import read_csv_table
+    cols = ["event_id", "ts", "user_id", "event_type", "value"]
+    path = _shared_folder(spark, "csv-typed")
+    write_csv(read_table(spark, sf_dir, "events"), path, columns=cols)
+    back = read_csv_table(spark, path, infer=True, multi_line=False)
+    return back.select(*[F.col(c).cast("long") if t == "int" else F.col(c) for c, t in back.dtypes])
+
+
 @register("stage_roundtrip", ORACLE["exact_first"])
 def q_stage_roundtrip(spark, sf_dir):
     """K5 + S2: stage-2 output saved as a Parquet stage checkpoint and read back."""
@@ -1167,6 +1214,17 @@ def q_sources_union(spark, sf_dir):
     return union_sources([read_arxiv(spark, root + "/arxiv"), read_crossref(spark, root + "/crossref", multi_line=False)])
 
 
+@register("sources_one_failing", _with_ids_sql(_landed_sql("Crossref")))
+def q_sources_one_failing(spark, sf_dir):
+    """One source's files are missing; it counts as empty and the other is read."""
+    from litsieve.sources.landed import read_arxiv, read_crossref, read_each, union_sources
+    p, root = papers(spark, sf_dir), _shared_folder(spark, "failing")
+    p.select(F.struct(F.array(_work(p)).alias("items")).alias("message")).write.json(root + "/crossref")
+    frames, _ = read_each(spark, {"arXiv": lambda: read_arxiv(spark, root + "/arxiv"),
+                                  "Crossref": lambda: read_crossref(spark, root + "/crossref", multi_line=False)})
+    return union_sources(list(frames.values()))
+
+
 @register("quarantine_split", "SELECT CASE WHEN \"DOI\" IS NULL THEN 'quarantined' ELSE 'read' END AS kind, "
           "CASE WHEN \"DOI\" IS NULL THEN '{\"message\": {\"items\": [{\"DOI\": \"' || md5(\"Title\") ELSE "
           + strip_sql('"Title"') + f" END AS content FROM {PAPERS} p")

@@ -31,6 +31,9 @@ def write_csv(df: DataFrame, path: str, columns=None, single_file: bool = False,
     # so NULL and '' stay distinct after a round trip
     (out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     # the writer's own formats stop at milliseconds
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
      .option("emptyValue", '""').csv(path))
     return path
 
@@ -63,20 +66,25 @@ def export_result(root: str, processed: DataFrame, unmatched: DataFrame | None,
 
 
 def write_by_category(df: DataFrame, path: str, category_col: str = "primary_category",
-                      uncategorized: str = UNCATEGORIZED, fmt: str = "parquet") -> DataFrame:
+                      uncategorized: str = UNCATEGORIZED, fmt: str = "parquet", rows_a_file: int = 1_000_000) -> DataFrame:
     """K3: one output partition per category (multi-labels stay one key), plus the count table.
 
+    A category of n rows is spread over ceil(n / rows_a_file) salts and each (category, salt) is written by one
+    task, so small categories are one file and a large one is never one task; a file holds ``rows_a_file`` rows
+    at most. The salt is a hash of the row, the same when a lost task is run again.
+
     Returns the summary counts (G1). Categories whose sanitised keys coincide get a digest suffix each.
     """
     name = F.coalesce(F.col(category_col), F.lit(uncategorized))
-    names = (df.select(name.alias("__name")).distinct().withColumn("__key", export_key(F.col("__name")))
+    names = (df.groupBy(name.alias("__name")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_a_file)).alias("__files")).withColumn("__key", export_key(F.col("__name")))
              .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__key"))))
-    names = names.select("__name", F.when(F.col("__n") > 1, F.concat("__key", F.lit("_"), F.substring(F.md5("__name"), 1, 8)))
+    names = names.select("__name", "__files", F.when(F.col("__n") > 1, F.concat("__key", F.lit("_"), F.substring(F.md5("__name"), 1, 8)))
                          .otherwise(F.col("__key")).alias("category_key"))
     keyed = df.withColumn("__name", name).join(names, "__name").drop("__name")
-    # No repartition by the key: a category holding a third of the rows would land in one task.
-    # Each task writes its own file per category; maxRecordsPerFile bounds file size.
-    (keyed.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000)
+    salted = keyed.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.col("__files")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (salted.repartition(parts, "category_key", "__salt").drop("__salt", "__files")
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_a_file)
      .partitionBy("category_key").format(fmt).save(path))
     return keyed.groupBy(category_col).agg(F.count(F.lit(1)).alias("n_papers"))
 

@@ -12,9 +12,12 @@ ids. Records are range-partitioned by digest and checkpointed once, so later sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -185,6 +188,19 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return _with_ids(merged)
 
 
+def read_each(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every source by itself. A source whose reading fails gives an empty paper table and a row
+    (source, error class) in the second result; the others are read as usual."""
+    frames, failed = {}, []
+    for name, read in readers.items():
+        try:
+            frames[name] = read()
+        except (PySparkException, Py4JError) as e:
+            frames[name] = spark.createDataFrame([], "paper_id long, " + ", ".join(f"`{c}` string" for c in PAPER_COLUMNS))
+            failed.append((name, (e.getCondition() if isinstance(e, PySparkException) else None) or type(e).__name__))
+    return frames, spark.createDataFrame(failed, "source string, error string")
+
+
 def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str = "paper_id") -> DataFrame:
     """First rows in id order."""
     return df.orderBy(order_by).limit(n)

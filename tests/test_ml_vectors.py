@@ -4,6 +4,7 @@ import random
 import tempfile
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from support import SF001, rows
 from litsieve.operators import classify as cl
@@ -110,3 +111,48 @@ def test_embed_and_kmeans(spark):
     km = vc.kmeans_cosine(emb, "embedding", k=2)
     pur = vc.purity(km, "cluster", "t").first()["purity"]
     assert pur == 1.0
+
+
+def test_nearest_seed_equals_brute_force(spark):
+    rnd = np.random.default_rng(6)
+    rows, seeds = rnd.normal(size=(700, 8)), rnd.normal(size=(300, 8))
+    seeds[17] = seeds[203] * 2  # a tie by direction
+    data = [(i, v.tolist()) for i, v in enumerate(rows)]
+    odd = [(700, None), (701, [0.0] * 8), (702, [1.0] * 3), (703, [float("nan")] * 8), (704, []), (705, seeds[203].tolist())]
+    df = spark.createDataFrame(data + odd, "id long, vec array<double>").withColumn("name", F.lit("mine"))
+    table = spark.createDataFrame([(f"s{i:03}", v.tolist()) for i, v in enumerate(seeds)] + [("null", None), ("zero", [0.0] * 8)],
+                                  "name string, v array<double>")
+    for task, block in ((100, 40), (20_000, 4_096)):
+        got = {r["id"]: r for r in vc.nearest_seed(df, "vec", "id", table, rows_a_task=task, seed_rows=block).collect()}
+        assert len(got) == 706 and got[0]["name"] == "mine"
+        sim = (rows / np.linalg.norm(rows, axis=1)[:, None]) @ (seeds / np.linalg.norm(seeds, axis=1)[:, None]).T
+        for i in range(700):
+            assert got[i]["cluster"] == f"s{np.round(sim[i], 12).argmax():03}" and abs(got[i]["similarity"] - sim[i].max()) < 1e-12
+        assert all((got[i]["cluster"], got[i]["similarity"]) == ("Uncategorized", None) for i in range(700, 705))
+        assert got[705]["cluster"] == "s017"  # the first name of the tie
+    low = vc.nearest_seed(df, "vec", "id", table, min_similarity=0.9).filter("cluster = 'Uncategorized' AND similarity < 0.9")
+    assert low.count() == int((sim.max(axis=1) < 0.9).sum())
+    assert vc.nearest_seed(df, "vec", "id", table.limit(0)).filter("similarity IS NULL").count() == 706
+    assert vc.nearest_seed(df.limit(0), "vec", "id", table).count() == 0
+
+
+def test_ten_thousand_seeds(spark):
+    seeds = spark.range(10_000).select(F.format_string("s%05d", "id").alias("name"), F.array(F.cos(F.col("id") / 2000.0), F.sin(F.col("id") / 2000.0)).alias("v"))
+    df = seeds.select(F.substring("name", 2, 5).cast("long").alias("id"), F.col("v").alias("vec"))
+    assert vc.nearest_seed(df, "vec", "id", seeds).filter(F.format_string("s%05d", "id") == F.col("cluster")).count() == 10_000
+
+
+def test_encoder_is_built_by_the_worker(spark):
+    from litsieve.plans.catalog import letter_counts
+    df = spark.createDataFrame([(1, "Abba"), (2, ""), (3, None)], "id int, text string")
+    got = {r["id"]: r["e"] for r in vc.embed(df, "text", "e", make_encoder=letter_counts, batch_size=2).collect()}
+    assert got[1] == [2.0, 2.0] + [0.0] * 24 and got[2] == got[3] == [0.0] * 26
+
+
+def test_saved_forest_predicts_as_before(spark, tmp_path):
+    df = spark.createDataFrame([(i, "red apple fruit" if i % 2 else "blue whale sea", "fruit" if i % 2 else "animal")
+                                for i in range(60)], "id int, text string, label string")
+    model = cl.fit_forest(df, ["text"], "label", num_trees=50, num_features=256, max_depth=4)
+    cl.save_model(model, str(tmp_path), "topic")
+    before, after = (cl.predict(m, df, ["text"]).orderBy("id").collect() for m in (model, cl.load_model(str(tmp_path), "topic")))
+    assert before == after and {(r["label"], r["prediction"]) for r in after} == {("fruit", "fruit"), ("animal", "animal")}

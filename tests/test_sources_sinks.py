@@ -1,6 +1,9 @@
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from support import FIXTURES, rows
 from litsieve.sinks import files as sk
 from litsieve.sources import landed as src
@@ -101,3 +104,38 @@ def test_whole_source_failure_gives_empty_table(spark):
         fh.write('{"message": {"items": [ {"title": ["x"] ')
     good, bad = src.read_crossref(spark, os.path.join(d, "bad.json"), with_quarantine=True)
     assert good.count() == 0 and bad.count() == 1
+
+
+def test_category_files_follow_their_rows(spark, tmp_path):
+    sizes = {"hot": 2000, "mid": 250, "one": 1, None: 30}
+    df = spark.createDataFrame([(i, c) for c, n in sizes.items() for i in range(n)], "paper_id long, primary_category string")
+    path = str(tmp_path / "cats")
+    sk.write_by_category(df.repartition(40), path, rows_a_file=100)
+    back = spark.read.parquet(path).groupBy("category_key", F.input_file_name().alias("f")).count().collect()
+    files, total = {}, {}
+    for r in back:
+        assert r["count"] <= 100
+        files[r["category_key"]] = files.get(r["category_key"], 0) + 1
+        total[r["category_key"]] = total.get(r["category_key"], 0) + r["count"]
+    assert total == {"hot": 2000, "mid": 250, "one": 1, "Uncategorized": 30}
+    assert files["one"] == files["Uncategorized"] == 1 and 3 <= files["mid"] <= 6 and 20 <= files["hot"] <= 40
+
+
+def test_a_failing_source_is_an_empty_table(spark, tmp_path):
+    frames, failed = src.read_each(spark, {
+        "gone": lambda: src.read_arxiv(spark, str(tmp_path / "nowhere")),
+        "arXiv": lambda: src.read_arxiv(spark, f"{FIXTURES}/arxiv.xml")})
+    assert frames["gone"].count() == 0 and frames["arXiv"].count() > 0
+    assert [r["source"] for r in failed.collect()] == ["gone"]
+    assert src.union_sources(list(frames.values())).count() == frames["arXiv"].count()
+    assert src.read_each(spark, {})[0] == {}
+    with pytest.raises(ZeroDivisionError):  # a fault of the program is no failing source
+        src.read_each(spark, {"x": lambda: 1 / 0})
+
+
+def test_csv_keeps_types_and_microseconds(spark, tmp_path):
+    df = spark.sql("SELECT 5000000000 AS big, 1.5D AS x, timestamp'2024-01-07 08:43:28.832123' AS t, 'a,b' AS s, true AS f")
+    path = str(tmp_path / "typed")
+    sk.write_csv(df, path, columns=df.columns)
+    back = src.read_csv_table(spark, path, infer=True, multi_line=False)
+    assert dict(back.dtypes) == dict(df.dtypes) and back.collect() == df.collect()
