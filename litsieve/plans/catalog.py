@@ -954,6 +954,16 @@ def q_screening_default(spark, sf_dir):
                                 *lx.DIMENSION_LEXICONS)
 
 
+@register("screening_resumed", _screening_default_sql())
+def q_screening_resumed(spark, sf_dir):
+    """A2 + K5: a run that ended after de-duplication is taken up again from its saved stage."""
+    p, root = papers(spark, sf_dir), _shared_folder(spark, "screening")
+    pl.run_screening(p, root=root, last_stage=2)
+    res = pl.run_screening(p, root=root)
+    return res.processed.select("paper_id", "primary_category", "secondary_category", "secondary_keywords",
+                                *lx.DIMENSION_LEXICONS)
+
+
 @register("combined_pairs_token_set", _token_set_pairs_sql())
 def q_combined_pairs_token_set(spark, sf_dir):
     """Near-duplicate candidates verified with the token-set scorer instead of the ratio."""

@@ -8,10 +8,13 @@ tagged with the stage number. The audit table is built from per-stage Spark aggr
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from litsieve.operators.summary import audit_table
 from litsieve.plans import lexicons as lx
 from litsieve.schema import papers_view, validate_columns
 from litsieve.session import read_table
+from litsieve.sinks.files import write_parquet
 
 DEDUP_METHODS = {
     "exact": "Strict exact matching",
@@ -141,26 +145,90 @@ def _split_audit(df: DataFrame, matched, stage: int, action: str, method: str |
         "matched_count", "unmatched_count", F.col("categories_created").cast("long").alias("categories_created"))
 
 
-def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -> ScreeningResult:
-    """A2: all stages in order; each later stage reads the earlier one's matched rows."""
+MANIFEST_SCHEMA = "stage int, digest string, n_rows long"
+
+
+class SavedStages:
+    """Stage tables under ``root``, each with a manifest row (digest, row count) written after its table.
+
+    A stage's digest covers the input's rows and the settings of this and every earlier stage. A stage whose
+    manifest carries its digest is read back; any other is run, written and only then entered, so a run that
+    ends half-way goes on after its last complete stage. Tables lie in folders named by their digest: another
+    input or other settings never overwrite what a running job reads.
+    """
+
+    def __init__(self, papers: DataFrame, root: str):
+        self.spark, self.root, self.resumed = papers.sparkSession, root, []
+        # the sum of row hashes does not depend on the order of the rows; equal rows count as often as they stand
+        cols = [x for c in papers.columns for x in (F.col(c), F.col(c).isNull())]
+        whole = [F.sum(F.xxhash64(F.lit(salt), *cols).cast("decimal(20,0)")) for salt in ("a", "b")]
+        self.digest = repr((papers.schema.simpleString(), tuple(papers.agg(F.count(F.lit(1)), *whole).first())))
+
+    def _manifest(self, path: str):
+        try:
+            return self.spark.read.schema(MANIFEST_SCHEMA).json(path).first()
+        except AnalysisException:  # no such folder: the stage has never been completed
+            return None
+
+    def keep(self, stage: int, settings: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        self.digest = hashlib.sha256(repr((self.digest, stage, settings)).encode()).hexdigest()
+        folder = os.path.join(self.root, f"stage={stage}", self.digest[:32])
+        table, manifest = os.path.join(folder, "processed"), os.path.join(folder, "manifest")
+        entry = self._manifest(manifest)
+        if entry is None or entry["digest"] != self.digest:
+            write_parquet(build(), table)
+            rows = self.spark.read.parquet(table).count()
+            self.spark.createDataFrame([(stage, self.digest, rows)], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(manifest)
+            return self.spark.read.parquet(table)
+        saved = self.spark.read.parquet(table)
+        if saved.count() != entry["n_rows"]:
+            raise ValueError(f"stage {stage} under {folder} has lost rows since it was saved")
+        self.resumed.append(stage)
+        return saved
+
+
+def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig(), root: str | None = None,
+                  last_stage: int = 5) -> ScreeningResult | None:
+    """A2: all stages in order; each later stage reads the earlier one's matched rows.
+
+    With ``root`` (a shared folder) the tables of stages 2 to 5 are saved there and a later run with the same
+    input and settings goes on after the last complete stage; the result's ``stages["resumed"]`` names those read
+    back. ``last_stage`` ends a saved run early, without a result. The ML stage is a function and is run anew.
+    """
+    if root is None and last_stage != 5:
+        raise ValueError("a run that ends early needs a folder to save its stages in")
     validate_columns(papers, ["paper_id", *cfg.dedup_columns, *cfg.text_columns])  # B19: check inputs up front
     # the de-duplicated table feeds every later stage and the audit: keep it (memory + disk)
-    unique = _dedup(papers, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    saved = SavedStages(papers, root) if root else None
+
+    def stage(number, settings, build):
+        return saved.keep(number, settings, build) if saved else build()
+
+    unique = stage(2, (cfg.dedup, cfg.dedup_columns, cfg.keep, cfg.fuzzy_threshold), lambda: _dedup(papers, cfg))
+    if last_stage == 2:
+        return None
+    if not saved:
+        unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
     audits = [dn.dedup_counts(papers, unique, DEDUP_METHODS[cfg.dedup].format(threshold=cfg.fuzzy_threshold))]
 
-    primary = _primary(unique, cfg)
+    primary = stage(3, (cfg.text_columns, cfg.primary, cfg.scored, cfg.min_score, cfg.strategy, cfg.fuzzy_keywords,
+                        cfg.seed_terms, cfg.clusters, cfg.core, cfg.additional), lambda: _primary(unique, cfg))
+    if last_stage == 3:
+        return None
     p_match, p_un = cz.split_matched(primary, "primary_category")
     is_cat = F.col("primary_category") != F.lit(cz.UNCATEGORIZED)
     audits.append(_split_audit(primary, is_cat, 3, "Primary categorization", PRIMARY_METHODS[cfg.primary],
                                F.count_distinct(F.when(is_cat, F.col("primary_category")))))
 
     text_cols = [f.name for f in papers.schema.fields if f.dataType.simpleString() == "string"]
-    secondary = cz.substring_category(p_match, cfg.secondary, text_cols=text_cols)
+    secondary = stage(4, (cfg.secondary,), lambda: cz.substring_category(p_match, cfg.secondary, text_cols=text_cols))
+    if last_stage == 4:
+        return None
     s_match, s_un = cz.split_matched(secondary, "secondary_category", None)
     audits.append(_split_audit(secondary, F.col("secondary_category").isNotNull(), 4, "Secondary categorization",
                                None, F.lit(len(cfg.secondary.entries))))
 
-    final = cz.tag_dimensions(s_match, cfg.dimensions, text_cols=text_cols)
+    final = stage(5, tuple(cfg.dimensions.items()), lambda: cz.tag_dimensions(s_match, cfg.dimensions, text_cols=text_cols))
     audits.append(papers.sparkSession.createDataFrame(
         [(5, "Manual analysis", ", ".join(cfg.dimensions))], "stage int, action string, dimensions string"))
 
@@ -173,7 +241,8 @@ def run_screening(papers: DataFrame, cfg: ScreeningConfig = ScreeningConfig()) -
     unmatched = (p_un.withColumn("unmatched_stage", F.lit(3))
                  .unionByName(s_un.withColumn("unmatched_stage", F.lit(4)), allowMissingColumns=True))
     return ScreeningResult(processed=final, unmatched=unmatched, summary=audit_table(audits),
-                          stages={"dedup": unique, "primary": primary, "secondary": secondary})
+                          stages={"dedup": unique, "primary": primary, "secondary": secondary,
+                                  "resumed": saved.resumed if saved else []})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
+import glob
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from support import SF001
-from litsieve.plans.screening import PRIMARY_METHODS, ScreeningConfig, label_overlap, run_screening
+from litsieve.plans.screening import PRIMARY_METHODS, SavedStages, ScreeningConfig, label_overlap, run_screening
 from litsieve.schema import papers_view
 from litsieve.session import read_table
 
@@ -43,3 +47,33 @@ def test_screening_primary_methods_and_ml_stage(spark):
         assert s3["matched_count"] > 0 and s3["method"] == PRIMARY_METHODS[method]
         assert summ[(5, "ML classification")]["dimension"] == "Language"
         assert "Language" in res.processed.columns
+
+
+def test_saved_run_goes_on_after_its_last_complete_stage(spark, tmp_path):
+    papers = papers_view(read_table(spark, SF001, "documents"))
+    cfg = ScreeningConfig(dedup="exact", dedup_columns=("Title",))
+    straight, root = run_screening(papers, cfg), str(tmp_path / "run")
+
+    def same(res):
+        return all(sorted(map(str, getattr(res, t).collect())) == sorted(map(str, getattr(straight, t).collect()))
+                   for t in ("processed", "unmatched", "summary"))
+
+    assert run_screening(papers, cfg, root, last_stage=3) is None
+    first = run_screening(papers.repartition(5), cfg, root)  # the same rows in another order
+    assert first.stages["resumed"] == [2, 3] and same(first)
+    assert run_screening(papers, cfg, root).stages["resumed"] == [2, 3, 4, 5]
+    other = replace(cfg, dimensions=dict(list(cfg.dimensions.items())[:1]))
+    assert run_screening(papers, other, root).stages["resumed"] == [2, 3, 4]
+    assert run_screening(papers, replace(cfg, keep="last"), root).stages["resumed"] == []
+    assert run_screening(papers.filter("paper_id > 0"), cfg, root).stages["resumed"] == []
+    # a table without its manifest is not complete
+    unfinished = str(tmp_path / "cut")
+    saved = SavedStages(papers, unfinished)
+    saved._manifest = lambda path: None
+    saved.keep(2, (cfg.dedup, cfg.dedup_columns, cfg.keep, cfg.fuzzy_threshold), lambda: papers.limit(1))
+    for part in glob.glob(f"{unfinished}/stage=2/*/manifest/part-*"):
+        open(part, "w").close()
+    again = run_screening(papers, cfg, unfinished)
+    assert again.stages["resumed"] == [] and same(again)
+    with pytest.raises(ValueError):
+        run_screening(papers, cfg, last_stage=2)
