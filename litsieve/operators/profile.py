@@ -453,6 +453,13 @@ def nullity_dendrogram(dist: DataFrame) -> list[tuple[str, str, float]]:
     return merges
 
 
+def nullity_merges(df: DataFrame) -> DataFrame:
+    """The dendrogram of missing values as a table (step, left, right, height), nearest columns first, ties
+    by name. Only the columns x columns distances come to the driver."""
+    merges = [(i + 1, a, b, h) for i, (a, b, h) in enumerate(nullity_dendrogram(nullity_distance(df)))] if len(df.columns) > 1 else []
+    return df.sparkSession.createDataFrame(merges, "step int, left string, right string, height double")
+
+
 # ---------------------------------------------------------------- E13 text columns
 
 def text_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

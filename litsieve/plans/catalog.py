@@ -655,6 +655,12 @@ def q_nullity_distance(spark, sf_dir):
     return pf.nullity_distance(papers(spark, sf_dir))
 
 
+@register("nullity_merges")
+def q_nullity_merges(spark, sf_dir):
+    """The merge order of the paper table's columns by their missing values."""
+    return pf.nullity_merges(papers(spark, sf_dir))
+
+
 def _text_sql(c):
     v = ident(c)
     return (f"SELECT '{c}' AS \"column\", CAST(sum(k) AS BIGINT) AS n, min(length(v)) AS len_min, "

@@ -180,3 +180,12 @@ def test_nullity_dendrogram(spark):
     df = spark.createDataFrame([(None, None, 1), (1, None, 1), (None, None, None)], "a int, b int, c int")
     merges = pf.nullity_dendrogram(pf.nullity_distance(df))
     assert len(merges) == 2
+
+
+def test_nullity_merges_as_a_table(spark):
+    # distances: ab 0, ac 2, bc 2, ad 4, bd 4, cd 2
+    df = spark.createDataFrame([(None, None, None, 1), (None, None, None, 1), (1, 1, None, None), (1, 1, None, None)],
+                               "a int, b int, c int, d int")
+    got = [tuple(r) for r in pf.nullity_merges(df).orderBy("step").collect()]
+    assert got == [(1, "a", "b", 0.0), (2, "(a,b)", "c", 2.0), (3, "((a,b),c)", "d", 10 / 3)]
+    assert pf.nullity_merges(df.select("a")).count() == 0
