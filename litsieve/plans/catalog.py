@@ -896,8 +896,7 @@ def q_kmeans(spark, sf_dir):
 
 @register("cluster_average_linkage")
 def q_average_linkage(spark, sf_dir):
-    return vc.average_linkage(_embeddings(spark, sf_dir), "embedding", "vec_id", k=10).select(
-        "vec_id", "label", "cluster", "pre_grouped")
+    return vc.average_linkage(_embeddings(spark, sf_dir), "embedding", "vec_id", k=10).select("vec_id", "label", "cluster")
 
 
 @register("embed_text")

@@ -97,6 +97,38 @@ def test_average_linkage_matches_naive(spark):
     assert min(got["Cluster 1"]) == 0
 
 
+def _groups(out):
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["cluster"], []).append(r["id"])
+    return got
+
+
+def test_average_linkage_rounds_equal_pair_by_pair(spark):
+    rnd = np.random.default_rng(11)
+    X = rnd.normal(size=(60, 6)).astype(np.float32)
+    X[40:50] = X[3] * 2                                   # copies of one direction
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "id long, v array<float>")
+    for k, tail, block in ((5, 1, 16), (12, 12, 7)):
+        got = _groups(vc.average_linkage(df, "v", "id", k=k, tail=tail, rows_a_task=block))
+        assert sorted(sorted(v) for v in got.values()) == _naive_average_linkage(X.astype(float), k), (k, tail)
+        assert [min(got[f"Cluster {i + 1}"]) for i in range(k)] == sorted(min(v) for v in got.values())
+
+
+def test_average_linkage_odd_vectors(spark):
+    data = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [2.0, 0.0]), (7, [0.0, 1.0]),
+            (8, [float("inf"), 1.0]), (9, [])]
+    df = spark.createDataFrame(data, "id long, v array<double>").withColumn("c", F.lit("x")).withColumn("h", F.lit(1))
+    got = _groups(vc.average_linkage(df, "v", "id", k=2))
+    assert {k: sorted(v) for k, v in got.items()} == {"Cluster 1": [1, 6], "Cluster 2": [7], "Uncategorized": [2, 3, 4, 5, 8, 9]}
+    assert {k: sorted(v) for k, v in _groups(vc.average_linkage(df, "v", "id", k=5)).items() if k != "Uncategorized"} == {
+        "Cluster 1": [1], "Cluster 2": [6], "Cluster 3": [7]}
+    assert vc.average_linkage(df.filter("id < 0"), "v", "id", k=2).count() == 0
+    ties = spark.createDataFrame([(i, [float(i % 4 == j) for j in range(4)]) for i in range(12)], "id long, v array<double>")
+    assert {k: sorted(v) for k, v in _groups(vc.average_linkage(ties, "v", "id", k=3, tail=1)).items()} == {
+        "Cluster 1": [0, 1, 4, 5, 8, 9], "Cluster 2": [2, 6, 10], "Cluster 3": [3, 7, 11]}
+
+
 def test_seed_assignment_threshold(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, -1.0])], "id long, v array<float>")
     out = dict(rows(vc.assign_to_seeds(df, "v", {"x": [1.0, 0.0], "y": [0.0, 1.0]}, min_similarity=0.1), "id", "cluster"))
