@@ -43,7 +43,41 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, _greedy(ends, shards, low)
+    return low, _lifted(ends, shards, low, _greedy(ends, shards, low))
+
+
+def _lifted(ends: np.ndarray, shards: int, capacity: int, latest: list[int]) -> list[int]:
+    """Cuts under the same capacity whose smallest shard is as large as it can be.
+
+    A greedy fill leaves the last shards short. Cut ``i`` may stand anywhere from its earliest place (the rest still
+    fits) to the greedy one; the largest floor for which a fill of at least that much reaches the end is found by
+    binary search, a fill taking the first cut that reaches the floor."""
+    earliest, base = [len(ends)] * shards, int(ends[-1])
+    for i in range(shards - 2, -1, -1):
+        earliest[i] = int(np.searchsorted(ends, base - capacity, side="left")) + (base > capacity)
+        base = int(ends[earliest[i] - 1]) if earliest[i] else 0
+
+    def filled(floor: int) -> list[int] | None:
+        cuts, base = [], 0
+        for i in range(shards):
+            cut = max(int(np.searchsorted(ends, base + floor, side="left")) + (floor > 0), earliest[i], cuts[-1] if cuts else 0)
+            if i == shards - 1:
+                cut = len(ends)
+            if cut > latest[i] or (cut and int(ends[cut - 1]) - base > capacity) or (int(ends[cut - 1]) if cut else 0) - base < floor:
+                return None
+            cuts.append(cut)
+            base = int(ends[cut - 1]) if cut else 0
+        return cuts
+
+    low, high, best = 0, int(ends[-1]) // shards, latest
+    while low <= high:
+        middle = (low + high) // 2
+        cuts = filled(middle)
+        if cuts is None:
+            high = middle - 1
+        else:
+            low, best = middle + 1, cuts
+    return best
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, cells: int = CELLS) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -17,7 +18,13 @@ def fits(sizes, shards, capacity):
     return used <= shards
 
 
-def test_smallest_capacity():
+def all_loads(sizes, shards):
+    for inner in itertools.combinations_with_replacement(range(len(sizes) + 1), shards - 1):
+        cuts = [0, *inner, len(sizes)]
+        yield [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def test_smallest_capacity_and_largest_floor():
     rng = random.Random(2)
     for _ in range(60):
         sizes = [rng.randint(1, 50) for _ in range(rng.randint(1, 40))]
@@ -26,6 +33,9 @@ def test_smallest_capacity():
         assert fits(sizes, shards, capacity) and not fits(sizes, shards, capacity - 1)
         cuts = [0, *ends]
         assert ends[-1] == len(sizes) and all(sum(sizes[a:b]) <= capacity for a, b in zip(cuts, cuts[1:]))
+        least = max((min(loads) for loads in all_loads(sizes[:8], min(shards, 4)) if max(loads) <= sharding.minimax_cuts(sizes[:8], min(shards, 4))[0]))
+        cuts = [0, *sharding.minimax_cuts(sizes[:8], min(shards, 4))[1]]
+        assert min(sum(sizes[:8][a:b]) for a, b in zip(cuts, cuts[1:])) == least
     assert sharding.minimax_cuts([], 3) == (0, [0, 0, 0])
 
 
@@ -50,7 +60,8 @@ def check(docs, rows):
 def test_table(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     load = check(rows_of(docs), rows_of(sharding.shard_documents(docs)))
-    assert len(load) == 24 and max(load.values()) < 1.35 * sum(load.values()) / 24
+    mean = sum(load.values()) / 24
+    assert len(load) == 24 and max(load.values()) < 1.35 * mean and min(load.values()) > 0.9 * mean
 
 
 def test_odd_documents(spark):
