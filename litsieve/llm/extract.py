@@ -5,7 +5,8 @@ Pages are ordered by host and URL path, so a page's nearest URLs are its neighbo
 with those of the nearest page before and after of another text, where these are of the same host, by longest
 common subsequence, and shared lines are deleted as template, on every page. Three things bound the deletion:
 lines in elements that are no article by name (menus, forms, adverts and so on) go in any case, shared or
-not; lines inside an explicit article go only if both neighbours share them; and a neighbour that shares most
+not; lines inside an explicit article go only if both neighbours share them, and only at its edges, before the first and
+after the last line of its own; and a neighbour that shares most
 of the explicit article (of all text where there is none) is a near copy, not a template, so that alignment
 is not used alone, and what both share is kept if it is most of the article, or nearly all text.
 """
@@ -46,6 +47,16 @@ cookies consent gdpr notice notices alert popup modal overlay newsletter subscri
 navigation breadcrumb breadcrumbs masthead header footer comment comments commentlist disqus reply replies respond share sharing social
 related recommended recommendations teaser widget widgets toolbar pagination pager copyright login signin signup skip hidden""".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Noise words that, said first, name a token's part of a page whatever kind of box it is (``comment-list``, ``ad-slot``).
+HEAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter
+subscribe subscription comment comments disqus reply replies share sharing social related recommended breadcrumb breadcrumbs popup modal
+pagination sidebar navbar menu nav footer""".split())
+PART_WORDS = frozenset("""article articles bar bars box boxes banner bottom button buttons card cards content feed form grid heading holder
+icon icons inline item items label left link links list lists message meta notice overlay panel place placement policy popup post posts rail
+right row slot stack stories story strip text thread title top unit units zone""".split())
+#: Noise words that, said last after an owner, do the same (``post-comments``, ``site-footer``; not ``has-sidebar``).
+TAIL_WORDS = frozenset("comments replies footer nav navigation navbar menu sidebar share sharing related breadcrumbs ads adverts".split())
+OWNER_WORDS = frozenset("article blog bottom entry global left main page post primary reader readers right secondary site story top user".split())
 #: Parts of a class or id token that name a box and not what is in it.
 BOX_WORDS = frozenset("area block body box container inner outer section wrap wrapper".split())
 MOST_TEXT = 0.75           # a part named as noise that holds more of the page's text is no noise
@@ -58,10 +69,13 @@ COMMENT_WORDS = frozenset("comment comments reply teaser related ad ads advert".
 
 
 def _named(found: dict[str, str], words: frozenset[str]) -> bool:
-    """Whether a whole class or id token says one of the words: ``ad-box`` does, ``has-sidebar`` and ``entry-header`` do not."""
+    """Whether a class or id token says one of the words, alone, first or last: ``ad-box``, ``comment-list`` and
+    ``post-comments`` do, ``has-sidebar`` and ``entry-header`` do not."""
     for token in f"{found.get('class', '')} {found.get('id', '')}".split():
-        said = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w} - BOX_WORDS
-        if said and said <= words:
+        said = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w and w not in BOX_WORDS]
+        if said and (words.issuperset(said)
+                     or said[0] in HEAD_WORDS & words and (PART_WORDS | words).issuperset(said[1:])
+                     or said[-1] in TAIL_WORDS & words and OWNER_WORDS.issuperset(said[:-1])):
             return True
     return False
 
@@ -88,7 +102,8 @@ def _is_noise(name: str, tag: str, in_article: bool) -> int:
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """(line, kind) of a page in order; kind: NOISE by element, ARTICLE inside an explicit article, FREE.
 
-    A part that only its class or id names as noise is none if it holds an article or most of the text."""
+    A part that only its class or id names as noise is none if it holds an article, or most of the text of a page
+    (or of the explicit article that it lies in) with no explicit article elsewhere."""
     out: list[tuple[str, bool, bool, tuple[int, ...]]] = []
     open_tags: list[tuple[str, bool, bool, tuple[int, ...]]] = []   # name, noise, article, named parts: each with its parents'
     named, held = 0, set()                            # parts named as noise so far; those that hold an article
@@ -166,13 +181,15 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             held.update(within)
         open_tags.append((name, noise, article or own_article, within))
     flush()
-    size, total = [0] * named, 0
-    for line, noise, _, within in out:
+    size, total, inside, articles = [0] * named, 0, [False] * named, False
+    for line, noise, article, within in out:
         if not noise:
             total += len(line)
+            articles = articles or article
             for k in within:
                 size[k] += len(line)
-    gone = {k for k in range(named) if k not in held and size[k] <= MOST_TEXT * total}
+                inside[k] = inside[k] or article
+    gone = {k for k in range(named) if k not in held and (size[k] <= MOST_TEXT * total or articles and not inside[k])}
     return [(line, NOISE if noise or not gone.isdisjoint(within) else ARTICLE if article else FREE) for line, noise, article, within in out]
 
 
@@ -205,6 +222,12 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
+def edges(places: list[int], shared: set[int]) -> set[int]:
+    """The shared places before the first and after the last one that is not shared."""
+    own = [i for i, place in enumerate(places) if place not in shared]
+    return set(places[:own[0]] + places[own[-1] + 1:]) if own else set(places)
+
+
 def article_of(own: tuple, neighbours: list[tuple]) -> str:
     """own: (hashes, kinds, texts of the lines that are not noise); neighbours: (hashes, kinds, ...) of the same
     host, of which those of the same text are passed over."""
@@ -226,7 +249,7 @@ def article_of(own: tuple, neighbours: list[tuple]) -> str:
     if len(all_shared) > 1:
         shared = set.intersection(*all_shared)
         if weigh(shared & guard) <= (TEMPLATE_SHARE if guard == free else COPY_SHARE) * most:
-            gone |= shared
+            gone |= shared if guard == free else (shared & free) | edges(sorted(guard), shared)
     return "\n".join(text for j, text in text_at.items() if j not in gone)
 
 

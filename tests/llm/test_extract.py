@@ -118,3 +118,21 @@ def test_copies_are_passed_over_whatever_the_ranges(spark):
     got = {r["page_id"]: r["text"] for r in rows_of(extract.main_text(pages.repartition(7)))}
     assert len(got) == 401 and got.pop(400).startswith("Menu one")
     assert got == {i: f"{'Ann' if 100 <= i < 300 else f'No {i}'} is a long story about things" for i in got}
+
+
+def test_names_said_first_or_last():
+    story = "<p>A long story about things that go on</p>"
+    for name in ("comment-list", "post-comments", "related-posts", "share-buttons", "ad-slot", "advert-unit", "cookie-bar", "commentList", "site-footer",
+                 "main-menu", "ad-slot-2 x"):
+        part = f"<div class='{name}'><p>gone</p></div>"
+        assert text(f"<article><h1>T</h1>{story}{part}</article>") == "T\nA long story about things that go on", name
+        assert text(f"<article><h1>T</h1>{story}</article>{part}<p>own line</p>") == "T\nA long story about things that go on\nown line", name
+        assert text(f"<article><h1>T</h1></article><div id='{name}'>{'<p>nice words</p>' * 90}</div>") == "T", name   # an article elsewhere
+    for name in ("content has-sidebar", "no-comments", "entry-header", "adhoc-notes", "related-work", "social-science", "comment-on-the-law", "page-title"):
+        assert text(f"<body><p>x</p><p>{'word ' * 40}</p><div class='{name}'>{story}</div>").endswith("go on"), name
+
+
+def test_shared_lines_within_an_article_stay():
+    page = lambda x: f"<article><p>Series of notes</p><p>{x} begins a story of some length</p><p>The motto of all</p><p>{x} ends it here at last</p><p>Join us</p></article>"
+    assert text(page("Ann"), page("Bob"), page("Cid")) == "Ann begins a story of some length\nThe motto of all\nAnn ends it here at last"
+    assert extract.edges([1, 3, 5, 7], {1, 5, 7}) == {1, 5, 7} and extract.edges([1, 3, 5, 7], {1, 5}) == {1} and extract.edges([2], {2}) == {2}
