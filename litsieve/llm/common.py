@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litsieve.session import cut_lineage, read_table
 
-__all__ = ["columns", "cut_lineage", "read_table", "positions", "components", "salted_left_join", "shuffle_width"]
+__all__ = ["columns", "cut_lineage", "read_table", "positions", "tie_break", "components", "salted_left_join", "shuffle_width"]
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
@@ -21,6 +21,12 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tie_break(df: DataFrame) -> Column:
+    """Order among rows equal in doc_id and text: by the other columns, so that a rerun takes the same row."""
+    others = [F.col(c) for c in df.columns if c not in ("doc_id", "text")]
+    return F.to_json(F.struct(*others)) if others else F.lit(1)
+
+
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: str | None = None,
               rank: str = "rank", before: str = "before", weight_type: str = "long") -> DataFrame:
     """Adds the 0-based rank of each row in its group, and the sum of ``weight`` (a long unless said) in front of it.

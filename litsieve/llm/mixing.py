@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import columns, cut_lineage, positions
+from litsieve.llm.common import columns, cut_lineage, positions, tie_break
 
 WEIGHTS = (5, 2, 1)
 MOST = 3               # a source's target is at most so many times its size
@@ -147,7 +147,13 @@ def mixture(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> Dat
     last = F.concat(F.when(F.col("_pick").isNotNull(), F.array("_pick")).otherwise(F.array().cast("array<long>")), spare)
     draws = F.concat(F.transform(whole, lambda p: p * F.col("n_docs") + F.col("at")),
                      F.transform(last, lambda i: F.col("passes") * F.col("n_docs") + i))
-    out = out.withColumn("shards", F.transform(draws, lambda d: F.size(F.filter("ends", lambda e: e <= d))))
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(int(shards).bit_length()))])
+
+    def shard_of(draw):
+        """How many shards end at or before the draw, by binary search (a place beyond the ends is null, so not taken)."""
+        return F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.get("ends", low + step - 1) <= draw, low + step).otherwise(low))
+
+    out = out.withColumn("shards", F.transform(draws, shard_of))
     return out.select("doc_id", "key", "size", "source", "source_size", "target", F.size("shards").alias("copies"), "shards")
 
 
@@ -159,10 +165,10 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED, shard_col:
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull()}
     plan = mixture(docs, shards, seed).withColumnRenamed("key", "_key").withColumns(keys)
     plan = plan.groupBy("_id", "_null", "_key").agg(F.flatten(F.collect_list("shards")).alias("_shards")).where(F.size("_shards") > 0)
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *[c.alias(n) for n, c in keys.items()],
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), tie_break(docs).alias("_tie"), *[c.alias(n) for n, c in keys.items()],
                        F.xxhash64(F.col("text").cast("string")).alias("_key"))
     joined = rows.join(plan, ["_id", "_null", "_key"])
-    joined = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_null", "_key").orderBy(F.lit(1)))).where("_row = 1")
+    joined = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_null", "_key").orderBy("_tie"))).where("_row = 1")
     drawn = joined.select("_doc", F.posexplode("_shards").alias("_draw", "_shard"), "_id", "_key")
     return (drawn.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_id", "_key", "_draw"))
             .repartition("_shard").sortWithinPartitions("_shard", "_turn").select("_doc.*", F.col("_shard").alias(shard_col)))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import columns, components, cut_lineage, salted_left_join, shuffle_width
+from litsieve.llm.common import columns, components, cut_lineage, salted_left_join, shuffle_width, tie_break
 
 SHINGLE = 3
 RADIUS = 3
@@ -176,6 +176,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for (lo, hi), drop, tag in zip(BLOCKS, _DROP, _TAG):
         rest = fp.bitwiseAND(F.lit(_signed(FULL ^ drop)))
         variants += [rest.bitwiseXOR(F.lit(_signed(tag ^ flip))) for flip in [0] + [1 << i for i in range(64) if not lo <= i < hi]]
+    fps = fps.repartition(shuffle_width(fps))   # few bytes, many rows to come: the emission is spread over all tasks
     emitted = fps.select(F.explode(F.array(*variants)).alias("key"), "fp")
     found = cut_lineage(emitted.repartition(shuffle_width(fps), "key").sortWithinPartitions("key", "fp")
                         .mapInArrow(lambda it: _collisions(it, bucket), "a long, b long"))
@@ -223,8 +224,8 @@ def deduplicate(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     other = stays.where("doc_id is null").groupBy("fp").agg(F.min("key").alias("_key"))
     stays = known.select("_id", F.lit(False).alias("_null"), "_key").unionByName(
         other.select(F.lit(0).cast("long").alias("_id"), F.lit(True).alias("_null"), "_key"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), tie_break(docs).alias("_tie"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
                         F.col("doc_id").isNull().alias("_null"), key.alias("_key"))
-    one = Window.partitionBy("_id", "_null", "_key").orderBy(F.lit(1))
+    one = Window.partitionBy("_id", "_null", "_key").orderBy("_tie")
     return (keyed.join(stays, ["_id", "_null", "_key"]).withColumn("_row", F.row_number().over(one))
             .where("_row = 1").select("_doc.*"))
