@@ -21,8 +21,8 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without any letter, and with no convincing language, go.
 
-    A null or empty text has no letter. What convinces is set from the labelled sample; without any label only
-    texts without letters go. Repeated rows are judged alike; an empty table stays empty."""
+    A null or empty text has no letter. What convinces is set from all labelled texts outside the held-out third;
+    without any label only texts without letters go. Repeated rows are judged alike; an empty table stays empty."""
     labelled = docs.select("doc_id", "text", "lang")
     net, langs = langid.fit(labelled)
     if not langs:  # nothing to learn from, so nothing can be rejected but texts without letters

@@ -4,7 +4,7 @@ The bytes of a text are its letters: A-Z lowered, every byte from 0x80 on; all o
 The network reads each run forwards and backwards from a zero state and labels every position with
 probabilities over the learned languages; a document's probability is the mean over all its positions.
 As a run's labels depend on the run alone, each worker labels every distinct run once and reuses the sums.
-Training is numpy backpropagation through time on a bounded, documented sample of labelled documents.
+Training is numpy backpropagation through time on the most frequent runs, counted in all labelled documents.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_PER_LANG = 250      # expected labelled documents per language that train the network
-TRAIN_RUNS = 8_000        # distinct (language, run) counts that train it, shared evenly by the languages,
+TRAIN_RUNS = 8_000         # distinct (language, run) counts that train it, shared evenly by the languages,
 LEAST_RUNS = 500           # but so many of each at least; a language's most frequent come first
 MAX_LANGS = 1_000          # languages that one network tells apart, the most frequent
 RUN_BYTES = 24             # longer runs are cut into pieces of at most so many bytes, between characters
@@ -199,49 +198,50 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(run, pa.binary()), pa.array(n, pa.int64())], names=["lang", "run", "n"])
 
 
-def labelled_sample(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[DataFrame | None, list[str]]:
-    """(lang, text of about ``sample_per_lang`` documents of each language, languages): non-null labels of
-    documents not held out, picked by a hash of the id."""
+def labelled_texts(docs: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """(lang, text of every document with a non-null label that is not held out, languages)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
         return None, []
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample_per_lang / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return known.where(draw < share[F.col("lang")]).select("lang", "text"), sorted(r["lang"] for r in sizes)
+    langs = sorted(r["lang"] for r in sizes)
+    return known.where(F.col("lang").isin(langs)).select("lang", "text"), langs
 
 
-def training_runs(sample: DataFrame, n_langs: int) -> DataFrame:
-    """lang, run, n: the most frequent runs of each language, as many of each, so that a language of few or of
+labelled_sample = labelled_texts   # the name from when it drew some
+
+
+def training_runs(texts: DataFrame, n_langs: int) -> DataFrame:
+    """lang, run, n, counted in all texts: the most frequent runs of each language, as many of each, so that a language of few or of
     long runs (a script without spaces) keeps its share beside large ones."""
     each = max(LEAST_RUNS, TRAIN_RUNS // n_langs)
-    counts = sample.mapInArrow(_count_runs, "lang string, run binary, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_count_runs, "lang string, run binary, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "run"))
     return counts.withColumn("_place", place).where(F.col("_place") <= each).drop("_place")
 
 
-def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG):
-    """(network, languages) from docs(doc_id, text, lang); only the runs of the bounded sample reach the driver.
-    Without labelled rows: (None, [])."""
-    sample, langs = labelled_sample(docs, sample_per_lang)
-    if sample is None:
+def fit(docs: DataFrame):
+    """(network, languages) from docs(doc_id, text, lang): the runs of all labelled texts are counted, and only the
+    most frequent reach the driver. Without labelled rows: (None, [])."""
+    texts, langs = labelled_texts(docs)
+    if texts is None:
         return None, []
-    counts = training_runs(sample, len(langs)).orderBy(F.desc("n"), "lang", "run").collect()
+    counts = training_runs(texts, len(langs)).orderBy(F.desc("n"), "lang", "run").collect()
     if not counts:
         return None, []
     return train([(r["lang"], bytes(r["run"]), r["n"]) for r in counts], langs), langs
 
 
-def rejection_bound(docs: DataFrame, net, langs: list[str], sample_per_lang: int = SAMPLE_PER_LANG) -> float:
+def rejection_bound(docs: DataFrame, net, langs: list[str]) -> float:
     """The score below which a text counts as of none of the languages: a quarter of the way from chance (one over
-    their number) to the score that all but a hundredth of the labelled sample's rightly told texts reach, so that
-    short and noisy texts of a known language stay. With one language every text of letters scores 1, so nothing
-    is rejected."""
+    their number) to the score that all but a hundredth of the rightly told labelled texts reach (to four places,
+    which bounds the percentile's memory), so that short and noisy texts of a known language stay. With one language
+    every text of letters scores 1, so nothing is rejected."""
     if len(langs) < 2:
         return 0.0
-    sample, _ = labelled_sample(docs, sample_per_lang)
-    told = identify(sample, net, langs).where("lang = lang_pred")
-    low = told.agg(F.percentile("score", F.lit(0.01)).alias("low")).first()["low"]
+    texts, _ = labelled_texts(docs)
+    told = identify(texts, net, langs).where("lang = lang_pred")
+    low = told.agg(F.percentile(F.round("score", 4), F.lit(0.01)).alias("low")).first()["low"]
     chance = 1.0 / len(langs)
     return 0.0 if low is None else chance + max(low - chance, 0.0) / 4
 

@@ -98,3 +98,13 @@ def test_script_without_spaces_beside_four_languages(spark):
         assert np.mean([r["lang_pred"] == lang for r in held if r["lang"] == lang]) > 0.95, lang
     least = langid.rejection_bound(both, net, langs)
     assert 0.2 < least < 0.9 and np.mean([r["score"] >= least for r in held if r["lang_pred"] != "und"]) > 0.99
+
+
+def test_every_labelled_text_counts(spark):
+    """Hundreds of documents of one language: the runs of all that are not held out are counted, none is drawn."""
+    rows = [(i, f"word{'abcdefghij'[i % 10]} only", "xx") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.labelled_texts(docs)
+    want = docs.where(~langid.held_out(docs.doc_id)).count()
+    assert langs == ["xx"] and texts.count() == want
+    assert {bytes(r["run"]): r["n"] for r in langid.training_runs(texts, 1).collect()}[b"only"] == want
