@@ -34,3 +34,9 @@ def test_meetings_are_not_shuffled(spark):
     keys = [(i, "".join(rnd.choice(parts) for _ in range(10))) for i in range(300)]
     rows_sent = cells.cells(fuzzy.edit_keys(spark.createDataFrame(keys, "id long, key string")).withColumn("band", setsim.size_band(F.col("L"), 0.9)), "band", "L")
     assert rows_sent.count() <= 3 * len(keys)
+
+
+def test_repeated_ids_give_a_pair_once(spark):
+    text = "abcdefgh " * 30
+    items = spark.createDataFrame([(1, text), (1, text), (2, text + "x")], "id long, key string")
+    assert rows(fuzzy.edit_candidates(fuzzy.edit_keys(items), 90)) == [(1, 2)]
