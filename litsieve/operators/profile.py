@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 from litsieve.operators.association import GRID_BINS, binned, grid_cells, number, ranges, with_running_sum
+from litsieve.session import cut_lineage
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -104,17 +105,20 @@ def value_groups(df: DataFrame, cols: list[str], scale: dict[str, int]) -> DataF
     aggregate. ``q`` is the value times 2**scale as a whole number, ``rest`` what rounding left, times 2**53 (NULL
     for infinite values)."""
     values = _doubles(cols)
-    wide_ints = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "decimal")}
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
 
-    def exact(c):  # doubles merge whole numbers beyond 2**53: those columns are told apart by their text
-        return (F.col(f"`{c}`").cast("string") if c in wide_ints else F.lit(None).cast("string")).alias("exact")
-
-    def scaled(c):
-        return F.when(F.abs(values[c]) < F.lit(math.inf), values[c] * F.lit(math.ldexp(1.0, scale[c]))).alias("scaled")
+    def exact(i):  # doubles merge whole numbers beyond 2**53: those are told apart by their text, as are all decimals
+        text, kind = F.col(f"`{cols[i]}`").cast("string"), kinds.get(cols[i])
+        return (text if kind == "decimal" else F.when(F.abs(values[cols[i]]) >= F.lit(2.0 ** 53), text) if kind == "long"
+                else F.lit(None).cast("string")).alias("exact")
 
+    # only what tells values apart is shuffled; the rest is worked out once a distinct value
+    groups = _cells(df, {i: values[c] for i, c in enumerate(cols)}, exact).groupBy("column", "v", "exact").agg(F.count(F.lit(1)).alias("k"))
+    steps = F.array(*[F.lit(math.ldexp(1.0, scale[c])) for c in cols])
+    scaled = F.when(F.abs("v") < F.lit(math.inf), F.col("v") * steps[F.col("column")])
     q, rest = F.rint("scaled"), F.rint((F.col("scaled") - F.rint("scaled")) * F.lit(math.ldexp(1.0, GRID_BITS)))
-    return _cells(df, values, exact, scaled).groupBy(
-        "column", "v", "exact", q.cast("long").alias("q"), rest.cast("long").alias("rest")).agg(F.count(F.lit(1)).alias("k"))
+    return groups.withColumn("scaled", scaled).select(F.array(*[F.lit(c) for c in cols])[F.col("column")].alias("column"), "v", "exact",
+                                                      q.cast("long").alias("q"), rest.cast("long").alias("rest"), "k")
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -340,29 +344,37 @@ def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     return ranked.join(F.broadcast(per_col), "column").select("column", "v", (rank - (F.col("n") + 1) / 2.0).alias("off"))
 
 
+FEW_VALUES = 200_000  # ranks that are broadcast
+
+
 def spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Spearman rho = Pearson r of average ranks, over the rows where both columns have a value.
 
-    One join for all columns, on (column, value), and one exchange that brings a row's ranks together. Equal
-    rows share a digest and are one weighted row from there on.
+    A row stays whole: the ranks of a column of at most ``FEW_VALUES`` values are broadcast, those of any other are joined
+    by one shuffle of the rows (salted where the value is missing, so missing ones are no hot key).
     """
     cols = cols or numeric_columns(df)
     pairs = _pairs(cols)
     values = _doubles(cols)
     clean = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
-    parts = [x for v in clean.values() for x in (v, v.isNull())]  # a NULL alone would leave the digest as it is
-    digest = F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit("second"), *parts).alias("y"))  # 128 bits
-    cells = df.select(digest.alias("row"), F.explode(F.array(
-        *[F.struct(F.lit(i).alias("column"), v.alias("v")) for i, v in enumerate(clean.values())])).alias("r")).select("row.*", "r.*")
-    # a cell without value keeps its row whole: every row gives one cell a column
-    ranked = cells.join(average_ranks(df, cols), ["column", "v"], "left")
-    rows = ranked.groupBy("x", "y").agg((F.count(F.lit(1)) / F.lit(float(len(cols)))).alias("w"), *[
-        F.max(F.when(F.col("column") == i, F.col("off"))).alias(f"r{i}") for i in range(len(cols))])
+    ranked = cut_lineage(average_ranks(df, cols))
+    many = {r["column"]: r["n"] for r in ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+    rows = df.select(*[v.alias(f"v{i}") for i, v in enumerate(clean.values())])
+    for i in sorted(range(len(cols)), key=lambda i: many.get(i, 0)):
+        table = ranked.filter(F.col("column") == i).select(F.col("v").alias("__v"), F.col("off").alias(f"r{i}"))
+        if many.get(i, 0) <= FEW_VALUES:
+            rows = rows.join(F.broadcast(table), F.col(f"v{i}") == F.col("__v"), "left")
+        else:
+            others = [c for c in rows.columns if c != f"v{i}"]
+            salt = F.when(F.col(f"v{i}").isNull(), F.pmod(F.xxhash64(*others), F.lit(1024))).otherwise(F.lit(0).cast("long"))
+            rows = rows.withColumn("__salt", salt).join(table.withColumn("__none", F.lit(0).cast("long")), (
+                F.col(f"v{i}") == F.col("__v")) & (F.col("__salt") == F.col("__none")), "left")
+        rows = rows.drop("__v", f"v{i}", "__salt", "__none")
     sums = []
     for a, b in pairs:
         x, y = F.col(f"r{cols.index(a)}"), F.col(f"r{cols.index(b)}")
         both = x.isNotNull() & y.isNotNull()
-        sums += [F.sum(F.when(both, F.col("w") * t)) for t in (F.lit(1.0), x, y, x * x, y * y, x * y)]
+        sums += [F.sum(F.when(both, t)) for t in (F.lit(1.0), x, y, x * x, y * y, x * y)]
     wide = rows.agg(*sums).first()  # six sums a pair
     out = []
     for i, (a, b) in enumerate(pairs):
@@ -503,7 +515,12 @@ def alerts(df: DataFrame, cols: list[str] | None = None, high_missing_pct: float
            high_cardinality: float = 0.5, high_corr: float = 0.9, skew_limit: float = 20.0) -> DataFrame:
     """Constant, high missing, high cardinality, zeros, skewed, highly correlated columns."""
     cols = cols or numeric_columns(df)
-    summ = numeric_summary(df, cols).join(moments(df, cols), "column")
+    pairs = _pairs(cols)
+    wide = df.agg(*[F.round(F.skewness(c), 6) for c in cols], *[F.round(F.corr(a, b), 6) for a, b in pairs]).first()  # one scan
+    spark = df.sparkSession
+    skews = spark.createDataFrame([(c, wide[i]) for i, c in enumerate(cols)], "column string, skewness double")
+    corrs = spark.createDataFrame([(a, b, wide[len(cols) + i]) for i, (a, b) in enumerate(pairs)], "col_a string, col_b string, corr double")
+    summ = numeric_summary(df, cols).join(skews, "column")
     n = F.col("n") + F.col("n_missing")
     per_col = summ.select("column", F.explode(F.array(
         F.when(F.col("n_distinct") <= 1, F.lit("CONSTANT")),
@@ -512,6 +529,6 @@ def alerts(df: DataFrame, cols: list[str] | None = None, high_missing_pct: float
         F.when(F.col("n_zeros") > 0.1 * n, F.lit("ZEROS")),
         F.when(F.abs("skewness") > skew_limit, F.lit("SKEWED")),
     )).alias("alert")).filter(F.col("alert").isNotNull()).select("column", "alert")
-    corr = (pearson_matrix(df, cols).filter(F.abs("corr") > high_corr)
+    corr = (corrs.filter(F.abs("corr") > high_corr)
             .select(F.concat_ws(" ~ ", "col_a", "col_b").alias("column"), F.lit("HIGH_CORRELATION").alias("alert")))
     return per_col.unionByName(corr)
