@@ -130,3 +130,49 @@ def test_large_lexicon_switches_to_join(spark):
                                "paper_id long, Title string, Abstract string")
     got = dict(rows(cz.phrase_labels(df, ["Title", "Abstract"], big), "paper_id", "primary_category"))
     assert got == {1: "c7", 2: "c3, c399", 3: "Uncategorized"}
+
+
+def test_texts_and_labels_are_computed_once_below_filters(spark):
+    from litsieve.operators import classify as cl
+    df = spark.createDataFrame([(1, "the cat", None), (2, None, None)], "paper_id long, Title string, Abstract string")
+    lex = Lexicon.from_text("a: the, cat\nb: dog, the\n")
+    cols = ["Title", "Abstract"]
+    for labelled in (cz.phrase_labels(df, cols, lex), cz.paired_labels(df, cols, lex, lex), cz.scored_keywords(df, cols, lex),
+                     cz.scored_keywords(df, cols, lex, fuzzy=True)):
+        for part in cz.split_matched(labelled, "primary_category"):
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("concat_ws(") == 1, plan
+            assert "levenshtein" not in plan
+    second = cz.split_matched(cz.substring_category(df, lex, text_cols=cols), "secondary_category", None)[0]
+    assert second._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") == 1
+    told = cl.zero_shot_overlap(df, cols, {"x": "the cat", "y": "dog dog"}).filter("prediction <> 'Unknown'")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") == 1
+    assert [r["paper_id"] for r in told.collect()] == [1]
+
+
+def test_best_word_similarity_matches_plain_distances(spark):
+    from litsieve.functions.similarity import best_word_similarity
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return row[-1]
+    terms = ["des", "über", "a"]
+    lists = [["die", "dess", "über"], [], [""], None, ["\U0001F600b", "übel", "x" * 300, "", "a"], ["die"] * 3, ["éa", "d"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, w array<string>").coalesce(1)
+    got = dict(rows.select("id", best_word_similarity("w", terms).alias("s")).collect())
+    for i, words in enumerate(lists):
+        assert got[i] == [max([1.0 - distance(w, t) / max(len(w), len(t)) for w in words or [] if w], default=0.0) for t in terms], i
+
+
+def test_signatures_hash_words_in_batches(spark):
+    from litsieve.functions.similarity import minhash_signature, minhash_signature_expr
+    rows = spark.createDataFrame([(1, ["a", "ü"]), (2, []), (3, ["b"] * 3 + ["a"]), (4, None), (5, [""])], "id int, w array<string>").coalesce(1)
+    got = rows.select("id", minhash_signature(F.col("w"), 16).alias("s"), minhash_signature_expr(F.col("w"), 16).alias("e"))
+    assert "md5(" not in rows.select(minhash_signature(F.col("w"), 16))._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["id"]: (r["s"], r["e"]) for r in got.collect()}
+    assert all(found[i][0] == found[i][1] for i in (1, 3, 5))
+    assert found[2][0] is None and found[4][0] is None
