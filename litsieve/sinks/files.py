@@ -45,7 +45,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def export_result(root: str, processed: DataFrame, unmatched: DataFrame | None, summary: DataFrame | None,
                   columns=None, formats=("parquet", "csv")) -> dict[str, str]:
-    """K2/K7: processed, unmatched (when present) and the pipeline summary, in each format."""
+    """K2/K7: processed, unmatched (when present) and the pipeline summary, in each format. What follows a Parquet
+    copy is written from it, so that the papers are not computed anew for each format."""
     written = {}
     cols = list(columns) if columns else export_columns(processed)
     parts = {"processed": processed.select(*present_columns(processed, cols))}
@@ -59,6 +60,7 @@ def export_result(root: str, processed: DataFrame, unmatched: DataFrame | None,
             path = os.path.join(root, fmt, name)
             if fmt == "parquet":
                 write_parquet(frame, path)
+                frame = frame.sparkSession.read.schema(frame.schema).parquet(path)
             else:
                 write_csv(frame, path, columns=frame.columns)
             written[f"{fmt}/{name}"] = path

@@ -139,3 +139,18 @@ def test_csv_keeps_types_and_microseconds(spark, tmp_path):
     sk.write_csv(df, path, columns=df.columns)
     back = src.read_csv_table(spark, path, infer=True, multi_line=False)
     assert dict(back.dtypes) == dict(df.dtypes) and back.collect() == df.collect()
+
+
+def test_export_computes_each_table_once(spark, tmp_path):
+    from litsieve.sinks.files import export_result
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return f"t{x}"
+    papers = spark.range(5).select(F.udf(seen)("id").alias("Title"))
+    written = export_result(str(tmp_path), papers, None, None)
+    assert calls.value == 5
+    for key, path in written.items():
+        back = spark.read.option("header", True).csv(path) if key.startswith("csv") else spark.read.parquet(path)
+        assert sorted(r["Title"] for r in back.collect()) == [f"t{i}" for i in range(5)]
