@@ -207,3 +207,22 @@ def test_forest_tasks_are_cut_by_rows(spark, monkeypatch):
     sizes = cl.by_rows(df, 64).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) <= 30
     assert cl.by_rows(df.limit(20), 64).select(F.spark_partition_id()).distinct().count() == 1
+
+
+def test_tfidf_shuffles_texts_not_terms(spark):
+    import math
+    from collections import Counter
+    data = [(1, "aa bb aa"), (1, "bb cc"), (2, "cc dd"), (None, "aa"), (None, "ee"), (3, ""), (4, None), (5, "dd, cc dd")]
+    out = cl.tfidf_long(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in out.collect()}
+    counts = {}
+    for i, text in data:
+        counts.setdefault(i, Counter()).update((text or "").replace(",", "").split())
+    df = Counter(t for c in counts.values() for t in c)
+    want = {}
+    for i, c in counts.items():
+        w = {t: n * (math.log((1 + len(counts)) / (1 + df[t])) + 1) for t, n in c.items()}
+        want |= {(i, t): x / math.sqrt(sum(y * y for y in w.values())) for t, x in w.items() if i is not None}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(term" not in plan and plan.count("hashpartitioning(id") == 1, plan
