@@ -257,3 +257,34 @@ def test_seeded_path_through_dedup_entry_points(spark, monkeypatch):
             monkeypatch.setattr(sv, "HOT_LIST", 1)
             seeded = rows(run(keep), "paper_id")
             assert plain == seeded, keep
+
+
+def test_composite_by_words_equals_the_expression(spark):
+    from litsieve.functions.edits import Words, composite_of
+    from litsieve.functions.similarity import composite_score
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    pairs = [("a b", "a b"), ("a", "b"), ("ab  cd\te", "e cd ab"), ("x", "x y z"), ("aé", "aè")]
+    for _ in range(300):
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(b))
+            b[i:i + 1] = rng.choice([[], [b[i] + "x"], [b[i], rng.choice(vocabulary)], [rng.choice(vocabulary)], ["".join(b[i:i + 2])]]) or ["q"]
+        if rng.random() < 0.4:
+            rng.shuffle(b)
+        pairs.append((" ".join(a), rng.choice([" ", "  ", "\n"]).join(b)))
+    for t in (70, 90):
+        # no score under the threshold is asked for: some part of it may stay above its own bound
+        want = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(composite_score("a", "b", t)).collect()]
+        assert [composite_of(Words.of(a), Words.of(b), t) for a, b in pairs] == want, t
+        assert any(w is None for w in want) and any(w is not None and w < 95 for w in want)
+
+
+def test_composite_pairs_of_one_title_are_spread(spark):
+    rows_ = [(i, "same title of all", f"{'word ' * 5}{i} text", None) for i in range(40)]
+    papers = spark.createDataFrame(rows_, "paper_id long, Title string, Abstract string, DOI string")
+    _, pairs = dn.combined_pairs(papers, dn.CombinedConfig(scorer="composite"))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "RepartitionByExpression [id_a" in plan
+    assert pairs.count() == 40 * 39 // 2
