@@ -40,3 +40,20 @@ def test_repeated_ids_give_a_pair_once(spark):
     text = "abcdefgh " * 30
     items = spark.createDataFrame([(1, text), (1, text), (2, text + "x")], "id long, key string")
     assert rows(fuzzy.edit_candidates(fuzzy.edit_keys(items), 90)) == [(1, 2)]
+
+
+def test_a_key_is_sent_to_two_cells(spark):
+    """A band that fits one block: its keys go to its own cell and, as partners of smaller ones, to that of the band below."""
+    rnd = random.Random(9)
+    keys = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(100, 900)))) for i in range(200)]
+    sent = cells.cells(fuzzy.edit_keys(spark.createDataFrame(keys, "id long, key string")).withColumn("band", setsim.size_band(F.col("L"), 0.9)), "band", "L")
+    assert sent.count() <= 2 * len(keys)
+
+
+def test_repeated_segments_count_once_a_key(spark):
+    """Keys of one repeated stretch beside others that hold it once, over groups and chunks of a few keys."""
+    rnd = random.Random(10)
+    keys = {i: "xyz uvw " * rnd.randint(4, 60) for i in range(25)}
+    keys |= {100 + i: "xyz uvw " + "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(20, 400))) for i in range(40)}
+    items = spark.createDataFrame(list(keys.items()), "id long, key string")
+    assert rows(fuzzy.edit_pairs(items, 90), "id_a", "id_b") == _pairs(keys, 90)

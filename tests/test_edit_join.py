@@ -101,3 +101,33 @@ def test_fuzzy_dedup_of_whole_papers(spark):
                                 (5, "", "", ""), (6, "t", "d", long)], "paper_id long, Title string, DOI string, Abstract string")
     kept = {k: [r[0] for r in rows(dn.fuzzy_dedup(df, dn.FuzzyConfig(keep=k)), "paper_id")] for k in ("first", "last", "none")}
     assert kept == {"first": [1, 3, 4, 5], "last": [3, 4, 5, 6], "none": [3, 4, 5]}
+
+
+def test_band_of_columns_equals_table(monkeypatch):
+    """Only the rows that the allowed edits can touch are computed, in blocks of a few columns."""
+    from litsieve.functions import edits
+    rnd = random.Random(3)
+    for block in (1, 7, 512):
+        monkeypatch.setattr(edits, "BLOCK", block)
+        for _ in range(300):
+            a = "".join(rnd.choice("abé日 ") for _ in range(rnd.randint(1, 60)))
+            a, b = sorted((a, _edited(rnd, a, rnd.randint(0, 30)) or "a"), key=len)
+            d, least = _table(a, b), len(b) - len(a)
+            for most in (least, least + 1, least + rnd.randint(0, 60)):
+                assert edits._columns(a, b, most) == (d if d <= most else None), (a, b, most)
+
+
+def test_groups_of_a_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(fz, "GROUP_ROWS", 3)
+    monkeypatch.setattr(fz, "COUNTERS", 12)
+    keys = _keys(random.Random(4), 60)
+    cell = fz._cell_candidates(85)
+    import numpy as np
+    import pyarrow as pa
+    raw = [k.encode() for k in keys.values()]
+    table = pa.table({"id": list(keys), "text": pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary()), "bytes": pa.array([len(x) for x in raw], pa.int32()),
+                      "L": pa.array([len(k) for k in keys.values()], pa.int32()), "open": [True] * len(keys)})
+    whole = np.arange(len(keys))
+    ids = np.array(list(keys))
+    found = {(min(x, y), max(x, y)) for a, b in cell(table, whole, whole) for x, y in zip(ids[a].tolist(), ids[b].tolist())}
+    assert {*_pairs(keys, 85)} <= found
