@@ -57,3 +57,19 @@ def test_repeated_segments_count_once_a_key(spark):
     keys |= {100 + i: "xyz uvw " + "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(20, 400))) for i in range(40)}
     items = spark.createDataFrame(list(keys.items()), "id long, key string")
     assert rows(fuzzy.edit_pairs(items, 90), "id_a", "id_b") == _pairs(keys, 90)
+
+
+def test_prefixes_that_share_too_little_are_no_candidates(spark):
+    """Sets that share one rare word and nothing else of their prefixes: neither order of the prefixes allows the overlap."""
+    sets = [(i, ["shared"] + [f"w{i}x{j}" for j in range(99)]) for i in range(12)] + [(50, ["shared"] + [f"w0x{j}" for j in range(99)])]
+    items = spark.createDataFrame(sets, "id long, words array<string>")
+    assert rows(setsim.prefix_candidates(setsim.prefix_sets(items, 0.85), 0.85)) == [(0, 50)]
+
+
+def test_verification_of_repeated_ids_and_cut_groups(spark, monkeypatch):
+    monkeypatch.setattr(setsim, "PAIRS_A_GROUP", 2)
+    sets = {i: ["a", "b", "c", "d", "e", "f", f"v{i}"] for i in range(6)}
+    items = spark.createDataFrame([*sets.items(), (3, sets[3]), (9, ["x"])], "id long, words array<string>")
+    cand = spark.createDataFrame([(a, b) for a, b in itertools.combinations(range(6), 2)] + [(0, 9)], "id_a long, id_b long")
+    want = sorted((a, b, 0.75) for a, b in itertools.combinations(range(6), 2) for _ in range(2 if 3 in (a, b) else 1))
+    assert rows(setsim.verify_jaccard(cand, items, 0.7), "id_a", "id_b", "jaccard") == want

@@ -288,3 +288,20 @@ def test_composite_pairs_of_one_title_are_spread(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "RepartitionByExpression [id_a" in plan
     assert pairs.count() == 40 * 39 // 2
+
+
+def test_representatives_of_repeated_and_null_ids(spark):
+    from litsieve.operators import dedup_near as dn
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "b a"), (3, "c"), (4, None), (None, "d"), (5, "e"), (5, "f"), (None, "c")], "paper_id long, Title string")
+    reps = dn.near_items(df, dn.NearConfig(text_cols=("Title",)))
+    got = sorted((r["id"], r["group_size"], r["matchable"]) for r in reps.collect())
+    assert got == [(1, 3, True), (1, 3, True), (3, 2, True), (4, 1, False)] + [(5, 1, True)] * 4
+
+
+def test_payload_of_rows_alone_is_not_shuffled(spark):
+    from litsieve.operators import bins
+    rows_ = [(i, f"k{i // 2}" if i < 20 else f"k{i}") for i in range(400)]
+    df = spark.createDataFrame(rows_, "id long, key string")
+    among = bins.among_bins(bins.repeated_bins(df, "key"))
+    shared = [r["id"] for r in df.filter(among("key")).collect()]
+    assert {*range(20)} <= {*shared} and len(shared) < 60
