@@ -305,3 +305,36 @@ def test_payload_of_rows_alone_is_not_shuffled(spark):
     among = bins.among_bins(bins.repeated_bins(df, "key"))
     shared = [r["id"] for r in df.filter(among("key")).collect()]
     assert {*range(20)} <= {*shared} and len(shared) < 60
+
+
+def test_token_set_by_words_equals_the_expression(spark):
+    from litsieve.functions.edits import Words, composite_may, composite_of, token_set_may, token_set_of
+    from litsieve.functions.similarity import token_set_ratio
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    pairs = [("a b", "a b"), ("a", "b"), ("x", "x y z"), ("aé", "aè"), ("", "a"), ("a b c d e f g h i j k", "a b c d e f g h i j")]
+    for _ in range(300):
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))]
+        b = [w + rng.choice(["", "", "", "", "x"]) for w in a if rng.random() < 0.95] + rng.sample(vocabulary, rng.choice([0, 0, 1, 2]))
+        pairs.append((" ".join(a), rng.choice([" ", "  ", "\n"]).join(b)))
+    for t in (70, 90):
+        scores = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(token_set_ratio("a", "b", t)).collect()]
+        words = [(Words.of(a), Words.of(b)) for a, b in pairs]
+        got = [token_set_of(a, b, t) for a, b in words]
+        assert [w is None for w in scores] == [g is None for g in got]
+        assert all(w is None or abs(w - g) < 1e-9 for w, g in zip(scores, got)), t
+        assert all(token_set_may(a, b, t) for (a, b), g in zip(words, got) if g is not None)
+        assert all(composite_may(a, b, t) for a, b in words if composite_of(a, b, t) is not None)
+        assert not all(token_set_may(a, b, t) for a, b in words)
+
+
+def test_papers_of_one_title_are_sent_once_a_group(spark):
+    """Many papers of one title and different texts: their pairs go by group, none reaches the join that sends a key a pair."""
+    rng = random.Random(7)
+    rows_ = [(i, "same title of all", " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)), None) for i in range(40)]
+    rows_.append((90, "same title of all", rows_[0][2] + " more", None))
+    papers = spark.createDataFrame(rows_, "paper_id long, Title string, Abstract string, DOI string")
+    for scorer in ("token_set", "composite"):
+        _, pairs = dn.combined_pairs(papers, dn.CombinedConfig(scorer=scorer))
+        assert [(r["id_a"], r["id_b"]) for r in pairs.collect()] == [(0, 90)]
+        assert "levenshtein" not in pairs._jdf.queryExecution().optimizedPlan().toString()
